@@ -17,7 +17,7 @@ def literal_map(entries: dict) -> Column:
 
 def sanitize_label(label: Column) -> Column:
     """Replacement character, en dash and em dash become ``-``; then trim."""
-    return F.trim(F.regexp_replace(label, "[�–—]", "-"))
+    return F.trim(F.translate(label, "\ufffd\u2013\u2014", "---"))
 
 
 def profile_label(label: Column) -> Column:

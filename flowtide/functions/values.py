@@ -6,8 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from flowtide.schema import NULL_TOKENS
 
-# Accepted timestamp layouts, first match wins.
-TIMESTAMP_FORMATS = ["d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m"]
+# Accepted timestamp layouts.
+DAY_FIRST_SECONDS = "d/M/yyyy H:m:s"
+DAY_FIRST_MINUTES = "d/M/yyyy H:m"
+YEAR_FIRST_SECONDS = "yyyy-M-d H:m:s"
+YEAR_FIRST_MINUTES = "yyyy-M-d H:m"
 
 
 def null_tokens(cell: Column) -> Column:
@@ -28,8 +31,21 @@ def to_whole(cell: Column, kind: str = "bigint") -> Column:
 
 
 def parse_timestamp(cell: Column) -> Column:
+    """Timestamp in any of the four layouts, or null.
+
+    Separator and number of colons decide the only layout that can match, so a cell is
+    parsed once; a failed parse costs an exception inside the parser.
+    """
     text = F.trim(cell)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS])
+    slashes = F.contains(text, F.lit("/"))
+    seconds = F.substring_index(text, ":", 2) != text
+    parse = lambda layout: F.try_to_timestamp(text, F.lit(layout))
+    return (
+        F.when(slashes & seconds, parse(DAY_FIRST_SECONDS))
+        .when(slashes, parse(DAY_FIRST_MINUTES))
+        .when(seconds, parse(YEAR_FIRST_SECONDS))
+        .when(F.contains(text, F.lit("-")), parse(YEAR_FIRST_MINUTES))
+    )
 
 
 def fix_12h_clock(ts: Column) -> Column:

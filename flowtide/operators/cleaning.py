@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowtide.plans.lookup import join_lookup
-from flowtide.plans.materialise import materialise
 from flowtide.plans.quantiles import exact_quantiles
-from flowtide.plans.ranking import numbered
+from flowtide.plans.ranking import numbered, written_sizes
 from flowtide.schema import NUMERIC_FIELDS
 
 TRAIN_SHARE = 0.70
@@ -29,25 +28,20 @@ def train_flow_slice(flows: DataFrame, tie_keys: list[str], share: float = TRAIN
     tagged = flows.withColumn("_minute", minute)
     per_minute = tagged.groupBy("source_file", "_minute").agg(F.count(F.lit(1)).alias("n"))
     # Per capture one row a minute: bounded by its length in time, not by its flows.
-    per_minute = materialise(per_minute, "minutes")
-    totals = per_minute.groupBy("source_file").agg(F.sum("n").alias("total"))
-    running = Window.partitionBy("source_file").orderBy("_minute")
-    cut = (
-        per_minute.withColumn("upto", F.sum("n").over(running))
-        .join(totals, "source_file")
-        .withColumn("keep", F.floor(F.lit(share).cast("double") * F.col("total")).cast("bigint"))
-        .where((F.col("upto") >= F.col("keep")) & (F.col("upto") - F.col("n") < F.col("keep")))
-        .select(
-            "source_file",
-            F.col("_minute").alias("_cut"),
-            (F.col("keep") - (F.col("upto") - F.col("n"))).alias("_left"),
-        )
+    of_file = Window.partitionBy("source_file")
+    keep = F.floor(F.lit(share).cast("double") * F.sum("n").over(of_file)).cast("bigint")
+    cuts = (
+        per_minute.withColumn("keep", keep)
+        .withColumn("before", F.sum("n").over(of_file.orderBy("_minute")) - F.col("n"))
+        .where((F.col("before") < F.col("keep")) & (F.col("keep") <= F.col("before") + F.col("n")))
+        .select("source_file", F.col("_minute").alias("_cut"), (F.col("keep") - F.col("before")).alias("_left"), "n")
     )
-    marked = join_lookup(tagged, materialise(cut, "cuts"), ["source_file"], tie_keys)
+    sizes = written_sizes(cuts)
+    marked = join_lookup(tagged, sizes.table.drop("n"), ["source_file"], tie_keys)
     early = marked.where(F.col("_minute") < F.col("_cut"))
     at_cut = marked.where(F.col("_minute") == F.col("_cut"))
     order = [F.col("timestamp"), *[F.col(k) for k in tie_keys]]
-    ranked = numbered(at_cut, ["source_file"], order, "_rank").where(F.col("_rank") < F.col("_left"))
+    ranked = numbered(at_cut, ["source_file"], order, "_rank", sizes=sizes).where(F.col("_rank") < F.col("_left"))
     return early.select(*flows.columns).unionByName(ranked.select(*flows.columns))
 
 

@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.operators.graphs import HOT_DEGREE
-from flowtide.plans.lookup import join_by_key
-from flowtide.plans.materialise import materialise
+from flowtide.plans.lookup import HotKeys, hot_keys, join_by_key
 from flowtide.schema import EDGE_FEATURES, NODE_FEATURES, WINDOW_KEY
 
 STATE_SIZE = 2 * len(NODE_FEATURES)
@@ -44,17 +43,17 @@ def _relu(value: Column) -> Column:
     return F.greatest(value, F.lit(0.0))
 
 
-def hot_sources(edges: DataFrame, limit: int = HOT_DEGREE) -> DataFrame:
-    """Sources with more than ``limit`` edges in a window: at most edges / limit rows."""
+def hot_sources(edges: DataFrame, limit: int = HOT_DEGREE) -> HotKeys:
+    """Sources with more than ``limit`` edges in a window."""
     counts = edges.groupBy(*WINDOW_KEY, "src_ip").agg(F.count(F.lit(1)).alias("n"))
-    return materialise(counts.where(F.col("n") > limit).drop("n"), "hot_sources")
+    return hot_keys(counts, [*WINDOW_KEY, "src_ip"], limit)
 
 
 def message_pass(
     nodes: DataFrame,
     edges: DataFrame,
     layers: list[Layer] | None = None,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
     hot_degree: int = HOT_DEGREE,
 ) -> DataFrame:
     """Rows ``window key, ip, h_0 ...``: each host's vector after all layers.
@@ -100,7 +99,7 @@ def graph_readout(vectors: DataFrame) -> DataFrame:
 
 
 def encode_windows(
-    nodes: DataFrame, edges: DataFrame, layers: list[Layer] | None = None, hot: DataFrame | None = None
+    nodes: DataFrame, edges: DataFrame, layers: list[Layer] | None = None, hot: HotKeys | None = None
 ) -> DataFrame:
     """State ``z`` of every window in one batch."""
     return graph_readout(message_pass(nodes, edges, layers, hot))

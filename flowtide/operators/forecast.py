@@ -7,13 +7,14 @@ a projection over array columns that holds the coefficients as constants.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.labels import category_name
@@ -111,29 +112,27 @@ class ThreatHead:
     bias: list[float]
 
 
-def transition_fit(
-    seqs: DataFrame, state_size: int, history: int = HISTORY, reg: float = 1e-3, parallelism: int = 8
-) -> Transition:
-    """One ridge regression per state dimension on the flattened lags.
+def transition_fit(seqs: DataFrame, state_size: int, history: int = HISTORY, reg: float = 1e-3) -> Transition:
+    """Ridge regression of the next state on the flattened lags, all dimensions at once.
 
-    Each fit is one pass that sums a (lags x lags) Gram matrix; fits run side by side.
+    One distributed pass sums the Gram matrix of (lags, next state, 1); its size depends
+    on the state only.  The normal equations are then solved on the driver.  The penalty
+    is relative to each lag's variance, so it does not depend on units.
     """
-    train = materialise(
-        seqs.select(array_to_vector(F.flatten("history")).alias("features"), F.col("target_z").alias("z")), "lags"
-    ).persist()
-
-    def fit(j: int):
-        return LinearRegression(solver="normal", regParam=reg, labelCol="label").fit(
-            train.select("features", F.col("z")[j].alias("label"))
-        )
-
-    try:
-        train.count()
-        with ThreadPool(parallelism) as pool:
-            models = pool.map(fit, range(state_size))
-    finally:
-        train.unpersist()
-    return Transition([m.coefficients.toArray().tolist() for m in models], [float(m.intercept) for m in models], history)
+    row = F.concat(F.flatten("history"), F.col("target_z"), F.array(F.lit(1.0)))
+    vectors = MLUtils.convertVectorColumnsFromML(seqs.select(array_to_vector(row).alias("row")), "row")
+    gram = RowMatrix(vectors).computeGramianMatrix().toArray()
+    lags = history * state_size
+    n = gram[-1, -1]
+    mean = gram[-1, :-1] / n
+    cov = gram[:-1, :-1] / n - np.outer(mean, mean)
+    xx, xy = cov[:lags, :lags], cov[:lags, lags:]
+    variance = np.diag(xx)
+    # A lag that never varies has no say; a 1 on its diagonal keeps the system solvable.
+    penalty = np.where(variance > 0, reg * variance, 1.0)
+    rows = np.linalg.solve(xx + np.diag(penalty), xy).T
+    bias = mean[lags:] - rows @ mean[:lags]
+    return Transition(rows.tolist(), bias.tolist(), history)
 
 
 def threat_head_fit(states: DataFrame, max_iter: int = 100, reg: float = 1e-3) -> ThreatHead:

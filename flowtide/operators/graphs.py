@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowtide.functions.labels import label_category, severity_rank
 from flowtide.operators.sampling import MAX_EDGES, priority_edge_sample
 from flowtide.operators.scaling import apply_robust_scaler
-from flowtide.plans.lookup import join_by_key, join_lookup
+from flowtide.plans.lookup import hot_keys, join_by_key, join_lookup
 from flowtide.plans.materialise import materialise
 from flowtide.plans.ranking import numbered
 from flowtide.schema import EDGE_FEATURES, NODE_FEATURES, WINDOW_KEY
@@ -145,23 +145,19 @@ def node_index(nodes: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return numbered(nodes, WINDOW_KEY, [F.col("ip")], "node_idx", **extra)
 
 
-def hot_hosts(nodes: DataFrame, degree: str, ip: str, limit: int = HOT_DEGREE) -> DataFrame:
-    """Hosts on one end of more than ``limit`` edges of a window: at most edges / limit."""
-    return materialise(nodes.where(F.col(degree) > limit).select(*WINDOW_KEY, F.col("ip").alias(ip)), "hot_hosts")
-
-
 def index_edges(edges: DataFrame, indexed_nodes: DataFrame, degrees: DataFrame, hot_degree: int = HOT_DEGREE) -> DataFrame:
     """Replace both ends of an edge by node indexes.
 
     ``degrees`` are unscaled node features; their degree columns name the hosts to salt.
     """
+    ends = degrees.select(*WINDOW_KEY, "ip", "in_degree", "out_degree")
     src = indexed_nodes.select(*WINDOW_KEY, F.col("ip").alias("src_ip"), F.col("node_idx").alias("src_idx"))
     dst = indexed_nodes.select(*WINDOW_KEY, F.col("ip").alias("dst_ip"), F.col("node_idx").alias("dst_idx"))
     out = join_by_key(
-        edges, src, [*WINDOW_KEY, "src_ip"], ["dst_ip"], hot_hosts(degrees, "out_degree", "src_ip", hot_degree)
+        edges, src, [*WINDOW_KEY, "src_ip"], ["dst_ip"], hot_keys(ends.withColumnRenamed("ip", "src_ip"), [*WINDOW_KEY, "src_ip"], hot_degree, "out_degree")
     )
     return join_by_key(
-        out, dst, [*WINDOW_KEY, "dst_ip"], ["src_ip"], hot_hosts(degrees, "in_degree", "dst_ip", hot_degree)
+        out, dst, [*WINDOW_KEY, "dst_ip"], ["src_ip"], hot_keys(ends.withColumnRenamed("ip", "dst_ip"), [*WINDOW_KEY, "dst_ip"], hot_degree, "in_degree")
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.plans.lookup import join_lookup
-from flowtide.plans.ranking import HOT_ROWS, group_sizes, numbered
-from flowtide.schema import EDGE_FEATURES, WINDOW_KEY
+from flowtide.plans.materialise import materialise
+from flowtide.plans.ranking import HOT_ROWS, GroupSizes, group_sizes, numbered
+from flowtide.schema import WINDOW_KEY
 
 MAX_EDGES = 10_000
 
@@ -21,7 +22,7 @@ TIES = ["src_ip", "dst_ip"]
 
 
 def normalized_rank(
-    df: DataFrame, value: str, out: str, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS, group=WINDOW_KEY
+    df: DataFrame, value: str, out: str, sizes: GroupSizes | None = None, hot_rows: int = HOT_ROWS, group=WINDOW_KEY
 ) -> DataFrame:
     """Rank in the group scaled to [0, 1]; ties are ordered by the pair of addresses.
 
@@ -44,19 +45,17 @@ def priority_edge_sample(edges: DataFrame, max_edges: int = MAX_EDGES, hot_rows:
     window is too big for one task ``numbered`` ranks it over the whole cluster.
     """
     sizes = group_sizes(edges, WINDOW_KEY)
-    over = sizes.where(F.col("n") > max_edges)
-    if over.isEmpty():
+    if sizes.largest <= max_edges:
         return edges
+    over = materialise(sizes.table.where(F.col("n") > max_edges), "over_limit")
     columns = edges.columns
     within = join_lookup(edges, over, WINDOW_KEY, TIES, "left_anti")
     ranked = join_lookup(edges, over, WINDOW_KEY, TIES)
     for name, _ in PRIORITY_WEIGHTS:
-        ranked = normalized_rank(ranked, name, f"rank_{name}", sizes=over, hot_rows=hot_rows)
+        ranked = normalized_rank(ranked, name, f"rank_{name}", sizes=sizes, hot_rows=hot_rows)
     scored = ranked.withColumn("_score", priority_score())
     best = numbered(
-        scored, WINDOW_KEY, [F.desc("_score"), *[F.col(t) for t in TIES]], "_place", sizes=over, hot_rows=hot_rows
+        scored, WINDOW_KEY, [F.desc("_score"), *[F.col(t) for t in TIES]], "_place", sizes=sizes, hot_rows=hot_rows
     )
     return within.select(*columns).unionByName(best.where(F.col("_place") < max_edges).select(*columns))
 
-
-__all__ = ["MAX_EDGES", "EDGE_FEATURES", "normalized_rank", "priority_edge_sample", "priority_score"]

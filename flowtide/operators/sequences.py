@@ -26,7 +26,7 @@ def chrono_split(
     """
     sizes = group_sizes(windows, ["source_file"])
     placed = numbered(windows, ["source_file"], [F.col("window_idx")], "_place", sizes=sizes, hot_rows=hot_rows)
-    sized = join_lookup(placed, sizes, ["source_file"], ["window_idx"])
+    sized = join_lookup(placed, sizes.table, ["source_file"], ["window_idx"])
     n_train = F.floor(F.lit(train_share).cast("double") * F.col("n"))
     n_val = F.floor(F.lit(val_share).cast("double") * F.col("n"))
     split = (

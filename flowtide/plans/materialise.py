@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,9 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        jsc = spark.sparkContext._jsc.sc()
-        current = jsc.getCheckpointDir()
-        configured = current.get() if current.isDefined() else None
+        configured = spark.sparkContext.getCheckpointDir()
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
@@ -40,3 +38,15 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialise`` that also returns aggregates observed while writing: no second job."""
+    seen = Observation()
+    table = materialise(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return table, seen.get
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Size of a written table as the optimizer sees it: file sizes, no job."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,9 +1,9 @@
 """Exact quantiles of many columns over tables of any size.
 
-Spark's exact ``percentile`` keeps every distinct value of a column in one task.  Here the
-value range is narrowed in two passes of small histograms, and only the values that share
-one narrow bucket with the wanted rank are looked at one by one.  Every pass is a scan
-with map-side aggregation; nothing is sorted or gathered as a whole.
+Spark's exact ``percentile`` keeps every distinct value of a column in one task.  Here a
+histogram over logarithmic buckets tells which bucket holds each wanted rank, a second one
+splits those buckets where they are still large, and only the values left are looked at one
+by one.  Every pass is a scan with map-side aggregation; nothing is gathered as a whole.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtide.plans.materialise import materialise
-
 STEPS_PER_OCTAVE = 64
 FINE_BUCKETS = 65_536
+# Buckets up to this many rows are resolved value by value at once.
+SMALL_BUCKET = 1_000_000
 
 
 def _coarse(value: Column) -> Column:
@@ -31,59 +31,68 @@ def _fine(value: Column, lo: Column, hi: Column) -> Column:
 
 def _locate(counts: DataFrame, targets: DataFrame, by: list[str], key: str) -> DataFrame:
     """For each target rank, the row of ``counts`` it falls into and the rank left inside."""
-    over = Window.partitionBy(*by).orderBy(key)
-    running = counts.withColumn("_upto", F.sum("n").over(over))
-    # The targets are at most columns x probabilities x 2 rows.
+    below = F.sum("n").over(Window.partitionBy(*by).orderBy(key)) - F.col("n")
     return (
-        running.join(F.broadcast(targets), by)
-        .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("n")))
-        .withColumn("rank", F.col("rank") - (F.col("_upto") - F.col("n")))
-        .drop("_upto", "n")
+        counts.withColumn("_below", below)
+        .join(F.broadcast(targets), by)
+        .where((F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("n")))
+        .withColumn("rank", F.col("rank") - F.col("_below"))
+        .drop("_below")
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def _collected(hits: DataFrame) -> tuple[DataFrame, int]:
+    """Located targets as a local table, and the rows of the largest bucket among them.
+
+    At most columns x probabilities x 2 rows.
+    """
+    rows = hits.collect()
+    return hits.sparkSession.createDataFrame(rows, hits.schema), max((r.n for r in rows), default=0)
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    small_bucket: int = SMALL_BUCKET,
+) -> DataFrame:
     """Rows ``feature, prob, value``: linearly interpolated quantiles, nulls left out.
 
-    A column without any value yields no row.
+    A column without any value yields no row.  ``df`` is scanned two or three times.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
 
-    by_coarse = materialise(
-        long.groupBy("feature", _coarse(F.col("value")).alias("coarse")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        ),
-        "coarse",
+    by_coarse = long.groupBy("feature", _coarse(F.col("value")).alias("coarse")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    position = (F.col("n") - 1) * F.col("prob")
-    targets = (
-        by_coarse.groupBy("feature")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    wanted = F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side")) for p in probabilities for side in (0, 1)
+    ])
+    of_feature = Window.partitionBy("feature")
+    position = (F.col("total") - 1) * F.col("prob")
+    hits, largest = _collected(
+        by_coarse.withColumn("total", F.sum("n").over(of_feature))
+        .withColumn("_below", F.sum("n").over(of_feature.orderBy("coarse")) - F.col("n"))
+        .select("*", F.inline(wanted))
         .withColumn("share", position - F.floor(position))
-        .withColumn("low_rank", F.floor(position).cast("bigint"))
-        .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("rank", F.least(F.col("low_rank") + F.col("side"), F.col("n") - 1))
-        .drop("n", "low_rank")
-    )
-    coarse_hits = materialise(_locate(by_coarse, targets, ["feature"], "coarse"), "coarse_hits")
-
-    spans = coarse_hits.select("feature", "coarse", "lo", "hi").distinct()
-    inside = long.withColumn("coarse", _coarse(F.col("value"))).join(F.broadcast(spans), ["feature", "coarse"])
-    inside = inside.withColumn("fine", _fine(F.col("value"), F.col("lo"), F.col("hi")))
-    by_fine = inside.groupBy("feature", "coarse", "fine").agg(F.count(F.lit(1)).alias("n"))
-    fine_hits = materialise(
-        _locate(by_fine, coarse_hits.drop("lo", "hi"), ["feature", "coarse"], "fine"), "fine_hits"
-    )
-
-    cells = fine_hits.select("feature", "coarse", "fine").distinct()
-    by_value = (
-        inside.join(F.broadcast(cells), ["feature", "coarse", "fine"])
-        .groupBy("feature", "coarse", "fine", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("rank", F.least(F.floor(position).cast("bigint") + F.col("side"), F.col("total") - 1))
+        .where((F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("n")))
+        .withColumn("rank", F.col("rank") - F.col("_below"))
+        .drop("total", "_below")
     )
-    found = _locate(by_value, fine_hits, ["feature", "coarse", "fine"], "value")
+    cell = ["feature", "coarse"]
+    spans = hits.select(*cell, "lo", "hi").distinct()
+    inside = long.withColumn("coarse", _coarse(F.col("value"))).join(F.broadcast(spans), cell)
+    if largest > small_bucket:
+        inside = inside.withColumn("fine", _fine(F.col("value"), F.col("lo"), F.col("hi")))
+        by_fine = inside.groupBy(*cell, "fine").agg(F.count(F.lit(1)).alias("n"))
+        hits, _ = _collected(_locate(by_fine, hits.drop("n", "lo", "hi"), cell, "fine"))
+        cell = [*cell, "fine"]
+        inside = inside.join(F.broadcast(hits.select(*cell).distinct()), cell)
+    by_value = inside.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("n"))
+    targets = hits.select(*cell, "prob", "side", "share", "rank")
+    found = _locate(by_value, targets, cell, "value")
     at = {side: F.max(F.when(F.col("side") == side, F.col("value"))) for side in (0, 1)}
     return found.groupBy("feature", "prob", "share").agg(at[0].alias("v0"), at[1].alias("v1")).select(
         "feature", "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("value")

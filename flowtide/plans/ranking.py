@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide.plans.lookup import join_lookup
-from flowtide.plans.materialise import materialise
+from flowtide.plans.materialise import materialise, materialise_with
 
 # A window task sorts at most this many rows of one group.
 HOT_ROWS = 2_000_000
 
 
-def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    return materialise(df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), "sizes")
+@dataclass
+class GroupSizes:
+    """Rows per group in column ``n`` of a written table, and the largest of them."""
+
+    table: DataFrame
+    largest: int
+
+
+def written_sizes(counts: DataFrame) -> GroupSizes:
+    table, facts = materialise_with(counts, "sizes", largest=F.max("n"))
+    return GroupSizes(table, facts["largest"] or 0)
+
+
+def group_sizes(df: DataFrame, group: Sequence[str]) -> GroupSizes:
+    return written_sizes(df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
 
 
 def numbered(
@@ -22,26 +36,24 @@ def numbered(
     group: Sequence[str],
     order: Sequence[Column],
     out: str,
-    sizes: DataFrame | None = None,
+    sizes: GroupSizes | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the 0-based position of a row in its group, by ``order``.
 
-    Ordinary groups use ``row_number``.  Groups above ``hot_rows`` (found from ``sizes``,
-    a table of group keys and ``n``) are range-sorted over all tasks instead; a row's
-    position is then its place in its partition plus the rows of its group in the
-    partitions before.  Rows equal under ``order`` are spread too.
+    Ordinary groups use ``row_number``.  Groups above ``hot_rows`` are range-sorted over
+    all tasks instead; a row's position is then its place in its partition plus the rows
+    of its group in the partitions before.  Rows equal under ``order`` are spread too.
     """
     group = list(group)
-    if sizes is None:
-        sizes = group_sizes(df, group)
-    hot = sizes.where(F.col("n") > hot_rows).select(*group)
-    if hot.isEmpty():
+    sizes = sizes or group_sizes(df, group)
+    if sizes.largest <= hot_rows:
         return _by_window(df, group, order, out)
-    # At most rows / hot_rows keys.
-    cold_rows = join_lookup(df, hot, group, df.columns, "left_anti")
-    hot_rows_df = join_lookup(df, hot, group, df.columns, "left_semi")
-    return _by_window(cold_rows, group, order, out).unionByName(_by_range(hot_rows_df, group, order, out))
+    # At most rows / hot_rows groups.
+    hot = materialise(sizes.table.where(F.col("n") > hot_rows).select(*group), "hot_groups")
+    cold_part = join_lookup(df, hot, group, df.columns, "left_anti")
+    hot_part = join_lookup(df, hot, group, df.columns, "left_semi")
+    return _by_window(cold_part, group, order, out).unionByName(_by_range(hot_part, group, order, out))
 
 
 def _by_window(df: DataFrame, group: list[str], order: Sequence[Column], out: str) -> DataFrame:

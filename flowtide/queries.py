@@ -671,7 +671,7 @@ def horizon_pairs(t: Tables) -> DataFrame:
 def normalized_rank(t: Tables) -> DataFrame:
     edges = t.edges
     sizes = group_sizes(edges, WINDOW_KEY)
-    sized = join_lookup(edges, sizes, WINDOW_KEY, ["src_ip", "dst_ip"])
+    sized = join_lookup(edges, sizes.table, WINDOW_KEY, ["src_ip", "dst_ip"])
     for name, _ in sampling.PRIORITY_WEIGHTS:
         sized = sampling.normalized_rank(sized, name, f"rank_{name}", sizes=sizes)
     return rounded(sized.select(*graphs.EDGE_KEY, *[f"rank_{n}" for n, _ in sampling.PRIORITY_WEIGHTS]))
