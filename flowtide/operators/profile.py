@@ -22,13 +22,16 @@ def file_profile(raw: DataFrame, header: list[str] | None = None, duplicates: li
     ``header`` and ``duplicates`` describe the file header; Spark has read it already.
     """
     valid = valid_row(F.col("Flow ID"), F.col("Source IP"), F.col("Timestamp"))
-    size = F.sum("file_size") if "file_path" in raw.columns else F.max("file_size")
+    # A capture may be stored in several files; each counts once.
+    per_file = raw.groupBy("source_file", "file_path").agg(
+        F.max("file_size").alias("size"), F.count(F.lit(1)).alias("raw"), _count(valid).alias("valid")
+    )
     return (
-        raw.groupBy("source_file")
+        per_file.groupBy("source_file")
         .agg(
-            size.alias("file_size_bytes"),
-            F.count(F.lit(1)).alias("total_raw_rows"),
-            _count(valid).alias("valid_rows"),
+            F.sum("size").alias("file_size_bytes"),
+            F.sum("raw").alias("total_raw_rows"),
+            F.sum("valid").alias("valid_rows"),
         )
         .withColumn("file_size_mb", F.round(F.col("file_size_bytes") / F.lit(1048576.0), 2))
         .withColumn("empty_padding_rows", F.col("total_raw_rows") - F.col("valid_rows"))

@@ -549,7 +549,7 @@ def standard_scale(t: Tables) -> DataFrame:
 
 @query
 def file_profile(t: Tables) -> DataFrame:
-    header = [c for c in t.captures.columns if c not in ("source_file", "file_size")]
+    header = [c for c in t.captures.columns if c not in ("source_file", "file_path", "file_size")]
     report = profile.file_profile(t.captures, header, captures.duplicate_headers(header))
     # Sizes depend on how the files were written; only that they are there is compared.
     return report.select(

@@ -15,8 +15,8 @@ def read_raw_untyped(spark: SparkSession, path: str) -> DataFrame:
     """Every cell as text, no null tokens, one scan for a file, a list or a folder.
 
     Broken UTF-8 becomes U+FFFD, surplus cells are dropped and short rows padded.  Adds
-    ``source_file`` (the file name, unless the folder is partitioned by it) and
-    ``file_size``.  ``enforceSchema=false`` makes a file with another header fail instead
+    ``source_file`` (the file name, unless the folder is partitioned by it),
+    ``file_path`` and ``file_size``.  ``enforceSchema=false`` makes a file with another header fail instead
     of shifting its columns.
     """
     raw = (
@@ -31,7 +31,7 @@ def read_raw_untyped(spark: SparkSession, path: str) -> DataFrame:
     )
     cells = [F.col(f"`{c}`") for c in raw.columns if c != "source_file"]
     source = F.col("source_file") if "source_file" in raw.columns else F.col("_metadata.file_name")
-    return raw.select(*cells, source.alias("source_file"), F.col("_metadata.file_size").alias("file_size"))
+    return raw.select(*cells, source.alias("source_file"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
 
 
 def duplicate_headers(columns: list[str]) -> list[str]:
