@@ -11,18 +11,21 @@ from flowtide.functions.values import fix_12h_clock, has_text, parse_timestamp,
 from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA
 
 
-def read_raw_untyped(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_untyped(spark: SparkSession, path: str, check_headers: bool = True) -> DataFrame:
     """Every cell as text, no null tokens, one scan for a file, a list or a folder.
 
     Broken UTF-8 becomes U+FFFD, surplus cells are dropped and short rows padded.  Adds
     ``source_file`` (the file name, unless the folder is partitioned by it),
-    ``file_path`` and ``file_size``.  ``enforceSchema=false`` makes a file with another header fail instead
-    of shifting its columns.
+    ``file_path`` and ``file_size``.
+
+    ``check_headers`` compares the header of every file with the columns a query reads and
+    fails on a file with another layout instead of shifting its columns.  The second of two
+    equal headers never passes that check; turn it off to read such a column.
     """
     raw = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
-        .option("enforceSchema", False)
+        .option("enforceSchema", not check_headers)
         .option("encoding", "UTF-8")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
