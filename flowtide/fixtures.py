@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtide.sources.captures import normalize_headers, read_raw_untyped
-from flowtide.plans.materialise import scratch_path
+from flowtide.plans.materialise import scratch_path, spread_small
 from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA
 
 WINDOW_SECONDS = 7_200
@@ -118,7 +118,7 @@ def packet_fields() -> dict[str, str]:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

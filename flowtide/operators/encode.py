@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.operators.graphs import HOT_DEGREE
 from flowtide.plans.lookup import HotKeys, hot_keys, join_by_key
+from flowtide.plans.materialise import materialise
 from flowtide.schema import EDGE_FEATURES, NODE_FEATURES, WINDOW_KEY
 
 STATE_SIZE = 2 * len(NODE_FEATURES)
@@ -66,7 +67,7 @@ def message_pass(
     hot = hot_sources(edges, hot_degree) if hot is None else hot
     state = nodes.select(*WINDOW_KEY, "ip", *[F.col(f).alias(f"h_{i}") for i, f in enumerate(NODE_FEATURES)])
     width = len(NODE_FEATURES)
-    for layer in layers:
+    for depth, layer in enumerate(layers):
         features = [F.col(f) for f in EDGE_FEATURES]
         if layer.edge:
             projected = [_relu(c) for c in _linear(features, layer.edge)]
@@ -85,6 +86,9 @@ def message_pass(
         out = _linear(own, layer.node, layer.bias) if layer.node else own
         width = len(out)
         state = both.select(*WINDOW_KEY, "ip", *[_relu(c).alias(f"h_{i}") for i, c in enumerate(out)])
+        if depth + 1 < len(layers):
+            # The next layer reads it twice: as sources and as own vectors.
+            state = materialise(state, "layer")
     return state
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowtide.functions.labels import profile_label
 from flowtide.functions.values import fix_12h_clock, parse_timestamp
+from flowtide.plans.materialise import materialise
 from flowtide.schema import INFINITY_TOKENS, NAN_TOKENS, NEG_INFINITY_TOKENS
 from flowtide.sources.captures import valid_row, valid_rows
 
@@ -105,7 +106,11 @@ def topology_profile(flows: DataFrame, by: list[str] | None = None) -> DataFrame
     already distinct table and a large capture is spread by host.
     """
     by = ["source_file"] if by is None else by
-    pairs = flows.groupBy(*by, "src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("flows"))
+    return _topology(flows.groupBy(*by, "src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("flows")), by)
+
+
+def _topology(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Topology from one row per directed pair with its number of flows."""
     ends = pairs.select(
         *by,
         F.inline(F.array(
@@ -150,6 +155,94 @@ def dataset_summary(raw: DataFrame) -> DataFrame:
     )
 
 
+def profile_cells(raw: DataFrame) -> DataFrame:
+    """Everything the audits count, per (file, source, destination, label), in one scan.
+
+    All measures merge, so map-side combine shrinks a capture to its distinct cells; rows
+    without a valid key share one cell.  The report below reads only this table.
+    """
+    valid = valid_row(F.col("Flow ID"), F.col("Source IP"), F.col("Timestamp"))
+    keep = lambda c: F.when(valid, c)
+    rows = raw.select(
+        "source_file",
+        "file_path",
+        "file_size",
+        valid.alias("ok"),
+        keep(F.trim("Source IP")).alias("src_ip"),
+        keep(F.trim("Destination IP")).alias("dst_ip"),
+        keep(profile_label(F.col("Label"))).alias("label"),
+        keep(fix_12h_clock(parse_timestamp(F.col("Timestamp")))).alias("ts"),
+        *[F.trim(F.col(f"`{header}`")).alias(name) for name, header in RATE_COLUMNS.items()],
+    )
+    ok = F.col("ok")
+    audits = []
+    for name in RATE_COLUMNS:
+        token = F.col(name)
+        audits += [
+            _count(ok & token.isin(INFINITY_TOKENS)).alias(f"{name}_infinity"),
+            _count(ok & token.isin(NEG_INFINITY_TOKENS)).alias(f"{name}_negative_infinity"),
+            _count(ok & token.isin(NAN_TOKENS)).alias(f"{name}_nan"),
+            _count(ok & token.isNull()).alias(f"{name}_null"),
+        ]
+    return rows.groupBy("source_file", "file_path", "src_ip", "dst_ip", "label").agg(
+        F.max("file_size").alias("file_size"),
+        F.count(F.lit(1)).alias("rows"),
+        _count(ok).alias("flows"),
+        _count(ok & F.col("ts").isNull()).alias("unparsed"),
+        F.min("ts").alias("min_ts"),
+        F.max("ts").alias("max_ts"),
+        *audits,
+    )
+
+
+def profile_report(raw: DataFrame) -> DataFrame:
+    """The whole profile, one row per capture, from a single scan of the captures."""
+    cells = materialise(profile_cells(raw), "profile_cells")
+    audits = [f"{c}_{kind}" for c in RATE_COLUMNS for kind in ("infinity", "negative_infinity", "nan", "null")]
+    sums = ["rows", "flows", "unparsed", *audits]
+    by_file = cells.groupBy("source_file", "file_path").agg(
+        F.max("file_size").alias("size"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.min("min_ts").alias("min_ts"),
+        F.max("max_ts").alias("max_ts"),
+    )
+    totals = by_file.groupBy("source_file").agg(
+        F.sum("size").alias("file_size_bytes"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.min("min_ts").alias("min_datetime"),
+        F.max("max_ts").alias("max_datetime"),
+        ((F.unix_micros(F.max("max_ts")) - F.unix_micros(F.min("min_ts"))) / F.lit(1e6)).alias("seconds"),
+    )
+    flows = cells.where(F.col("flows") > 0)
+    per_label = flows.groupBy("source_file", "label").agg(F.sum("flows").alias("n"))
+    label_maps = per_label.groupBy("source_file").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_distribution")
+    )
+    topology = _topology(
+        flows.groupBy("source_file", "src_ip", "dst_ip").agg(F.sum("flows").alias("flows")), ["source_file"]
+    )
+    duration = F.coalesce("seconds", F.lit(0.0))
+    return (
+        totals.join(label_maps, "source_file", "left")
+        .join(topology, "source_file", "left")
+        .select(
+            "source_file",
+            "file_size_bytes",
+            F.col("rows").alias("total_raw_rows"),
+            F.col("flows").alias("valid_rows"),
+            (F.col("rows") - F.col("flows")).alias("empty_padding_rows"),
+            "min_datetime",
+            "max_datetime",
+            duration.alias("duration_seconds"),
+            F.round(duration / F.lit(3600.0), 2).alias("duration_hours"),
+            F.col("unparsed").alias("unparsed_timestamp_count"),
+            *audits,
+            "label_distribution",
+            *[c for c in topology.columns if c != "source_file"],
+        )
+    )
+
+
 def host_union(flows: DataFrame) -> DataFrame:
     """Every address that occurs as source or destination, once."""
     return flows.select(F.col("src_ip").alias("ip")).union(flows.select("dst_ip")).distinct()

@@ -582,6 +582,39 @@ def _topology(by: str) -> str:
     )
 
 
+def _profile() -> str:
+    """Every audit over the valid raw rows, joined by capture."""
+    token = lambda c: f"trim({c})"
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE ok AND {token(c)} IN ('Infinity', '+Infinity')) AS {c}_infinity, count(*) FILTER (WHERE ok AND {token(c)} = '-Infinity') AS {c}_negative_infinity, "
+        f"count(*) FILTER (WHERE ok AND {token(c)} IN ('NaN', 'nan')) AS {c}_nan, count(*) FILTER (WHERE ok AND {c} IS NULL) AS {c}_null"
+        for c in ("flow_bytes_s", "flow_pkts_s")
+    )
+    ctes = [
+        ("checked", f"SELECT *, ({VALID}) AS ok, {clock(parsed('timestamp'))} AS t FROM raw"),
+        (
+            "totals",
+            "SELECT source_file, count(*) AS total_raw_rows, count(*) FILTER (WHERE ok) AS valid_rows, count(*) FILTER (WHERE NOT ok) AS empty_padding_rows, "
+            "min(t) FILTER (WHERE ok) AS lo, max(t) FILTER (WHERE ok) AS hi, count(*) FILTER (WHERE ok AND t IS NULL) AS unparsed_timestamp_count, "
+            f"{counts}, count(DISTINCT src_ip) FILTER (WHERE ok) AS unique_source_ips, count(DISTINCT dst_ip) FILTER (WHERE ok) AS unique_destination_ips, "
+            "count(DISTINCT src_ip || '>' || dst_ip) FILTER (WHERE ok) AS e FROM checked GROUP BY 1",
+        ),
+        ("label_counts", "SELECT source_file, label, count(*) AS n FROM checked WHERE ok GROUP BY 1, 2"),
+        ("label_text", "SELECT source_file, string_agg(label || '=' || n, ',' ORDER BY label) AS label_distribution FROM label_counts GROUP BY 1"),
+        ("both_ends", "SELECT source_file, src_ip AS ip FROM checked WHERE ok UNION SELECT source_file, dst_ip FROM checked WHERE ok"),
+        ("host_counts", "SELECT source_file, count(*) AS v FROM both_ends GROUP BY 1"),
+    ]
+    seconds = "((epoch_us(hi) - epoch_us(lo)) / CAST(1e6 AS DOUBLE))"
+    audits = ", ".join(f"{c}_{k}" for c in ("flow_bytes_s", "flow_pkts_s") for k in ("infinity", "negative_infinity", "nan", "null"))
+    return sql(
+        f"SELECT source_file, total_raw_rows, valid_rows, empty_padding_rows, {ts('lo')} AS min_datetime, {ts('hi')} AS max_datetime, {r(seconds)} AS duration_seconds, "
+        f"round({seconds} / 3600.0, 2) AS duration_hours, unparsed_timestamp_count, {audits}, label_distribution, unique_source_ips, unique_destination_ips, v AS total_unique_hosts, "
+        f"e AS unique_directed_pairs, {r('e / (CAST(v AS DOUBLE) * (v - 1))')} AS graph_density, round(e / CAST(v AS DOUBLE), 2) AS average_out_degree, "
+        "round(valid_rows / CAST(e AS DOUBLE), 2) AS flows_per_edge_ratio FROM totals JOIN label_text USING (source_file) JOIN host_counts USING (source_file)",
+        ctes,
+    )
+
+
 def _labels() -> str:
     clean = "CASE WHEN label = '' OR label IS NULL THEN 'UNKNOWN' ELSE label END"
     body = (
@@ -733,6 +766,7 @@ def oracle_sql() -> dict[str, str]:
             "FROM threats p JOIN series s ON p.split = s.split AND s.split_idx = p.origin_idx + p.step"
         ),
         "model_comparison": sql(f"SELECT horizon, {_horizon_metrics()} FROM compared"),
+        "profile_report": _profile(),
         "host_union": sql("SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows"),
         "pair_distinct": sql("SELECT DISTINCT src_ip, dst_ip FROM flows"),
         "concat_slices": sql("SELECT source_file, count(*) AS n, sum(fwd_bytes) AS fwd_bytes FROM train_flows GROUP BY 1"),

@@ -724,6 +724,14 @@ def model_comparison(t: Tables) -> DataFrame:
     return rounded(metrics.model_comparison(metrics.model_metrics(metrics.confusion_matrix(simple_pairs(t.series)))))
 
 
+@query
+def profile_report(t: Tables) -> DataFrame:
+    """All audits of the captures from one scan; the label map as text."""
+    report = profile.profile_report(t.captures).drop("file_size_bytes")
+    text = F.concat_ws(",", F.transform(F.map_entries("label_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return rounded(report.withColumn("label_distribution", text))
+
+
 @query
 def host_union(t: Tables) -> DataFrame:
     return profile.host_union(t.flows)
