@@ -41,13 +41,19 @@ def _locate(counts: DataFrame, targets: DataFrame, by: list[str], key: str) -> D
     )
 
 
-def _collected(hits: DataFrame) -> tuple[DataFrame, int]:
-    """Located targets as a local table, and the rows of the largest bucket among them.
-
-    At most columns x probabilities x 2 rows.
-    """
+def _collected(hits: DataFrame) -> tuple[DataFrame, list]:
+    """Located targets as a local table and as rows: columns x probabilities x 2 at most."""
     rows = hits.collect()
-    return hits.sparkSession.createDataFrame(rows, hits.schema), max((r.n for r in rows), default=0)
+    return hits.sparkSession.createDataFrame(rows, hits.schema), rows
+
+
+def _long(df: DataFrame, columns: Sequence[str], numbers: Sequence[int]) -> DataFrame:
+    """Column number and value, one row per non-null cell of the numbered columns."""
+    cells = F.array(*[F.col(columns[i]).cast("double") for i in numbers])
+    number = F.element_at(F.array(*[F.lit(i) for i in numbers]), F.col("pos") + 1)
+    return df.select(F.posexplode(cells).alias("pos", "value")).where(F.col("value").isNotNull()).select(
+        number.alias("feature"), "value"
+    )
 
 
 def exact_quantiles(
@@ -58,12 +64,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows ``feature, prob, value``: linearly interpolated quantiles, nulls left out.
 
-    A column without any value yields no row.  ``df`` is scanned two or three times.
+    A column without any value yields no row.  The first scan settles every rank whose
+    bucket holds a single value (flags, counts, constants); columns with other ranks are
+    scanned once or twice more.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-
-    by_coarse = long.groupBy("feature", _coarse(F.col("value")).alias("coarse")).agg(
+    columns = list(columns)
+    by_coarse = _long(df, columns, range(len(columns))).groupBy("feature", _coarse(F.col("value")).alias("coarse")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
     wanted = F.array(*[
@@ -71,7 +77,7 @@ def exact_quantiles(
     ])
     of_feature = Window.partitionBy("feature")
     position = (F.col("total") - 1) * F.col("prob")
-    hits, largest = _collected(
+    hits, rows = _collected(
         by_coarse.withColumn("total", F.sum("n").over(of_feature))
         .withColumn("_below", F.sum("n").over(of_feature.orderBy("coarse")) - F.col("n"))
         .select("*", F.inline(wanted))
@@ -81,19 +87,31 @@ def exact_quantiles(
         .withColumn("rank", F.col("rank") - F.col("_below"))
         .drop("total", "_below")
     )
+    out = ["feature", "prob", "side", "share", "value"]
+    found = hits.where(F.col("lo") == F.col("hi")).withColumn("value", F.col("lo")).select(*out)
+    still_open = [r for r in rows if r.lo < r.hi]
+    open_hits = hits.where(F.col("lo") < F.col("hi"))
+    if still_open:
+        pending = sorted({r.feature for r in still_open})
+        largest = max(r.n for r in still_open)
+        found = found.unionByName(_resolve(_long(df, columns, pending), open_hits, largest > small_bucket).select(*out))
+    at = {side: F.max(F.when(F.col("side") == side, F.col("value"))) for side in (0, 1)}
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("feature") + 1)
+    return found.groupBy("feature", "prob", "share").agg(at[0].alias("v0"), at[1].alias("v1")).select(
+        name.alias("feature"), "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("value")
+    )
+
+
+def _resolve(long: DataFrame, hits: DataFrame, split: bool) -> DataFrame:
+    """Values at the ranks inside the hit buckets, after splitting the buckets if asked."""
     cell = ["feature", "coarse"]
     spans = hits.select(*cell, "lo", "hi").distinct()
     inside = long.withColumn("coarse", _coarse(F.col("value"))).join(F.broadcast(spans), cell)
-    if largest > small_bucket:
+    if split:
         inside = inside.withColumn("fine", _fine(F.col("value"), F.col("lo"), F.col("hi")))
         by_fine = inside.groupBy(*cell, "fine").agg(F.count(F.lit(1)).alias("n"))
         hits, _ = _collected(_locate(by_fine, hits.drop("n", "lo", "hi"), cell, "fine"))
         cell = [*cell, "fine"]
         inside = inside.join(F.broadcast(hits.select(*cell).distinct()), cell)
     by_value = inside.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("n"))
-    targets = hits.select(*cell, "prob", "side", "share", "rank")
-    found = _locate(by_value, targets, cell, "value")
-    at = {side: F.max(F.when(F.col("side") == side, F.col("value"))) for side in (0, 1)}
-    return found.groupBy("feature", "prob", "share").agg(at[0].alias("v0"), at[1].alias("v1")).select(
-        "feature", "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("value")
-    )
+    return _locate(by_value, hits.select(*cell, "prob", "side", "share", "rank"), cell, "value")

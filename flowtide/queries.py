@@ -39,6 +39,7 @@ from flowtide.schema import (
     WINDOW_FEATURES,
     WINDOW_KEY,
 )
+from flowtide.session import tune
 from flowtide.sources import captures, packets, storage
 from flowtide.streaming import flows as streaming
 
@@ -52,7 +53,7 @@ class Tables:
     _all: dict[tuple[str, str], "Tables"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
         self._made: dict[str, object] = {}
 
     @classmethod

@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+# The JVM never compiles methods above 8,000 bytes of bytecode.  Wide projections, such as the
+# one from capture text to flow records, exceed that when fused into one method and then run
+# interpreted; below this limit Spark splits them instead, which is about three times faster.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings for a session somebody else has built."""
+    spark.conf.set(*HUGE_METHOD)
+    return spark
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Adaptive execution with skew splitting, UTC, and partial merges left on.
 
@@ -18,6 +30,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        HUGE_METHOD[0]: HUGE_METHOD[1],
         # No Python stack walk for every column expression: plans of wide tables build faster.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.dataFrameQueryContext.enabled": "false",
