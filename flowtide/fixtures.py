@@ -103,7 +103,7 @@ def packet_fields() -> dict[str, str]:
     names = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
     return {
         "ts": "CAST(ts AS TIMESTAMP)",
-        # One packet an event is too sparse for 5-tuples: ports fold to two servers ports.
+        # One packet an event is too sparse for 5-tuples, so ports depend on the host only.
         **{n: COMMON[n] for n in names},
         "src_port": "CAST(1024 + user_id % 50 AS BIGINT)",
         "dst_port": "CAST(80 AS BIGINT)",

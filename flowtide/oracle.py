@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from flowtide import fixtures as fx
 from flowtide.queries import SIMPLE_WEIGHTS
 from flowtide.schema import (
@@ -229,7 +231,7 @@ CTES: list[tuple[str, str]] = [
         "sum(syn) / (sum(outp) + sum(inp) + CAST(1e-6 AS DOUBLE)) AS syn_ratio, sum(rst) / (sum(outp) + sum(inp) + CAST(1e-6 AS DOUBLE)) AS rst_ratio, "
         f"CAST(count(DISTINCT peer) AS DOUBLE) AS peer_count FROM ends GROUP BY {KEY}, ip",
     ),
-    ("train_nodes", f"SELECT n.* FROM nodes n JOIN series USING ({KEY}) WHERE split = 'train'".replace("n.*", "n.*")),
+    ("train_nodes", f"SELECT n.* FROM nodes n JOIN series USING ({KEY}) WHERE split = 'train'"),
     ("train_edges", f"SELECT e.* FROM edges e JOIN series USING ({KEY}) WHERE split = 'train'"),
     ("scalers", f"{_fit('train_nodes', NODE_FEATURES, 'node_scaler')} UNION ALL {_fit('train_edges', EDGE_FEATURES, 'edge_scaler')}"),
     (
@@ -345,8 +347,6 @@ SHARES = [
 
 def sql(final: str, extra: list[tuple[str, str]] | None = None, linked: str = "sampled") -> str:
     """``final`` after the common table expressions it needs, directly or not."""
-    import re
-
     tables = {name: body.replace("{table}", linked) for name, body in [*CTES, *(extra or [])]}
     needed: list[str] = []
 
@@ -363,14 +363,12 @@ def sql(final: str, extra: list[tuple[str, str]] | None = None, linked: str = "s
 
 
 def _sequence_rows(within_file: bool = False, slid: bool = False) -> str:
-    lag = "CAST(s.split_idx - t.split_idx + {n} AS INTEGER) AS lag".format(n=N)
     base = (
         "SELECT t.split, t.split_idx - 1 AS origin_idx, t.target_index, CAST(s.split_idx - (t.split_idx - {n}) AS INTEGER) AS lag, "
         "s.z0, s.z1, s.z2, t.z0 AS next_z0, t.z1 AS next_z1, t.z2 AS next_z2, f.source_file AS first_file, t.source_file AS next_file "
         "FROM states t JOIN states f ON f.split = t.split AND f.split_idx = t.split_idx - {n} "
         "JOIN states s ON s.split = t.split AND s.split_idx BETWEEN {lo} AND {hi}"
-    ).format(n=N if not slid else N, lo=f"t.split_idx - {N}" if not slid else f"t.split_idx - {N - 1}", hi="t.split_idx - 1" if not slid else "t.split_idx")
-    del lag
+    ).format(n=N, lo=f"t.split_idx - {N}" if not slid else f"t.split_idx - {N - 1}", hi="t.split_idx - 1" if not slid else "t.split_idx")
     shift = "lag - 1" if slid else "lag"
     where = " WHERE first_file = next_file" if within_file else ""
     return (
@@ -506,13 +504,11 @@ def _class_weights() -> str:
 
 
 def _stream_windows() -> str:
-    span = f"to_timestamp((epoch_us(timestamp) // {W * 1_000_000}) * {W})::TIMESTAMP"
     body = (
         f"SELECT source_file, (epoch_us(timestamp) // {W * 1_000_000}) AS slot, count(*) AS flow_count, sum(fwd_bytes) + sum(bwd_bytes) AS total_bytes, "
         "sum(fwd_pkts) + sum(bwd_pkts) AS total_pkts, sum(syn_count) AS syn, sum(rst_count) AS rst, avg(flow_duration) AS mean_duration, "
         f"{case(f'min({severity(category('label'))})', dict(enumerate(SEVERITY)), q(CLASS_NAMES[0]))} AS target_category FROM flows GROUP BY 1, 2"
     )
-    del span
     return sql(
         f"SELECT source_file, {ts(f'make_timestamp(slot * {W * 1_000_000})')} AS start_time, {ts(f'make_timestamp((slot + 1) * {W * 1_000_000})')} AS end_time, "
         f"flow_count, {each(['total_bytes', 'total_pkts'])}, {r(ratio('syn', 'total_pkts'))} AS syn_ratio, {r(ratio('rst', 'total_pkts'))} AS rst_ratio, {r('mean_duration')} AS mean_duration, "

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The 23 fields that come from a capture plus the two label-side fields carried
-# through every operator (``label``, ``source_file``).  ``flow_bytes_s`` and
-# ``flow_pkts_s`` are the only measures that keep their nulls.
+# The 25 fields of a flow and the capture it came from.  ``flow_bytes_s`` and ``flow_pkts_s``
+# are the only measures that keep their nulls.
 FLOW_SCHEMA = T.StructType(
     [
         T.StructField("src_ip", T.StringType()),
