@@ -17,9 +17,9 @@ SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 4_000, 96 * 1024
 #: Characters compressed at a time.  Each piece meets the dictionary afresh, so the end of a long text counts
 #: as its start does.
 PIECE_CHARS = 3_000
-LEVEL = 3
+LEVEL = 6
 #: A text whose second-best language needs less than this share more bytes is rejected.
-LEAST_MARGIN = 0.01
+LEAST_MARGIN = 0.003
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")

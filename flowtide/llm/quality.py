@@ -16,10 +16,10 @@ CORE, STEPS = 0.75, 3
 #: Groups under this size are pooled with the other small ones of their language, then of all; a pool that is
 #: still smaller rejects nothing.
 LEAST_ROWS = 200
-#: Largest squared distance that is kept: one in ten million normal vectors of four numbers lies beyond.
-CUTOFF = 38.2
+#: Largest squared distance that is kept: one in ten thousand normal vectors of four numbers lies beyond.
+CUTOFF = 23.51
 #: Standard deviations count as at least this much, so that a group of near-constant texts rejects no usual ones.
-FLOORS = (0.25, 1.0, 1.0, 1.0)
+FLOORS = (0.25, 0.7, 1.5, 1.5)
 DIMENSIONS = len(FLOORS)
 
 
