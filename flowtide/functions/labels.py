@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from flowtide.functions.values import strip
 from flowtide.schema import CLASS_NAMES, LABEL_CLASSES, SEVERITY
 
 
@@ -17,7 +18,7 @@ def literal_map(entries: dict) -> Column:
 
 def sanitize_label(label: Column) -> Column:
     """Replacement character, en dash and em dash become ``-``; then trim."""
-    return F.trim(F.translate(label, "\ufffd\u2013\u2014", "---"))
+    return strip(F.translate(label, "\ufffd\u2013\u2014", "---"))
 
 
 def profile_label(label: Column) -> Column:

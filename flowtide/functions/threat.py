@@ -15,10 +15,19 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Inside a lambda an outer expression is evaluated again for every element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities from logits, shifted by the maximum so that exp cannot overflow."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(exps, lambda e: e / array_sum(exps))
+    exps = lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    shares = lambda e: let(array_sum(e), lambda total: F.transform(e, lambda v: v / total))
+    return let(logits, lambda x: let(exps(x), shares))
 
 
 def threat_score(probabilities: Column) -> Column:

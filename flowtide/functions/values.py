@@ -13,6 +13,15 @@ YEAR_FIRST_SECONDS = "yyyy-M-d H:m:s"
 YEAR_FIRST_MINUTES = "yyyy-M-d H:m"
 
 
+# What Python's strip() takes off both ends of a text.
+WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def strip(cell: Column) -> Column:
+    """The cell without white space of any kind at its ends."""
+    return F.btrim(cell, F.lit(WHITE))
+
+
 def null_tokens(cell: Column) -> Column:
     """The cell, or null where it holds one of the no-number tokens.
 
@@ -36,7 +45,7 @@ def parse_timestamp(cell: Column) -> Column:
     Separator and number of colons decide the only layout that can match, so a cell is
     parsed once; a failed parse costs an exception inside the parser.
     """
-    text = F.trim(cell)
+    text = strip(cell)
     slashes = F.contains(text, F.lit("/"))
     seconds = F.substring_index(text, ":", 2) != text
     parse = lambda layout: F.try_to_timestamp(text, F.lit(layout))
@@ -54,4 +63,4 @@ def fix_12h_clock(ts: Column) -> Column:
 
 
 def has_text(cell: Column) -> Column:
-    return cell.isNotNull() & (F.trim(cell) != "")
+    return cell.isNotNull() & (strip(cell) != "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtide.functions.threat import array_sum
+from flowtide.functions.threat import array_sum, let
 from flowtide.operators.forecast import ThreatHead, Transition, dot, number_array
 from flowtide.schema import BENIGN_INDEX, NODE_FEATURES
 
@@ -25,8 +25,10 @@ def attack_weights(transition: Transition, head: ThreatHead) -> list[float]:
 
 
 def _shares(parts: Column) -> Column:
-    size = F.transform(parts, F.abs)
-    return F.transform(size, lambda x: F.round(x / (array_sum(size) + F.lit(TINY)), 4))
+    share = lambda size: let(
+        array_sum(size) + F.lit(TINY), lambda total: F.transform(size, lambda x: F.round(x / total, 4))
+    )
+    return let(F.transform(parts, F.abs), share)
 
 
 def lag_label(position: Column, history: int) -> Column:
@@ -58,7 +60,7 @@ def feature_attribution(
         [w if (i % d) % len(features) == f else 0.0 for i, w in enumerate(weights)] for f in range(len(features))
     ]
     flat = F.flatten("history")
-    parts = F.transform(number_array(masked), lambda row: dot(row, flat))
+    parts = let(flat, lambda v: F.transform(number_array(masked), lambda row: dot(row, v)))
     names = F.array(*[F.lit(f) for f in features])
     return histories.select("split", "origin_idx", F.posexplode(_shares(parts)).alias("pos", "importance")).select(
         "split", "origin_idx", F.element_at(names, F.col("pos") + 1).alias("feature"), "importance"

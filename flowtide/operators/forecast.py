@@ -11,14 +11,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.labels import category_name
-from flowtide.functions.threat import array_sum, class_map, horizon_label, risk_tier, softmax, threat_score, top_index
+from flowtide.functions.threat import array_sum, class_map, horizon_label, let, risk_tier, softmax, threat_score, top_index
 from flowtide.operators.cleaning import fitted_values
 from flowtide.operators.metrics import class_weights, weight_of
 from flowtide.operators.risk import attack_knowledge, forecast_vs_actual, horizon_risk
@@ -42,7 +42,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def affine(rows: list[list[float]], bias: list[float], vector: Column) -> Column:
     """rows . vector + bias as an array column."""
-    products = F.transform(number_array(rows), lambda row: dot(row, vector))
+    products = let(vector, lambda v: F.transform(number_array(rows), lambda row: dot(row, v)))
     return F.zip_with(products, number_array(bias), lambda p, b: p + b)
 
 
@@ -115,22 +115,27 @@ class ThreatHead:
 def transition_fit(seqs: DataFrame, state_size: int, history: int = HISTORY, reg: float = 1e-3) -> Transition:
     """Ridge regression of the next state on the flattened lags, all dimensions at once.
 
-    One distributed pass sums the Gram matrix of (lags, next state, 1); its size depends
-    on the state only.  The normal equations are then solved on the driver.  The penalty
-    is relative to each lag's variance, so it does not depend on units.
+    A first distributed pass takes mean and deviation of every lag and target, a second sums the
+    Gram matrix of the rows centred and scaled by them, so that values far from zero lose no digits.
+    Its size depends on the state only.  The normal equations are then solved on the driver.
+    The penalty is relative to each lag's variance, so it does not depend on units.
     """
-    row = F.concat(F.flatten("history"), F.col("target_z"), F.array(F.lit(1.0)))
-    vectors = MLUtils.convertVectorColumnsFromML(seqs.select(array_to_vector(row).alias("row")), "row")
-    gram = RowMatrix(vectors).computeGramianMatrix().toArray()
+    row = F.concat(F.flatten("history"), F.col("target_z"))
+    vectors = materialise(seqs.select(array_to_vector(row).alias("row")), "transition_train")
+    scaler = StandardScaler(inputCol="row", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
+    mean, deviation = scaler.mean.toArray(), scaler.std.toArray()
+    # Rounding leaves a constant column a deviation of a few last digits.
+    varies = deviation > 1e-12 * np.maximum(1.0, np.abs(mean))
+    deviation = np.where(varies, deviation, 1.0)
+    scaled = MLUtils.convertVectorColumnsFromML(scaler.transform(vectors).select("scaled"), "scaled")
+    gram = RowMatrix(scaled).computeGramianMatrix().toArray() / max(1, vectors.count())
+    gram[~varies, :] = gram[:, ~varies] = 0.0
     lags = history * state_size
-    n = gram[-1, -1]
-    mean = gram[-1, :-1] / n
-    cov = gram[:-1, :-1] / n - np.outer(mean, mean)
-    xx, xy = cov[:lags, :lags], cov[:lags, lags:]
+    xx, xy = gram[:lags, :lags], gram[:lags, lags:]
     variance = np.diag(xx)
     # A lag that never varies has no say; a 1 on its diagonal keeps the system solvable.
     penalty = np.where(variance > 0, reg * variance, 1.0)
-    rows = np.linalg.solve(xx + np.diag(penalty), xy).T
+    rows = np.linalg.solve(xx + np.diag(penalty), xy).T * deviation[lags:, None] / deviation[None, :lags]
     bias = mean[lags:] - rows @ mean[:lags]
     return Transition(rows.tolist(), bias.tolist(), history)
 

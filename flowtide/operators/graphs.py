@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide.functions.labels import label_category, severity_rank
-from flowtide.operators.sampling import MAX_EDGES, priority_edge_sample
+from flowtide.operators.sampling import priority_edge_sample
 from flowtide.operators.scaling import apply_robust_scaler
 from flowtide.plans.lookup import hot_keys, join_by_key, join_lookup
 from flowtide.plans.materialise import materialise
@@ -190,16 +190,21 @@ def window_graph(
     pairs: DataFrame,
     node_stats: dict | None = None,
     edge_stats: dict | None = None,
-    max_edges: int = MAX_EDGES,
+    max_edges: int | None = None,
     add_self_loops: bool = False,
+    raw_nodes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all windows: features, sampling, scaling, indexes.
+    """(nodes, edges) of all windows: features, scaling, indexes.
 
-    ``pairs`` should be a materialised ``pair_totals`` table; it is read several times.
-    Nodes are computed before sampling and never dropped, scaling follows sampling.
+    ``pairs`` should be a materialised ``pair_totals`` table; it is read several times.  All edges
+    stay unless ``max_edges`` asks for the best scored ones of each window; nodes are computed
+    before that and never dropped, scaling follows it.  ``raw_nodes`` takes a table of
+    ``node_features`` that is written already.
     """
-    raw_nodes = materialise(node_features(pairs), "nodes")
-    edges = priority_edge_sample(edge_features(pairs), max_edges)
+    raw_nodes = raw_nodes or materialise(node_features(pairs), "nodes")
+    edges = edge_features(pairs)
+    if max_edges is not None:
+        edges = priority_edge_sample(edges, max_edges)
     if edge_stats:
         edges = apply_robust_scaler(edges, edge_stats, EDGE_FEATURES)
     if add_self_loops:

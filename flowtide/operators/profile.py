@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowtide.functions.labels import profile_label
-from flowtide.functions.values import fix_12h_clock, parse_timestamp
+from flowtide.functions.values import fix_12h_clock, parse_timestamp, strip
 from flowtide.plans.materialise import materialise
 from flowtide.schema import INFINITY_TOKENS, NAN_TOKENS, NEG_INFINITY_TOKENS
 from flowtide.sources.captures import valid_row, valid_rows
@@ -46,7 +46,7 @@ def inf_nan_audit(raw: DataFrame) -> DataFrame:
     tokens = valid_rows(raw).select(
         "source_file",
         F.inline(F.array(*[
-            F.struct(F.lit(name).alias("rate_column"), F.trim(F.col(f"`{header}`")).alias("token"))
+            F.struct(F.lit(name).alias("rate_column"), strip(F.col(f"`{header}`")).alias("token"))
             for name, header in RATE_COLUMNS.items()
         ])),
     )
@@ -168,11 +168,11 @@ def profile_cells(raw: DataFrame) -> DataFrame:
         "file_path",
         "file_size",
         valid.alias("ok"),
-        keep(F.trim("Source IP")).alias("src_ip"),
-        keep(F.trim("Destination IP")).alias("dst_ip"),
+        keep(strip(F.col("Source IP"))).alias("src_ip"),
+        keep(strip(F.col("Destination IP"))).alias("dst_ip"),
         keep(profile_label(F.col("Label"))).alias("label"),
         keep(fix_12h_clock(parse_timestamp(F.col("Timestamp")))).alias("ts"),
-        *[F.trim(F.col(f"`{header}`")).alias(name) for name, header in RATE_COLUMNS.items()],
+        *[strip(F.col(f"`{header}`")).alias(name) for name, header in RATE_COLUMNS.items()],
     )
     ok = F.col("ok")
     audits = []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.labels import category_name
 from flowtide.functions.threat import risk_tier
+from flowtide.functions.values import strip
 from flowtide.schema import KNOWLEDGE, KNOWLEDGE_FIELDS
 
 ORIGIN = ["split", "origin_idx"]
@@ -44,7 +45,7 @@ def knowledge_of(category: Column) -> Column:
     """Knowledge row of a class as a struct; an unknown class gets the benign row."""
     row = lambda values: F.struct(*[F.lit(v).alias(n) for n, v in zip(KNOWLEDGE_FIELDS, values, strict=True)])
     table = F.create_map(*[x for name, values in KNOWLEDGE.items() for x in (F.lit(name), row(values))])
-    found = F.try_element_at(table, F.upper(F.trim(category)))
+    found = F.try_element_at(table, F.upper(strip(category)))
     return F.coalesce(found, row(KNOWLEDGE["BENIGN"]))
 
 

@@ -345,7 +345,7 @@ SHARES = [
 ]
 
 
-def sql(final: str, extra: list[tuple[str, str]] | None = None, linked: str = "sampled") -> str:
+def sql(final: str, extra: list[tuple[str, str]] | None = None, linked: str = "edges") -> str:
     """``final`` after the common table expressions it needs, directly or not."""
     tables = {name: body.replace("{table}", linked) for name, body in [*CTES, *(extra or [])]}
     needed: list[str] = []
@@ -536,7 +536,7 @@ def _graph_counts() -> str:
     part = lambda name, table: (
         f"SELECT {q(name)} AS part, split, count(*) AS n, count(DISTINCT window_idx) AS window_ids FROM {table} JOIN series USING ({KEY}) GROUP BY split"
     )
-    return sql(f"{part('nodes', 'nodes')} UNION ALL {part('edges', 'sampled')}")
+    return sql(f"{part('nodes', 'nodes')} UNION ALL {part('edges', 'edges')}")
 
 
 def _knowledge() -> str:
@@ -754,6 +754,7 @@ def oracle_sql() -> dict[str, str]:
             SHARES,
         ),
         "window_subgraph": _subgraph(),
+        "window_graph_sampled": sql(f"SELECT {EDGE}, src_idx, dst_idx, {each(EDGE_FEATURES)} FROM scaled_edges", linked="sampled"),
         "node_index": sql(f"SELECT {EDGE}, src_idx, dst_idx FROM linked", linked="edges"),
         "attack_knowledge": _knowledge(),
         "forecast_vs_actual": sql(

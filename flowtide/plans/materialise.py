@@ -50,14 +50,3 @@ def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[Data
 def stored_bytes(table: DataFrame) -> int:
     """Size of a written table as the optimizer sees it: file sizes, no job."""
     return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Deal a scan out to all cores where its files give fewer splits than there are cores.
-
-    Only a small input is shuffled by this; a large one has splits enough and stays as is.
-    """
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
-    return scan.repartition(cores) if stored_bytes(scan) < split * cores // 2 else scan

@@ -129,7 +129,7 @@ class Tables:
         def build():
             node_stats = cleaning.fitted_values(self.scalers, "node_scaler")
             edge_stats = cleaning.fitted_values(self.scalers, "edge_scaler")
-            nodes, edges = graphs.window_graph(self.pairs, node_stats, edge_stats, fx.MAX_EDGES)
+            nodes, edges = graphs.window_graph(self.pairs, node_stats, edge_stats, raw_nodes=self.nodes)
             return materialise(nodes, "graph_nodes"), materialise(edges, "graph_edges")
 
         return self._once("graph", build)
@@ -760,6 +760,14 @@ def window_graph(t: Tables) -> DataFrame:
     return rounded(t.graph[1].select(*graphs.EDGE_KEY, "src_idx", "dst_idx", *EDGE_FEATURES))
 
 
+@query
+def window_graph_sampled(t: Tables) -> DataFrame:
+    """The edges of the graph where windows keep their best scored edges only."""
+    stats = {k: cleaning.fitted_values(t.scalers, k) for k in ("node_scaler", "edge_scaler")}
+    _, edges = graphs.window_graph(t.pairs, stats["node_scaler"], stats["edge_scaler"], fx.MAX_EDGES, raw_nodes=t.nodes)
+    return rounded(edges.select(*graphs.EDGE_KEY, "src_idx", "dst_idx", *EDGE_FEATURES))
+
+
 @query
 def self_loops(t: Tables) -> DataFrame:
     return rounded(graphs.self_loops(t.edges, t.nodes))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtide.functions.labels import sanitize_label
-from flowtide.functions.values import fix_12h_clock, has_text, parse_timestamp, to_number, to_whole
+from flowtide.functions.values import fix_12h_clock, has_text, parse_timestamp, strip, to_number, to_whole
 from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA
 
 
@@ -92,7 +92,7 @@ def flow_projection(raw: DataFrame) -> DataFrame:
         elif name == "label":
             value = sanitize_label(cell)
         elif kind == "string":
-            value = F.trim(cell)
+            value = strip(cell)
         elif kind == "double":
             value = to_number(cell)
         else:

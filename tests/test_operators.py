@@ -265,6 +265,22 @@ def test_transition_is_ridge_solution(spark):
     np.testing.assert_allclose(fit.bias, y.mean(0) - want @ x.mean(0), atol=1e-5)
 
 
+def test_transition_fit_far_from_zero(spark):
+    rng = np.random.default_rng(7)
+    x = 1e8 + rng.uniform(-1, 1, size=400)
+    rows = [("train", i, [[float(v)]], [float(2 * v)]) for i, v in enumerate(x)]
+    seqs = spark.createDataFrame(rows, "split string, origin_idx long, history array<array<double>>, target_z array<double>")
+    assert forecast.transition_fit(seqs, 1, 1, reg=0.0).rows[0][0] == pytest.approx(2.0, abs=1e-6)
+
+
+def test_white_space_of_any_kind_is_no_text(spark):
+    from flowtide.functions.values import has_text, strip
+
+    df = spark.createDataFrame([("\t",), (" \u00a0\n",), ("\tx ",)], "c string")
+    got = df.select(has_text(df["c"]).alias("t"), strip(df["c"]).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(False, ""), (False, ""), (True, "x")]
+
+
 def test_rollout_and_attribution_match_brute_force(spark):
     rng = np.random.default_rng(5)
     n, d = 4, 3
