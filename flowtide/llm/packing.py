@@ -70,7 +70,8 @@ def packed(
     rows = materialise(encoded(docs, path, cut, end_id, id_col, text_col), "ids")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    # One row per partition, written: its size is known when the join is planned, so ids stay where they are.
+    bases = materialise(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "bases")
     first = F.col("at")
     last = F.col("at") + F.col("n_tokens") - 1
     window = lambda x: F.floor(x / length).cast("bigint")
