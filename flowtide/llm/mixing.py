@@ -10,7 +10,7 @@ from flowtide.llm.common import WORD
 from flowtide.plans.materialise import materialise
 
 #: Rows of one source that are ordered in one task, on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
