@@ -23,7 +23,7 @@ from flowtide.llm.common import text_rows
 from flowtide.plans.materialise import materialise
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 5_000_000
 #: N-grams a hash range is sized for, counted once per block.
 RANGE_GRAMS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,17 @@ def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, borders), [len(hashes)]])
 
 
+def _squeezed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, equal bytes of all numbers together, compressed."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _released(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def scores(
     docs: DataFrame,
     order: int = 2,
@@ -128,12 +139,12 @@ def scores(
                 yield pa.record_batch({
                     "block": pa.array([row["block"]] * ranges, pa.int64()),
                     "span": pa.array(range(ranges), pa.int32()),
-                    "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    "hashes": pa.array([_squeezed(hashes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 })
 
     def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
+        hashes = [_released(h.as_py()) for h in table.column("hashes")]
         counts = [np.frombuffer(c.as_buffer(), "<u4") for c in table.column("counts")]
         _, place = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(place, weights=np.concatenate(counts)) if len(place) else np.zeros(0)
