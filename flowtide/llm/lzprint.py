@@ -79,8 +79,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
 
+def _bytes(sig: np.ndarray) -> bytes:
+    return sig.astype(">u2").tobytes()
+
+
 def written(sig: np.ndarray) -> str:
-    return sig.astype(">u2").tobytes().hex()
+    return _bytes(sig).hex()
 
 
 def read(digits: str) -> np.ndarray:
@@ -102,17 +106,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# Digests and fingerprints travel as bytes and become hex digits at the end: half the size on disk.
+OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_HEX = ("edited_sha256", "fingerprint", "edited_fingerprint")
 _NAMES = [c.split()[0] for c in OUT.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def _compared(doc_id: int | None, text: str, own: np.ndarray, next_text: str, next_sig: np.ndarray, slots: int) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + next_text[:half]
     changed = own if edited == text else signature(edited, slots)
-    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc_id, len(text), digest, written(own), written(changed), likeness(own, changed), likeness(own, next_sig))
+    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
+    return (doc_id, len(text), digest, _bytes(own), _bytes(changed), likeness(own, changed), likeness(own, next_sig))
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -171,7 +177,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), _TYPES)] if found else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
-    return rows.where("side is null").select(*_NAMES).unionByName(met.mapInArrow(borders, OUT))
+    found = rows.where("side is null").select(*_NAMES).unionByName(met.mapInArrow(borders, OUT))
+    return found.select(*[F.lower(F.hex(c)).alias(c) if c in _HEX else F.col(c) for c in _NAMES])
 
 
 def _with_borders(out: list[tuple], borders: list[tuple]) -> Iterator[pa.RecordBatch]:
