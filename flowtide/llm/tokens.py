@@ -84,7 +84,7 @@ class PieceEncoder:
             self._forget()
         new = set().union(*cut).difference(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         counts = [len(p) for p in cut]
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(counts))
         sizes, ends = self.sizes[at], np.cumsum(self.sizes[at])
@@ -104,7 +104,7 @@ def encoder(path: str, cut: str) -> PieceEncoder:
     return PieceEncoder(path, cut)
 
 
-def portions(texts: Sequence[str], chars: int = 4_000_000) -> Iterator[slice]:
+def portions(texts: Sequence[str], chars: int = 2_000_000) -> Iterator[slice]:
     """Slices of about ``chars`` characters, a longer text alone."""
     first = held = 0
     for i, text in enumerate(texts):
