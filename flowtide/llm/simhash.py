@@ -151,6 +151,8 @@ def _component_ids(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
 
 
 BANDS, ROWS_PER_BAND = 20, 5
+#: Bands by which a large block is split further.
+DEEPER = 2
 SKETCH = "doc_id long, text_hash long, cls binary, bands array<long>"
 
 
@@ -180,7 +182,7 @@ def similar_groups(
     similarity: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
-    pairs_up_to: int = PAIRS_UP_TO,
+    pairs_up_to: int = 100,
 ) -> DataFrame:
     """Per document: ``doc_id, text_hash, root, component_id`` (smallest doc_id) by Jaccard similarity of word shingles.
 
@@ -191,8 +193,8 @@ def similar_groups(
     node (``cls``).
 
     In a block above ``pairs_up_to`` members each is compared with the smallest member only.  Those not
-    similar to it go on to narrower blocks, keyed by one more band each, until blocks are small
-    enough for pairs; in the last band they are compared with the smallest of those left, again and again.
+    similar to it go on to narrower blocks, keyed by one of the next ``DEEPER`` bands as well, until blocks are
+    small enough for pairs; in the last band they are compared with the smallest of those left, again and again.
     """
     rows = materialise(_sketches(docs, words, id_col, text_col), "sketches")
     nodes = materialise(
@@ -215,11 +217,11 @@ def similar_groups(
         if not again:
             break
         reached = heads.join(found.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti")
-        # Pairs among them that are similar share further bands, later or earlier ones.
+        # Similar pairs among them share further bands; the next few keep the rows in proportion.
         deeper = (
             reached.join(nodes.select("cls", "bands"), "cls")
             .select("cls", "band", "key", F.posexplode("bands").alias("next", "more"))
-            .where("next > band")
+            .where(f"next > band and next <= band + {DEEPER}")
             .select("cls", F.col("next").alias("band"), F.xxhash64("key", "more").alias("key"))
         )
         last = reached.where(F.col("band") == BANDS - 1).select("cls", "band", "key")
