@@ -104,3 +104,17 @@ def test_language_id(spark, docs):
     judged = [d for d in docs if rows[d.doc_id]["held_out"] and d.lang]
     assert all(zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in judged)
     assert sum(rows[d.doc_id]["lang_pred"] == d.lang for d in judged) >= 0.9 * len(judged)
+
+
+def test_html_text(spark):
+    """The synthetic pages name their article, so its blocks can be cut out with patterns."""
+    import html
+    import re
+
+    rows = {r["page_id"]: r for r in result(spark, "op6_html_text")}
+    for page in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inside = re.search(r"<article>(.*?)(</article>|\Z)", page.html, re.S)[1]
+        blocks = [html.unescape(re.sub(r"<[^>]+>", " ", b)) for b in re.split(r"</?(?:p|h1)>", inside)]
+        blocks = [b for b in (re.sub(r"\s+", " ", b).strip() for b in blocks) if b]
+        assert rows[page.page_id]["text"] == "\n\n".join(blocks)
+        assert rows[page.page_id]["n_chars"] == len(rows[page.page_id]["text"])
