@@ -71,3 +71,11 @@ def top_features(attribution: DataFrame, k: int = 5) -> DataFrame:
     """Highest ``k`` features of each origin; equal shares in name order."""
     by_share = Window.partitionBy("split", "origin_idx").orderBy(F.desc("importance"), "feature")
     return attribution.withColumn("rank", F.row_number().over(by_share)).where(F.col("rank") <= k)
+
+
+def shares(top: DataFrame, lags: DataFrame) -> DataFrame:
+    """One row per origin: its highest features and the share of each past window, as arrays of bounded length."""
+    key = ["split", "origin_idx"]
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    features = top.groupBy(*key).agg(in_order("rank", "feature", "importance").alias("top_features"))
+    return features.join(lags.groupBy(*key).agg(in_order("lag", "lag_label", "importance").alias("past_windows")), key)

@@ -210,27 +210,29 @@ def forecast_report(
     series: DataFrame,
     overview: DataFrame,
     attribution: DataFrame,
-    split: str,
-    origin_idx: int,
-    window_seconds: int,
+    split: str | None = None,
+    origin_idx: int | None = None,
+    window_seconds: int = 30,
     history: int = HISTORY,
     horizon: int = HORIZON,
 ) -> DataFrame:
-    """One origin as one report row: state, trajectory, risk, knowledge, attribution.
+    """One report row per origin: state, trajectory, risk, knowledge, attribution.
 
-    An origin without a full history or future falls back to ``origin_idx = history``.
+    Origins are those of ``trajectory`` whose whole horizon is known; ``split`` keeps those of one split,
+    ``origin_idx`` one origin of it (without a full history or future: ``origin_idx = history``).
     ``overview`` carries split and split_idx; ``attribution`` holds one row per origin.
     """
-    n = series.where(F.col("split") == split).count()
-    at = origin_idx if origin_idx >= history and origin_idx + horizon < n else history
-    here = (F.col("split") == split) & (F.col("origin_idx") == at)
+    here = F.lit(True) if split is None else F.col("split") == split
+    if origin_idx is not None:
+        n = series.where(here).count()
+        here &= F.col("origin_idx") == (origin_idx if origin_idx >= history and origin_idx + horizon < n else history)
     steps = trajectory.where(here)
-    compared = forecast_vs_actual(steps, series.where(F.col("split") == split), window_seconds)
+    compared = forecast_vs_actual(steps, series, window_seconds)
     first = attack_knowledge(steps.where(F.col("step") == 1)).select("split", "origin_idx", "interpretation")
-    # Everything below is one origin with at most ``horizon`` steps.
+    # At most ``horizon`` steps of an origin are gathered.
     path = compared.groupBy("split", "origin_idx").agg(
         F.array_sort(F.collect_list(F.struct("step", "lead_time", "predicted_class", "confidence", "threat_score", "actual_class", "outcome"))).alias("trajectory")
-    )
+    ).where(F.size("trajectory") == horizon)
     state = overview.withColumn("origin_idx", F.col("split_idx")).where(here)
     key = ["split", "origin_idx"]
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.labels import category_name, literal_map
 from flowtide.functions.threat import array_sum, horizon_label, lead_minutes, lead_seconds
+from flowtide.plans.materialise import materialise
 from flowtide.schema import BENIGN_INDEX, N_CLASSES
 
 GROUP = ["model", "horizon"]
@@ -88,11 +89,24 @@ def model_comparison(metrics: DataFrame, forecaster: str = "forecaster", baselin
     ).withColumn("f1_improvement", F.round(F.col("forecaster_macro_f1") - F.col("baseline_macro_f1"), 4))
 
 
+def class_blocks(classes: DataFrame, forecaster: str = "forecaster", baseline: str = "baseline") -> DataFrame:
+    """Per horizon one array per model: precision, recall, F1 and support of every class, by class index."""
+    block = F.struct("class_index", "class_name", "precision", "recall", "f1", "support")
+    # Seven classes per model and horizon.
+    pick = lambda model: F.array_sort(F.collect_list(F.when(F.col("model") == model, block)))
+    return classes.groupBy("horizon").agg(
+        pick(forecaster).alias("forecaster_classes"), pick(baseline).alias("baseline_classes")
+    )
+
+
 def evaluate_horizons(
     pairs: DataFrame, window_seconds: int, forecaster: str = "forecaster", baseline: str = "baseline"
 ) -> DataFrame:
-    """Per horizon: lead time, metrics of forecaster and baseline, difference."""
-    compared = model_comparison(model_metrics(confusion_matrix(pairs)), forecaster, baseline)
+    """Per horizon: lead time, metrics of forecaster and baseline, difference, and each model's classes."""
+    # Written, as several aggregates below read it: at most classes x classes rows per model and horizon.
+    confusion = materialise(confusion_matrix(pairs), "confusion")
+    compared = model_comparison(model_metrics(confusion), forecaster, baseline)
+    compared = compared.join(class_blocks(class_metrics(confusion), forecaster, baseline), "horizon")
     step = F.col("horizon")
     return compared.select(
         "horizon",

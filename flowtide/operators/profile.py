@@ -17,16 +17,30 @@ def _count(condition) -> "F.Column":
     return F.count(F.when(condition, 1))
 
 
-def file_profile(raw: DataFrame, header: list[str] | None = None, duplicates: list[str] | None = None) -> DataFrame:
+def _zero(name: str) -> "F.Column":
+    return F.lit(0).cast("bigint").alias(name)
+
+
+def file_profile(
+    raw: DataFrame, header: list[str] | None = None, duplicates: list[str] | None = None, files: DataFrame | None = None
+) -> DataFrame:
     """Per capture: bytes, columns, repeated headers, raw / valid / padding rows.
 
     ``header`` and ``duplicates`` describe the file header; Spark has read it already.
+    ``files`` (``captures.list_captures``) adds the captures that have no row.
     """
     valid = valid_row(F.col("Flow ID"), F.col("Source IP"), F.col("Timestamp"))
     # A capture may be stored in several files; each counts once.
     per_file = raw.groupBy("source_file", "file_path").agg(
         F.max("file_size").alias("size"), F.count(F.lit(1)).alias("raw"), _count(valid).alias("valid")
     )
+    if files is not None:
+        listed = files.select("source_file", "file_path", F.col("file_size").alias("size"), *[_zero(c) for c in ("raw", "valid")])
+        per_file = (
+            per_file.unionByName(listed)
+            .groupBy("source_file", "file_path")
+            .agg(F.max("size").alias("size"), F.sum("raw").alias("raw"), F.sum("valid").alias("valid"))
+        )
     return (
         per_file.groupBy("source_file")
         .agg(
@@ -139,13 +153,15 @@ def _topology(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def dataset_summary(raw: DataFrame) -> DataFrame:
-    """One row: files, raw / valid / padding rows, number of label classes."""
+def dataset_summary(raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: files, raw / valid / padding rows, number of label classes; ``files`` adds captures without rows."""
     valid = valid_row(F.col("Flow ID"), F.col("Source IP"), F.col("Timestamp"))
     # Counted per (capture, label) with map-side combine, then added up.
     cells = raw.groupBy("source_file", F.when(valid, profile_label(F.col("Label"))).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), _count(valid).alias("valid")
     )
+    if files is not None:
+        cells = cells.unionByName(files.select("source_file", _zero("n"), _zero("valid")), allowMissingColumns=True)
     return cells.agg(
         F.count_distinct("source_file").alias("total_files"),
         F.sum("n").alias("total_raw_lines"),
@@ -195,11 +211,19 @@ def profile_cells(raw: DataFrame) -> DataFrame:
     )
 
 
-def profile_report(raw: DataFrame) -> DataFrame:
-    """The whole profile, one row per capture, from a single scan of the captures."""
+def profile_report(
+    raw: DataFrame, header: list[str] | None = None, duplicates: list[str] | None = None, files: DataFrame | None = None
+) -> DataFrame:
+    """The whole profile, one row per capture, from a single scan of the captures.
+
+    ``header``, ``duplicates`` and ``files`` are as for ``file_profile``.
+    """
     cells = materialise(profile_cells(raw), "profile_cells")
     audits = [f"{c}_{kind}" for c in RATE_COLUMNS for kind in ("infinity", "negative_infinity", "nan", "null")]
     sums = ["rows", "flows", "unparsed", *audits]
+    if files is not None:
+        listed = files.select("source_file", "file_path", "file_size", *[_zero(c) for c in sums])
+        cells = cells.unionByName(listed, allowMissingColumns=True)
     by_file = cells.groupBy("source_file", "file_path").agg(
         F.max("file_size").alias("size"),
         *[F.sum(c).alias(c) for c in sums],
@@ -228,6 +252,9 @@ def profile_report(raw: DataFrame) -> DataFrame:
         .select(
             "source_file",
             "file_size_bytes",
+            F.round(F.col("file_size_bytes") / F.lit(1048576.0), 2).alias("file_size_mb"),
+            F.lit(len(header or [])).alias("raw_columns_count"),
+            F.array(*[F.lit(d) for d in duplicates or []]).cast("array<string>").alias("duplicate_columns"),
             F.col("rows").alias("total_raw_rows"),
             F.col("flows").alias("valid_rows"),
             (F.col("rows") - F.col("flows")).alias("empty_padding_rows"),
@@ -237,6 +264,7 @@ def profile_report(raw: DataFrame) -> DataFrame:
             F.round(duration / F.lit(3600.0), 2).alias("duration_hours"),
             F.col("unparsed").alias("unparsed_timestamp_count"),
             *audits,
+            *[sum((F.col(a) for a in audits if a.startswith(c)), F.lit(0)).alias(f"{c}_problematic") for c in RATE_COLUMNS],
             "label_distribution",
             *[c for c in topology.columns if c != "source_file"],
         )
@@ -245,7 +273,7 @@ def profile_report(raw: DataFrame) -> DataFrame:
 
 def host_union(flows: DataFrame) -> DataFrame:
     """Every address that occurs as source or destination, once."""
-    return flows.select(F.col("src_ip").alias("ip")).union(flows.select("dst_ip")).distinct()
+    return flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
 
 
 def pair_distinct(flows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from flowtide import fixtures as fx
-from flowtide.queries import SIMPLE_WEIGHTS
+from flowtide.queries import SIMPLE_FEATURES, SIMPLE_WEIGHTS
 from flowtide.schema import (
     CLASS_NAMES,
     CSV_FIELDS,
@@ -120,6 +120,8 @@ RAW_FIELDS = ", ".join(["event_id", *fx.select_list(fx.raw_fields(), "VARCHAR")]
 FLOW_FIELDS = ", ".join(fx.select_list(fx.flow_fields(), "VARCHAR"))
 PACKET_FIELDS = ", ".join(fx.select_list(fx.packet_fields(), "VARCHAR"))
 LAYER_WIDTH = len(NODE_FEATURES)
+#: Record fields, flow id, two repeated headers and the tie key.
+RAW_COLUMNS = f"CAST({len(CSV_FIELDS) + 1 + 3} AS INTEGER)"
 
 
 def _layer(name: str, before: str) -> list[tuple[str, str]]:
@@ -383,7 +385,17 @@ def _horizon_metrics() -> str:
 
 EVALUATION = sql(
     f"SELECT horizon, 't+' || horizon AS horizon_label, CAST(horizon * {W} AS BIGINT) AS lead_time_seconds, "
-    f"round(horizon * {W} / CAST(60.0 AS DOUBLE), 2) AS lead_time_minutes, {_horizon_metrics()} FROM compared"
+    f"round(horizon * {W} / CAST(60.0 AS DOUBLE), 2) AS lead_time_minutes, {_horizon_metrics()}, "
+    + ", ".join(f"(SELECT told FROM class_texts c WHERE c.horizon = compared.horizon AND c.model = {q(m)}) AS {m}_classes" for m in ("forecaster", "baseline"))
+    + " FROM compared",
+    [
+        (
+            "class_texts",
+            f"SELECT model, horizon, string_agg({class_name('class_index')} || ':' || "
+            + " || ':' || ".join(f"CAST(round({c} * 10000) AS BIGINT)" for c in ("precision", "recall", "f1"))
+            + " || ':' || support, ',' ORDER BY class_index) AS told FROM class_scores GROUP BY 1, 2",
+        )
+    ],
 )
 
 FLOW_OUT = ", ".join(
@@ -471,6 +483,41 @@ def _rollout_fixed() -> str:
     )
 
 
+#: Weight of each state value in the sum of all attack logits under ``queries.fixed_models``, over the history length.
+ATTACK = {f"z{j}": sum((c, N_CLASSES - 1 - c, c % 3)[j] for c in range(1, N_CLASSES)) / N for j in range(3)}
+
+
+def _past_windows() -> list[tuple[str, str]]:
+    return [(
+        "past",
+        f"SELECT o.split, o.split_idx AS origin_idx, s.split_idx - o.split_idx + {N - 1} AS lag, s.z0, s.z1, s.z2 FROM states o "
+        f"JOIN states s ON s.split = o.split AND s.split_idx BETWEEN o.split_idx - {N - 1} AND o.split_idx WHERE o.split_idx >= {N - 1}",
+    )]
+
+
+def _shared(parts: str, names: str) -> str:
+    share = "round(part / (sum(part) OVER (PARTITION BY split, origin_idx) + CAST(1e-12 AS DOUBLE)), 4)"
+    return sql(f"SELECT split, origin_idx, {names}, {r(share)} AS importance FROM ({parts})", _past_windows())
+
+
+def _temporal_attribution() -> str:
+    part = " + ".join(f"CAST({w} AS DOUBLE) * {z}" for z, w in ATTACK.items())
+    label = f"CASE WHEN lag < {N - 1} THEN 't-' || ({N - 1} - lag) ELSE 't (Current)' END AS lag_label"
+    return _shared(f"SELECT split, origin_idx, lag, abs({part}) AS part FROM past", f"CAST(lag AS INTEGER) AS lag, {label}")
+
+
+def _feature_attribution() -> str:
+    one = "SELECT split, origin_idx, {f} AS feature, abs(sum(CAST({w} AS DOUBLE) * {z})) AS part FROM past GROUP BY split, origin_idx"
+    return _shared(" UNION ALL ".join(one.format(f=q(f), w=w, z=z) for f, (z, w) in zip(SIMPLE_FEATURES, ATTACK.items())), "feature")
+
+
+def _transition_line() -> str:
+    """Ridge with a penalty of a thousandth of the lag's variance."""
+    pairs = "SELECT s.total_bytes AS x, t.total_bytes AS y FROM series s JOIN series t ON s.split = t.split AND t.split_idx = s.split_idx + 1 WHERE s.split = 'train'"
+    line = f"SELECT covar_pop(y, x) / (var_pop(x) * CAST(1.001 AS DOUBLE)) AS b, avg(x) AS mx, avg(y) AS my FROM ({pairs})"
+    return sql(f"SELECT round(b, 9) AS slope, round(my - b * mx, 3) AS intercept FROM ({line})")
+
+
 def _dual_loss() -> str:
     pairs = [
         (
@@ -517,17 +564,16 @@ def _stream_windows() -> str:
 
 
 def _empty_windows() -> str:
-    step = 1_800_000_000
+    step = 60_000_000
     ctes = [
-        ("odd", "SELECT * FROM flows WHERE hour(timestamp) % 2 = 1"),
-        ("odd_idx", f"SELECT o.*, (epoch_us(timestamp) - m) // {step} AS window_idx FROM odd o JOIN (SELECT source_file, min(epoch_us(timestamp)) AS m FROM odd GROUP BY 1) USING (source_file)"),
-        ("odd_pairs", f"SELECT DISTINCT {EDGE} FROM odd_idx"),
-        ("odd_ends", f"SELECT {KEY}, src_ip AS ip, dst_ip AS peer, 0.0 AS i, 1.0 AS o FROM odd_pairs UNION ALL SELECT {KEY}, dst_ip, src_ip, 1.0, 0.0 FROM odd_pairs"),
-        ("calendar", "SELECT source_file, unnest(range(0, max(window_idx) + 1)) AS window_idx FROM odd_pairs GROUP BY source_file"),
+        ("minute_idx", f"SELECT f.*, (epoch_us(timestamp) - origin_us) // {step} AS window_idx FROM flows f JOIN origins USING (source_file)"),
+        ("minute_pairs", f"SELECT DISTINCT {EDGE} FROM minute_idx"),
+        ("minute_ends", f"SELECT {KEY}, src_ip AS ip, dst_ip AS peer, 0.0 AS i, 1.0 AS o FROM minute_pairs UNION ALL SELECT {KEY}, dst_ip, src_ip, 1.0, 0.0 FROM minute_pairs"),
+        ("calendar", "SELECT source_file, unnest(range(0, max(window_idx) + 1)) AS window_idx FROM minute_pairs GROUP BY source_file"),
     ]
     return sql(
         f"SELECT {KEY}, coalesce(ip, 'dummy') AS ip, CAST(coalesce(sum(i), 0.0) AS DOUBLE) AS in_degree, CAST(coalesce(sum(o), 0.0) AS DOUBLE) AS out_degree, "
-        f"CAST(count(DISTINCT peer) AS DOUBLE) AS peer_count FROM calendar LEFT JOIN odd_ends USING ({KEY}) GROUP BY 1, 2, 3",
+        f"CAST(count(DISTINCT peer) AS DOUBLE) AS peer_count FROM calendar LEFT JOIN minute_ends USING ({KEY}) GROUP BY 1, 2, 3",
         ctes,
     )
 
@@ -602,9 +648,11 @@ def _profile() -> str:
     ]
     seconds = "((epoch_us(hi) - epoch_us(lo)) / CAST(1e6 AS DOUBLE))"
     audits = ", ".join(f"{c}_{k}" for c in ("flow_bytes_s", "flow_pkts_s") for k in ("infinity", "negative_infinity", "nan", "null"))
+    kinds = ("infinity", "negative_infinity", "nan", "null")
+    problems = ", ".join(f"{' + '.join(f'{c}_{k}' for k in kinds)} AS {c}_problematic" for c in ("flow_bytes_s", "flow_pkts_s"))
     return sql(
-        f"SELECT source_file, total_raw_rows, valid_rows, empty_padding_rows, {ts('lo')} AS min_datetime, {ts('hi')} AS max_datetime, {r(seconds)} AS duration_seconds, "
-        f"round({seconds} / 3600.0, 2) AS duration_hours, unparsed_timestamp_count, {audits}, label_distribution, unique_source_ips, unique_destination_ips, v AS total_unique_hosts, "
+        f"SELECT source_file, {RAW_COLUMNS} AS raw_columns_count, '' AS duplicate_columns, total_raw_rows, valid_rows, empty_padding_rows, {ts('lo')} AS min_datetime, {ts('hi')} AS max_datetime, {r(seconds)} AS duration_seconds, "
+        f"round({seconds} / 3600.0, 2) AS duration_hours, unparsed_timestamp_count, {audits}, {problems}, label_distribution, unique_source_ips, unique_destination_ips, v AS total_unique_hosts, "
         f"e AS unique_directed_pairs, {r('e / (CAST(v AS DOUBLE) * (v - 1))')} AS graph_density, round(e / CAST(v AS DOUBLE), 2) AS average_out_degree, "
         "round(valid_rows / CAST(e AS DOUBLE), 2) AS flows_per_edge_ratio FROM totals JOIN label_text USING (source_file) JOIN host_counts USING (source_file)",
         ctes,
@@ -711,7 +759,7 @@ def oracle_sql() -> dict[str, str]:
         "apply_robust_scaler": sql(f"SELECT {KEY}, ip, {each(NODE_FEATURES)} FROM scaled_nodes"),
         "standard_scale": _standard(),
         "file_profile": sql(
-            f"SELECT source_file, true AS has_size, CAST({len(CSV_FIELDS) + 1 + 3} AS INTEGER) AS raw_columns_count, count(*) AS total_raw_rows, count(*) FILTER (WHERE {VALID}) AS valid_rows, "
+            f"SELECT source_file, true AS has_size, {RAW_COLUMNS} AS raw_columns_count, '' AS duplicates, count(*) AS total_raw_rows, count(*) FILTER (WHERE {VALID}) AS valid_rows, "
             f"count(*) - count(*) FILTER (WHERE {VALID}) AS empty_padding_rows FROM raw GROUP BY 1"
         ),
         "inf_nan_audit": _audit(),
@@ -785,6 +833,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "evaluate_horizons": EVALUATION,
         "rollout_fixed": _rollout_fixed(),
+        "transition_fit_line": _transition_line(),
+        "temporal_attribution_fixed": _temporal_attribution(),
+        "feature_attribution_fixed": _feature_attribution(),
         "stream_window_stats": _stream_windows(),
         "stream_packets_to_flows": _packet_flows(),
     }

@@ -76,7 +76,15 @@ class Tables:
 
     @property
     def captures(self) -> DataFrame:
-        return self._once("captures", lambda: fx.capture_rows(self.spark, self.sf_dir))
+        return self._once("captures", lambda: captures.normalize_headers(captures.read_raw_untyped(self.spark, self.capture_folder)))
+
+    @property
+    def capture_folder(self) -> str:
+        return self._once("capture_folder", lambda: fx.write_captures(self.spark, self.sf_dir))
+
+    @property
+    def header(self) -> list[str]:
+        return [c for c in self.captures.columns if c not in ("source_file", "file_path", "file_size")]
 
     @property
     def indexed(self) -> DataFrame:
@@ -230,6 +238,7 @@ def simple_scored(series: DataFrame) -> DataFrame:
     )
 
 
+SIMPLE_FEATURES = ["syn_ratio", "rst_ratio", "flow_count"]
 SIMPLE_WEIGHTS = {0: 0.2, 1: 1.0, 2: 1.5, 3: 2.0, 4: 0.5, 5: 3.0, 6: 5.0}
 
 
@@ -306,7 +315,7 @@ def read_flow_csv(t: Tables) -> DataFrame:
 
 @query
 def read_flow_dir(t: Tables) -> DataFrame:
-    return rounded(captures.flow_projection(captures.valid_rows(t.captures)))
+    return rounded(captures.read_flow_dir(t.spark, t.capture_folder))
 
 
 @query
@@ -317,7 +326,7 @@ def normalize_headers(t: Tables) -> DataFrame:
 
 @query
 def read_raw_untyped(t: Tables) -> DataFrame:
-    raw = captures.read_raw_untyped(t.spark, fx.write_captures(t.spark, t.sf_dir))
+    raw = captures.read_raw_untyped(t.spark, t.capture_folder)
     return raw.select("event_id", F.col(" Flow Bytes/s").alias("rate_text"), F.col(" Timestamp").alias("time_text"))
 
 
@@ -351,9 +360,21 @@ def write_graphs(t: Tables) -> DataFrame:
     return count("nodes").unionByName(count("edges"))
 
 
+def _evaluation(t: Tables) -> DataFrame:
+    """The evaluation with each model's classes as text: name and ten-thousandths of its scores, support."""
+
+    def part(x: Column) -> Column:
+        scores = [F.round(x[c] * 10_000).cast("bigint").cast("string") for c in ("precision", "recall", "f1")]
+        return F.concat_ws(":", x["class_name"], *scores, x["support"].cast("string"))
+
+    found = metrics.evaluate_horizons(simple_pairs(t.series), W)
+    texts = {c: F.concat_ws(",", F.transform(c, part)) for c in ("forecaster_classes", "baseline_classes")}
+    return found.withColumns(texts)
+
+
 @query
 def write_json_report(t: Tables) -> DataFrame:
-    report = rounded(metrics.evaluate_horizons(simple_pairs(t.series), W))
+    report = rounded(_evaluation(t))
     path = scratch_path(t.spark, "report")
     storage.write_json_report(report, path)
     return t.spark.read.schema(report.schema).json(path)
@@ -550,11 +571,17 @@ def standard_scale(t: Tables) -> DataFrame:
 
 @query
 def file_profile(t: Tables) -> DataFrame:
-    header = [c for c in t.captures.columns if c not in ("source_file", "file_path", "file_size")]
-    report = profile.file_profile(t.captures, header, captures.duplicate_headers(header))
+    files = captures.list_captures(t.spark, t.capture_folder)
+    report = profile.file_profile(t.captures, t.header, captures.duplicate_headers(t.header), files)
     # Sizes depend on how the files were written; only that they are there is compared.
     return report.select(
-        "source_file", (F.col("file_size_bytes") > 0).alias("has_size"), "raw_columns_count", "total_raw_rows", "valid_rows", "empty_padding_rows"
+        "source_file",
+        (F.col("file_size_bytes") > 0).alias("has_size"),
+        "raw_columns_count",
+        F.concat_ws(",", "duplicate_columns").alias("duplicates"),
+        "total_raw_rows",
+        "valid_rows",
+        "empty_padding_rows",
     )
 
 
@@ -728,7 +755,9 @@ def model_comparison(t: Tables) -> DataFrame:
 @query
 def profile_report(t: Tables) -> DataFrame:
     """All audits of the captures from one scan; the label map as text."""
-    report = profile.profile_report(t.captures).drop("file_size_bytes")
+    files = captures.list_captures(t.spark, t.capture_folder)
+    report = profile.profile_report(t.captures, t.header, captures.duplicate_headers(t.header), files)
+    report = report.drop("file_size_bytes", "file_size_mb").withColumn("duplicate_columns", F.concat_ws(",", "duplicate_columns"))
     text = F.concat_ws(",", F.transform(F.map_entries("label_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
     return rounded(report.withColumn("label_distribution", text))
 
@@ -775,9 +804,8 @@ def self_loops(t: Tables) -> DataFrame:
 
 @query
 def empty_window_node(t: Tables) -> DataFrame:
-    """Hourly windows of a sparse half of the flows on a calendar without gaps."""
-    odd = t.flows.where(F.hour("timestamp") % 2 == 1)
-    pairs = materialise(graphs.pair_totals(windows.window_index(odd, 1_800)), "hourly")
+    """Windows of a minute, many of them without a flow, on a calendar without gaps."""
+    pairs = materialise(graphs.pair_totals(windows.window_index(t.flows, 60)), "minutes")
     spine = graphs.dense_calendar(pairs)
     filled = graphs.with_empty_windows(graphs.node_features(pairs), spine)
     return filled.select(*WINDOW_KEY, "ip", "in_degree", "out_degree", "peer_count")
@@ -807,7 +835,7 @@ def window_overview(t: Tables) -> DataFrame:
 
 @query
 def evaluate_horizons(t: Tables) -> DataFrame:
-    return rounded(metrics.evaluate_horizons(simple_pairs(t.series), W))
+    return rounded(_evaluation(t))
 
 
 @query
@@ -840,6 +868,14 @@ def transition_fit(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "state_dim int, lag_dim int, coefficient double, intercept double")
 
 
+@query
+def transition_fit_line(t: Tables) -> DataFrame:
+    """The same fit for one value and one lag, a ridge line over the bytes of training windows."""
+    seqs = sequences.sequences(t.series, F.array("total_bytes"), 1).where(F.col("split") == "train")
+    line = forecast.transition_fit(seqs, 1, 1)
+    return t.spark.createDataFrame([(round(line.rows[0][0], 9), round(line.bias[0], 3))], "slope double, intercept double")
+
+
 @query
 def threat_head_fit(t: Tables) -> DataFrame:
     rows = [(c, j, float(w), t.head.bias[c]) for c, row in enumerate(t.head.rows) for j, w in enumerate(row)]
@@ -881,6 +917,19 @@ def temporal_attribution(t: Tables) -> DataFrame:
     return attribution.temporal_attribution(t.histories, t.transition, t.head)
 
 
+@query
+def temporal_attribution_fixed(t: Tables) -> DataFrame:
+    """Shares of past windows under fixed coefficients, so that every number can be checked."""
+    past = sequences.histories(t.series, simple_states(t.series), fx.HISTORY)
+    return rounded(attribution.temporal_attribution(past, *fixed_models()))
+
+
+@query
+def feature_attribution_fixed(t: Tables) -> DataFrame:
+    past = sequences.histories(t.series, simple_states(t.series), fx.HISTORY)
+    return rounded(attribution.feature_attribution(past, *fixed_models(), SIMPLE_FEATURES))
+
+
 @query
 def feature_attribution(t: Tables) -> DataFrame:
     return attribution.feature_attribution(t.histories, t.transition, t.head)
@@ -888,16 +937,15 @@ def feature_attribution(t: Tables) -> DataFrame:
 
 @query
 def forecast_report(t: Tables) -> DataFrame:
-    """The report of every origin of the test split would be a join; one origin is shown,
-    the state before the last full horizon."""
+    """The report of every origin that has a full history and a full horizon."""
     overview = graphs.window_overview(t.nodes, t.edges, t.windows).join(
         t.series.select(*WINDOW_KEY, "split", "split_idx"), WINDOW_KEY
     )
     top = attribution.top_features(attribution.feature_attribution(t.histories, t.transition, t.head))
-    shares = top.groupBy("split", "origin_idx").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "feature", "importance"))).alias("top_features")
+    lags = attribution.temporal_attribution(t.histories, t.transition, t.head)
+    report = forecast.forecast_report(
+        t.trajectory, t.series, overview, attribution.shares(top, lags), window_seconds=W, history=fx.HISTORY, horizon=fx.HORIZON
     )
-    report = forecast.forecast_report(t.trajectory, t.series, overview, shares, "test", -1, W, fx.HISTORY, fx.HORIZON)
     return storage.as_json(report, ["split", "origin_idx"])
 
 

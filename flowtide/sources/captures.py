@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,7 +13,14 @@ from flowtide.functions.values import fix_12h_clock, has_text, parse_timestamp,
 from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA
 
 
-def read_raw_untyped(spark: SparkSession, path: str, check_headers: bool = True) -> DataFrame:
+def _file_name() -> Column:
+    """The plain name of a row's file; Spark's metadata gives it percent-encoded, a plus sign as it is."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def read_raw_untyped(
+    spark: SparkSession, path: str | list[str], check_headers: bool = True, base: str | None = None
+) -> DataFrame:
     """Every cell as text, no null tokens, one scan for a file, a list or a folder.
 
     Broken UTF-8 becomes U+FFFD, surplus cells are dropped and short rows padded.  Adds
@@ -20,10 +29,12 @@ def read_raw_untyped(spark: SparkSession, path: str, check_headers: bool = True)
 
     ``check_headers`` compares the header of every file with the columns a query reads and
     fails on a file with another layout instead of shifting its columns.  The second of two
-    equal headers never passes that check; turn it off to read such a column.
+    equal headers never passes that check; turn it off to read such a column.  ``base`` is the folder
+    from which partition folders count, for a list of files.
     """
+    reader = spark.read.option("basePath", base) if base else spark.read
     raw = (
-        spark.read.option("header", True)
+        reader.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", not check_headers)
         .option("encoding", "UTF-8")
@@ -33,7 +44,7 @@ def read_raw_untyped(spark: SparkSession, path: str, check_headers: bool = True)
         .csv(path)
     )
     cells = [F.col(f"`{c}`") for c in raw.columns if c != "source_file"]
-    source = F.col("source_file") if "source_file" in raw.columns else F.col("_metadata.file_name")
+    source = F.col("source_file") if "source_file" in raw.columns else _file_name()
     return raw.select(*cells, source.alias("source_file"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
 
 
@@ -106,9 +117,45 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
     return flow_projection(valid_rows(normalize_headers(read_raw_untyped(spark, path))))
 
 
+def list_captures(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file, file_path, file_size`` of every ``*.csv``, those without a row included; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False).load(path)
+    source = F.col("source_file") if "source_file" in found.columns else _file_name()
+    return found.select(source.alias("source_file"), F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("file_size"))
+
+
+def header_layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The distinct header lines of a folder's captures, each with its files.
+
+    One scan of the lines without parsing them.  A header is a line that names the three columns every
+    flow must fill; a capture that is not empty and has none makes the read fail.  Layouts are
+    few, and their files are a part of the listing that Spark's reader holds as well.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    named = [F.col("value").contains(name) for name in ("Flow ID", "Source IP", "Timestamp")]
+    headers = lines.where(named[0] & named[1] & named[2]).select("value", F.col("_metadata.file_path").alias("file")).distinct()
+    layouts = [(r["value"], sorted(r["files"])) for r in headers.groupBy("value").agg(F.collect_list("file").alias("files")).collect()]
+    known = {file for _, files in layouts for file in files}
+    lost = [r.file_path for r in list_captures(spark, path).where("file_size > 0").collect() if r.file_path not in known]
+    if lost:
+        raise ValueError(f"captures without a header: {lost[:5]}")
+    return sorted(layouts)
+
+
 def read_flow_dir(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*.csv`` of a folder in one scan, each row tagged with its capture."""
-    return read_flow_csv(spark, path)
+    """All ``*.csv`` of a folder, each row tagged with its capture.
+
+    Columns are found by name: captures that share a header are one scan, and scans of
+    different headers are stacked.
+    """
+    layouts = header_layouts(spark, path)
+    if len(layouts) < 2:
+        return read_flow_csv(spark, path)
+    typed = [
+        flow_projection(valid_rows(normalize_headers(read_raw_untyped(spark, [unquote(f) for f in files], base=path))))
+        for _, files in layouts
+    ]
+    return reduce(DataFrame.unionByName, typed)
 
 
 def read_flows(spark: SparkSession, path: str, reader=read_flow_csv) -> DataFrame:

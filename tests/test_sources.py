@@ -76,11 +76,34 @@ def test_folder_reads_every_capture_once(spark, tmp_path):
     assert {r.source_file: r["count"] for r in flows.groupBy("source_file").count().collect()} == {"a.csv": 3, "b.csv": 2}
 
 
-def test_other_column_order_fails_instead_of_shifting(spark, tmp_path):
+def test_captures_of_other_column_orders_are_mapped_by_name(spark, tmp_path):
     write(tmp_path / "a.csv", [line()])
-    write(tmp_path / "b.csv", [line()], HEADERS[::-1])
-    with pytest.raises(Exception):
-        C.read_flow_dir(spark, str(tmp_path)).collect()
+    write(tmp_path / "b b.csv", [",".join(line().split(",")[::-1])] * 2, HEADERS[::-1])
+    write(tmp_path / "none.csv", [])
+    rows = C.read_flow_dir(spark, str(tmp_path)).collect()
+    assert sorted(r.source_file for r in rows) == ["a.csv"] + ["b b.csv"] * 2
+    assert {tuple(r)[:-1] for r in rows} == {tuple(rows[0])[:-1]}
+
+
+def test_capture_without_header_fails(spark, tmp_path):
+    write(tmp_path / "a.csv", [line()])
+    (tmp_path / "b.csv").write_text(line() + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError, match="b.csv"):
+        C.read_flow_dir(spark, str(tmp_path))
+
+
+def test_captures_without_rows_are_profiled(spark, tmp_path):
+    write(tmp_path / "a.csv", [line()] * 3)
+    write(tmp_path / "none.csv", [])
+    files = C.list_captures(spark, str(tmp_path))
+    raw = C.normalize_headers(C.read_raw_untyped(spark, str(tmp_path)))
+    size = (tmp_path / "none.csv").stat().st_size
+    counts = lambda df: {r.source_file: (r.file_size_bytes, r.total_raw_rows, r.valid_rows) for r in df.collect()}
+    for report in (profile.file_profile(raw, files=files), profile.profile_report(raw, files=files)):
+        found = counts(report)
+        assert set(found) == {"a.csv", "none.csv"} and found["none.csv"] == (size, 0, 0) and found["a.csv"][1:] == (3, 3)
+    assert profile.dataset_summary(raw, files).first().total_files == 2
 
 
 def test_missing_column_and_file(spark, tmp_path):
