@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -20,8 +20,16 @@ _BARE = f"[{_LETTER}]+(?=[,. \n]|$)|[,.](?=[ \n]|$)|[^{_SPACE}]+"
 #: ``bare``: white space is dropped (BPE with word ends).
 CUTS = {"leading": re.compile(_LEADING), "bare": re.compile(_BARE)}
 
-#: Pieces a worker remembers; a full memory is emptied, which costs time and nothing else.
-MEMORY = 300_000
+#: Pieces a worker remembers; a full memory keeps those met most, which costs time and nothing else.
+MEMORY = 500_000
+
+
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, thing: str) -> int:
+        number = self[thing] = len(self)
+        return number
 
 
 class PieceEncoder:
@@ -46,24 +54,43 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 16, dtype=np.int64)
         self.sizes = np.zeros(1 << 16, dtype=np.int64)
-        self.used = 0
+        self.met = np.zeros(1 << 16, dtype=np.int64)
+        self.learned = self.used = 0
+
+    def _keep_frequent(self) -> None:
+        """Of a full memory keep the pieces met more than once, half of it at most; old counts fade."""
+        met = self.met[: self.learned]
+        least = max(2, int(np.partition(met, -MEMORY // 2)[-MEMORY // 2]) + 1)
+        kept = np.flatnonzero(met >= least)
+        names = list(self.known)
+        ids, sizes, met = self._gathered(kept), self.sizes[kept], met[kept] // 2
+        self._forget()
+        self.known.update((names[i], k) for k, i in enumerate(kept.tolist()))
+        self._add(ids, sizes)
+        self.met[: len(met)] = met
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        """Ids of numbered pieces, end to end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _add(self, found: np.ndarray, sizes: np.ndarray) -> None:
+        first, last, total = self.learned, self.learned + len(sizes), len(found)
+        self.ids = _grown(self.ids, self.used + total)
+        self.starts, self.sizes, self.met = (_grown(x, last) for x in (self.starts, self.sizes, self.met))
+        self.ids[self.used : self.used + total] = found
+        self.sizes[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.learned, self.used = last, self.used + total
 
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
-            some = pieces[at : at + 20_000]
-            found, sizes = self._ids(some)
-            first, total = len(self.known), int(sizes.sum())
-            self.ids = _grown(self.ids, self.used + total)
-            self.starts, self.sizes = _grown(self.starts, first + len(some)), _grown(self.sizes, first + len(some))
-            self.ids[self.used : self.used + total] = found
-            self.sizes[first : first + len(some)] = sizes
-            self.starts[first : first + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.known.update(zip(some, range(first, first + len(some))))
-            self.used += total
+            self._add(*self._ids(pieces[at : at + 20_000]))
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many belong to each piece."""
@@ -79,18 +106,19 @@ class PieceEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > MEMORY:
+        if self.learned != len(self.known):  # an earlier call was broken off
             self._forget()
-        new = set().union(*cut).difference(self.known)
-        if new:
-            self._learn(list(new))
+        elif self.learned > MEMORY:
+            self._keep_frequent()
+        cut = [self.pieces(t) for t in texts]
         counts = [len(p) for p in cut]
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(counts))
-        sizes, ends = self.sizes[at], np.cumsum(self.sizes[at])
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        del cut
+        if len(self.known) > self.learned:
+            self._learn(list(islice(self.known, self.learned, None)))
+        self.met[: self.learned] += np.bincount(at, minlength=self.learned)
+        bounds = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.cumsum([0, *counts])]
+        flat = self._gathered(at)
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
