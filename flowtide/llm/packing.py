@@ -26,9 +26,9 @@ def encoded(docs: DataFrame, path: str, cut: str, end_id: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total, tokenizer = TaskContext.get().partitionId(), 0, encoder(path, cut)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id"), batch.column("text")
             for some in portions(texts):
-                found = [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(texts[some])]
+                found = [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(texts[some].to_pylist())]
                 sizes = np.array([len(x) for x in found], dtype=np.int64)
                 yield pa.record_batch({
                     "part": pa.array(np.full(len(found), part, dtype=np.int32)),

@@ -109,10 +109,11 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokenizer, shard = TaskContext.get().partitionId(), encoder(path, cut), None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for some in portions(texts):
                 shard = shard or _Shard(folder, f"shard-{part:06d}", length, id_type)
-                shard.add(batch.column("doc_id")[some], [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(texts[some])])
+                found = tokenizer.encode(texts[some].to_pylist())
+                shard.add(batch.column("doc_id")[some], [np.append(x, np.uint32(end_id)) for x in found])
         if shard:
             shard.close()
             yield pa.record_batch({

@@ -8,6 +8,8 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _LETTER = r"A-Za-zÀ-ÖØ-öø-ɏ"
@@ -132,13 +134,13 @@ def encoder(path: str, cut: str) -> PieceEncoder:
     return PieceEncoder(path, cut)
 
 
-def portions(texts: Sequence[str], chars: int = 2_000_000) -> Iterator[slice]:
-    """Slices of about ``chars`` characters, a longer text alone."""
+def portions(texts: pa.Array, chars: int = 2_000_000) -> Iterator[slice]:
+    """Slices of about ``chars`` bytes of text, a longer text alone; texts need not be Python strings yet."""
     first = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > chars:
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + size > chars:
             yield slice(first, i)
             first, held = i, 0
-        held += len(text)
+        held += size
     if first < len(texts):
         yield slice(first, len(texts))

@@ -4,9 +4,10 @@ import hashlib
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 
-from flowtide.llm import lzprint, queries
+from flowtide.llm import lzprint, queries, tokens
 from flowtide.llm.langid import held_out  # noqa: F401
 from tests.llm import brute
 
@@ -118,3 +119,16 @@ def test_html_text(spark):
         blocks = [b for b in (re.sub(r"\s+", " ", b).strip() for b in blocks) if b]
         assert rows[page.page_id]["text"] == "\n\n".join(blocks)
         assert rows[page.page_id]["n_chars"] == len(rows[page.page_id]["text"])
+
+
+def test_encoder_with_a_small_memory(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMORY", 500)
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    texts = [d.text or "" for d in docs]
+    plain, made = Tokenizer.from_file(path), tokens.PieceEncoder(path, "leading")
+    plain.encode_special_tokens = True
+    for some in tokens.portions(pa.array(texts), 20_000):
+        found = made.encode(texts[some])
+        assert [x.tolist() for x in found] == [e.ids for e in plain.encode_batch_fast(texts[some], add_special_tokens=False)]
