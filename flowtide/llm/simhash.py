@@ -151,8 +151,8 @@ def _component_ids(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
 
 
 BANDS, ROWS_PER_BAND = 20, 5
-#: Bands by which a large block is split further.
-DEEPER = 2
+#: Most members, and most shingles of them together, in a slice of a large block; two slices are compared in one task.
+SLICE_MEMBERS, SLICE_SHINGLES = 1_000, 2_000_000
 SKETCH = "doc_id long, text_hash long, cls binary, bands array<long>"
 
 
@@ -192,44 +192,129 @@ def similar_groups(
     verified on its whole shingle sets.  Texts with the same words in the same order are one
     node (``cls``).
 
-    In a block above ``pairs_up_to`` members each is compared with the smallest member only.  Those not
-    similar to it go on to narrower blocks, keyed by one of the next ``DEEPER`` bands as well, until blocks are
-    small enough for pairs; in the last band they are compared with the smallest of those left, again and again.
+    A block above ``pairs_up_to`` members emits no pairs: each member is compared with the smallest one first, and
+    ``_across`` compares all members that are then still in different components, in slices.
     """
     rows = materialise(_sketches(docs, words, id_col, text_col), "sketches")
     nodes = materialise(
         rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.first("bands").alias("bands")), "classes"
     )
     blocks = materialise(nodes.select("cls", F.posexplode("bands").alias("band", "key")), "bands")
-    links: DataFrame | None = None
-    while True:
-        sizes = blocks.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("head"))
-        sizes = materialise(sizes.where("n > 1"), "band_sizes")
-        large = sizes.where(F.col("n") > pairs_up_to).select("band", "key", "head")
-        small = blocks.join(sizes.where(F.col("n") <= pairs_up_to).select("band", "key"), ["band", "key"], "left_semi")
-        pairs = small.withColumnRenamed("cls", "a").join(small.withColumnRenamed("cls", "b"), ["band", "key"]).where("a < b").select("a", "b")
+    sizes = blocks.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("head"))
+    sizes = materialise(sizes.where("n > 1"), "band_sizes")
+    large = sizes.where(F.col("n") > pairs_up_to).select("band", "key", "head")
+    small = blocks.join(sizes.where(F.col("n") <= pairs_up_to).select("band", "key"), ["band", "key"], "left_semi")
+    pairs = small.withColumnRenamed("cls", "a").join(small.withColumnRenamed("cls", "b"), ["band", "key"]).where("a < b").select("a", "b")
+    again = not large.isEmpty()
+    if again:
         heads = blocks.join(large, ["band", "key"]).where("cls != head")
-        again = not large.isEmpty()
-        if again:
-            pairs = pairs.unionByName(heads.select(F.col("head").alias("a"), F.col("cls").alias("b")))
-        found = materialise(_verified(docs, nodes, materialise(pairs.distinct(), "pairs"), words, similarity, id_col, text_col), "links")
-        links = found if links is None else links.unionByName(found)
-        if not again:
-            break
-        reached = heads.join(found.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti")
-        # Similar pairs among them share further bands; the next few keep the rows in proportion.
-        deeper = (
-            reached.join(nodes.select("cls", "bands"), "cls")
-            .select("cls", "band", "key", F.posexplode("bands").alias("next", "more"))
-            .where(f"next > band and next <= band + {DEEPER}")
-            .select("cls", F.col("next").alias("band"), F.xxhash64("key", "more").alias("key"))
-        )
-        last = reached.where(F.col("band") == BANDS - 1).select("cls", "band", "key")
-        blocks = materialise(deeper.unionByName(last), "bands")
+        pairs = pairs.unionByName(heads.select(F.col("head").alias("a"), F.col("cls").alias("b")))
+    pairs = materialise(pairs.distinct(), "pairs")
+    links = materialise(_verified(pairs, _sets(docs, nodes, pairs, words, id_col, text_col), similarity), "links")
     roots = components(links)
+    if again:
+        members = blocks.join(large.select("band", "key"), ["band", "key"], "left_semi")
+        rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        more = _across(docs, nodes, materialise(rooted, "rooted_blocks"), words, similarity, id_col, text_col)
+        if more is not None:
+            roots = components(links.unionByName(more))
     return rows.join(_component_ids(nodes.select("cls", "first"), roots, "cls"), "cls").select("doc_id", "text_hash", "root", "component_id")
 
 
+def _across(
+    docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int, similarity: float, id_col: str, text_col: str
+) -> DataFrame | None:
+    """Links between members of one block that are in different components, ``members`` being ``band, key, cls, root``.
+
+    Every such pair is compared on whole shingle sets unless links found in the same task already join it.  The
+    members of a block's largest component (``main``) and the rest are cut into slices by hash, and each two slices
+    of which one is of the rest meet in a task.  Blocks of the same members count once.  None if no block has
+    two components.
+    """
+    counts = materialise(
+        members.groupBy("band", "key", "root").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"),
+            F.bit_xor(F.xxhash64("cls", F.lit(SEED))).alias("xor"),
+        ),
+        "block_roots",
+    )
+    blocks = counts.groupBy("band", "key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"),
+        F.count(F.lit(1)).alias("roots"),
+        F.sum("n").alias("n"),
+        F.sum("sum").alias("sum"),
+        F.bit_xor("xor").alias("xor"),
+    )
+    once = blocks.where("roots > 1").groupBy("n", "sum", "xor").agg(F.min(F.struct("band", "key", "main")).alias("b"))
+    open_blocks = materialise(once.select("b.band", "b.key", "b.main"), "open_blocks")
+    if open_blocks.isEmpty():
+        return None
+    inside = materialise(members.join(open_blocks, ["band", "key"]).withColumn("rest", F.col("root") != F.col("main")), "open_members")
+    sets = _sets(docs, nodes, inside.select(F.col("cls").alias("a"), F.col("cls").alias("b")), words, id_col, text_col)
+    inside = inside.join(sets.select("cls", (F.length("set") / 8).cast("bigint").alias("size")), "cls")
+    inside = materialise(inside.select("band", "key", "cls", "root", "rest", "size"), "sized_members")
+    slices = lambda rest: F.greatest(
+        F.ceil(F.count(F.when(F.col("rest") == rest, 1)) / SLICE_MEMBERS),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("rest") == rest, F.col("size"))), F.lit(0)) / SLICE_SHINGLES),
+    ).cast("int")
+    cuts = materialise(inside.groupBy("band", "key").agg(slices(False).alias("of_main"), slices(True).alias("of_rest")), "slices")
+    dealt = inside.join(cuts, ["band", "key"])
+    dealt = dealt.withColumn(
+        "slice",
+        F.when(F.col("rest"), F.col("of_main") + F.pmod(F.xxhash64("cls"), F.col("of_rest"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("of_main"))).cast("int"),
+    )
+    others = F.sequence(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("of_main")), F.col("of_main") + F.col("of_rest") - 1)
+    dealt = dealt.withColumn("other", F.explode(others)).select(
+        "band", "key", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "cls", "root"
+    )
+
+    def compared(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        names, roots, at = table["cls"].to_pylist(), table["root"].to_pylist(), table["slice"].to_pylist()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
+        links = _cross_links(found, roots, [k for k, x in enumerate(at) if x == i], [k for k, x in enumerate(at) if x == j], similarity)
+        return pa.table({"a": pa.array([names[x] for x, _ in links], pa.binary()), "b": pa.array([names[y] for _, y in links], pa.binary())})
+
+    whole = dealt.join(sets, "cls").groupBy("band", "key", "i", "j")
+    return materialise(whole.applyInArrow(compared, "a binary, b binary"), "links_across")
+
+
+def _cross_links(sets: list[np.ndarray], roots: list[bytes], left: list[int], right: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Places of similar sets, one of ``left`` and one of ``right``, that join components not joined before."""
+    parent = {r: r for r in roots}
+
+    def find(r: bytes) -> bytes:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    # The places of ``left`` that hold each shingle, in a row.
+    sizes = np.array([len(sets[x]) for x in left], np.int64)
+    shingles = np.concatenate([sets[x] for x in left]) if left else np.zeros(0, np.uint64)
+    order = np.argsort(shingles, kind="stable")
+    holders = np.repeat(np.arange(len(left)), sizes)[order]
+    shingles, starts, counts = np.unique(shingles[order], return_index=True, return_counts=True)
+    links = []
+    for y in right:
+        own = find(roots[y])
+        if not len(shingles) or all(find(roots[x]) == own for x in left):
+            continue
+        at = np.minimum(np.searchsorted(shingles, sets[y]), len(shingles) - 1)
+        at = at[shingles[at] == sets[y]]
+        n = counts[at]
+        # The stretches start, start + 1, ... of all shingles in common, one after the other.
+        held = holders[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(held, minlength=len(left))
+        for k in np.flatnonzero(both >= similarity * (sizes + len(sets[y]) - both)):
+            a, b = find(roots[left[k]]), find(roots[y])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((left[k], y))
+    return links
+
+
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     sketch = _sketcher(words, BANDS, ROWS_PER_BAND)
 
@@ -246,14 +331,26 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
     return text_rows(docs, id_col, text_col, text_hash=F.xxhash64(f"`{text_col}`")).mapInArrow(run, SKETCH)
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of classes whose shingle sets are similar enough; only texts that stand in a pair are shuffled."""
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``cls, set`` of the classes in ``pairs``, as a written table; only texts that stand in a pair are shuffled."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column("text").cast(pa.binary())]
             yield pa.record_batch({"cls": batch.column("cls"), "set": pa.array(sets, pa.binary())})
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    owners = materialise(nodes.join(wanted, "cls").select("cls", "own.doc_id", "own.text_hash"), "owners")
+    rows = text_rows(docs, id_col, text_col, text_hash=F.xxhash64(f"`{text_col}`"))
+    same = rows["doc_id"].eqNullSafe(owners["doc_id"]) & (rows["text_hash"] == owners["text_hash"])
+    # Repeated rows would give a class its set twice.
+    sets = rows.join(owners, same).select("cls", "text").mapInArrow(hashed, "cls binary, set binary").dropDuplicates(["cls"])
+    return materialise(sets, "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of classes whose shingle sets are similar enough."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -263,13 +360,6 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    owners = materialise(nodes.join(wanted, "cls").select("cls", "own.doc_id", "own.text_hash"), "owners")
-    rows = text_rows(docs, id_col, text_col, text_hash=F.xxhash64(f"`{text_col}`"))
-    same = rows["doc_id"].eqNullSafe(owners["doc_id"]) & (rows["text_hash"] == owners["text_hash"])
-    # Repeated rows would give a class its set twice.
-    sets = rows.join(owners, same).select("cls", "text").mapInArrow(hashed, "cls binary, set binary").dropDuplicates(["cls"])
-    sets = materialise(sets, "sets")
     half = materialise(pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("set", "set_a"), "a"), "half_pairs")
     return half.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("set", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(
         similar, "a binary, b binary"

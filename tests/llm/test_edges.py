@@ -1,5 +1,7 @@
 """Nulls, empty and repeated rows, clashing columns, empty tables; the near-copy stage; the shape of the pipeline."""
 
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -86,3 +88,25 @@ def test_mixed_documents_take_the_budget(spark):
     want = {r.source: r.n for r in mixing.mix(docs).groupBy("source").sum("taken").toDF("source", "n").collect()}
     out = mixing.mixed_documents(docs).select("source", mixing.word_count(F.col("text")).alias("n"))
     assert {r.source: r.n for r in out.groupBy("source").sum("n").toDF("source", "n").collect()} == want
+
+
+def edited(words, places, draw):
+    """The words with those at ``places`` replaced."""
+    out = list(words)
+    for p in places:
+        out[p] = f"e{draw.randrange(10**6)}"
+    return out
+
+
+def assert_components_of_all_pairs(spark, texts):
+    want = brute.similar_components(range(len(texts)), texts)
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, pairs_up_to=1).collect()}
+    assert 1 < len(set(want.values())) < len(texts) and got == want
+
+
+def test_large_blocks_of_many_variants(spark):
+    """130 variants of one text, 118 components: most pairs are just below the similarity, and heads are near to few."""
+    draw = random.Random(0)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+    assert_components_of_all_pairs(spark, [" ".join(edited(base, draw.sample(range(4, 96), 2), draw)) for _ in range(130)])
