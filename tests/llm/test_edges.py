@@ -110,3 +110,19 @@ def test_large_blocks_of_many_variants(spark):
     draw = random.Random(0)
     base = [f"w{draw.randrange(10**6)}" for _ in range(100)]
     assert_components_of_all_pairs(spark, [" ".join(edited(base, draw.sample(range(4, 96), 2), draw)) for _ in range(130)])
+
+
+def chain(seed):
+    """Three texts, the second near to both others, which are not near to each other."""
+    draw = random.Random(seed)
+    a = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+    b = list(a)
+    b[draw.randrange(5, 45)], b[draw.randrange(50, 95)] = "b", "bb"
+    c = list(b)
+    c[draw.randrange(5, 45)], c[draw.randrange(50, 95)] = "c", "cc"
+    return [" ".join(x) for x in (a, b, c)]
+
+
+def test_large_blocks_of_chains(spark):
+    """In each block that the second and third share, the first is the head: it is near to the second only."""
+    assert_components_of_all_pairs(spark, [t for seed in (168, 190, 434) for t in chain(seed)])
