@@ -18,8 +18,8 @@ CORE, STEPS = 0.75, 3
 LEAST_ROWS = 200
 #: Largest squared distance that is kept: one in ten thousand normal vectors of four numbers lies beyond.
 CUTOFF = 23.51
-#: Standard deviations count as at least this much, so that a group of near-constant texts rejects no usual ones.
-FLOORS = (0.25, 0.7, 1.5, 1.5)
+#: Standard deviations, given the statistics before, count as at least this much: a guard against singular shapes.
+FLOORS = (0.05, 0.2, 0.3, 0.3)
 DIMENSIONS = len(FLOORS)
 
 
@@ -104,8 +104,8 @@ def _cholesky(shape: DataFrame) -> DataFrame:
     """Add ``l<i><j>``: the lower factor of the covariances ``c<i><j>``, column by column."""
     for j in range(DIMENSIONS):
         pivot = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
-        # Floors of the variances are added before, so pivots stay positive up to rounding.
-        shape = shape.withColumn(f"l{j}{j}", F.sqrt(F.greatest(pivot, F.lit(1e-9))))
+        # A variance is its pivot or more, so this bounds both; two statistics that go together count as one.
+        shape = shape.withColumn(f"l{j}{j}", F.sqrt(F.greatest(pivot, F.lit(FLOORS[j] ** 2))))
         below = {
             f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")
             for i in range(j + 1, DIMENSIONS)
@@ -162,11 +162,9 @@ def fitted(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame
         moments = chosen.groupBy("grp").agg(
             *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in PAIRS]
         )
-        floored = {
-            f"c{i}{j}": F.col(f"c{i}{j}") * factor + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS
-        }
+        scaled = {f"c{i}{j}": F.col(f"c{i}{j}") * factor for i, j in PAIRS}
         shapes = materialise(
-            _cholesky(moments.withColumns(floored)).select("grp", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]), "shapes"
+            _cholesky(moments.withColumns(scaled)).select("grp", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]), "shapes"
         )
     return shapes
 

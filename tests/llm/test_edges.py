@@ -126,3 +126,26 @@ def chain(seed):
 def test_large_blocks_of_chains(spark):
     """In each block that the second and third share, the first is the head: it is near to the second only."""
     assert_components_of_all_pairs(spark, [t for seed in (168, 190, 434) for t in chain(seed)])
+
+
+def prose(seed, lines=20):
+    """Lines of ten different words each."""
+    draw = random.Random(seed)
+    return [" ".join("".join(draw.choices("abcdefghij", k=draw.randint(3, 8))) for _ in range(10)) for _ in range(lines)]
+
+
+PLANTED = {
+    9001: "\n".join(x for line in prose(9001) for x in (line, "-----")),  # half of its lines are one line
+    9002: "\n".join([*prose(9002)[:14], *[" ".join(prose(9003)[0].split()[:8] + [f"x{i}"]) for i in range(4)]]),  # 32 of 176 words repeat
+}
+
+
+def quality_of(spark, rows):
+    return {r.doc_id: r for r in quality.quality(table(spark, rows)).collect()}
+
+
+def test_quality_rejects_planted_repetition(spark):
+    rows = [(i, "\n".join(prose(i)), "en", "a") for i in range(300)] + [(i, t, "en", "a") for i, t in PLANTED.items()]
+    found = quality_of(spark, rows)
+    assert not any(found[i].base_failed or found[i].kept for i in PLANTED)
+    assert sum(r.kept for r in found.values()) >= 295
