@@ -13,9 +13,11 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: Share of rows a covariance estimate rests on, and rounds of improving that choice.
 CORE, STEPS = 0.75, 3
-#: Groups under this size are pooled with the other small ones of their language, then of all; a pool that is
-#: still smaller rejects nothing.
-LEAST_ROWS = 200
+#: An estimate counts as its number of rows, the wider one it is drawn towards as this many: about what a
+#: covariance of four statistics takes.
+PRIOR_ROWS = 30
+#: Standard deviations that the estimate of all texts is drawn towards, for tables of a few rows.
+PRIOR_DEVIATIONS = (0.25, 0.7, 1.5, 1.5)
 #: Largest squared distance that is kept: one in ten thousand normal vectors of four numbers lies beyond.
 CUTOFF = 23.51
 #: Standard deviations, given the statistics before, count as at least this much: a guard against singular shapes.
@@ -136,7 +138,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def fitted(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimate of each group ``grp`` of a written table with ``x0..x3``.
+    """Minimum-covariance-determinant estimate of each group ``grp`` of a table with ``x0..x3``: ``n, m<i>, c<i><j>``.
 
     Starts from medians and median deviations; each step takes the ``core`` of rows nearest to the centre
     under the current shape and re-estimates mean and covariance from those, which never raises the
@@ -150,41 +152,63 @@ def fitted(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame
     for _ in range(steps):
         near = _distances(rows, shapes).select("grp", *X, step.alias("step"))
         counts = near.groupBy("grp", "step").agg(F.count(F.lit(1)).alias("n"))
+        # One row per group and step of the histogram.
         limits = (
             counts.withColumn("upto", F.sum("n").over(of_group.orderBy("step")))
             .withColumn("all", F.sum("n").over(of_group))
             .where(F.col("upto") >= core * F.col("all"))
             .groupBy("grp")
-            .agg(F.min("step").alias("limit"))
+            .agg(F.min("step").alias("limit"), F.first("all").alias("n"))
         )
         limits = materialise(limits, "limits")
         chosen = near.join(limits, "grp").where("step <= limit")
         moments = chosen.groupBy("grp").agg(
+            F.first("n").alias("n"),
             *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in PAIRS]
         )
         scaled = {f"c{i}{j}": F.col(f"c{i}{j}") * factor for i, j in PAIRS}
-        shapes = materialise(
-            _cholesky(moments.withColumns(scaled)).select("grp", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]), "shapes"
-        )
-    return shapes
+        moments = materialise(moments.withColumns(scaled), "moments")
+        shapes = _factored(moments)
+    return moments
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """``grp``, centre and factor, as a written table."""
+    return materialise(_cholesky(moments).select("grp", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]), "shapes")
+
+
+MOMENTS = [*[f"m{i}" for i in range(DIMENSIONS)], *[f"c{i}{j}" for i, j in PAIRS]]
+LEVELS = ("of_all", "of_lang", "grp")
 
 
-def _grouped(rows: DataFrame, least_rows: int) -> DataFrame:
-    """Add ``grp``: language and source, or a pool of those that are small; null where even the pool is."""
+def _levels(rows: DataFrame) -> DataFrame:
+    """Add the names of all texts, of the language and of the language and source: ``of_all, of_lang, grp``."""
     named = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
-    small = F.when(F.col("n") < least_rows, F.col("n")).otherwise(0)
-    sizes = sizes.withColumn("of_lang", F.sum(small).over(Window.partitionBy("lang")))
-    still = F.when((F.col("n") < least_rows) & (F.col("of_lang") < least_rows), F.col("n")).otherwise(0)
-    sizes = sizes.withColumn("of_all", F.sum(still).over(Window.partitionBy()))
-    grp = (
-        F.when(F.col("n") >= least_rows, named("lang", "source"))
-        .when(F.col("of_lang") >= least_rows, named("lang"))
-        .when(F.col("of_all") >= least_rows, F.lit("{}"))
-    )
-    # One row per language and source.
-    groups = materialise(sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), grp.alias("grp")), "groups")
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+    return rows.withColumns({"of_all": F.lit("{}"), "of_lang": named("lang"), "grp": named("lang", "source")})
+
+
+def _drawn(moments: DataFrame, groups: DataFrame, prior_rows: int) -> DataFrame:
+    """Moments of each group of ``groups`` (``of_all, of_lang, grp``), those of few rows drawn towards wider ones.
+
+    All texts are drawn towards fixed deviations, each language towards all texts, each language and source towards its
+    language: the moments of a mixture of both, weighted by the rows and ``prior_rows``.
+    """
+    out = groups
+    for k, level in enumerate(LEVELS):
+        own = moments.select(F.col("grp").alias(f"_{k}"), F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in MOMENTS])
+        # One row per group on either side.
+        out = materialise(out.join(own, F.col(level) == F.col(f"_{k}")), "drawn")
+        wider = {c: F.col(c) for c in MOMENTS}
+        if not k:
+            fixed = {f"c{i}{j}": F.lit(PRIOR_DEVIATIONS[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+            wider = {f"m{i}": F.col(f"_m{i}") for i in range(DIMENSIONS)} | fixed
+        share = F.col("_n") / (F.col("_n") + prior_rows)
+        drawn = {c: share * F.col(f"_{c}") + (1 - share) * wider[c] for c in MOMENTS}
+        for i, j in PAIRS:
+            apart = (F.col(f"_m{i}") - wider[f"m{i}"]) * (F.col(f"_m{j}") - wider[f"m{j}"])
+            drawn[f"c{i}{j}"] = drawn[f"c{i}{j}"] + share * (1 - share) * apart
+        out = out.withColumns(drawn).select(*LEVELS, *MOMENTS)
+    return out
 
 
 def quality(
@@ -194,13 +218,14 @@ def quality(
     lang_col: str = "lang",
     source_col: str = "source",
     cutoff: float = CUTOFF,
-    least_rows: int = LEAST_ROWS,
+    prior_rows: int = PRIOR_ROWS,
 ) -> DataFrame:
     """Per document: the statistics, ``base_failed``, ``distance2`` (null where the base rule decides) and ``kept``.
 
     The base rule fails texts under ten words and those with over a fifth of their words in repeated
     five-word windows.  Of the others, each language and source gives a robust mean and covariance of
-    the transformed statistics, and texts farther than ``cutoff`` from it are rejected.
+    the transformed statistics, drawn towards those of its language the more the fewer texts it has, and these towards
+    all texts' (``_drawn``); texts farther than ``cutoff`` from it are rejected, in groups of any size.
 
     A null or empty text has no words and fails; null languages and sources are groups of their own;
     repeated rows come each; an empty table gives no rows; other columns are ignored.
@@ -215,11 +240,13 @@ def quality(
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed).withColumns(dict(zip(X, _vector())))
     counted = materialise(counted, "statistics")
-    grouped = materialise(_grouped(counted, least_rows), "grouped")
-    judged = grouped.where("grp is not null and not base_failed")
-    shapes = fitted(judged)
+    grouped = _levels(counted)
+    judged = grouped.where("not base_failed")
+    groups = materialise(judged.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n")).select(*LEVELS), "groups")
+    moments = fitted(judged.select(*X, F.explode(F.array(*LEVELS)).alias("grp")))
+    shapes = _factored(_drawn(moments, groups, prior_rows))
     far = _distances(judged, shapes).withColumn("distance2", F.col("d2"))
-    rest = grouped.where("grp is null or base_failed").withColumn("distance2", F.lit(None).cast("double"))
+    rest = grouped.where("base_failed").withColumn("distance2", F.lit(None).cast("double"))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "grp"]
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance2") > cutoff, F.lit(False))
     return far.select(*out).unionByName(rest.select(*out)).withColumn("kept", kept)

@@ -149,3 +149,14 @@ def test_quality_rejects_planted_repetition(spark):
     found = quality_of(spark, rows)
     assert not any(found[i].base_failed or found[i].kept for i in PLANTED)
     assert sum(r.kept for r in found.values()) >= 295
+
+
+def test_quality_judges_small_groups_by_their_own(spark):
+    """A source whose texts all have symbols among a language without: its own shape counts, and one row is judged, too."""
+    marked = lambda i: "\n".join(x + " #$#$#$#" for x in prose(i))
+    rows = [(i, "\n".join(prose(i)), "en", "a") for i in range(150)] + [(i, marked(i), "en", "b") for i in range(200, 230)]
+    rows += [(300, marked(300), "en", "c"), (301, "\n".join(prose(301)), "en", "d")]
+    found = quality_of(spark, rows)
+    assert all(r.distance2 is not None for r in found.values())
+    assert sum(found[i].kept for i in range(200, 230)) >= 28
+    assert not found[300].kept and found[301].kept
