@@ -160,3 +160,25 @@ def test_quality_judges_small_groups_by_their_own(spark):
     assert all(r.distance2 is not None for r in found.values())
     assert sum(found[i].kept for i in range(200, 230)) >= 28
     assert not found[300].kept and found[301].kept
+
+
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {
+    "digits": DIGITS, "hex": DIGITS + "ABCDEF", "lower": LOWER, "upper": LOWER.upper(), "base32": LOWER.upper() + "234567",
+    "base36": LOWER + DIGITS, "letters": LOWER + LOWER.upper(), "base62": LOWER + LOWER.upper() + DIGITS,
+}
+WORDS_OF_LETTERS = (
+    "Donaudampfschifffahrtsgesellschaft", "internationalization", "electroencephalographically", "getElementsByTagNameAndClass",
+    "AbstractSingletonProxyFactoryBean", "MAX_NUMBER_OF_RETRIES_ALLOWED", "covid-19-vaccination-rates-2021", "2024-01-01-12-30-45-000",
+    "news/2021/07/14/article-name", "html5-canvas-tutorial-part2",
+)
+
+
+def test_keys_of_every_alphabet_are_found_and_words_are_not(spark):
+    draw = random.Random(7)
+    keys = [(name, "".join(draw.choices(a, k=20))) for name, a in ALPHABETS.items() for _ in range(200)]
+    rows = [(i, f"see {x} now", "en", "a") for i, x in enumerate([k for _, k in keys] + list(WORDS_OF_LETTERS))]
+    found = {r.doc_id: r.n_entropy for r in secrets.secrets(table(spark, rows)).collect()}
+    recall = {n: sum(found[i] for i, (name, _) in enumerate(keys) if name == n) / 200 for n in ALPHABETS}
+    assert all(r >= 0.88 for r in recall.values()), recall
+    assert not any(found[len(keys) + i] for i in range(len(WORDS_OF_LETTERS)))
