@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtide.llm import html, langid, lm, lzprint, mixing, packing, quality, secrets, simhash, token_files
+from flowtide.llm import html, langid, lm, lzprint, mixing, packing, quality, secrets, simhash, token_files, urls
 from flowtide.llm.common import documents
+from flowtide.llm.urls_sql import judge_sql
 from flowtide.plans.materialise import materialise, scratch_path
 
 END_OF_TEXT = {"word_bpe_49k.json": 1, "byte_bpe_50k.json": 2}
@@ -65,11 +66,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_files, op3_lm_scores, op4_mixing, op5_simhash, op6_html_text, op7_lz_fingerprints,
-        op8_secrets, op9_quality, op10_language_id,
+        op8_secrets, op9_quality, op10_language_id, op12_url_filters,
     )
 }
 
@@ -103,4 +108,4 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken FROM placed
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX, "op12_url_filters": judge_sql()}
