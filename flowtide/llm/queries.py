@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtide.llm import html, langid, lm, lzprint, mixing, packing, quality, secrets, simhash, token_files, urls
+from flowtide.llm import html, langid, lm, lzprint, mixing, packing, phrases, quality, secrets, simhash, token_files, urls
 from flowtide.llm.common import documents
 from flowtide.llm.urls_sql import judge_sql
 from flowtide.plans.materialise import materialise, scratch_path
@@ -66,6 +66,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -74,7 +78,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_files, op3_lm_scores, op4_mixing, op5_simhash, op6_html_text, op7_lz_fingerprints,
-        op8_secrets, op9_quality, op10_language_id, op12_url_filters,
+        op8_secrets, op9_quality, op10_language_id, op11_collocations, op12_url_filters,
     )
 }
 
@@ -108,4 +112,47 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken FROM placed
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX, "op12_url_filters": judge_sql()}
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece_no, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    )
+), words AS (
+    SELECT lang, piece_no, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM pieces
+), runs AS (
+    SELECT lang, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY piece_no ORDER BY pos)
+), ones AS (
+    SELECT lang, w1 AS w, count(*) AS a FROM runs GROUP BY ALL
+), twos AS (
+    SELECT lang, w1, w2, count(*) AS a FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), threes AS (
+    SELECT lang, w1, w2, w3, count(*) AS a FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, w1, w2, max(a) AS most FROM (
+        SELECT lang, w1, w2, a FROM threes UNION ALL SELECT lang, w2, w3, a FROM threes
+    ) GROUP BY ALL
+), cuts AS (
+    SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, 1 AS cut, t.a, x.a AS l, y.a AS r
+    FROM twos t JOIN ones x ON x.lang = t.lang AND x.w = t.w1 JOIN ones y ON y.lang = t.lang AND y.w = t.w2
+    LEFT JOIN longer o ON o.lang = t.lang AND o.w1 = t.w1 AND o.w2 = t.w2
+    WHERE o.most IS NULL OR 100 * o.most < 50 * t.a
+    UNION ALL
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.a, x.a, y.a
+    FROM threes t JOIN ones x ON x.lang = t.lang AND x.w = t.w1 JOIN twos y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+    UNION ALL
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.a, x.a, y.a
+    FROM threes t JOIN twos x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN ones y ON y.lang = t.lang AND y.w = t.w3
+), scored AS (
+    SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, n.n, k.score
+FROM ranked k JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM ones GROUP BY lang) n ON n.lang = k.lang WHERE k.rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX, "op11_collocations": _PHRASES, "op12_url_filters": judge_sql()}
