@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtide.llm import html, langid, lm, lzprint, mixing, packing, phrases, quality, secrets, simhash, token_files, urls
+from flowtide.llm import dialogue, html, langid, lm, lzprint, mixing, packing, phrases, quality, secrets, simhash, token_files, urls
 from flowtide.llm.common import documents
 from flowtide.llm.urls_sql import judge_sql
 from flowtide.plans.materialise import materialise, scratch_path
@@ -74,11 +74,16 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.audits(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_files, op3_lm_scores, op4_mixing, op5_simhash, op6_html_text, op7_lz_fingerprints,
         op8_secrets, op9_quality, op10_language_id, op11_collocations, op12_url_filters,
+        op13_conversation_repair,
     )
 }
 
