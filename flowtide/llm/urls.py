@@ -140,7 +140,7 @@ def _log_ratios(grams: DataFrame, order: int) -> DataFrame:
 def _cut(scored: DataFrame) -> int | None:
     """The step from which urls are allowed: the best sum of both classes' shares told right, nearest to zero if tied.
 
-    Without urls of both classes there is none.  The histogram has a row per step, so a few thousand at most.
+    Any step above the one before tells the same urls right, so a cut may lie between two steps.  Without urls of both classes there is none.  The histogram has a row per step, so a few thousand at most.
     """
     steps = scored.where(F.col("label").isNotNull()).groupBy("step").agg(
         F.count(F.when(F.col("label") == "allow", 1)).alias("allow"), F.count(F.when(F.col("label") == "block", 1)).alias("block")
@@ -150,9 +150,11 @@ def _cut(scored: DataFrame) -> int | None:
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     best = (
         steps.withColumns({"allowed": F.sum("allow").over(every), "blocked": F.sum("block").over(every)})
+        .withColumn("lower", F.lag("step").over(every.orderBy("step")))
         .withColumns({"lost": F.coalesce(F.sum("allow").over(so_far), F.lit(0)), "caught": F.coalesce(F.sum("block").over(so_far), F.lit(0))})
         .where((F.col("allowed") > 0) & (F.col("blocked") > 0))
-        .select("step", (wide("caught") * wide("allowed") - wide("lost") * wide("blocked")).alias("gain"))
+        .withColumn("gain", wide("caught") * wide("allowed") - wide("lost") * wide("blocked"))
+        .select(F.least("step", F.greatest(F.coalesce(F.col("lower") + 1, "step"), F.lit(0))).alias("step"), "gain")
         .orderBy(F.desc("gain"), F.abs("step"), "step")
         .first()
     )

@@ -64,10 +64,11 @@ WITH raw AS (
 ), steps AS (
     SELECT step, count(*) FILTER (label = 'allow') AS allow, count(*) FILTER (label = 'block') AS block FROM scored WHERE label IS NOT NULL GROUP BY step
 ), gains AS (
-    SELECT step, sum(allow) OVER () AS allowed, sum(block) OVER () AS blocked, coalesce(sum(allow) OVER w, 0) AS lost, coalesce(sum(block) OVER w, 0) AS caught
+    SELECT step, sum(allow) OVER () AS allowed, sum(block) OVER () AS blocked, coalesce(sum(allow) OVER w, 0) AS lost, coalesce(sum(block) OVER w, 0) AS caught,
+        least(step, greatest(coalesce(lag(step) OVER (ORDER BY step) + 1, step), 0)) AS nearest
     FROM steps WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), cut AS (
-    SELECT step AS least FROM gains WHERE allowed > 0 AND blocked > 0 ORDER BY caught * allowed - lost * blocked DESC, abs(step), step LIMIT 1
+    SELECT nearest AS least FROM gains WHERE allowed > 0 AND blocked > 0 ORDER BY caught * allowed - lost * blocked DESC, abs(nearest), nearest LIMIT 1
 )
 SELECT page_id, host, path, rule,
     coalesce({label}, CASE WHEN s.step < (SELECT least FROM cut) THEN 'block' ELSE 'allow' END) AS verdict,
