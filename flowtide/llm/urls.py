@@ -30,6 +30,8 @@ MICRO = 1_000_000
 #: Scores are calibrated in steps of a hundredth of a nat per character.
 STEP = 10_000
 HOT_URL = 100_000
+#: Tails and contexts seen more often than this are split between tasks.
+HOT_TAIL = 1_000
 
 
 @dataclass(frozen=True)
@@ -106,14 +108,19 @@ def _log_ratios(grams: DataFrame, order: int) -> DataFrame:
     )
     context = F.substring("tail", F.lit(1), F.col("k") - 1).alias("context")
     different = lambda c: F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_next")
-    contexts = counts.groupBy("model", "k", context).agg(
-        F.sum("allow").alias("allow_all"), F.sum("block").alias("block_all"), different("allow"), different("block")
+    contexts = materialise(
+        counts.groupBy("model", "k", context).agg(
+            F.sum("allow").alias("allow_all"), F.sum("block").alias("block_all"), different("allow"), different("block")
+        ),
+        "url_contexts",
     )
+    often = lambda table, x: hot_keys(table.withColumn("n", F.col(f"allow{x}") + F.col(f"block{x}")), table.columns[:3], HOT_TAIL)
     wanted = grams.select("model", "gram").distinct().select("model", "gram", lengths).withColumn("tail", tail)
     parts = (
-        wanted.join(counts, ["model", "k", "tail"], "left")
-        .select("*", context)
-        .join(contexts, ["model", "k", "context"], "left")
+        join_by_key(
+            join_by_key(wanted, counts, counts.columns[:3], ["gram"], often(counts, ""), "left").select("*", context),
+            contexts, contexts.columns[:3], ["gram"], often(contexts, "_all"), "left",
+        )
         .fillna(0, ["allow", "block", "allow_all", "block_all", "allow_next", "block_next"])
         .groupBy("model", "gram")
         .agg(F.array_sort(F.collect_list(F.struct("k", *[f"{c}{x}" for c in ("allow", "block") for x in ("", "_all", "_next")]))).alias("orders"))
