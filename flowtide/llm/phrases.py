@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowtide.llm.common import text_rows
 from flowtide.llm.tokens import _Numbers, portions
 from flowtide.llm.trie import DoubleArray
-from flowtide.plans.lookup import join_lookup
+from flowtide.plans.lookup import hot_keys, join_by_key, join_lookup
 from flowtide.plans.materialise import materialise
 
 NO_LANGUAGE = "und"
@@ -31,10 +31,12 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Breaks become full stops, tabs spaces; what is left between spaces are words and breaks.
 _PLAIN = bytes.maketrans(BREAKS + b"\t", b"." * len(BREAKS) + b" ")
 LONGEST = 3
-BLOCK_WORDS = 1 << 20
-WORDS_HELD = 200_000
+BLOCK_WORDS = 1 << 19
+WORDS_HELD = 100_000
 WORD_BITS, PAIR_BITS = 24, 27
-PORTION = 1 << 20
+PORTION = 1 << 18
+#: A part of more phrases than this is split between tasks where phrases meet its count.
+HOT_PART = 500
 MICRO = 1_000_000
 _BITMAP = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -296,37 +298,40 @@ def collocations(
     """
     words, phrases = phrase_counts(docs, least, lang_col, text_col, **sizes)
     kept = materialise(words.where(F.col("n") >= least).select("symbol", "lang", "word", F.col("n").alias("count")), "frequent_words")
-    of_word = lambda i: kept.select(F.col("symbol").alias(f"s{i}"), *([F.col("lang")] if i == 1 else []), F.col("word").alias(f"w{i}"), F.col("count").alias(f"c{i}"))
-    pairs = materialise(phrases.where(F.col("s3").isNull()).drop("s3"), "frequent_pairs")
-    triples = phrases.where(F.col("s3").isNotNull())
-    spread = ["s1", "s2"]
-    named = join_lookup(join_lookup(pairs, of_word(1), ["s1"], spread), of_word(2), ["s2"], spread)
-    around = triples.select(F.inline(F.array(F.struct("s1", "s2", "n"), F.struct(F.col("s2").alias("s1"), F.col("s3").alias("s2"), "n"))))
-    longer = materialise(around.groupBy("s1", "s2").agg(F.max("n").alias("longer")), "longer_phrases")
-    twos = (
-        join_lookup(named, longer, spread, spread, "left")
-        .where(F.coalesce(F.col("longer") * 100 < F.col("n") * inside_percent, F.lit(True)))
-        .select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("n").alias("a"), F.array(F.struct(F.col("c1").alias("l"), F.col("c2").alias("r"))).alias("cuts"))
-    )
-    head = pairs.select("s1", "s2", F.col("n").alias("c12"))
-    tail = pairs.select(F.col("s1").alias("s2"), F.col("s2").alias("s3"), F.col("n").alias("c23"))
-    spread = ["s1", "s2", "s3"]
-    whole = join_lookup(join_lookup(triples, head, ["s1", "s2"], spread), tail, ["s2", "s3"], spread)
-    for i in (1, 2, 3):
-        whole = join_lookup(whole, of_word(i), [f"s{i}"], spread)
-    threes = whole.select(
-        "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("n").alias("a"),
-        F.array(F.struct(F.col("c1").alias("l"), F.col("c23").alias("r")), F.struct(F.col("c12").alias("l"), F.col("c3").alias("r"))).alias("cuts"),
-    )
-    wide = lambda c: c.cast("decimal(14,0)")
-    k = F.transform("cuts", lambda x, i: F.struct(i.alias("k"), x["l"].alias("l"), x["r"].alias("r")))
-    cut = twos.unionByName(threes).select("lang", "phrase", "a", F.inline(k)).withColumns({"top": wide(F.col("a")) * wide(F.col("a")) * F.lit(MICRO), "bottom": wide(F.col("l")) * wide(F.col("r"))})
-    scored = cut.withColumn("score", F.expr("top div bottom")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (
-        scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= most)
+    of_word = lambda i, *more: kept.select(F.col("symbol").alias(f"s{i}"), *more)
+    number = lambda i: F.col("count").alias(f"c{i}")
+    pairs = materialise(phrases.where(F.col("s3").isNull()).select("s1", "s2", F.col("n").alias("a")), "frequent_pairs")
+    triples = materialise(phrases.where(F.col("s3").isNotNull()).select("s1", "s2", "s3", F.col("n").alias("a")), "frequent_triples")
+    around = triples.select(F.inline(F.array(F.struct("s1", "s2", "a"), F.struct(F.col("s2").alias("s1"), F.col("s3").alias("s2"), "a"))))
+    longer = around.groupBy("s1", "s2").agg(F.max("a").alias("longer"))
+    alone = pairs.join(longer, ["s1", "s2"], "left").where(F.coalesce(F.col("longer") * 100 < F.col("a") * inside_percent, F.lit(True))).drop("longer")
+    cut = lambda left, right: F.struct(F.col(left).alias("l"), F.col(right).alias("r"))
+    twos = join_lookup(join_lookup(alone, of_word(1, "lang", number(1)), ["s1"], ["s2"]), of_word(2, number(2)), ["s2"], ["s1"])
+    head = pairs.select("s1", "s2", F.col("a").alias("c12"))
+    tail = pairs.select(F.col("s1").alias("s2"), F.col("s2").alias("s3"), F.col("a").alias("c23"))
+    threes = _met(_met(triples, head, ["s1", "s2"]), tail, ["s2", "s3"])
+    threes = join_lookup(join_lookup(threes, of_word(1, "lang", number(1)), ["s1"], ["s3"]), of_word(3, number(3)), ["s3"], ["s1"])
+    both = twos.select("lang", "s1", "s2", F.lit(None).cast("bigint").alias("s3"), "a", F.array(cut("c1", "c2")).alias("cuts")).unionByName(
+        threes.select("lang", "s1", "s2", "s3", "a", F.array(cut("c1", "c23"), cut("c12", "c3")).alias("cuts"))
     )
+    # Equal scores keep the earlier cut: structs compare by score, then by place.
+    least_cut = F.array_min(F.transform("cuts", lambda x, i: F.struct(_score(F.col("a"), x["l"], x["r"]).alias("score"), i.alias("k"), x["l"].alias("l"), x["r"].alias("r"))))
+    scored = both.withColumn("cut", least_cut).select("lang", "s1", "s2", "s3", "a", "cut.l", "cut.r", "cut.score")
+    by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    top = materialise(scored.withColumn("place", F.rank().over(by_score)).where(F.col("place") <= most).drop("place"), "top_phrases")
+    named = top.join(of_word(1, F.col("word").alias("w1")), "s1").join(of_word(2, F.col("word").alias("w2")), "s2")
+    named = named.join(of_word(3, F.col("word").alias("w3")), "s3", "left").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
+    ranked = named.withColumn("rank", F.row_number().over(by_score.orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= most)
     totals = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "language_words")
     return join_lookup(ranked, totals, ["lang"], ["phrase"]).select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def _met(phrases: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Phrases with the count of a part; a part of very many phrases is spread over tasks."""
+    per_part = phrases.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return join_by_key(phrases, counts, keys, ["a", *[c for c in ("s1", "s2", "s3") if c in phrases.columns]], hot_keys(per_part, keys, HOT_PART))
+
+
+def _score(a: Column, left: Column, right: Column) -> Column:
+    wide = lambda c: c.cast("decimal(14,0)")
+    return F.call_function("div", wide(a) * wide(a) * F.lit(MICRO), wide(left) * wide(right))
