@@ -17,6 +17,9 @@ HISTORY = 10
 HORIZON = 5
 MAX_EDGES = 20
 PACKET_TIMEOUT = 21_600
+PACKET_CELL = 600
+# What a stream waits for late rows, in seconds; the streams' default.
+LATENESS = 600
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 SLOT = "((hour(ts) + 3 * day(ts)) % 12)"

@@ -6,6 +6,7 @@ import re
 
 from flowtide import fixtures as fx
 from flowtide.queries import SIMPLE_FEATURES, SIMPLE_WEIGHTS
+from flowtide.streaming.flows import session_gap
 from flowtide.schema import (
     CLASS_NAMES,
     CSV_FIELDS,
@@ -25,6 +26,8 @@ from flowtide.schema import (
 W = fx.WINDOW_SECONDS
 N = fx.HISTORY
 K = fx.HORIZON
+CELL_US = fx.PACKET_CELL * 1_000_000
+GAP_US = int(session_gap(fx.PACKET_TIMEOUT, fx.PACKET_CELL) * 1_000_000)
 EDGE = "source_file, window_idx, src_ip, dst_ip"
 KEY = "source_file, window_idx"
 
@@ -416,24 +419,31 @@ CONVERSATIONS = [
     ),
     (
         "marked",
-        "SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= "
-        f"{fx.PACKET_TIMEOUT * 1_000_000} THEN 0 ELSE 1 END AS starts FROM talks WINDOW w AS (PARTITION BY ip_a, ip_b, port_a, port_b, protocol ORDER BY ts)",
+        "SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= "
+        f"{fx.PACKET_TIMEOUT * 1_000_000} THEN 0 ELSE 1 END AS starts, ((epoch_us(ts) // {CELL_US} + 1) - (epoch_us(lag(ts) OVER w) // {CELL_US} + 1)) * {CELL_US} AS cell_gap FROM talks WINDOW w AS (PARTITION BY ip_a, ip_b, port_a, port_b, protocol ORDER BY ts)",
     ),
     (
         "numbered",
-        "SELECT *, sum(starts) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, protocol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked",
+        "SELECT *, sum(starts) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, protocol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session, "
+        f"sum(CASE WHEN cell_gap <= {GAP_US} THEN 0 ELSE 1 END) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, protocol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS near FROM marked",
+    ),
+    (
+        "closing",
+        f"SELECT *, max((epoch_us(ts) // {CELL_US} + 1) * {CELL_US} - 1 + {GAP_US}) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, protocol, near) AS closes, "
+        f"max(epoch_us(ts)) OVER () // 1000 * 1000 - {fx.LATENESS * 1_000_000} AS watermark FROM numbered",
     ),
     (
         "sessions",
         "SELECT ip_a, ip_b, port_a, port_b, protocol, session, arg_min(from_a, ts) AS fwd_a, min(ts) AS t0, epoch_us(max(ts)) - epoch_us(min(ts)) AS us, "
         "count(*) AS n, CAST(count(*) FILTER (WHERE from_a) AS DOUBLE) AS pa, CAST(count(*) FILTER (WHERE NOT from_a) AS DOUBLE) AS pb, "
         "CAST(coalesce(sum(length) FILTER (WHERE from_a), 0) AS DOUBLE) AS ba, CAST(coalesce(sum(length) FILTER (WHERE NOT from_a), 0) AS DOUBLE) AS bb, "
-        "coalesce(stddev_pop(length), 0.0) AS sd, CAST(count(*) FILTER (WHERE syn) AS DOUBLE) AS syn_count FROM numbered GROUP BY ALL",
+        "coalesce(stddev_pop(length), 0.0) AS sd, CAST(count(*) FILTER (WHERE syn) AS DOUBLE) AS syn_count, "
+        "CAST(coalesce(sum(gap::HUGEINT * gap) FILTER (WHERE starts = 0), 0) AS HUGEINT) AS gap_sq, max(closes) <= max(watermark) AS closed FROM closing GROUP BY ALL",
     ),
 ]
 
 
-def _packet_flows() -> str:
+def _packet_flows(only: str = "") -> str:
     pick = lambda x, y, out: f"CASE WHEN fwd_a THEN {x} ELSE {y} END AS {out}"
     zero = lambda *names: ", ".join(f"CAST(0.0 AS DOUBLE) AS {n}" for n in names)
     return sql(
@@ -442,8 +452,9 @@ def _packet_flows() -> str:
         f"{pick('ba', 'bb', 'fwd_bytes')}, {pick('bb', 'ba', 'bwd_bytes')}, CASE WHEN us > 0 THEN {r('(ba + bb) / (us / CAST(1e6 AS DOUBLE))')} END AS flow_bytes_s, "
         f"CASE WHEN us > 0 THEN {r('n / (us / CAST(1e6 AS DOUBLE))')} END AS flow_pkts_s, CASE WHEN n > 1 THEN {r('us / CAST(n - 1 AS DOUBLE)')} ELSE 0.0 END AS flow_iat_mean, "
         f"{r('(ba + bb) / n')} AS pkt_len_mean, {r('sd')} AS pkt_len_std, "
-        f"{zero('flow_iat_std', 'init_win_fwd', 'init_win_bwd', 'rst_count', 'ack_count', 'fin_count', 'psh_count')}, syn_count, "
-        "'BENIGN' AS label, 'packets' AS source_file FROM sessions",
+        f"CASE WHEN n > 1 THEN {r('round(sqrt(greatest(CAST((n - 1) * gap_sq - us::HUGEINT * us AS DOUBLE), 0.0)) / (n - 1), 2)')} ELSE 0.0 END AS flow_iat_std, "
+        f"{zero('init_win_fwd', 'init_win_bwd', 'rst_count', 'ack_count', 'fin_count', 'psh_count')}, syn_count, "
+        f"'BENIGN' AS label, 'packets' AS source_file FROM sessions {only}",
         CONVERSATIONS,
     )
 
@@ -554,12 +565,14 @@ def _stream_windows() -> str:
     body = (
         f"SELECT source_file, (epoch_us(timestamp) // {W * 1_000_000}) AS slot, count(*) AS flow_count, sum(fwd_bytes) + sum(bwd_bytes) AS total_bytes, "
         "sum(fwd_pkts) + sum(bwd_pkts) AS total_pkts, sum(syn_count) AS syn, sum(rst_count) AS rst, avg(flow_duration) AS mean_duration, "
+        "count(DISTINCT src_ip) AS n_unique_src, count(DISTINCT dst_ip) AS n_unique_dst, "
         f"{case(f'min({severity(category('label'))})', dict(enumerate(SEVERITY)), q(CLASS_NAMES[0]))} AS target_category FROM flows GROUP BY 1, 2"
     )
     return sql(
         f"SELECT source_file, {ts(f'make_timestamp(slot * {W * 1_000_000})')} AS start_time, {ts(f'make_timestamp((slot + 1) * {W * 1_000_000})')} AS end_time, "
         f"flow_count, {each(['total_bytes', 'total_pkts'])}, {r(ratio('syn', 'total_pkts'))} AS syn_ratio, {r(ratio('rst', 'total_pkts'))} AS rst_ratio, {r('mean_duration')} AS mean_duration, "
-        f"target_category, {class_index('target_category')} AS target_index FROM ({body})"
+        f"n_unique_src, n_unique_dst, target_category, {class_index('target_category')} AS target_index FROM ({body}) "
+        f"WHERE (slot + 1) * {W * 1_000_000} <= (SELECT max(epoch_us(timestamp)) // 1000 * 1000 FROM flows) - {fx.LATENESS * 1_000_000}"
     )
 
 
@@ -837,5 +850,5 @@ def oracle_sql() -> dict[str, str]:
         "temporal_attribution_fixed": _temporal_attribution(),
         "feature_attribution_fixed": _feature_attribution(),
         "stream_window_stats": _stream_windows(),
-        "stream_packets_to_flows": _packet_flows(),
+        "stream_packets_to_flows": _packet_flows("WHERE closed"),
     }

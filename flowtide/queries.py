@@ -332,8 +332,8 @@ def read_raw_untyped(t: Tables) -> DataFrame:
 
 @query
 def packets_to_flows(t: Tables) -> DataFrame:
-    flows = packets.packets_to_flows(fx.packets(t.spark, t.sf_dir), fx.PACKET_TIMEOUT)
-    return rounded(flows)
+    flows = packets.packets_to_flows(fx.packets(t.spark, t.sf_dir), fx.PACKET_TIMEOUT, fx.PACKET_CELL)
+    return rounded(flows.withColumn("flow_iat_std", F.round("flow_iat_std", 2)))
 
 
 @query
@@ -955,7 +955,7 @@ def stream_window_stats(t: Tables) -> DataFrame:
     source = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/[e]vents.parquet")
     flows = source.selectExpr(*fx.select_list(fx.flow_fields(), "STRING"))
     stats = streaming.run_available(streaming.stream_window_stats(flows, W), "stream_windows")
-    return rounded(stats.drop("n_unique_src", "n_unique_dst"))
+    return rounded(stats)
 
 
 @query
@@ -963,8 +963,9 @@ def stream_packets_to_flows(t: Tables) -> DataFrame:
     schema = fx.events(t.spark, t.sf_dir).schema
     source = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/[e]vents.parquet")
     found = source.selectExpr(*fx.select_list(fx.packet_fields(), "STRING"))
-    flows = streaming.run_available(streaming.stream_packets_to_flows(found, fx.PACKET_TIMEOUT), "stream_packets")
-    return rounded(flows)
+    sessions = streaming.stream_packets_to_flows(found, fx.PACKET_TIMEOUT, cell_seconds=fx.PACKET_CELL)
+    flows = streaming.run_available(sessions, "stream_packets")
+    return rounded(flows.withColumn("flow_iat_std", F.round("flow_iat_std", 2)))
 
 
 QUERIES["sequences"] = QUERIES.pop("sequences_")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FLOW_TIMEOUT_SECONDS = 120
+# Packets are put in order inside cells of this width only.
+CELL_SECONDS = 1.0
+FLAGS = ("syn", "rst", "ack", "fin", "psh")
+SUMS = ("n", "pkts_a", "pkts_b", "bytes_a", "bytes_b", "len_sq", *[f"{f}_count" for f in FLAGS])
 CONVERSATION = ["ip_a", "ip_b", "port_a", "port_b", "protocol"]
 
 
@@ -23,7 +27,7 @@ def by_conversation(packets: DataFrame) -> DataFrame:
         "ts",
         F.unix_micros("ts").alias("us"),
         F.col("length").cast("double").alias("length"),
-        *[F.col(flag).cast("int").alias(flag) for flag in ("syn", "rst", "ack", "fin", "psh")],
+        *[F.col(flag).cast("int").alias(flag) for flag in FLAGS],
     )
 
 
@@ -42,29 +46,47 @@ def packet_measures() -> list[Column]:
         total(a, F.col("length")).alias("bytes_a"),
         total(b, F.col("length")).alias("bytes_b"),
         F.sum(F.col("length") * F.col("length")).alias("len_sq"),
-        *[F.sum(F.col(f).cast("double")).alias(f"{f}_count") for f in ("syn", "rst", "ack", "fin", "psh")],
+        *[F.sum(F.col(f).cast("double")).alias(f"{f}_count") for f in FLAGS],
     ]
 
 
+def squared(gap: Column) -> Column:
+    """The square of a gap in microseconds, exact: sums of it don't depend on their order."""
+    whole = gap.cast("decimal(18,0)")
+    return whole * whole
+
+
+def no_gaps() -> Column:
+    return F.lit(0).cast("decimal(38,0)")
+
+
 def merged_measures() -> list[Column]:
+    """Measures of neighbouring cells as one; ``bridge_sq`` is the squared gap to the cell before."""
     return [
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         F.min_by("a_first", "first_us").alias("a_first"),
-        *[
-            F.sum(c).alias(c)
-            for c in ("n", "pkts_a", "pkts_b", "bytes_a", "bytes_b", "len_sq")
-            + tuple(f"{f}_count" for f in ("syn", "rst", "ack", "fin", "psh"))
-        ],
+        *[F.sum(c).alias(c) for c in SUMS],
+        (F.sum("gap_sq") + F.coalesce(F.sum("bridge_sq"), no_gaps())).cast("decimal(38,0)").alias("gap_sq"),
     ]
 
 
+def packet_cells(packets: DataFrame, width_us: int) -> DataFrame:
+    """Measures of the packets of one 5-tuple in one time cell, squared gaps between them included."""
+    in_cell = Window.partitionBy(*CONVERSATION, "cell").orderBy("us")
+    rows = by_conversation(packets).withColumn("cell", F.floor(F.col("us") / width_us).cast("bigint"))
+    gap = squared(F.col("us") - F.lag("us").over(in_cell))
+    return rows.withColumn("gap_sq", gap).groupBy(*CONVERSATION, "cell").agg(
+        *packet_measures(), F.coalesce(F.sum("gap_sq"), no_gaps()).cast("decimal(38,0)").alias("gap_sq")
+    )
+
+
 def as_flows(sessions: DataFrame, source_file: str = "packets", label: str = "BENIGN") -> DataFrame:
     """Session measures -> flow records; forward is the direction of the first packet.
 
-    ``flow_duration`` and inter-arrival times are in microseconds; the spread of
-    inter-arrival times and initial window sizes are not in a packet table and take their
-    default 0.
+    ``flow_duration`` and inter-arrival times are in microseconds; their spread is that of all gaps of
+    the flow (population), as for packet lengths.  Initial window sizes are not in a packet table
+    and take their default 0.
     """
     forward_a = F.col("a_first") == 1
     seconds = (F.col("last_us") - F.col("first_us")) / F.lit(1e6)
@@ -74,6 +96,9 @@ def as_flows(sessions: DataFrame, source_file: str = "packets", label: str = "BE
     # One packet has no rate: as in a capture, such cells are null.
     rate = lambda v: F.when(seconds > 0, v / seconds)
     zero = F.lit(0.0)
+    gaps, span = (F.col("n") - 1).cast("decimal(12,0)"), squared(F.col("last_us") - F.col("first_us"))
+    # n * sum of squares - square of the sum, in whole numbers: nothing cancels before the root.
+    spread = F.greatest((gaps * F.col("gap_sq") - span).cast("double"), zero)
     return sessions.select(
         pick("ip_a", "ip_b").alias("src_ip"),
         pick("ip_b", "ip_a").alias("dst_ip"),
@@ -91,35 +116,41 @@ def as_flows(sessions: DataFrame, source_file: str = "packets", label: str = "BE
         F.when(F.col("n") > 1, (F.col("last_us") - F.col("first_us")) / (F.col("n") - 1))
         .otherwise(zero)
         .alias("flow_iat_mean"),
-        zero.alias("flow_iat_std"),
+        F.when(F.col("n") > 1, F.sqrt(spread) / (F.col("n") - 1)).otherwise(zero).alias("flow_iat_std"),
         mean.alias("pkt_len_mean"),
         F.sqrt(F.greatest(F.col("len_sq") / F.col("n") - mean * mean, zero)).alias("pkt_len_std"),
         zero.alias("init_win_fwd"),
         zero.alias("init_win_bwd"),
-        *[f"{f}_count" for f in ("syn", "rst", "ack", "fin", "psh")],
+        *[f"{f}_count" for f in FLAGS],
         F.lit(label).alias("label"),
         F.lit(source_file).alias("source_file"),
     )
 
 
-def packets_to_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS) -> DataFrame:
+def packets_to_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS, cell_seconds: float = CELL_SECONDS) -> DataFrame:
     """Group packets of a 5-tuple into flows split where it is idle past the timeout.
 
-    Two packets in one time cell as wide as the timeout always belong together, so packets
-    are first summed per (5-tuple, cell) with map-side combine; only those cells are put
-    in order.  A 5-tuple that owns a third of all packets has no more cells than the
-    capture has timeouts.
+    Packets are put in order inside narrow time cells, so a 5-tuple that owns a third of all packets is as many
+    tasks' work as it has cells.  A cell keeps first, last, sums and squared gaps; cells merge by adding the
+    squared gap between them.  They merge first inside spans as long as the timeout, where no gap
+    ends a flow, then along the whole 5-tuple, which has no more spans than the capture has timeouts.
     """
     timeout_us = timeout_seconds * 1_000_000
-    cells = (
-        by_conversation(packets)
-        .groupBy(*CONVERSATION, F.floor(F.col("us") / timeout_us).alias("cell"))
-        .agg(*packet_measures())
+    cells = packet_cells(packets, int(min(cell_seconds, timeout_seconds) * 1_000_000))
+    span = [*CONVERSATION, "span"]
+    in_span = Window.partitionBy(*span).orderBy("first_us")
+    spans = (
+        cells.withColumn("span", F.floor(F.col("first_us") / timeout_us).cast("bigint"))
+        .withColumn("bridge_sq", squared(F.col("first_us") - F.lag("last_us").over(in_span)))
+        .groupBy(*span)
+        .agg(*merged_measures())
     )
-    in_time = Window.partitionBy(*CONVERSATION).orderBy("cell")
+    in_time = Window.partitionBy(*CONVERSATION).orderBy("first_us")
     idle = F.col("first_us") - F.lag("last_us").over(in_time)
     sessions = (
-        cells.withColumn("starts", F.when(idle <= timeout_us, 0).otherwise(1))
+        spans.withColumn("idle", idle)
+        .withColumn("starts", F.when(F.col("idle") <= timeout_us, 0).otherwise(1))
+        .withColumn("bridge_sq", F.when(F.col("starts") == 0, squared(F.col("idle"))))
         .withColumn("session", F.sum("starts").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*CONVERSATION, "session")
         .agg(*merged_measures())

@@ -171,3 +171,20 @@ def test_captures_round_trip(spark):
     read = C.valid_rows(fx.capture_rows(spark, SF))
     columns = ["Flow ID", "Source IP", "Timestamp", "Flow Bytes/s", "Label", "source_file"]
     assert sorted(map(repr, read.select(*columns).collect())) == sorted(map(repr, raw.select(*columns).collect()))
+
+
+def test_gaps_of_a_busy_tuple(spark):
+    """A third of all packets is one 5-tuple's; the spread of its gaps is the plain one, whatever the cells."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    times = np.sort(draw.integers(0, 600_000_000, 900)) + 1_500_000_000_000_000
+    times[100:110] = times[100]  # equal times: gaps of zero
+    rest = [packet(int(t), f"h{i % 300}", 1, "x", 2) for i, t in enumerate(draw.integers(0, 600_000_000, 1800) + 1_500_000_000_000_000)]
+    df = spark.createDataFrame([packet(int(t), "b", 2, "a", 1) for t in times] + rest, PACKETS)
+    for cell in (0.05, 1.0, 5.0, 60.0):
+        flows = P.packets_to_flows(df, 5, cell).where("src_ip in ('a', 'b') and dst_ip in ('a', 'b')").orderBy("timestamp").collect()
+        cuts = np.flatnonzero(np.diff(times) > 5_000_000) + 1
+        parts = np.split(times, cuts)
+        assert [f.fwd_pkts + f.bwd_pkts for f in flows] == [len(x) for x in parts] and len(parts) > 1
+        assert [f.flow_iat_std for f in flows] == pytest.approx([np.diff(x).std() if len(x) > 1 else 0.0 for x in parts])
