@@ -142,24 +142,34 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("event_id", *[F.col(n).alias(headers[n]) for n in present], *rest)
 
 
-def write_captures(spark: SparkSession, sf_dir: str) -> str:
-    """The raw rows as a folder of CSV captures with dirty headers; returns its path."""
+def write_captures(spark: SparkSession, sf_dir: str, mixed: bool = False) -> str:
+    """The raw rows as a folder of CSV captures with dirty headers; returns its path.
+
+    ``mixed`` captures differ: every second one has its columns in the opposite order and one less, the others repeat a
+    header, and one capture has a header only.
+    """
     raw = raw_flows(spark, sf_dir)
     path = scratch_path(spark, "captures")
     columns = [c for c in raw.columns if c not in ("event_id", "source_file")]
     dirty = [F.col(f"`{c}`").alias(c if c == "Flow ID" else f" {c}") for c in columns]
-    length = F.lit("0").alias(" Fwd Header Length")
+    length = F.lit("0")
     tie = F.col("event_id").cast("string").alias("event_id")
-    (
-        raw.select(*dirty, length, length, tie, "source_file")
-        .toDF(*[c if c == "Flow ID" else f" {c}" for c in columns], " Fwd Header Length", " Fwd Header Length.1", "event_id", "source_file")
-        .write.partitionBy("source_file")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    again = "Fwd Header Length " if mixed else " Fwd Header Length.1"
+    plain = raw.select(*dirty, length.alias(" Fwd Header Length"), length.alias(again), tie, "source_file")
+    cells = [c for c in plain.columns if c != "source_file"]
+
+    def write(df: DataFrame, folder: str, partitioned: bool = True) -> None:
+        out = df.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False)
+        out = out.option("ignoreTrailingWhiteSpace", False).option("emptyValue", "")
+        (out.partitionBy("source_file") if partitioned else out).csv(folder)
+
+    if not mixed:
+        write(plain, path)
+        return path
+    odd = F.substring("source_file", -1, 1).cast("int") % 2 == 1
+    write(plain.where(~odd), path)
+    write(plain.where(odd).select(*[F.col(f"`{c}`") for c in reversed(cells) if c != again], "source_file"), path)
+    write(plain.drop("source_file").limit(0).coalesce(1), f"{path}/source_file=capture_none", partitioned=False)
     return path
 
 

@@ -21,37 +21,46 @@ def _zero(name: str) -> "F.Column":
     return F.lit(0).cast("bigint").alias(name)
 
 
-def file_profile(
-    raw: DataFrame, header: list[str] | None = None, duplicates: list[str] | None = None, files: DataFrame | None = None
-) -> DataFrame:
+def profile_columns() -> list[str]:
+    """Header names the audits read."""
+    return ["Flow ID", "Source IP", "Destination IP", "Timestamp", "Label", *RATE_COLUMNS.values()]
+
+
+def _with_files(per_file: DataFrame, files: DataFrame | None, counts: list[str]) -> DataFrame:
+    """Counts per file with the facts of its header, and the files that have no row, with counts of zero."""
+    none = {"raw_columns_count": F.lit(0), "duplicate_columns": F.array().cast("array<string>")}
+    if files is None:
+        return per_file.withColumns(none)
+    facts = files.withColumns({c: v for c, v in none.items() if c not in files.columns})
+    listed = facts.select("source_file", "file_path", "file_size", *none, *[_zero(c) for c in counts])
+    return per_file.unionByName(listed, allowMissingColumns=True)
+
+
+def file_profile(raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Per capture: bytes, columns, repeated headers, raw / valid / padding rows.
 
-    ``header`` and ``duplicates`` describe the file header; Spark has read it already.
-    ``files`` (``captures.list_captures``) adds the captures that have no row.
+    ``files`` (``captures.header_table``) adds what the headers tell and the captures that have no row.
     """
     valid = valid_row(F.col("Flow ID"), F.col("Source IP"), F.col("Timestamp"))
     # A capture may be stored in several files; each counts once.
     per_file = raw.groupBy("source_file", "file_path").agg(
-        F.max("file_size").alias("size"), F.count(F.lit(1)).alias("raw"), _count(valid).alias("valid")
+        F.max("file_size").alias("file_size"), F.count(F.lit(1)).alias("raw"), _count(valid).alias("valid")
+    )
+    per_file = _with_files(per_file, files, ["raw", "valid"]).groupBy("source_file", "file_path").agg(
+        F.max("file_size").alias("size"), F.sum("raw").alias("raw"), F.sum("valid").alias("valid"),
+        F.max("raw_columns_count").alias("raw_columns_count"), F.max("duplicate_columns").alias("duplicate_columns"),
     )
-    if files is not None:
-        listed = files.select("source_file", "file_path", F.col("file_size").alias("size"), *[_zero(c) for c in ("raw", "valid")])
-        per_file = (
-            per_file.unionByName(listed)
-            .groupBy("source_file", "file_path")
-            .agg(F.max("size").alias("size"), F.sum("raw").alias("raw"), F.sum("valid").alias("valid"))
-        )
     return (
         per_file.groupBy("source_file")
         .agg(
             F.sum("size").alias("file_size_bytes"),
             F.sum("raw").alias("total_raw_rows"),
             F.sum("valid").alias("valid_rows"),
+            F.max("raw_columns_count").alias("raw_columns_count"),
+            F.max("duplicate_columns").alias("duplicate_columns"),
         )
         .withColumn("file_size_mb", F.round(F.col("file_size_bytes") / F.lit(1048576.0), 2))
         .withColumn("empty_padding_rows", F.col("total_raw_rows") - F.col("valid_rows"))
-        .withColumn("raw_columns_count", F.lit(len(header or [])))
-        .withColumn("duplicate_columns", F.array(*[F.lit(d) for d in duplicates or []]).cast("array<string>"))
     )
 
 
@@ -211,27 +220,24 @@ def profile_cells(raw: DataFrame) -> DataFrame:
     )
 
 
-def profile_report(
-    raw: DataFrame, header: list[str] | None = None, duplicates: list[str] | None = None, files: DataFrame | None = None
-) -> DataFrame:
-    """The whole profile, one row per capture, from a single scan of the captures.
-
-    ``header``, ``duplicates`` and ``files`` are as for ``file_profile``.
-    """
+def profile_report(raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The whole profile, one row per capture, from a single scan of the captures; ``files`` as for ``file_profile``."""
     cells = materialise(profile_cells(raw), "profile_cells")
     audits = [f"{c}_{kind}" for c in RATE_COLUMNS for kind in ("infinity", "negative_infinity", "nan", "null")]
     sums = ["rows", "flows", "unparsed", *audits]
-    if files is not None:
-        listed = files.select("source_file", "file_path", "file_size", *[_zero(c) for c in sums])
-        cells = cells.unionByName(listed, allowMissingColumns=True)
+    cells = _with_files(cells, files, sums)
     by_file = cells.groupBy("source_file", "file_path").agg(
         F.max("file_size").alias("size"),
+        F.max("raw_columns_count").alias("raw_columns_count"),
+        F.max("duplicate_columns").alias("duplicate_columns"),
         *[F.sum(c).alias(c) for c in sums],
         F.min("min_ts").alias("min_ts"),
         F.max("max_ts").alias("max_ts"),
     )
     totals = by_file.groupBy("source_file").agg(
         F.sum("size").alias("file_size_bytes"),
+        F.max("raw_columns_count").alias("raw_columns_count"),
+        F.max("duplicate_columns").alias("duplicate_columns"),
         *[F.sum(c).alias(c) for c in sums],
         F.min("min_ts").alias("min_datetime"),
         F.max("max_ts").alias("max_datetime"),
@@ -253,8 +259,8 @@ def profile_report(
             "source_file",
             "file_size_bytes",
             F.round(F.col("file_size_bytes") / F.lit(1048576.0), 2).alias("file_size_mb"),
-            F.lit(len(header or [])).alias("raw_columns_count"),
-            F.array(*[F.lit(d) for d in duplicates or []]).cast("array<string>").alias("duplicate_columns"),
+            "raw_columns_count",
+            "duplicate_columns",
             F.col("rows").alias("total_raw_rows"),
             F.col("flows").alias("valid_rows"),
             (F.col("rows") - F.col("flows")).alias("empty_padding_rows"),

@@ -124,7 +124,10 @@ FLOW_FIELDS = ", ".join(fx.select_list(fx.flow_fields(), "VARCHAR"))
 PACKET_FIELDS = ", ".join(fx.select_list(fx.packet_fields(), "VARCHAR"))
 LAYER_WIDTH = len(NODE_FEATURES)
 #: Record fields, flow id, two repeated headers and the tie key.
-RAW_COLUMNS = f"CAST({len(CSV_FIELDS) + 1 + 3} AS INTEGER)"
+# Every second capture has one column less; the others name one twice.
+ODD_CAPTURE = "right(source_file, 1) IN ('1', '3', '5', '7', '9')"
+RAW_COLUMNS = f"CAST(CASE WHEN {ODD_CAPTURE} THEN {len(CSV_FIELDS) + 1 + 2} ELSE {len(CSV_FIELDS) + 1 + 3} END AS INTEGER)"
+REPEATED = f"CASE WHEN {ODD_CAPTURE} THEN '' ELSE 'Fwd Header Length' END"
 
 
 def _layer(name: str, before: str) -> list[tuple[str, str]]:
@@ -664,10 +667,11 @@ def _profile() -> str:
     kinds = ("infinity", "negative_infinity", "nan", "null")
     problems = ", ".join(f"{' + '.join(f'{c}_{k}' for k in kinds)} AS {c}_problematic" for c in ("flow_bytes_s", "flow_pkts_s"))
     return sql(
-        f"SELECT source_file, {RAW_COLUMNS} AS raw_columns_count, '' AS duplicate_columns, total_raw_rows, valid_rows, empty_padding_rows, {ts('lo')} AS min_datetime, {ts('hi')} AS max_datetime, {r(seconds)} AS duration_seconds, "
+        f"SELECT source_file, {RAW_COLUMNS} AS raw_columns_count, {REPEATED} AS duplicate_columns, total_raw_rows, valid_rows, empty_padding_rows, {ts('lo')} AS min_datetime, {ts('hi')} AS max_datetime, {r(seconds)} AS duration_seconds, "
         f"round({seconds} / 3600.0, 2) AS duration_hours, unparsed_timestamp_count, {audits}, {problems}, label_distribution, unique_source_ips, unique_destination_ips, v AS total_unique_hosts, "
         f"e AS unique_directed_pairs, {r('e / (CAST(v AS DOUBLE) * (v - 1))')} AS graph_density, round(e / CAST(v AS DOUBLE), 2) AS average_out_degree, "
-        "round(valid_rows / CAST(e AS DOUBLE), 2) AS flows_per_edge_ratio FROM totals JOIN label_text USING (source_file) JOIN host_counts USING (source_file)",
+        "round(valid_rows / CAST(e AS DOUBLE), 2) AS flows_per_edge_ratio FROM totals JOIN label_text USING (source_file) JOIN host_counts USING (source_file) "
+        f"UNION ALL SELECT source_file, {RAW_COLUMNS}, {REPEATED}, 0, 0, 0, NULL, NULL, 0.0, 0.0, 0, {', '.join(['0'] * 10)}, '', {', '.join(['NULL'] * 7)} FROM (SELECT 'capture_none' AS source_file)",
         ctes,
     )
 
@@ -772,8 +776,9 @@ def oracle_sql() -> dict[str, str]:
         "apply_robust_scaler": sql(f"SELECT {KEY}, ip, {each(NODE_FEATURES)} FROM scaled_nodes"),
         "standard_scale": _standard(),
         "file_profile": sql(
-            f"SELECT source_file, true AS has_size, {RAW_COLUMNS} AS raw_columns_count, '' AS duplicates, count(*) AS total_raw_rows, count(*) FILTER (WHERE {VALID}) AS valid_rows, "
-            f"count(*) - count(*) FILTER (WHERE {VALID}) AS empty_padding_rows FROM raw GROUP BY 1"
+            f"SELECT source_file, true AS has_size, {RAW_COLUMNS} AS raw_columns_count, {REPEATED} AS duplicates, count(*) AS total_raw_rows, count(*) FILTER (WHERE {VALID}) AS valid_rows, "
+            f"count(*) - count(*) FILTER (WHERE {VALID}) AS empty_padding_rows FROM raw GROUP BY 1 "
+            f"UNION ALL SELECT source_file, true, {RAW_COLUMNS}, {REPEATED}, 0, 0, 0 FROM (SELECT 'capture_none' AS source_file)"
         ),
         "inf_nan_audit": _audit(),
         "time_range_audit": sql(
@@ -783,7 +788,7 @@ def oracle_sql() -> dict[str, str]:
         "topology_profile": _topology("source_file"),
         "topology_global": _topology(""),
         "dataset_summary": sql(
-            f"SELECT count(DISTINCT source_file) AS total_files, count(*) AS total_raw_lines, count(*) FILTER (WHERE {VALID}) AS total_valid_rows, "
+            f"SELECT count(DISTINCT source_file) + 1 AS total_files, count(*) AS total_raw_lines, count(*) FILTER (WHERE {VALID}) AS total_valid_rows, "
             f"count(*) - count(*) FILTER (WHERE {VALID}) AS total_padding_rows, count(DISTINCT label) FILTER (WHERE {VALID}) AS unique_classes FROM raw"
         ),
         "split_class_counts": sql("SELECT split, target_category, count(*) AS n FROM series GROUP BY 1, 2"),

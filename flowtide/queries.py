@@ -83,8 +83,17 @@ class Tables:
         return self._once("capture_folder", lambda: fx.write_captures(self.spark, self.sf_dir))
 
     @property
-    def header(self) -> list[str]:
-        return [c for c in self.captures.columns if c not in ("source_file", "file_path", "file_size")]
+    def mixed_folder(self) -> str:
+        """Captures of two layouts, and one without rows."""
+        return self._once("mixed_folder", lambda: fx.write_captures(self.spark, self.sf_dir, mixed=True))
+
+    @property
+    def headers(self) -> DataFrame:
+        return self._once("headers", lambda: captures.header_table(self.spark, self.mixed_folder))
+
+    @property
+    def mixed_captures(self) -> DataFrame:
+        return captures.read_raw_dir(self.spark, self.mixed_folder, profile.profile_columns(), self.headers)
 
     @property
     def indexed(self) -> DataFrame:
@@ -315,7 +324,7 @@ def read_flow_csv(t: Tables) -> DataFrame:
 
 @query
 def read_flow_dir(t: Tables) -> DataFrame:
-    return rounded(captures.read_flow_dir(t.spark, t.capture_folder))
+    return rounded(captures.read_flow_dir(t.spark, t.mixed_folder))
 
 
 @query
@@ -571,8 +580,7 @@ def standard_scale(t: Tables) -> DataFrame:
 
 @query
 def file_profile(t: Tables) -> DataFrame:
-    files = captures.list_captures(t.spark, t.capture_folder)
-    report = profile.file_profile(t.captures, t.header, captures.duplicate_headers(t.header), files)
+    report = profile.file_profile(t.mixed_captures, t.headers)
     # Sizes depend on how the files were written; only that they are there is compared.
     return report.select(
         "source_file",
@@ -612,7 +620,7 @@ def topology_global(t: Tables) -> DataFrame:
 
 @query
 def dataset_summary(t: Tables) -> DataFrame:
-    return profile.dataset_summary(fx.raw_flows(t.spark, t.sf_dir))
+    return profile.dataset_summary(t.mixed_captures, t.headers)
 
 
 @query
@@ -755,8 +763,7 @@ def model_comparison(t: Tables) -> DataFrame:
 @query
 def profile_report(t: Tables) -> DataFrame:
     """All audits of the captures from one scan; the label map as text."""
-    files = captures.list_captures(t.spark, t.capture_folder)
-    report = profile.profile_report(t.captures, t.header, captures.duplicate_headers(t.header), files)
+    report = profile.profile_report(t.mixed_captures, t.headers)
     report = report.drop("file_size_bytes", "file_size_mb").withColumn("duplicate_columns", F.concat_ws(",", "duplicate_columns"))
     text = F.concat_ws(",", F.transform(F.map_entries("label_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
     return rounded(report.withColumn("label_distribution", text))

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import pyarrow as pa
+
 from flowtide.functions.labels import sanitize_label
 from flowtide.functions.values import fix_12h_clock, has_text, parse_timestamp, strip, to_number, to_whole
+from flowtide.plans.materialise import materialise, scratch_path
 from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA
 
 
+# Columns that every capture must name in its header.
+KEY_COLUMNS = ("Flow ID", "Source IP", "Timestamp")
+# More than any file: each file is a task of its own, read from its start.
+WHOLE_FILE = str(1 << 50)
+FILE_FIELDS = ("source_file", "file_path", "file_size")
+
+
 def _file_name() -> Column:
     """The plain name of a row's file; Spark's metadata gives it percent-encoded, a plus sign as it is."""
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
@@ -63,14 +74,19 @@ def duplicate_headers(columns: list[str]) -> list[str]:
 
 
 def normalize_headers(raw: DataFrame) -> DataFrame:
-    """Trim header blanks; the first of a repeated header gets the plain name."""
+    """Trim header blanks; the first of a repeated header gets the plain name.
+
+    Headers repeat exactly (Spark then appends their position) or only once they are trimmed.
+    """
     repeated = duplicate_headers(raw.columns)
     names, seen = [], set()
     for i, column in enumerate(raw.columns):
         name = column.strip()
         if name.endswith(str(i)) and name[: -len(str(i))].strip() in repeated:
             base = name[: -len(str(i))].strip()
-            name = base if base not in seen else f"{base}_{i}"
+            name = base
+        if name in seen:
+            name = f"{name}_{i}"
         seen.add(name)
         names.append(name)
     return raw.toDF(*names)
@@ -124,38 +140,85 @@ def list_captures(spark: SparkSession, path: str) -> DataFrame:
     return found.select(source.alias("source_file"), F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("file_size"))
 
 
-def header_layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """The distinct header lines of a folder's captures, each with its files.
+def header_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row per ``*.csv``: ``source_file, file_path, file_size, header, raw_columns_count, duplicate_columns``.
+
+    Each file is one task that reads until its first line with text and stops there, so files are listed but not
+    scanned.  A file without a byte is no capture, as Spark does not list it.  A name is a duplicate when an earlier one
+    is equal after trimming.  The table is written: later steps read it, not the files.
+    """
+
+    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, line in enumerate(batch.column("header").to_pylist()):
+                if line.strip():
+                    yield batch.slice(i, 1)
+                    return
+
+    # Settings of a session of its own, which shares everything but settings with the caller's.
+    one_by_one = spark.newSession()
+    for setting in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        one_by_one.conf.set(setting, WHOLE_FILE)
+    lines = one_by_one.read.option("pathGlobFilter", "*.csv").text(path)
+    found = lines.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("header"), F.col("_metadata.file_path").alias("file_path"))
+    written = scratch_path(spark, "header_lines")
+    found.mapInArrow(first_line, "header string, file_path string").write.parquet(written)
+    headers = spark.read.schema("header string, file_path string").parquet(written)
+    names = F.transform(F.split("header", ","), lambda c: strip(c))
+    repeated = F.array_distinct(F.filter("names", lambda c, i: F.array_contains(F.slice("names", F.lit(1), i), c)))
+    listed = list_captures(spark, path).join(headers, "file_path", "left").withColumn("names", names)
+    return materialise(
+        listed.select(
+            *FILE_FIELDS, "header", F.coalesce(F.size("names"), F.lit(0)).alias("raw_columns_count"),
+            F.coalesce(repeated, F.array().cast("array<string>")).alias("duplicate_columns"),
+        ),
+        "headers",
+    )
+
+
+def header_layouts(headers: DataFrame) -> list[tuple[str, list[str]]]:
+    """The distinct header lines of ``header_table``, each with its files.
 
-    One scan of the lines without parsing them.  A header is a line that names the three columns every
-    flow must fill; a capture that is not empty and has none makes the read fail.  Layouts are
-    few, and their files are a part of the listing that Spark's reader holds as well.
+    A capture that is not empty and whose header lacks a key column fails.  Layouts are few, and their files are
+    a part of the listing that Spark's reader holds as well.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    named = [F.col("value").contains(name) for name in ("Flow ID", "Source IP", "Timestamp")]
-    headers = lines.where(named[0] & named[1] & named[2]).select("value", F.col("_metadata.file_path").alias("file")).distinct()
-    layouts = [(r["value"], sorted(r["files"])) for r in headers.groupBy("value").agg(F.collect_list("file").alias("files")).collect()]
-    known = {file for _, files in layouts for file in files}
-    lost = [r.file_path for r in list_captures(spark, path).where("file_size > 0").collect() if r.file_path not in known]
+    complete = F.lit(True)
+    for name in KEY_COLUMNS:
+        complete = complete & F.coalesce(F.contains("header", F.lit(name)), F.lit(False))
+    lost = [r.file_path for r in headers.where((F.col("file_size") > 0) & ~complete).select("file_path").limit(5).collect()]
     if lost:
-        raise ValueError(f"captures without a header: {lost[:5]}")
-    return sorted(layouts)
+        raise ValueError(f"captures without a header: {lost}")
+    by_header = headers.where(complete).groupBy("header").agg(F.collect_list("file_path").alias("files"))
+    return sorted((r["header"], sorted(r["files"])) for r in by_header.collect())
+
+
+def _by_layout(spark: SparkSession, path: str, headers: DataFrame | None) -> list[DataFrame]:
+    """The captures under clean headers, one table per header line."""
+    layouts = header_layouts(headers or header_table(spark, path))
+    if len(layouts) < 2:
+        return [normalize_headers(read_raw_untyped(spark, path))]
+    return [normalize_headers(read_raw_untyped(spark, [unquote(f) for f in files], base=path)) for _, files in layouts]
+
 
+def read_raw_dir(spark: SparkSession, path: str, columns: Sequence[str], headers: DataFrame | None = None) -> DataFrame:
+    """The named columns of all ``*.csv`` of a folder as text, found by name whatever the order of a capture's columns.
 
-def read_flow_dir(spark: SparkSession, path: str) -> DataFrame:
+    A column that a capture lacks is null.  ``headers`` takes a ``header_table`` that is written already.
+    """
+    def pick(raw: DataFrame) -> DataFrame:
+        cells = [(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in columns]
+        return raw.select(*cells, *FILE_FIELDS)
+
+    return reduce(DataFrame.unionByName, map(pick, _by_layout(spark, path, headers)))
+
+
+def read_flow_dir(spark: SparkSession, path: str, headers: DataFrame | None = None) -> DataFrame:
     """All ``*.csv`` of a folder, each row tagged with its capture.
 
     Columns are found by name: captures that share a header are one scan, and scans of
     different headers are stacked.
     """
-    layouts = header_layouts(spark, path)
-    if len(layouts) < 2:
-        return read_flow_csv(spark, path)
-    typed = [
-        flow_projection(valid_rows(normalize_headers(read_raw_untyped(spark, [unquote(f) for f in files], base=path))))
-        for _, files in layouts
-    ]
-    return reduce(DataFrame.unionByName, typed)
+    return reduce(DataFrame.unionByName, [flow_projection(valid_rows(raw)) for raw in _by_layout(spark, path, headers)])
 
 
 def read_flows(spark: SparkSession, path: str, reader=read_flow_csv) -> DataFrame:

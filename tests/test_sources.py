@@ -100,7 +100,7 @@ def test_captures_without_rows_are_profiled(spark, tmp_path):
     raw = C.normalize_headers(C.read_raw_untyped(spark, str(tmp_path)))
     size = (tmp_path / "none.csv").stat().st_size
     counts = lambda df: {r.source_file: (r.file_size_bytes, r.total_raw_rows, r.valid_rows) for r in df.collect()}
-    for report in (profile.file_profile(raw, files=files), profile.profile_report(raw, files=files)):
+    for report in (profile.file_profile(raw, files), profile.profile_report(raw, files)):
         found = counts(report)
         assert set(found) == {"a.csv", "none.csv"} and found["none.csv"] == (size, 0, 0) and found["a.csv"][1:] == (3, 3)
     assert profile.dataset_summary(raw, files).first().total_files == 2
@@ -188,3 +188,26 @@ def test_gaps_of_a_busy_tuple(spark):
         parts = np.split(times, cuts)
         assert [f.fwd_pkts + f.bwd_pkts for f in flows] == [len(x) for x in parts] and len(parts) > 1
         assert [f.flow_iat_std for f in flows] == pytest.approx([np.diff(x).std() if len(x) > 1 else 0.0 for x in parts])
+
+
+def test_headers_without_scanning(spark, tmp_path):
+    """Three layouts, repeated names, a header only, an empty file, a byte order mark; long files are not read on."""
+    write(tmp_path / "a.csv", [line()] * 60_000)
+    write(tmp_path / "b b.csv", [",".join(line().split(",")[::-1])], HEADERS[::-1])
+    write(tmp_path / "c.csv", [line() + ",5,6"], HEADERS + [" Fwd Header Length", "Fwd Header Length "])
+    write(tmp_path / "none.csv", [])
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "mark.csv").write_bytes(b"\xef\xbb\xbf" + (tmp_path / "none.csv").read_bytes().replace(b"\n", b"\r\n"))
+    table = C.header_table(spark, str(tmp_path))
+    found = {r.source_file: (r.raw_columns_count, r.duplicate_columns) for r in table.collect()}
+    n = len(HEADERS)
+    assert found == {"a.csv": (n, []), "b b.csv": (n, []), "c.csv": (n + 2, ["Fwd Header Length"]), "none.csv": (n, []), "mark.csv": (n, [])}
+    raw = C.read_raw_dir(spark, str(tmp_path), [*profile.profile_columns(), "Lost"], table)
+    counts = {r.source_file: r for r in profile.file_profile(raw, table).collect()}
+    assert {k: (r.total_raw_rows, r.valid_rows, r.raw_columns_count) for k, r in counts.items()} == {
+        "a.csv": (60_000, 60_000, n), "b b.csv": (1, 1, n), "c.csv": (1, 1, n + 2), "none.csv": (0, 0, n), "mark.csv": (0, 0, n)
+    }
+    assert {r.source_file: r.duplicate_columns for r in profile.profile_report(raw, table).collect()}["c.csv"] == ["Fwd Header Length"]
+    assert profile.dataset_summary(raw, table).first().total_files == 5
+    assert raw.where("`Lost` is not null").count() == 0 and raw.select("Source IP").distinct().count() == 1
+    assert C.read_flow_dir(spark, str(tmp_path), table).groupBy("src_ip", "dst_port").count().first()["count"] == 60_002
