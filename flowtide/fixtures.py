@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtide.sources.captures import normalize_headers, read_raw_untyped
 from flowtide.plans.materialise import scratch_path
-from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA
+from flowtide.schema import CSV_FIELDS, FLOW_SCHEMA, N_CLASSES, NODE_FEATURES, WINDOW_FEATURES
 
 WINDOW_SECONDS = 7_200
 HISTORY = 10
@@ -66,6 +66,23 @@ RAW_TEXT = {
 }
 
 
+def stored_coefficients() -> dict[str, tuple[list[list[float]], list[float]]]:
+    """Rows and biases of models of full size, from a formula: transition, threat head and baseline.
+
+    Ratios over a tiny range make some state values millions of times larger than others; weights go by that size.
+    """
+    width = 2 * len(NODE_FEATURES)
+    size = [1e6 if i % len(NODE_FEATURES) in (6, 7) else 10.0 for i in range(width)]
+    step = lambda j, lag, i: (
+        size[j] / size[i] * ((j * 5 + lag * 3 + i * 7) % 13 - 6) / 1000.0 + (0.5 if lag == HISTORY - 1 and i == j else 0.0)
+    )
+    return {
+        "transition": ([[step(j, lag, i) for lag in range(HISTORY) for i in range(width)] for j in range(width)], [size[j] * (j % 3 - 1) / 100.0 for j in range(width)]),
+        "head": ([[((c * 3 + j * 5) % 11 - 5) / size[j] / 4.0 for j in range(width)] for c in range(N_CLASSES)], [(c * 2 % 7) / 5.0 for c in range(N_CLASSES)]),
+        "baseline": ([[((c * 4 + j * 3) % 9 - 4) / 4.0 for j in range(len(WINDOW_FEATURES))] for c in range(N_CLASSES)], [(c * 3 % 7) / 5.0 for c in range(N_CLASSES)]),
+    }
+
+
 def select_list(fields: dict[str, str], text: str) -> list[str]:
     return [f"{expression.format(text=text)} AS {name}" for name, expression in fields.items()]
 

@@ -15,7 +15,7 @@ from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtide.functions.labels import category_name
 from flowtide.functions.threat import array_sum, class_map, horizon_label, let, risk_tier, softmax, threat_score, top_index
@@ -92,6 +92,52 @@ def baseline_project(predicted: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return predicted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
 
 
+def baseline_head(model: PipelineModel) -> ThreatHead:
+    """Coefficients of a fitted baseline, for standardised statistics."""
+    regression = model.stages[-1]
+    return ThreatHead(regression.coefficientMatrix.toArray().tolist(), regression.interceptVector.toArray().tolist())
+
+
+def linear_predict(head: ThreatHead, series: DataFrame, features: list[str] = WINDOW_FEATURES) -> DataFrame:
+    """Add ``y_pred`` and ``probabilities`` from coefficients and standardised statistics, as a projection."""
+    p = softmax(affine(head.rows, head.bias, F.array(*[F.col(f).cast("double") for f in features])))
+    scored = series.withColumn("probabilities", p)
+    return scored.withColumn("y_pred", top_index(F.col("probabilities")))
+
+
+# --- stored coefficients ------------------------------------------------------------
+
+BIAS = -1
+
+
+def coefficient_table(spark: SparkSession, models: dict[str, Transition | ThreatHead]) -> DataFrame:
+    """Linear models as rows ``model, row, position, value``; the bias of a row has position -1.
+
+    As large as the models, which the driver holds anyway.
+    """
+    rows = [
+        (name, j, i, float(x))
+        for name, m in models.items()
+        for j, row in enumerate(m.rows)
+        for i, x in [(BIAS, m.bias[j]), *enumerate(row)]
+    ]
+    return spark.createDataFrame(rows, "model string, row int, position int, value double")
+
+
+def models_of(table: DataFrame) -> dict[str, ThreatHead]:
+    """The models of a ``coefficient_table``; a model with a gap in its rows or positions fails."""
+    found: dict[str, dict[int, dict[int, float]]] = {}
+    for r in table.collect():
+        found.setdefault(r.model, {}).setdefault(r.row, {})[r.position] = r.value
+    out = {}
+    for name, rows in found.items():
+        width = max(len(row) for row in rows.values()) - 1
+        if any(set(row) != set(range(BIAS, width)) for row in rows.values()) or set(rows) != set(range(len(rows))):
+            raise ValueError(f"coefficients of {name} are incomplete")
+        out[name] = ThreatHead([[rows[j][i] for i in range(width)] for j in range(len(rows))], [rows[j][BIAS] for j in range(len(rows))])
+    return out
+
+
 # --- state forecaster ---------------------------------------------------------------
 
 

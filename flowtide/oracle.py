@@ -366,8 +366,8 @@ def sql(final: str, extra: list[tuple[str, str]] | None = None, linked: str = "e
                     needed.append(name)
 
     visit(final)
-    order = [n for n in tables if n in needed]
-    return f"WITH {', '.join(f'{n} AS ({tables[n]})' for n in order)} {final}" if order else final
+    # A table stands in ``needed`` after those it is made of.
+    return f"WITH {', '.join(f'{n} AS ({tables[n]})' for n in needed)} {final}" if needed else final
 
 
 def _sequence_rows(within_file: bool = False, slid: bool = False) -> str:
@@ -389,20 +389,25 @@ def _horizon_metrics() -> str:
     return each(names) + ", " + r("round(gain, 4)") + " AS f1_improvement"
 
 
-EVALUATION = sql(
-    f"SELECT horizon, 't+' || horizon AS horizon_label, CAST(horizon * {W} AS BIGINT) AS lead_time_seconds, "
-    f"round(horizon * {W} / CAST(60.0 AS DOUBLE), 2) AS lead_time_minutes, {_horizon_metrics()}, "
-    + ", ".join(f"(SELECT told FROM class_texts c WHERE c.horizon = compared.horizon AND c.model = {q(m)}) AS {m}_classes" for m in ("forecaster", "baseline"))
-    + " FROM compared",
-    [
-        (
-            "class_texts",
-            f"SELECT model, horizon, string_agg({class_name('class_index')} || ':' || "
-            + " || ':' || ".join(f"CAST(round({c} * 10000) AS BIGINT)" for c in ("precision", "recall", "f1"))
-            + " || ':' || support, ',' ORDER BY class_index) AS told FROM class_scores GROUP BY 1, 2",
-        )
-    ],
-)
+def _evaluation(extra: list[tuple[str, str]] | None = None) -> str:
+    return sql(
+        f"SELECT horizon, 't+' || horizon AS horizon_label, CAST(horizon * {W} AS BIGINT) AS lead_time_seconds, "
+        f"round(horizon * {W} / CAST(60.0 AS DOUBLE), 2) AS lead_time_minutes, {_horizon_metrics()}, "
+        + ", ".join(f"(SELECT told FROM class_texts c WHERE c.horizon = compared.horizon AND c.model = {q(m)}) AS {m}_classes" for m in ("forecaster", "baseline"))
+        + " FROM compared",
+        [
+            *(extra or []),
+            (
+                "class_texts",
+                f"SELECT model, horizon, string_agg({class_name('class_index')} || ':' || "
+                + " || ':' || ".join(f"CAST(round({c} * 10000) AS BIGINT)" for c in ("precision", "recall", "f1"))
+                + " || ':' || support, ',' ORDER BY class_index) AS told FROM class_scores GROUP BY 1, 2",
+            ),
+        ],
+    )
+
+
+EVALUATION = _evaluation()
 
 FLOW_OUT = ", ".join(
     f"{ts(f.name)} AS {f.name}" if f.name == "timestamp" else (f"{r(f.name)} AS {f.name}" if f.dataType.simpleString() == "double" else f.name)
@@ -525,6 +530,112 @@ def _feature_attribution() -> str:
     return _shared(" UNION ALL ".join(one.format(f=q(f), w=w, z=z) for f, (z, w) in zip(SIMPLE_FEATURES, ATTACK.items())), "feature")
 
 
+def _literal(numbers) -> str:
+    kind = "[][]" if isinstance(numbers[0], list) else "[]"
+    return repr(numbers) + "::DOUBLE" + kind
+
+
+def _stored_tables() -> list[tuple[str, str]]:
+    """Encoded windows, and what the stored models make of them: trajectories and baseline predictions."""
+    models = fx.stored_coefficients()
+    values = ", ".join(f"{_literal(rows)} AS {name}, {_literal(bias)} AS {name}_bias" for name, (rows, bias) in models.items())
+    dims = range(LAYER_WIDTH)
+    z = ", ".join([*[f"avg(h_{i})" for i in dims], *[f"max(h_{i})" for i in dims]])
+    pick = lambda f: f"({f} - avg({f}) FILTER (WHERE split = 'train') OVER ()) / coalesce(nullif(stddev_pop({f}) FILTER (WHERE split = 'train') OVER (), 0), 1.0)"
+    linear = lambda name, x: f"list_transform(m.{name}, lambda w, i: list_dot_product(w, {x}) + m.{name}_bias[i])"
+    exps = "list_transform(l, lambda x: exp(x - list_max(l)))"
+    tables = [
+        ("stored", f"SELECT {values}"),
+        ("coded", f"SELECT s.split, s.split_idx, r.z FROM (SELECT {KEY}, [{z}]::DOUBLE[] AS z FROM layer2 GROUP BY {KEY}) r JOIN series s USING ({KEY})"),
+        ("runs", f"SELECT split, split_idx AS origin_idx, list(z) OVER (PARTITION BY split ORDER BY split_idx ROWS {N - 1} PRECEDING) AS h FROM coded"),
+        ("kept0", f"SELECT split, origin_idx, h FROM runs WHERE len(h) = {N}"),
+        *[(f"kept{k}", f"SELECT split, origin_idx, list_append(h[2:], {linear('transition', 'flatten(h)')}) AS h FROM kept{k - 1}, stored m") for k in range(1, K + 1)],
+        ("ahead", " UNION ALL ".join(f"SELECT split, origin_idx, {k} AS step, h[{N}] AS z FROM kept{k}" for k in range(1, K + 1))),
+        ("head_logits", f"SELECT split, origin_idx, step, {linear('head', 'z')} AS l FROM ahead, stored m"),
+        ("head_exps", f"SELECT *, {exps} AS e FROM head_logits"),
+        (
+            "stored_path",
+            "SELECT split, origin_idx, CAST(step AS INTEGER) AS step, list_position(l, list_max(l)) - 1 AS class_index, list_max(e) / list_sum(e) AS confidence, "
+            f"1.0 - e[1] / list_sum(e) AS threat_score, e[{N_CLASSES}] / list_sum(e) AS p_infiltration FROM head_exps",
+        ),
+        ("standardised", f"SELECT split, split_idx, [{', '.join(pick(f) for f in WINDOW_FEATURES)}]::DOUBLE[] AS x FROM series"),
+        ("base_logits", f"SELECT split, split_idx, {linear('baseline', 'x')} AS l FROM standardised, stored m"),
+        ("base_exps", f"SELECT *, {exps} AS e FROM base_logits"),
+        ("base_path", "SELECT split, split_idx, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS y_pred, list_max(e) / list_sum(e) AS confidence FROM base_exps"),
+    ]
+    transition, head = models["transition"][0], models["head"][0]
+    attack = [sum(row[j] for c, row in enumerate(head) if c) for j in range(2 * LAYER_WIDTH)]
+    weights = [sum(attack[j] * transition[j][i] for j in range(len(attack))) for i in range(len(transition[0]))]
+    d = len(attack)
+    masked = [[w if i % d % LAYER_WIDTH == f else 0.0 for i, w in enumerate(weights)] for f in range(LAYER_WIDTH)]
+    share = "round(part / (sum(part) OVER (PARTITION BY split, origin_idx) + CAST(1e-12 AS DOUBLE)), 4) AS importance"
+    lags = " UNION ALL ".join(
+        f"SELECT split, origin_idx, {i} AS lag, abs(list_dot_product(h[{i + 1}], {_literal(weights[i * d : (i + 1) * d])})) AS part FROM kept0" for i in range(N)
+    )
+    features = " UNION ALL ".join(
+        f"SELECT split, origin_idx, {q(name)} AS feature, abs(list_dot_product(flatten(h), {_literal(masked[f])})) AS part FROM kept0" for f, name in enumerate(NODE_FEATURES)
+    )
+    label = f"CASE WHEN lag < {N - 1} THEN 't-' || ({N - 1} - lag) ELSE 't (Current)' END AS lag_label"
+    return [
+        *tables,
+        ("lag_shares", f"SELECT split, origin_idx, CAST(lag AS INTEGER) AS lag, {label}, {share} FROM ({lags})"),
+        ("feature_shares", f"SELECT split, origin_idx, feature, {share} FROM ({features})"),
+    ]
+
+
+def _stored_queries() -> dict[str, str]:
+    tables = _stored_tables()
+    made = (
+        "made",
+        "SELECT split, origin_idx, 'forecaster' AS model, step, class_index AS y_pred FROM stored_path WHERE split = 'test' "
+        "UNION ALL SELECT split, split_idx, 'baseline', step, y_pred FROM base_path, steps WHERE split = 'test'",
+    )
+    part = lambda x: f"CAST(round({x} * 10000) AS BIGINT)"
+    told = [
+        (
+            "path_text",
+            f"SELECT p.split, p.origin_idx, count(*) AS n, string_agg(step || ':+' || (step * {W}) || 's:' || {class_name('p.class_index')} || ':' || {part('confidence')} || ':' || {part('threat_score')} || ':' || "
+            f"s.target_category || ':' || CASE WHEN s.target_category = {class_name('p.class_index')} THEN 'MATCH' ELSE 'MISMATCH' END, ',' ORDER BY step) AS trajectory "
+            "FROM stored_path p JOIN series s ON s.split = p.split AND s.split_idx = p.origin_idx + p.step GROUP BY 1, 2",
+        ),
+        (
+            "path_risk",
+            f"SELECT split, origin_idx, {r4('max(threat_score)')} AS max_threat_score, {r4('avg(threat_score)')} AS mean_threat_score, {tier('max(threat_score)', ' RISK')} AS overall_risk_level, "
+            f"{r4('max(p_infiltration)')} AS max_step_infiltration_prob, {r4('1.0 - product(1.0 - p_infiltration)')} AS infiltration_risk_horizon, max(class_index) FILTER (WHERE step = 1) AS first_class FROM stored_path GROUP BY 1, 2",
+        ),
+        ("ranked_features", "SELECT *, row_number() OVER (PARTITION BY split, origin_idx ORDER BY importance DESC, feature) AS rn FROM feature_shares"),
+        ("feature_text", f"SELECT split, origin_idx, string_agg(rn || ':' || feature || ':' || {part('importance')}, ',' ORDER BY rn) AS top_features FROM ranked_features WHERE rn <= 5 GROUP BY 1, 2"),
+        ("lag_text", f"SELECT split, origin_idx, string_agg(lag_label || ':' || {part('importance')}, ',' ORDER BY lag) AS past_windows FROM lag_shares GROUP BY 1, 2"),
+        ("host_sizes", f"SELECT {KEY}, count(*) AS active_hosts FROM nodes GROUP BY ALL"),
+        ("edge_sizes", f"SELECT {KEY}, count(*) AS active_edges FROM edges GROUP BY ALL"),
+    ]
+    known = ", ".join(
+        f"{case(class_name('k.first_class'), {n: v[i] for n, v in KNOWLEDGE.items()}, q(KNOWLEDGE['BENIGN'][i]))} AS {name}" for i, name in enumerate(KNOWLEDGE_FIELDS)
+    )
+    return {
+        "rollout": sql(
+            f"SELECT split, origin_idx, step, 't+' || step AS horizon_label, CAST(class_index AS INTEGER) AS class_index, {class_name('class_index')} AS predicted_class, "
+            f"{r('confidence')} AS confidence, {r('threat_score')} AS threat_score, {tier('threat_score')} AS risk_tier FROM stored_path",
+            tables,
+        ),
+        "baseline_predict": sql(f"SELECT split, split_idx, y_pred, {r('confidence')} AS confidence FROM base_path", tables),
+        "baseline_project": sql("SELECT split, split_idx AS origin_idx, step, y_pred FROM base_path, steps", tables),
+        "evaluate_models": _evaluation([*tables, made]),
+        "temporal_attribution": sql(f"SELECT split, origin_idx, lag, lag_label, {r('importance')} AS importance FROM lag_shares", tables),
+        "feature_attribution": sql(f"SELECT split, origin_idx, feature, {r('importance')} AS importance FROM feature_shares", tables),
+        "forecast_report": sql(
+            f"SELECT p.split, p.origin_idx, {ts(f'make_timestamp(o.origin_us + s.window_idx * {W * 1_000_000})')} AS start_time, active_hosts, active_edges, s.target_category, "
+            f"{each(['max_threat_score', 'mean_threat_score'])}, overall_risk_level, {each(['max_step_infiltration_prob', 'infiltration_risk_horizon'])}, "
+            f"'1 - prod(1 - p_k) [Temporally-dependent approximation]' AS infiltration_risk_formula, {known}, p.trajectory, f.top_features, l.past_windows "
+            f"FROM path_text p JOIN path_risk k USING (split, origin_idx) JOIN feature_text f USING (split, origin_idx) JOIN lag_text l USING (split, origin_idx) "
+            "JOIN series s ON s.split = p.split AND s.split_idx = p.origin_idx JOIN origins o ON o.source_file = s.source_file "
+            "JOIN host_sizes h ON h.source_file = s.source_file AND h.window_idx = s.window_idx JOIN edge_sizes e ON e.source_file = s.source_file AND e.window_idx = s.window_idx "
+            f"WHERE p.n = {K}",
+            [*tables, *told],
+        ),
+    }
+
+
 def _transition_line() -> str:
     """Ridge with a penalty of a thousandth of the lag's variance."""
     pairs = "SELECT s.total_bytes AS x, t.total_bytes AS y FROM series s JOIN series t ON s.split = t.split AND t.split_idx = s.split_idx + 1 WHERE s.split = 'train'"
@@ -854,6 +965,7 @@ def oracle_sql() -> dict[str, str]:
         "transition_fit_line": _transition_line(),
         "temporal_attribution_fixed": _temporal_attribution(),
         "feature_attribution_fixed": _feature_attribution(),
+        **_stored_queries(),
         "stream_window_stats": _stream_windows(),
         "stream_packets_to_flows": _packet_flows("WHERE closed"),
     }

@@ -186,6 +186,37 @@ class Tables:
             "head", lambda: forecast.threat_head_fit(self.states.where(F.col("split") == "train"))
         )
 
+    @property
+    def stored(self) -> dict[str, forecast.ThreatHead]:
+        """Models of full size, saved as a coefficient table and read back."""
+
+        def load():
+            path = scratch_path(self.spark, "coefficients")
+            made = {name: forecast.ThreatHead(*model) for name, model in fx.stored_coefficients().items()}
+            storage.save_coefficients(forecast.coefficient_table(self.spark, made), path)
+            return forecast.models_of(storage.load_coefficients(self.spark, path))
+
+        return self._once("stored", load)
+
+    @property
+    def stored_models(self) -> tuple[forecast.Transition, forecast.ThreatHead]:
+        transition = self.stored["transition"]
+        return forecast.Transition(transition.rows, transition.bias, fx.HISTORY), self.stored["head"]
+
+    @property
+    def stored_trajectory(self) -> DataFrame:
+        return self._once(
+            "stored_trajectory", lambda: materialise(forecast.rollout(self.histories, *self.stored_models, fx.HORIZON), "stored_trajectory")
+        )
+
+    @property
+    def stored_baseline(self) -> DataFrame:
+        """The series with the stored baseline's predictions."""
+        train = self.series.where(F.col("split") == "train")
+        stats = cleaning.fitted_values(scaling.fit_standard_scaler(train, WINDOW_FEATURES), "std_scaler")
+        scored = forecast.linear_predict(self.stored["baseline"], scaling.standard_scale(self.series, stats, WINDOW_FEATURES))
+        return scored.select("split", "split_idx", "y_pred", "probabilities")
+
     @property
     def trajectory(self) -> DataFrame:
         return self._once(
@@ -369,18 +400,21 @@ def write_graphs(t: Tables) -> DataFrame:
     return count("nodes").unionByName(count("edges"))
 
 
-def _evaluation(t: Tables) -> DataFrame:
-    """The evaluation with each model's classes as text: name and ten-thousandths of its scores, support."""
+def _evaluation_text(found: DataFrame) -> DataFrame:
+    """An evaluation with each model's classes as text: name and ten-thousandths of its scores, support."""
 
     def part(x: Column) -> Column:
         scores = [F.round(x[c] * 10_000).cast("bigint").cast("string") for c in ("precision", "recall", "f1")]
         return F.concat_ws(":", x["class_name"], *scores, x["support"].cast("string"))
 
-    found = metrics.evaluate_horizons(simple_pairs(t.series), W)
     texts = {c: F.concat_ws(",", F.transform(c, part)) for c in ("forecaster_classes", "baseline_classes")}
     return found.withColumns(texts)
 
 
+def _evaluation(t: Tables) -> DataFrame:
+    return _evaluation_text(metrics.evaluate_horizons(simple_pairs(t.series), W))
+
+
 @query
 def write_json_report(t: Tables) -> DataFrame:
     report = rounded(_evaluation(t))
@@ -859,12 +893,24 @@ def baseline_fit(t: Tables) -> DataFrame:
 
 @query
 def baseline_predict(t: Tables) -> DataFrame:
+    """Every window by a stored baseline of full size."""
+    return rounded(t.stored_baseline.select("split", "split_idx", "y_pred", F.array_max("probabilities").alias("confidence")))
+
+
+@query
+def baseline_predict_fitted(t: Tables) -> DataFrame:
     out = forecast.baseline_predict(t.baseline, t.series)
     return out.select("split", "split_idx", "y_pred", F.array_max("probabilities").alias("confidence"))
 
 
 @query
 def baseline_project(t: Tables) -> DataFrame:
+    out = forecast.baseline_project(t.stored_baseline, fx.HORIZON)
+    return out.select("split", F.col("split_idx").alias("origin_idx"), "step", "y_pred")
+
+
+@query
+def baseline_project_fitted(t: Tables) -> DataFrame:
     out = forecast.baseline_project(forecast.baseline_predict(t.baseline, t.series), fx.HORIZON)
     return out.select("split", F.col("split_idx").alias("origin_idx"), "step", "y_pred")
 
@@ -897,6 +943,12 @@ def _flat_trajectory(trajectory: DataFrame) -> DataFrame:
 
 @query
 def rollout(t: Tables) -> DataFrame:
+    """Stored models of full size on the encoded windows."""
+    return rounded(_flat_trajectory(t.stored_trajectory))
+
+
+@query
+def rollout_fitted(t: Tables) -> DataFrame:
     return _flat_trajectory(forecast.rollout(t.histories, t.transition, t.head, fx.HORIZON))
 
 
@@ -908,19 +960,35 @@ def rollout_fixed(t: Tables) -> DataFrame:
     return rounded(_flat_trajectory(forecast.rollout(past, transition, head, fx.HORIZON)))
 
 
+def _model_pairs(t: Tables, trajectory: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Forecasts of both models on the test split beside what came."""
+    test = F.col("split") == "test"
+    base = forecast.baseline_project(baseline.where(test), fx.HORIZON)
+    made = forecast.as_predictions(trajectory.where(test)).unionByName(
+        base.select("split", F.col("split_idx").alias("origin_idx"), F.lit("baseline").alias("model"), "step", "y_pred")
+    )
+    return sequences.horizon_pairs(t.series.where(test), made, fx.HISTORY, fx.HORIZON)
+
+
 @query
 def evaluate_models(t: Tables) -> DataFrame:
+    """Both stored models on the test split: the full evaluation."""
+    return rounded(_evaluation_text(metrics.evaluate_horizons(_model_pairs(t, t.stored_trajectory, t.stored_baseline), W)))
+
+
+@query
+def evaluate_models_fitted(t: Tables) -> DataFrame:
     """Both fitted models on the test split: the full evaluation."""
-    test = t.series.where(F.col("split") == "test")
-    base = forecast.baseline_project(forecast.baseline_predict(t.baseline, test), fx.HORIZON)
-    made = forecast.as_predictions(t.trajectory.where(F.col("split") == "test")).unionByName(
-        base.select("split", F.col("split_idx").alias("origin_idx"), F.lit("baseline").alias("model"), "step", "y_pred")
-    )
-    return metrics.evaluate_horizons(sequences.horizon_pairs(test, made, fx.HISTORY, fx.HORIZON), W)
+    return metrics.evaluate_horizons(_model_pairs(t, t.trajectory, forecast.baseline_predict(t.baseline, t.series)), W)
 
 
 @query
 def temporal_attribution(t: Tables) -> DataFrame:
+    return rounded(attribution.temporal_attribution(t.histories, *t.stored_models))
+
+
+@query
+def temporal_attribution_fitted(t: Tables) -> DataFrame:
     return attribution.temporal_attribution(t.histories, t.transition, t.head)
 
 
@@ -939,21 +1007,44 @@ def feature_attribution_fixed(t: Tables) -> DataFrame:
 
 @query
 def feature_attribution(t: Tables) -> DataFrame:
-    return attribution.feature_attribution(t.histories, t.transition, t.head)
+    return rounded(attribution.feature_attribution(t.histories, *t.stored_models))
 
 
 @query
-def forecast_report(t: Tables) -> DataFrame:
-    """The report of every origin that has a full history and a full horizon."""
+def feature_attribution_fitted(t: Tables) -> DataFrame:
+    return attribution.feature_attribution(t.histories, t.transition, t.head)
+
+
+def _report(t: Tables, trajectory: DataFrame, transition: forecast.Transition, head: forecast.ThreatHead) -> DataFrame:
     overview = graphs.window_overview(t.nodes, t.edges, t.windows).join(
         t.series.select(*WINDOW_KEY, "split", "split_idx"), WINDOW_KEY
     )
-    top = attribution.top_features(attribution.feature_attribution(t.histories, t.transition, t.head))
-    lags = attribution.temporal_attribution(t.histories, t.transition, t.head)
-    report = forecast.forecast_report(
-        t.trajectory, t.series, overview, attribution.shares(top, lags), window_seconds=W, history=fx.HISTORY, horizon=fx.HORIZON
+    top = attribution.top_features(attribution.feature_attribution(t.histories, transition, head))
+    lags = attribution.temporal_attribution(t.histories, transition, head)
+    return forecast.forecast_report(
+        trajectory, t.series, overview, attribution.shares(top, lags), window_seconds=W, history=fx.HISTORY, horizon=fx.HORIZON
     )
-    return storage.as_json(report, ["split", "origin_idx"])
+
+
+@query
+def forecast_report(t: Tables) -> DataFrame:
+    """The report of every origin under the stored models, lists as text with ten-thousandths."""
+    share = lambda x: F.round(x * 10_000).cast("bigint").cast("string")
+    told = lambda c, part: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", *part(x)))).alias(c)
+    report = _report(t, t.stored_trajectory, *t.stored_models)
+    lists = {
+        "trajectory": lambda x: [x["step"].cast("string"), x["lead_time"], x["predicted_class"], share(x["confidence"]), share(x["threat_score"]), x["actual_class"], x["outcome"]],
+        "top_features": lambda x: [x["rank"].cast("string"), x["feature"], share(x["importance"])],
+        "past_windows": lambda x: [x["lag_label"], share(x["importance"])],
+    }
+    plain = [c for c in report.columns if c not in (*lists, "interpretation")]
+    return rounded(report.select(*plain, "interpretation.*", *[told(c, part) for c, part in lists.items()]))
+
+
+@query
+def forecast_report_fitted(t: Tables) -> DataFrame:
+    """The report of every origin that has a full history and a full horizon."""
+    return storage.as_json(_report(t, t.trajectory, t.transition, t.head), ["split", "origin_idx"])
 
 
 @query

@@ -44,6 +44,18 @@ def load_fitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATS_SCHEMA).parquet(path)
 
 
+COEFFICIENT_SCHEMA = "model string, row int, position int, value double"
+
+
+def save_coefficients(table: DataFrame, path: str) -> None:
+    """A ``forecast.coefficient_table`` as Parquet."""
+    table.select("model", "row", "position", "value").write.mode("overwrite").parquet(path)
+
+
+def load_coefficients(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COEFFICIENT_SCHEMA).parquet(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
