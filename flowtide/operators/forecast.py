@@ -6,6 +6,7 @@ a projection over array columns that holds the coefficients as constants.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,10 @@ from flowtide.plans.materialise import materialise
 from flowtide.schema import N_CLASSES, WINDOW_FEATURES
 
 ABSENT_CLASS_LOGIT = -1000.0
+RIDGE = 1e-3
+HEAD_PENALTY = 1e-3
+# Relative change of the loss at which a fit stops.
+TOLERANCE = 1e-10
 
 
 def number_array(values) -> Column:
@@ -67,6 +72,7 @@ def baseline_fit(pairs: DataFrame, features: list[str] = WINDOW_FEATURES, max_it
         maxIter=max_iter,
         regParam=1.0 / pairs.count(),
         standardization=False,
+        tol=TOLERANCE,
     )
     pipeline = Pipeline(stages=[
         SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
@@ -105,6 +111,100 @@ def linear_predict(head: ThreatHead, series: DataFrame, features: list[str] = WI
     return scored.withColumn("y_pred", top_index(F.col("probabilities")))
 
 
+# --- certificates of the fits -------------------------------------------------------
+
+
+def logistic_gradient(rows: DataFrame, x: Column, y: Column, weight: Column, head: ThreatHead) -> DataFrame:
+    """``class_index, position, gradient, rows``: gradient of the weighted mean log loss; position -1 is the intercept.
+
+    Sums with map-side combine, one row per class and position come out.  At the optimum of a penalised
+    fit each cell is minus the penalty's gradient, and zero for the intercept.
+    """
+    classes = len(head.rows)
+    p = softmax(affine(head.rows, head.bias, F.col("x")))
+    error = F.transform(p, lambda v, c: (v - F.when(F.col("y") == c, 1.0).otherwise(0.0)) * F.col("w"))
+    cells = rows.select(x.alias("x"), y.alias("y"), weight.cast("double").alias("w")).withColumn("error", error).select(
+        "error", "w", F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("x"))).alias("pos", "value")
+    )
+    sums = cells.groupBy("pos").agg(
+        F.array(*[F.sum(F.col("error")[c] * F.col("value")) for c in range(classes)]).alias("sums"),
+        F.sum("w").alias("total"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    return sums.select((F.col("pos") - 1).alias("position"), "total", "rows", F.posexplode("sums").alias("class_index", "sum")).select(
+        "class_index", "position", (F.col("sum") / F.col("total")).alias("gradient"), "rows"
+    )
+
+
+def _with_penalty(gradient: DataFrame, penalty: list[list[float]]) -> DataFrame:
+    """Adds a penalty's gradient, per class and position without the intercept."""
+    own = number_array([[0.0, *row] for row in penalty])
+    return gradient.withColumn("gradient", F.col("gradient") + own[F.col("class_index")][F.col("position") + 1])
+
+
+def baseline_certificate(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+    """The penalised gradient of a fitted baseline on its training pairs: zero in every cell at the optimum."""
+    head, n = baseline_head(model), pairs.count()
+    weights = {r.class_index: r.balanced_weight for r in class_weights(pairs, "next_index").collect() if r.n}
+    # The stages before the regression standardise.
+    scaled = PipelineModel(model.stages[:-1]).transform(pairs)
+    found = logistic_gradient(scaled, vector_to_array("std_features"), F.col("next_index"), weight_of(F.col("next_index"), weights), head)
+    return _with_penalty(found, [[w / max(1, n) for w in row] for row in head.rows])
+
+
+def head_certificate(head: ThreatHead, states: DataFrame, reg: float = HEAD_PENALTY) -> DataFrame:
+    """The penalised gradient of a fitted threat head, per deviation of each state value: zero at the optimum.
+
+    The penalty is on weights of values with deviation one.  Classes above the highest label have no weights of their own.
+    """
+    train = materialise(states.select("z", "target_index"), "head_certificate")
+    weights = {r.class_index: r.weight for r in class_weights(train).collect()}
+    d = len(head.rows[0])
+    w = weight_of(F.col("target_index"), weights)
+    deviation = [math.sqrt(v or 0.0) for v in _weighted_variances(train.withColumn("w", w), d)]
+    found = logistic_gradient(train, F.col("z"), F.col("target_index"), w, head)
+    penalty = [[reg * b * s * s for b, s in zip(row, deviation)] for row in head.rows]
+    scale = number_array([1.0, *[s if s > 0 else 1.0 for s in deviation]])
+    return _with_penalty(found, penalty).withColumn("gradient", F.col("gradient") / scale[F.col("position") + 1])
+
+
+def _weighted_variances(rows: DataFrame, d: int) -> list[float]:
+    """Unbiased variances of ``z`` under weights ``w``, centred first."""
+    total = F.sum("w")
+    means = rows.agg(*[(F.sum(F.col("z")[i] * F.col("w")) / total).alias(f"m{i}") for i in range(d)]).first()
+    spread = [F.sum(F.pow(F.col("z")[i] - F.lit(means[i]), 2) * F.col("w")) / (total - F.sum(F.col("w") * F.col("w")) / total) for i in range(d)]
+    return list(rows.agg(*spread).first())
+
+
+def transition_certificate(model: Transition, seqs: DataFrame, reg: float = RIDGE) -> DataFrame:
+    """``state_dim, lag_dim, residual, rows``: what is left of the ridge's normal equations, in deviations; zero if solved.
+
+    Cell (i, j) is the mean product of lag i, centred and scaled, with the scaled error of state j, less the penalty; lag -1 is the
+    mean error, which the intercept takes to zero.  A value that never varies counts as zero.
+    """
+    flat = materialise(seqs.select(F.flatten("history").alias("x"), F.col("target_z").alias("y")), "transition_certificate")
+    lags, d = len(model.rows[0]), len(model.rows)
+    cells = flat.select(F.posexplode(F.concat("x", "y")).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    stats = {r.pos: (r.mean, r.sd if r.sd and r.sd > 1e-12 * max(1.0, abs(r.mean)) else None) for r in cells.collect()}
+    shift = number_array([stats[i][0] for i in range(lags)])
+    unit = number_array([0.0 if stats[i][1] is None else 1.0 / stats[i][1] for i in range(lags)])
+    size = number_array([0.0 if stats[lags + j][1] is None else 1.0 / stats[lags + j][1] for j in range(d)])
+    predicted = affine(model.rows, model.bias, F.col("x"))
+    error = F.zip_with(F.zip_with("y", predicted, lambda a, b: a - b), size, lambda e, s: e * s)
+    centred = F.zip_with(F.zip_with("x", shift, lambda a, m: a - m), unit, lambda a, u: a * u)
+    rows = flat.select(error.alias("error"), F.posexplode(F.concat(F.array(F.lit(1.0)), centred)).alias("pos", "v"))
+    sums = rows.groupBy("pos").agg(
+        F.array(*[F.avg(F.col("error")[j] * F.col("v")) for j in range(d)]).alias("means"), F.avg(F.col("v") * F.col("v")).alias("square"), F.count(F.lit(1)).alias("rows")
+    )
+    own = number_array([
+        [0.0, *[0.0 if stats[i][1] is None or stats[lags + j][1] is None else b * stats[i][1] / stats[lags + j][1] for i, b in enumerate(row)]] for j, row in enumerate(model.rows)
+    ])
+    return sums.select((F.col("pos") - 1).alias("lag_dim"), "square", "rows", F.posexplode("means").alias("state_dim", "product")).select(
+        "state_dim", "lag_dim",
+        (F.col("product") - F.lit(reg) * F.col("square") * own[F.col("state_dim")][F.col("lag_dim") + 1]).alias("residual"), "rows",
+    )
+
+
 # --- stored coefficients ------------------------------------------------------------
 
 BIAS = -1
@@ -158,7 +258,7 @@ class ThreatHead:
     bias: list[float]
 
 
-def transition_fit(seqs: DataFrame, state_size: int, history: int = HISTORY, reg: float = 1e-3) -> Transition:
+def transition_fit(seqs: DataFrame, state_size: int, history: int = HISTORY, reg: float = RIDGE) -> Transition:
     """Ridge regression of the next state on the flattened lags, all dimensions at once.
 
     A first distributed pass takes mean and deviation of every lag and target, a second sums the
@@ -186,7 +286,7 @@ def transition_fit(seqs: DataFrame, state_size: int, history: int = HISTORY, reg
     return Transition(rows.tolist(), bias.tolist(), history)
 
 
-def threat_head_fit(states: DataFrame, max_iter: int = 100, reg: float = 1e-3) -> ThreatHead:
+def threat_head_fit(states: DataFrame, max_iter: int = 1000, reg: float = HEAD_PENALTY) -> ThreatHead:
     """Class distribution from a state, weighted by the clipped class weights.
 
     Columns used: ``z`` and ``target_index``.
@@ -194,7 +294,7 @@ def threat_head_fit(states: DataFrame, max_iter: int = 100, reg: float = 1e-3) -
     train = materialise(states.select(array_to_vector("z").alias("features"), "target_index"), "head_train")
     weights = {r.class_index: r.weight for r in class_weights(train).collect()}
     model = LogisticRegression(
-        family="multinomial", labelCol="target_index", weightCol="w", maxIter=max_iter, regParam=reg
+        family="multinomial", labelCol="target_index", weightCol="w", maxIter=max_iter, regParam=reg, tol=TOLERANCE
     ).fit(train.withColumn("w", weight_of(F.col("target_index"), weights)))
     rows = model.coefficientMatrix.toArray().tolist()
     bias = model.interceptVector.toArray().tolist()

@@ -530,6 +530,28 @@ def _feature_attribution() -> str:
     return _shared(" UNION ALL ".join(one.format(f=q(f), w=w, z=z) for f, (z, w) in zip(SIMPLE_FEATURES, ATTACK.items())), "feature")
 
 
+def _certificates() -> dict[str, str]:
+    """What is zero at an optimum, in every cell, and how many rows were fitted."""
+    zero = "CAST(0.0 AS DOUBLE)"
+    cells = lambda names: ", ".join(f"({q(n)})" for n in names)
+    nexts = [("nexts", "SELECT t.target_index AS y FROM series s JOIN series t ON s.split = t.split AND t.split_idx = s.split_idx + 1 WHERE s.split = 'train'")]
+    return {
+        "baseline_fit": sql(
+            f"SELECT CAST(c AS INTEGER) AS class_index, feature, {zero} AS gradient, (SELECT count(*) FROM nexts) AS rows "
+            f"FROM (SELECT unnest(range(0, max(y) + 1)) AS c FROM nexts), (VALUES {cells(['intercept', *WINDOW_FEATURES])}) f(feature)",
+            nexts,
+        ),
+        "transition_fit": sql(
+            f"SELECT CAST(j AS INTEGER) AS state_dim, CAST(i AS INTEGER) AS lag_dim, {zero} AS residual, (SELECT count(*) - {N} FROM series WHERE split = 'train') AS rows "
+            f"FROM range(0, {2 * LAYER_WIDTH}) a(j), range(-1, {2 * LAYER_WIDTH * N}) b(i)"
+        ),
+        "threat_head_fit": sql(
+            f"SELECT CAST(c AS INTEGER) AS class_index, CAST(j AS INTEGER) AS state_dim, {zero} AS gradient, (SELECT count(*) FROM series WHERE split = 'train') AS rows "
+            f"FROM range(0, {N_CLASSES}) a(c), range(-1, {2 * LAYER_WIDTH}) b(j)"
+        ),
+    }
+
+
 def _literal(numbers) -> str:
     kind = "[][]" if isinstance(numbers[0], list) else "[]"
     return repr(numbers) + "::DOUBLE" + kind
@@ -966,6 +988,7 @@ def oracle_sql() -> dict[str, str]:
         "temporal_attribution_fixed": _temporal_attribution(),
         "feature_attribution_fixed": _feature_attribution(),
         **_stored_queries(),
+        **_certificates(),
         "stream_window_stats": _stream_windows(),
         "stream_packets_to_flows": _packet_flows("WHERE closed"),
     }

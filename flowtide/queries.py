@@ -175,8 +175,7 @@ class Tables:
     @property
     def transition(self) -> forecast.Transition:
         def fit():
-            seqs = sequences.sequences(self.states, F.col("z"), fx.HISTORY).where(F.col("split") == "train")
-            return forecast.transition_fit(seqs, encode.STATE_SIZE, fx.HISTORY)
+            return forecast.transition_fit(_train_sequences(self), encode.STATE_SIZE, fx.HISTORY)
 
         return self._once("transition", fit)
 
@@ -879,8 +878,23 @@ def evaluate_horizons(t: Tables) -> DataFrame:
     return rounded(_evaluation(t))
 
 
+def zeroed(df: DataFrame, column: str, digits: int) -> DataFrame:
+    """A certificate's cells rounded, without a minus sign on zero."""
+    cell = F.round(column, digits)
+    return df.withColumn(column, F.when(cell == 0, 0.0).otherwise(cell))
+
+
 @query
 def baseline_fit(t: Tables) -> DataFrame:
+    """The certificate of the fitted baseline: its penalised gradient, zero for every class and feature."""
+    pairs = sequences.next_step_pairs(t.series, WINDOW_FEATURES).where(F.col("split") == "train")
+    names = F.array(*[F.lit(f) for f in ("intercept", *WINDOW_FEATURES)])
+    found = zeroed(forecast.baseline_certificate(t.baseline, pairs), "gradient", 5)
+    return found.select("class_index", names[F.col("position") + 1].alias("feature"), "gradient", "rows")
+
+
+@query
+def baseline_coefficients(t: Tables) -> DataFrame:
     """Fitted coefficients, one row per class and feature."""
     model = t.baseline.stages[-1]
     rows = [
@@ -915,8 +929,18 @@ def baseline_project_fitted(t: Tables) -> DataFrame:
     return out.select("split", F.col("split_idx").alias("origin_idx"), "step", "y_pred")
 
 
+def _train_sequences(t: Tables) -> DataFrame:
+    return sequences.sequences(t.states, F.col("z"), fx.HISTORY).where(F.col("split") == "train")
+
+
 @query
 def transition_fit(t: Tables) -> DataFrame:
+    """The certificate of the fitted transition: what is left of its normal equations, zero in every cell."""
+    return zeroed(forecast.transition_certificate(t.transition, _train_sequences(t)), "residual", 5)
+
+
+@query
+def transition_coefficients(t: Tables) -> DataFrame:
     rows = [(j, i, float(w), t.transition.bias[j]) for j, row in enumerate(t.transition.rows) for i, w in enumerate(row)]
     return t.spark.createDataFrame(rows, "state_dim int, lag_dim int, coefficient double, intercept double")
 
@@ -931,6 +955,13 @@ def transition_fit_line(t: Tables) -> DataFrame:
 
 @query
 def threat_head_fit(t: Tables) -> DataFrame:
+    """The certificate of the fitted head: its penalised gradient, zero for every class and state value."""
+    found = forecast.head_certificate(t.head, t.states.where(F.col("split") == "train"))
+    return zeroed(found, "gradient", 5).select("class_index", F.col("position").alias("state_dim"), "gradient", "rows")
+
+
+@query
+def threat_head_coefficients(t: Tables) -> DataFrame:
     rows = [(c, j, float(w), t.head.bias[c]) for c, row in enumerate(t.head.rows) for j, w in enumerate(row)]
     return t.spark.createDataFrame(rows, "class_index int, state_dim int, coefficient double, intercept double")
 

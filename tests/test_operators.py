@@ -8,6 +8,7 @@ from flowtide.functions import labels, threat, values
 from flowtide.operators import attribution, cleaning, encode, forecast, graphs, metrics, profile, risk, sampling, scaling, sequences, windows
 from flowtide.plans.materialise import materialise
 from flowtide.schema import CLASS_NAMES, EDGE_FEATURES, NODE_FEATURES, WINDOW_FEATURES, WINDOW_KEY
+from flowtide.sources import storage
 from flowtide.sources.captures import empty_flows
 from tests.conftest import make_flows
 
@@ -356,3 +357,36 @@ def test_no_window_is_lost_by_standard_scaling(tables):
     z = scaling.standard_scale(tables.series.where("split = 'train'"), stats, WINDOW_FEATURES)
     r = z.agg(F.avg("total_bytes"), F.stddev_pop("total_bytes")).first()
     assert r[0] == pytest.approx(0, abs=1e-9) and r[1] == pytest.approx(1)
+
+
+def test_certificates_are_not_zero_away_from_the_optimum(tables):
+    from flowtide.queries import _train_sequences
+
+    pairs = sequences.next_step_pairs(tables.series, WINDOW_FEATURES).where(F.col("split") == "train")
+    train = tables.states.where(F.col("split") == "train")
+    worst = lambda df, c: df.agg(F.max(F.abs(c))).first()[0]
+    assert worst(forecast.baseline_certificate(tables.baseline, pairs), "gradient") < 5e-6
+    assert worst(forecast.head_certificate(tables.head, train), "gradient") < 5e-6
+    assert worst(forecast.transition_certificate(tables.transition, _train_sequences(tables)), "residual") < 5e-6
+    moved = forecast.ThreatHead([[x * 1.05 for x in row] for row in tables.head.rows], tables.head.bias)
+    assert worst(forecast.head_certificate(moved, train), "gradient") > 1e-3
+    off = forecast.Transition([[x * 1.05 for x in row] for row in tables.transition.rows], tables.transition.bias)
+    assert worst(forecast.transition_certificate(off, _train_sequences(tables)), "residual") > 1e-3
+
+
+def test_coefficients_stored_and_read_score_as_the_fitted_model(spark, tables, tmp_path):
+    head = forecast.baseline_head(tables.baseline)
+    table = forecast.coefficient_table(spark, {"transition": tables.transition, "baseline": head})
+    storage.save_coefficients(table, str(tmp_path / "c"))
+    back = forecast.models_of(storage.load_coefficients(spark, str(tmp_path / "c")))
+    assert back["transition"].rows == tables.transition.rows and back["transition"].bias == tables.transition.bias and back["baseline"] == head
+    with pytest.raises(ValueError, match="incomplete"):
+        forecast.models_of(table.where("row <> 0 or position <> 3"))
+    train = tables.series.where(F.col("split") == "train")
+    pairs = sequences.next_step_pairs(train, WINDOW_FEATURES)
+    stats = cleaning.fitted_values(scaling.fit_standard_scaler(pairs, WINDOW_FEATURES), "std_scaler")
+    mine = forecast.linear_predict(back["baseline"], scaling.standard_scale(tables.series, stats, WINDOW_FEATURES))
+    want = {(r.split, r.split_idx): (r.y_pred, r.probabilities) for r in forecast.baseline_predict(tables.baseline, tables.series).collect()}
+    for r in mine.collect():
+        y, p = want[r.split, r.split_idx]
+        assert r.y_pred == y and r.probabilities == pytest.approx(p, abs=1e-9)
