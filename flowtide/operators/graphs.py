@@ -14,6 +14,8 @@ from flowtide.schema import EDGE_FEATURES, NODE_FEATURES, WINDOW_KEY
 
 EDGE_KEY = [*WINDOW_KEY, "src_ip", "dst_ip"]
 # A host with more edge rows than this in one window is salted when edges are joined.
+# Longest array of empty windows.
+CALENDAR_BLOCK = 10_000
 HOT_DEGREE = 1_000_000
 
 
@@ -180,10 +182,24 @@ def with_empty_windows(nodes: DataFrame, spine: DataFrame) -> DataFrame:
     return nodes.select(*WINDOW_KEY, "ip", *NODE_FEATURES).unionByName(dummies)
 
 
-def dense_calendar(windows: DataFrame) -> DataFrame:
-    """All window indexes of each capture from 0 to its last, also the empty ones."""
-    last = windows.groupBy("source_file").agg(F.max("window_idx").alias("last"))
-    return last.select("source_file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("window_idx"))
+def dense_calendar(windows: DataFrame, block: int = CALENDAR_BLOCK) -> DataFrame:
+    """All window indexes of each capture from 0 to its last, also the empty ones.
+
+    Each present window adds the gap between its predecessor and itself.  A gap is cut into blocks of blocks, blocks and
+    members, so a stray timestamp decades before the rest makes no array above ``block`` (gaps below its cube).
+    """
+    present = windows.select("source_file", "window_idx").distinct()
+    before = F.lag("window_idx", 1, -1).over(Window.partitionBy("source_file").orderBy("window_idx"))
+    gaps = present.select("source_file", (before + 1).alias("lo"), (F.col("window_idx") - 1).alias("hi")).where("lo <= hi")
+    rows = gaps
+    for size in (block * block, block, 1):
+        part = F.explode(F.sequence(F.floor(F.col("lo") / size).cast("bigint"), F.floor(F.col("hi") / size).cast("bigint")))
+        rows = rows.withColumn("part", part).select(
+            "source_file",
+            F.greatest(F.col("lo"), F.col("part") * size).alias("lo"),
+            F.least(F.col("hi"), F.col("part") * size + (size - 1)).alias("hi"),
+        )
+    return present.unionByName(rows.select("source_file", F.col("lo").alias("window_idx")))
 
 
 def window_graph(

@@ -727,11 +727,13 @@ def _empty_windows() -> str:
     )
 
 
-def _graph_counts() -> str:
-    part = lambda name, table: (
-        f"SELECT {q(name)} AS part, split, count(*) AS n, count(DISTINCT window_idx) AS window_ids FROM {table} JOIN series USING ({KEY}) GROUP BY split"
+def _graph_rows() -> str:
+    n = len(NODE_FEATURES)
+    values = lambda features: ", ".join(f"{r(f't.{features[i]}') if i < len(features) else 'CAST(NULL AS DOUBLE)'} AS f{i}" for i in range(n))
+    part = lambda name, table, ends, features: (
+        f"SELECT {q(name)} AS part, s.split, t.source_file, t.window_idx, {ends}, {values(features)} FROM {table} t JOIN series s ON s.source_file = t.source_file AND s.window_idx = t.window_idx"
     )
-    return sql(f"{part('nodes', 'nodes')} UNION ALL {part('edges', 'edges')}")
+    return sql(f"{part('nodes', 'scaled_nodes', 't.ip AS host, NULL AS peer', NODE_FEATURES)} UNION ALL {part('edges', 'scaled_edges', 't.src_ip, t.dst_ip', EDGE_FEATURES)}")
 
 
 def _knowledge() -> str:
@@ -861,7 +863,7 @@ def oracle_sql() -> dict[str, str]:
         "packets_to_flows": _packet_flows(),
         "empty_flows": sql("SELECT source_file, count(*) AS n, sum(fwd_bytes) AS fwd_bytes FROM flows GROUP BY 1"),
         "write_windows": sql(f"SELECT split, {KEY}, {_window_row(WINDOW_FEATURES)}, target_category FROM series"),
-        "write_graphs": _graph_counts(),
+        "write_graphs": _graph_rows(),
         "write_json_report": EVALUATION,
         "save_load_fitted": sql(f"SELECT kind, feature, {each(['center', 'scale'])} FROM (SELECT * FROM medians UNION ALL SELECT * FROM scalers)"),
         "valid_rows": sql(f"SELECT event_id, flow_id, timestamp AS ts_txt FROM raw WHERE {VALID}"),

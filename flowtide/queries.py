@@ -390,13 +390,16 @@ def write_windows(t: Tables) -> DataFrame:
 
 @query
 def write_graphs(t: Tables) -> DataFrame:
+    """All rows of a written graph as read back: nodes, and edges with their ends."""
     path = scratch_path(t.spark, "graphs")
-    nodes, edges = t.graph
-    storage.write_graphs(t.with_split(nodes, ["ip"]), t.with_split(edges, ["src_ip", "dst_ip"]), path)
-    count = lambda name: storage.read_split(t.spark, f"{path}/{name}").groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("window_idx").alias("window_ids")
-    ).select(F.lit(name).alias("part"), F.col("split").cast("string").alias("split"), "n", "window_ids")
-    return count("nodes").unionByName(count("edges"))
+    storage.write_graphs(*[materialise(t.with_split(x, spread), "split_graph") for x, spread in zip(t.graph, (["ip"], ["src_ip", "dst_ip"]))], path)
+    nodes, edges = storage.read_graphs(t.spark, path)
+    row = lambda part, a, b, features: [
+        F.lit(part).alias("part"), F.col("split").cast("string").alias("split"), *WINDOW_KEY, a.alias("host"), b.alias("peer"),
+        *[(F.col(features[i]) if i < len(features) else F.lit(None).cast("double")).alias(f"f{i}") for i in range(len(NODE_FEATURES))],
+    ]
+    every = nodes.select(*row("nodes", F.col("ip"), F.lit(None).cast("string"), NODE_FEATURES))
+    return rounded(every.unionByName(edges.select(*row("edges", F.col("src_ip"), F.col("dst_ip"), EDGE_FEATURES))))
 
 
 def _evaluation_text(found: DataFrame) -> DataFrame:

@@ -390,3 +390,31 @@ def test_coefficients_stored_and_read_score_as_the_fitted_model(spark, tables, t
     for r in mine.collect():
         y, p = want[r.split, r.split_idx]
         assert r.y_pred == y and r.probabilities == pytest.approx(p, abs=1e-9)
+
+
+def test_calendar_of_a_stray_timestamp(spark):
+    """A flow decades early: every window in between, and no array above a block."""
+    present = spark.createDataFrame([("a", 0), ("a", 2_000_003), ("a", 2_000_004), ("b", 3), ("b", 3), ("c", 0)], "source_file string, window_idx long")
+    found = graphs.dense_calendar(present, 1000)
+    rows = {r.source_file: tuple(r)[1:] for r in found.groupBy("source_file").agg(F.count("*"), F.count_distinct("window_idx"), F.min("window_idx"), F.max("window_idx")).collect()}
+    assert rows == {"a": (2_000_005, 2_000_005, 0, 2_000_004), "b": (4, 4, 0, 3), "c": (1, 1, 0, 0)}
+    assert graphs.dense_calendar(present.limit(0)).count() == 0
+
+
+def test_broken_graph_files_are_detected(spark, tables, tmp_path):
+    import shutil
+
+    nodes, edges = (materialise(tables.with_split(x, s)) for x, s in zip(tables.graph, (["ip"], ["src_ip", "dst_ip"])))
+    path = tmp_path / "graph"
+    storage.write_graphs(nodes, edges, str(path))
+    back = storage.read_graphs(spark, str(path))
+    assert [b.count() for b in back] == [nodes.count(), edges.count()]
+    assert storage.read_graphs(spark, str(path), "test")[1].count() == edges.where("split = 'test'").count() > 0
+    changed = edges.withColumn("flow_count", F.when((F.col("split") == "train") & (F.col("src_idx") == 0), 7.5).otherwise(F.col("flow_count")))
+    changed.write.mode("overwrite").partitionBy("split").parquet(str(path / "edges"))
+    with pytest.raises(ValueError, match="edges.*train"):
+        storage.read_graphs(spark, str(path))
+    storage.read_graphs(spark, str(path), "val")
+    shutil.rmtree(path / "nodes" / "split=val")
+    with pytest.raises(ValueError, match="nodes.*val"):
+        storage.read_graphs(spark, str(path), "val")
