@@ -1,59 +1,97 @@
 """Exact quantiles of many columns over tables of any size.
 
-Spark's exact ``percentile`` keeps every distinct value of a column in one task.  Here a
-histogram over logarithmic buckets tells which bucket holds each wanted rank, a second one
-splits those buckets where they are still large, and only the values left are looked at one
-by one.  Every pass is a scan with map-side aggregation; nothing is gathered as a whole.
+Spark's exact ``percentile`` keeps every distinct value of a column in one task.  Here one aggregation brackets all wanted
+ranks of all columns by mergeable sketches of a fixed size, a second one counts exactly what lies below and inside
+each bracket, and only the values inside, a few thousandths of a column, are looked at one by one.  Rows are never
+multiplied by the number of columns; the input is written once, as a table of numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-STEPS_PER_OCTAVE = 64
-FINE_BUCKETS = 65_536
-# Buckets up to this many rows are resolved value by value at once.
-SMALL_BUCKET = 1_000_000
-
-
-def _coarse(value: Column) -> Column:
-    """Signed logarithmic bucket; never decreases when ``value`` grows."""
-    magnitude = F.floor(F.log2(F.abs(value)) * STEPS_PER_OCTAVE).cast("bigint") + 100_000
-    return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0).cast("bigint"))
-
-
-def _fine(value: Column, lo: Column, hi: Column) -> Column:
-    share = (value - lo) / (hi - lo)
-    return F.when(lo < hi, F.floor(share * FINE_BUCKETS).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-
-
-def _locate(counts: DataFrame, targets: DataFrame, by: list[str], key: str) -> DataFrame:
-    """For each target rank, the row of ``counts`` it falls into and the rank left inside."""
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(key)) - F.col("n")
-    return (
-        counts.withColumn("_below", below)
-        .join(F.broadcast(targets), by)
-        .where((F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("n")))
-        .withColumn("rank", F.col("rank") - F.col("_below"))
-        .drop("_below")
-    )
-
-
-def _collected(hits: DataFrame) -> tuple[DataFrame, list]:
-    """Located targets as a local table and as rows: columns x probabilities x 2 at most."""
-    rows = hits.collect()
-    return hits.sparkSession.createDataFrame(rows, hits.schema), rows
-
-
-def _long(df: DataFrame, columns: Sequence[str], numbers: Sequence[int]) -> DataFrame:
-    """Column number and value, one row per non-null cell of the numbered columns."""
-    cells = F.array(*[F.col(columns[i]).cast("double") for i in numbers])
-    number = F.element_at(F.array(*[F.lit(i) for i in numbers]), F.col("pos") + 1)
-    return df.select(F.posexplode(cells).alias("pos", "value")).where(F.col("value").isNotNull()).select(
-        number.alias("feature"), "value"
-    )
+from flowtide.plans.materialise import materialise
+
+# A sketch tells a rank to this part of all rows; brackets reach twice as far to both sides.
+ACCURACY = 1_000
+# Brackets up to this many rows are resolved value by value at once.
+SMALL_BUCKET = 200_000
+
+
+@dataclass
+class _Bracket:
+    """Ranks ``first`` and ``last`` of a column lie between values ``lo`` and ``hi``, both included."""
+
+    column: int
+    prob: float
+    first: int
+    last: int
+    share: float
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    done: bool = False
+
+    @property
+    def single(self) -> bool:
+        return self.lo == self.hi
+
+    def value(self) -> Column:
+        return F.col(f"c{self.column}")
+
+    def within(self) -> Column:
+        return self.value().between(self.lo, self.hi)
+
+
+def _reach(rank_lo: float, rank_hi: float, n: int) -> tuple[float, float]:
+    """Shares of n values a sketch is asked for, so that the wanted ranks lie between its answers."""
+    margin = 2.0 / ACCURACY
+    return max(0.0, rank_lo / n - margin), min(1.0, (rank_hi + 1) / n + margin)
+
+
+def _whole(table: DataFrame, columns: int, probabilities: Sequence[float]) -> list[_Bracket]:
+    """A bracket per column and probability that spans the column; columns without a value have none."""
+    names = [F.col(f"c{i}") for i in range(columns)]
+    facts = table.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(names)],
+        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(names)],
+    ).first()
+    out = []
+    for i in range(columns):
+        n = facts[f"n{i}"]
+        for p in probabilities if n else ():
+            place = (n - 1) * float(p)
+            first = int(place)
+            out.append(_Bracket(i, float(p), first, min(first + 1, n - 1), place - first, facts[f"lo{i}"], facts[f"hi{i}"], 0, n))
+    return out
+
+
+def _narrowed(table: DataFrame, brackets: list[_Bracket]) -> None:
+    """Narrow each bracket by a sketch of the values inside; where its counts miss a rank, that side stays as it was."""
+    ends = []
+    for b in brackets:
+        reach = _reach(b.first - b.below, b.last - b.below, b.inside)
+        ends.append(F.percentile_approx(F.when(b.within(), b.value()), [*reach], ACCURACY))
+    asked = table.agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).first()
+    cells = []
+    for i, (b, (lo, hi)) in enumerate(zip(brackets, asked)):
+        v = b.value()
+        cells += [F.count(F.when(v < lo, 1)).alias(f"b{i}"), F.count(F.when(v.between(lo, hi), 1)).alias(f"i{i}"), F.count(F.when((v >= b.lo) & (v < lo), 1)).alias(f"l{i}")]
+    counts = table.agg(*cells).first()
+    for i, (b, (lo, hi)) in enumerate(zip(brackets, asked)):
+        below, inside = counts[f"b{i}"], counts[f"i{i}"]
+        before = b.inside
+        if b.first >= below:
+            b.lo, b.inside, b.below = lo, b.inside - counts[f"l{i}"], below
+        if b.last < below + inside:
+            b.hi, b.inside = hi, below + inside - b.below
+        # A value that holds most of a bracket can't be narrowed further; equal values are counted, not listed.
+        b.done = 2 * b.inside > before
 
 
 def exact_quantiles(
@@ -64,54 +102,34 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows ``feature, prob, value``: linearly interpolated quantiles, nulls left out.
 
-    A column without any value yields no row.  The first scan settles every rank whose
-    bucket holds a single value (flags, counts, constants); columns with other ranks are
-    scanned once or twice more.
+    A column without any value yields no row.  Brackets above ``small_bucket`` rows are narrowed again, which divides
+    them by some hundreds each time.  Columns times probabilities numbers come to the driver.
     """
     columns = list(columns)
-    by_coarse = _long(df, columns, range(len(columns))).groupBy("feature", _coarse(F.col("value")).alias("coarse")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    table = materialise(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "quantile_input")
+    brackets = _whole(table, len(columns), probabilities)
+    while wide := [b for b in brackets if not b.single and not b.done and b.inside > small_bucket]:
+        _narrowed(table, wide)
+    found = {id(b): (b.lo, b.lo) for b in brackets if b.single}
+    still = [b for b in brackets if not b.single]
+    found |= {id(still[i]): ends for i, ends in _resolved(table, still).items()} if still else {}
+    rows = [(columns[b.column], b.prob, v0 + (v1 - v0) * b.share) for b in brackets for v0, v1 in [found[id(b)]]]
+    return df.sparkSession.createDataFrame(rows, "feature string, prob double, value double")
+
+
+def _resolved(table: DataFrame, brackets: list[_Bracket]) -> dict[int, tuple[float, float]]:
+    """The values at both ranks of each bracket, by its number, from the values inside with their counts."""
+    spans: dict[tuple, list[int]] = {}
+    for i, b in enumerate(brackets):
+        spans.setdefault((b.column, b.lo, b.hi, b.below), []).append(i)
+    groups = list(spans.values())
+    cells = F.array(*[F.struct(F.lit(g).alias("span"), F.when(brackets[of[0]].within(), brackets[of[0]].value()).alias("value")) for g, of in enumerate(groups)])
+    counts = table.select(F.inline(cells)).where(F.col("value").isNotNull()).groupBy("span", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("span").orderBy("value")))
+    ranks = F.array(*[F.array(*[F.lit(r - b.below) for i in of for b in [brackets[i]] for r in (b.first, b.last)]) for of in groups])
+    # A value stands at the ranks from those before it up to its own count: at most a few of the wanted ones.
+    wanted = placed.withColumn("wanted", F.element_at(ranks, F.col("span") + 1)).select(
+        "span", "value", F.posexplode(F.transform("wanted", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("at", "here")
     )
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side")) for p in probabilities for side in (0, 1)
-    ])
-    of_feature = Window.partitionBy("feature")
-    position = (F.col("total") - 1) * F.col("prob")
-    hits, rows = _collected(
-        by_coarse.withColumn("total", F.sum("n").over(of_feature))
-        .withColumn("_below", F.sum("n").over(of_feature.orderBy("coarse")) - F.col("n"))
-        .select("*", F.inline(wanted))
-        .withColumn("share", position - F.floor(position))
-        .withColumn("rank", F.least(F.floor(position).cast("bigint") + F.col("side"), F.col("total") - 1))
-        .where((F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("n")))
-        .withColumn("rank", F.col("rank") - F.col("_below"))
-        .drop("total", "_below")
-    )
-    out = ["feature", "prob", "side", "share", "value"]
-    found = hits.where(F.col("lo") == F.col("hi")).withColumn("value", F.col("lo")).select(*out)
-    still_open = [r for r in rows if r.lo < r.hi]
-    open_hits = hits.where(F.col("lo") < F.col("hi"))
-    if still_open:
-        pending = sorted({r.feature for r in still_open})
-        largest = max(r.n for r in still_open)
-        found = found.unionByName(_resolve(_long(df, columns, pending), open_hits, largest > small_bucket).select(*out))
-    at = {side: F.max(F.when(F.col("side") == side, F.col("value"))) for side in (0, 1)}
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("feature") + 1)
-    return found.groupBy("feature", "prob", "share").agg(at[0].alias("v0"), at[1].alias("v1")).select(
-        name.alias("feature"), "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("value")
-    )
-
-
-def _resolve(long: DataFrame, hits: DataFrame, split: bool) -> DataFrame:
-    """Values at the ranks inside the hit buckets, after splitting the buckets if asked."""
-    cell = ["feature", "coarse"]
-    spans = hits.select(*cell, "lo", "hi").distinct()
-    inside = long.withColumn("coarse", _coarse(F.col("value"))).join(F.broadcast(spans), cell)
-    if split:
-        inside = inside.withColumn("fine", _fine(F.col("value"), F.col("lo"), F.col("hi")))
-        by_fine = inside.groupBy(*cell, "fine").agg(F.count(F.lit(1)).alias("n"))
-        hits, _ = _collected(_locate(by_fine, hits.drop("n", "lo", "hi"), cell, "fine"))
-        cell = [*cell, "fine"]
-        inside = inside.join(F.broadcast(hits.select(*cell).distinct()), cell)
-    by_value = inside.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("n"))
-    return _locate(by_value, hits.select(*cell, "prob", "side", "share", "rank"), cell, "value")
+    found = {(r.span, r.at): r.value for r in wanted.where("here").select("span", "at", "value").collect()}
+    return {i: (found[g, 2 * k], found[g, 2 * k + 1]) for g, of in enumerate(groups) for k, i in enumerate(of)}

@@ -45,23 +45,26 @@ def numbered(
     all tasks instead; a row's position is then its place in its partition plus the rows
     of its group in the partitions before.  Rows equal under ``order`` are spread too.
     """
-    group = list(group)
-    sizes = sizes or group_sizes(df, group)
+    cold, hot = split_hot(df, group, sizes or group_sizes(df, group), hot_rows)
+    ranked = numbered_by_window(cold, group, order, out)
+    return ranked if hot is None else ranked.unionByName(numbered_by_range(hot, group, order, out))
+
+
+def split_hot(df: DataFrame, group: Sequence[str], sizes: GroupSizes, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups up to ``hot_rows``, and those of larger groups if there are any."""
     if sizes.largest <= hot_rows:
-        return _by_window(df, group, order, out)
+        return df, None
     # At most rows / hot_rows groups.
     hot = materialise(sizes.table.where(F.col("n") > hot_rows).select(*group), "hot_groups")
-    cold_part = join_lookup(df, hot, group, df.columns, "left_anti")
-    hot_part = join_lookup(df, hot, group, df.columns, "left_semi")
-    return _by_window(cold_part, group, order, out).unionByName(_by_range(hot_part, group, order, out))
+    return join_lookup(df, hot, group, df.columns, "left_anti"), join_lookup(df, hot, group, df.columns, "left_semi")
 
 
-def _by_window(df: DataFrame, group: list[str], order: Sequence[Column], out: str) -> DataFrame:
+def numbered_by_window(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(out, position.cast("bigint") - 1)
 
 
-def _by_range(df: DataFrame, group: list[str], order: Sequence[Column], out: str) -> DataFrame:
+def numbered_by_range(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     # Written first: row ids of a table on disk do not change when a task is retried, so
     # they can break ties, and the sampling pass of the range shuffle reads no lineage.
     base = materialise(df, "hot").withColumn("_tie", F.monotonically_increasing_id())
