@@ -1,7 +1,7 @@
 """Token ids in Arrow files of fixed-size lists: any sequence is found by its number, without a copy.
 
 A shard holds the documents of one range partition, in order, as two files: ``*.tokens.arrow``
-(``ids`` and ``mask``, fixed-size lists of ``length``) and ``*.docs.arrow`` (where each document
+(``ids`` and ``mask``, 1 or 0, fixed-size lists of ``length``, the same number of them in each batch but the last) and ``*.docs.arrow`` (where each document
 lies).  The last sequence of a shard is padded; its mask tells.  Files are uncompressed, so a
 reader maps them and slices.  A task writes under a name of its own attempt and then renames;
 a repeated attempt replaces the file by the same content.
@@ -33,7 +33,7 @@ def _store(folder: str):
 
 
 def tokens_schema(length: int, id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class _Shard:
@@ -65,11 +65,12 @@ class _Shard:
 
     def _flush(self, final: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.zeros(0, dtype=np.uint32)
-        sequences = -(-len(flat) // self.length) if final else len(flat) // self.length
+        whole = SEQUENCES_PER_BATCH * self.length
+        sequences = -(-len(flat) // self.length) if final else len(flat) // whole * SEQUENCES_PER_BATCH
         used = min(sequences * self.length, len(flat))
         ids = np.zeros(sequences * self.length, dtype=self.type.to_pandas_dtype())
         ids[:used] = flat[:used]
-        mask = np.arange(len(ids)) < used
+        mask = (np.arange(len(ids)) < used).astype(np.uint8)
         for at in range(0, sequences, SEQUENCES_PER_BATCH):
             cut = slice(at * self.length, (at + SEQUENCES_PER_BATCH) * self.length)
             self.tokens.write(pa.record_batch(
@@ -138,20 +139,21 @@ class TokenFile:
 
         self.tokens, self.docs = opened("tokens"), opened("docs")
         self.length = self.tokens.schema.field("ids").type.list_size
+        batches = self.tokens.num_record_batches
+        self.sequences = (batches - 1) * SEQUENCES_PER_BATCH + self.tokens.get_batch(batches - 1).num_rows if batches else 0
 
     def batch(self, number: int) -> np.ndarray:
         """Ids of one record batch, end to end."""
         return self.tokens.get_batch(number).column("ids").flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence.  All batches but a flush's last hold the same count."""
-        for k in range(self.tokens.num_record_batches):
-            batch = self.tokens.get_batch(k)
-            if number < batch.num_rows:
-                ids, mask = batch.column("ids")[number].values, batch.column("mask")[number].values
-                return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
-            number -= batch.num_rows
-        raise IndexError(number)
+        """Ids and mask of one sequence, both views of the mapped file; all batches but the last hold the same count."""
+        if not 0 <= number < self.sequences:
+            raise IndexError(number)
+        batch, row = divmod(number, SEQUENCES_PER_BATCH)
+        found = self.tokens.get_batch(batch)
+        ids, mask = (found.column(c)[row].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        return ids, mask
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """``doc_id``, start in the shard and ids of each document, in order; batches are read as needed."""
