@@ -46,3 +46,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The runs of characters that are not ASCII white space, in order."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` starts with one, whatever its case."""
+    taken = [c.lower() for c in df.columns]
+    found = []
+    for name in names:
+        while any(c.startswith(name.lower()) for c in taken):
+            name = f"_{name}"
+        found.append(name)
+    return found

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtide.llm.common import WORD
+from flowtide.llm.common import WORD, unused
 from flowtide.plans.materialise import materialise
 
 #: Rows of one source that are ordered in one task, on average.
@@ -157,6 +157,9 @@ def mixed_documents(
     Repeated rows at the cut share its words evenly.  A document without words comes once for
     each whole epoch, and in the broken one if its key lies before the cut.  ``chars_col``, if
     given, is set to the length of a text that was cut.
+
+    A null text has no words; a null source is a source of its own; a text of any length is cut inside its row; an empty table
+    gives no rows; other columns are passed on under any name.
     """
     seed = parameters.get("seed", "mix")
     # Planned from ids, sources and word counts alone, as in ``mix``.
@@ -173,20 +176,23 @@ def mixed_documents(
         .agg((F.floor(F.sum("part") / F.count(F.lit(1)))).cast("int").alias("_words"))
     )
     cuts = materialise(cuts.join(tied, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t"), "mix_cuts")
+    # The documents may have columns of any name.
+    of_source, epochs, cut, some, new_text = unused(docs, "_source", "_epochs", "_cut", "_words", "_text")
+    cuts = cuts.select(F.col("_s").alias(of_source), F.col("_epochs").alias(epochs), F.col("_cut").alias(cut), F.col("_words").alias(some))
     text = F.col(f"`{text_col}`")
     own = place(F.col(f"`{id_col}`").cast("bigint"), word_count(text), F.xxhash64(text))
-    whole = F.array_repeat(text, F.col("_epochs").cast("int"))
+    whole = F.array_repeat(text, F.col(epochs).cast("int"))
     broken = (
-        F.when(F.col("_cut").isNull() | (own > F.col("_cut")), F.array().cast("array<string>"))
-        .when(own < F.col("_cut"), F.array(text))
-        .otherwise(F.filter(F.array(first_words(text, F.col("_words"))), lambda x: F.length(x) > 0))
+        F.when(F.col(cut).isNull() | (own > F.col(cut)), F.array().cast("array<string>"))
+        .when(own < F.col(cut), F.array(text))
+        .otherwise(F.filter(F.array(first_words(text, F.col(some))), lambda x: F.length(x) > 0))
     )
     mixed = (
-        docs.join(cuts, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_s")))
-        .withColumn("_text", F.explode(F.concat(whole, broken)))
+        docs.join(cuts, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(of_source)))
+        .withColumn(new_text, F.explode(F.concat(whole, broken)))
     )
-    new = {text_col: F.col("_text")}
+    new = {text_col: F.col(new_text)}
     if chars_col:
-        new[chars_col] = F.when(F.length("_text") < F.length(text), F.length("_text")).otherwise(F.col(f"`{chars_col}`"))
+        new[chars_col] = F.when(F.length(new_text) < F.length(text), F.length(new_text)).otherwise(F.col(f"`{chars_col}`"))
     types = dict(docs.dtypes)
     return mixed.select(*[(new[c].cast(types[c]) if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowtide.llm.common import text_rows
+from flowtide.llm.common import text_rows, unused
 from flowtide.llm.components import components
 from flowtide.plans.materialise import materialise
 
@@ -372,21 +372,22 @@ def one_of_each(
     """The documents without near copies: of each group the one with the smallest doc_id stays, all columns kept.
 
     Null and empty texts are one group; repeated rows are copies of each other; a group of null
-    doc_ids keeps one row.
+    doc_ids keeps one row; texts count whole, whatever their length; an empty table gives no rows; columns may have any name.
     """
     groups = materialise(similar_groups(docs, words, similarity, id_col, text_col), "groups")
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("own"))
     chosen = chosen.select(F.col("own.doc_id").alias("_doc"), F.col("own.text_hash").alias("_hash"))
     repeated = groups.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    doc, text_hash, copies = unused(docs, "_doc", "_hash", "_n")
     keep = materialise(
         chosen.alias("c")
         .join(repeated.alias("r"), F.col("c._doc").eqNullSafe(F.col("r._doc")) & (F.col("c._hash") == F.col("r._hash")))
-        .select("c._doc", "c._hash", "_n"),
+        .select(F.col("c._doc").alias(doc), F.col("c._hash").alias(text_hash), F.col("_n").alias(copies)),
         "kept",
     )
     rows = docs.join(
-        keep, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_doc")) & (F.xxhash64(f"`{text_col}`") == F.col("_hash"))
+        keep, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(f"`{text_col}`") == F.col(text_hash))
     )
-    if not keep.where("_n > 1").isEmpty():
-        rows = rows.where("_n = 1").unionByName(rows.where("_n > 1").dropDuplicates(["_doc", "_hash"]))
+    if not keep.where(F.col(copies) > 1).isEmpty():
+        rows = rows.where(F.col(copies) == 1).unionByName(rows.where(F.col(copies) > 1).dropDuplicates([doc, text_hash]))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
