@@ -7,10 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtide.llm.common import importable
+from flowtide.llm.common import importable, unused
+from flowtide.plans.lookup import join_lookup
+from flowtide.plans.materialise import materialise
 
 #: Bounds of what is learned: texts sampled per language, characters of each, bytes of a dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 4_000, 96 * 1024
@@ -22,12 +25,18 @@ LEVEL = 6
 LEAST_MARGIN = 0.003
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER_ASCII = re.compile(r"[^a-z]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def plain(text: str | None) -> str:
-    """Lower-cased letters with single spaces between runs of them."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower-cased letters and their marks with single spaces between runs of them; empty without a letter."""
+    text = text or ""
+    if not _LETTER.search(text):
+        return ""
+    lower = text.lower()
+    return (_OTHER_ASCII if lower.isascii() else _OTHER).sub(" ", lower).strip()
 
 
 @dataclass
@@ -69,23 +78,24 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Dictionaries from a bounded sample of labelled texts outside the held-out fold.
 
-    Of each language the ``SAMPLE_TEXTS`` texts with the smallest hashes are taken; the rank is cut before the
-    shuffle, so a language may own any share of the rows.  The driver receives those texts only: at most
-    ``SAMPLE_TEXTS * SAMPLE_CHARS`` characters per language.
+    Of each language the ``SAMPLE_TEXTS`` different texts with letters and the smallest hashes are taken; copies take one
+    place.  Copies meet and ranks are cut before the shuffle, so a language or a text may own any share of the
+    rows.  The driver receives those texts only: at most ``SAMPLE_TEXTS * SAMPLE_CHARS`` characters per language.
     """
     rows = docs.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")
     ).where(F.col(f"`{lang_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`")))
-    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(7)))
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text", F.lit(7)))
     ranked = (
-        rows.where("text is not null")
-        .select("lang", "hash")
+        rows.select("lang", "hash")
+        .distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
         .where(F.col("rank") <= SAMPLE_TEXTS)
         .select("lang", "hash")
-        .distinct()
     )
-    chosen = rows.join(F.broadcast(ranked), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # Broadcast if its size allows.
+    wanted = materialise(ranked, "language_sample")
+    chosen = join_lookup(rows, wanted, ["lang", "hash"], ["text"]).select("lang", "hash", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     chosen = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "hash").collect():
@@ -140,7 +150,12 @@ def languages(
 def known_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_margin: float = LEAST_MARGIN
 ) -> DataFrame:
-    """The documents whose language is told with a sufficient margin, all columns kept as they are."""
+    """The documents whose language is told with a sufficient margin, all columns kept as they are.
+
+    Null texts and texts without letters go; texts are compressed whole, whatever their length; repeated rows are judged
+    each; an empty table gives no rows; columns may have any name.
+    """
     model = learn(docs, id_col, text_col, lang_col)
-    judged = predicted(docs, model, text_col, least_margin, prefix="_lang_id_")
-    return judged.where("not _lang_id_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (prefix,) = unused(docs, "_lang_id_")
+    judged = predicted(docs, model, text_col, least_margin, prefix=prefix)
+    return judged.where(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
