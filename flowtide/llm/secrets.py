@@ -7,6 +7,8 @@ from math import log2
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowtide.llm.common import unused
+
 # The patterns of the base kinds, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -45,21 +47,43 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 SCALE = 1_000_000
 
 
+#: Matches placed by one running sum; longer lists are cut into stretches of this many.
+STRETCH = 256
+
+
 def _placed(text: Column, pattern: str, matches: Column) -> Column:
-    """Start and text of each match: lengths of the gaps between matches, summed up with the matches'."""
+    """Start and text of each match: lengths of the gaps between matches, summed up with the matches'.
+
+    Arrays grow by copies, so sums run inside stretches, and once over the stretches.
+    """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
+    steps = F.transform(F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g")), lambda p: F.struct(p["g"].cast("bigint").alias("g"), p["m"].alias("m")))
     empty = F.array().cast("array<struct<start:bigint,m:string>>")
-    summed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + F.length(p["m"])).cast("bigint").alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).cast("bigint").alias("start"), p["m"].alias("m")))).alias("out"),
+
+    def place(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["g"]
+        return F.struct(
+            (start + F.length(p["m"])).cast("bigint").alias("at"),
+            F.concat(acc["out"], F.array(F.struct(start.cast("bigint").alias("start"), p["m"].alias("m")))).alias("out"),
+        )
+
+    summed = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STRETCH).cast("int")),
+        lambda k: F.aggregate(
+            F.slice(steps, k * STRETCH + 1, F.lit(STRETCH)), F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), place
+        ),
+    )
+    whole = "array<struct<at:bigint,out:array<struct<start:bigint,m:string>>>>"
+    moved = F.aggregate(
+        summed,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(whole).alias("out")),
+        lambda acc, s: F.struct(
+            (acc["at"] + s["at"]).cast("bigint").alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), s["out"].alias("out")))).alias("out"),
         ),
-        lambda acc: acc["out"],
+        lambda acc: F.flatten(F.transform(acc["out"], lambda s: F.transform(s["out"], lambda p: F.struct((s["at"] + p["start"]).alias("start"), p["m"].alias("m"))))),
     )
-    return F.when(F.size(matches) > 0, summed).otherwise(empty)
+    return F.when(F.size(matches) > 0, moved).otherwise(empty)
 
 
 def _spans(placed: Column, kind: int) -> Column:
@@ -159,9 +183,11 @@ def listed(spans: Column) -> Column:
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, mark: str = "[SECRET]", **rules) -> DataFrame:
     """The documents with each stretch of overlapping spans replaced by ``mark``; columns stay as they are.
 
-    Texts without spans are untouched, null stays null, and ``chars_col``, if given, follows the new text.
+    Texts without spans are untouched, null stays null, and ``chars_col``, if given, follows the new text.  Repeated rows
+    come each; an empty table gives no rows; columns may have any name.
     """
-    text, spans = F.col(f"`{text_col}`"), F.col("_secret_spans")
+    (prefix,) = unused(docs, "_secret")
+    text, spans = F.col(f"`{text_col}`"), F.col(f"{prefix}_spans")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -174,7 +200,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = No
         )
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    found = scan(docs, text_col, **rules)
+    found = scan(docs, text_col, prefix=prefix, **rules)
     new = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
     columns = {text_col: new}
     if chars_col:
