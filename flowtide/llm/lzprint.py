@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,47 +22,76 @@ _NEXT, _SYMBOL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ALL = (1 << 64) - 1
 
 
-def phrases(text: str) -> list[str]:
-    """The dictionary of an incremental (1978) Lempel-Ziv parse: each phrase is an earlier one and a character more."""
-    known: set[str] = set()
-    add = known.add
-    start, size = 0, len(text)
-    end = 1
+def phrases(text: str, kept: Sequence[str] = ()) -> list[str]:
+    """The dictionary of an incremental (1978) Lempel-Ziv parse: each phrase is an earlier one and a character more.
+
+    Phrases come in the order of the text.  ``kept`` are phrases of an earlier parse of the same start; the parse goes on after them.
+    """
+    known = dict.fromkeys(kept)
+    start, size = sum(map(len, kept)), len(text)
+    end = start + 1
     while end <= size:
         phrase = text[start:end]
         if phrase in known:
             end += 1
         else:
-            add(phrase)
+            known[phrase] = None
             start, end = end, end + 1
     if start < size:
-        add(text[start:])
+        known[text[start:]] = None
     return list(known)
 
 
-def signature(text: str, slots: int = SLOTS) -> np.ndarray:
-    """Minimum-hash signature of the phrase set, 16 bits a slot; all ones for an empty text.
+class Parse(NamedTuple):
+    """Phrases in the order of the text, and a hash of each."""
 
-    One hash per phrase: its low part names the slot, the rest competes for the minimum there.  An
-    empty slot borrows from the next filled one, mixed with the distance, as short texts have
-    few phrases.
+    phrases: list[str]
+    hashes: np.ndarray
+
+
+def parsed(text: str, before: Parse | None = None, shared: int = 0) -> Parse:
+    """The parse of ``text``; ``before`` is that of a text with the same first ``shared`` characters.
+
+    Whether a phrase ends depends on the characters up to its end alone, so what ends within the shared
+    start is taken over with its hashes.
     """
-    if not text:
-        return np.full(slots, 0xFFFF, dtype=np.uint16)
-    found = phrases(text)
+    if before is None:
+        found = phrases(text)
+        return Parse(found, _hashes(found))
+    count = int(np.searchsorted(np.fromiter(accumulate(map(len, before.phrases)), np.int64, len(before.phrases)), shared, "right"))
+    found = phrases(text, before.phrases[:count])
+    return Parse(found, np.concatenate([before.hashes[:count], _hashes(found[count:])]))
+
+
+def _hashes(found: list[str]) -> np.ndarray:
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     ends = np.cumsum(sizes)
     place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
     with np.errstate(over="ignore"):
         terms = _mixed((codes + np.uint64(1)) * _PRIME + _mixed(place.astype(np.uint64) + np.uint64(1)))
-        hashes = _mixed(np.add.reduceat(terms, ends - sizes))
+        return _mixed(np.add.reduceat(terms, ends - sizes))
+
+
+def signature(text: str, slots: int = SLOTS) -> np.ndarray:
+    """Minimum-hash signature of the phrase set, 16 bits a slot; all ones for an empty text."""
+    return _signature(parsed(text).hashes, slots)
+
+
+def _signature(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """One hash per phrase: its low part names the slot, the rest competes for the minimum there.
+
+    An empty slot borrows from the next filled one, mixed with the distance, as short texts have
+    few phrases.
+    """
+    if not len(hashes):
+        return np.full(slots, 0xFFFF, dtype=np.uint16)
     slot = (hashes % np.uint64(slots)).astype(np.int64)
     least = np.full(slots, _ALL, dtype=np.uint64)
-    order = np.lexsort((hashes, slot))
-    first = np.flatnonzero(np.diff(slot[order], prepend=-1))
-    least[slot[order][first]] = hashes[order][first]
-    filled = np.flatnonzero(np.isin(np.arange(slots), slot))
+    np.minimum.at(least, slot, hashes)
+    filled = np.flatnonzero(np.bincount(slot, minlength=slots))
     lender = filled[np.searchsorted(filled, np.arange(slots)) % len(filled)]
     gap = ((lender - np.arange(slots)) % slots).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -113,10 +144,10 @@ _NAMES = [c.split()[0] for c in OUT.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
-def _compared(doc_id: int | None, text: str, own: np.ndarray, next_text: str, next_sig: np.ndarray, slots: int) -> tuple:
+def _compared(doc_id: int | None, text: str, parse: Parse, own: np.ndarray, next_text: str, next_sig: np.ndarray, slots: int) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + next_text[:half]
-    changed = own if edited == text else signature(edited, slots)
+    changed = own if edited == text else _signature(parsed(edited, parse, len(text) - half).hashes, slots)
     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
     return (doc_id, len(text), digest, _bytes(own), _bytes(changed), likeness(own, changed), likeness(own, next_sig))
 
@@ -141,12 +172,13 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out: list[tuple] = []
             borders: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                sig = signature(text, slots)
+                parse = parsed(text)
+                sig = _signature(parse.hashes, slots)
                 if held is None:
                     borders.append((part, "first", doc_id, text))
                 else:
                     out.append(_compared(*held, text, sig, slots))
-                held = (doc_id, text, sig)
+                held = (doc_id, text, parse, sig)
             yield from _with_borders(out, borders)
         if held:
             yield from _with_borders([], [(part, "last", held[0], held[1])])
@@ -171,10 +203,11 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                _compared(r["border_id"], r["border_text"], signature(r["border_text"], slots), r["next_text"], signature(r["next_text"], slots), slots)
-                for r in batch.to_pylist()
-            ]
+            found = []
+            for r in batch.to_pylist():
+                parse = parsed(r["border_text"])
+                own, after = _signature(parse.hashes, slots), signature(r["next_text"], slots)
+                found.append(_compared(r["border_id"], r["border_text"], parse, own, r["next_text"], after, slots))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), _TYPES)] if found else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
     found = rows.where("side is null").select(*_NAMES).unionByName(met.mapInArrow(borders, OUT))
