@@ -38,6 +38,7 @@ def encoded(docs: DataFrame, path: str, cut: str, end_id: int, id_col: str = "do
                     "ids": pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()),
                 })
                 total += int(sizes.sum())
+        pa.default_memory_pool().release_unused()  # workers are reused by later stages
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, ENCODED)
 

@@ -12,7 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
-_LETTER = r"A-Za-zÀ-ÖØ-öø-ɏ"
+#: Without U+0130: its lower case ends in a mark, which joins the marks after it.
+_LETTER = r"A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: A run of letters before a comma, full stop or white space; such a mark before white space; any
 #: other run.  A cut between these never lies inside a unit that merges are applied to, because
 #: both vocabularies separate letters from marks and never join what white space parts.
@@ -23,7 +24,7 @@ _BARE = f"[{_LETTER}]+(?=[,. \n]|$)|[,.](?=[ \n]|$)|[^{_SPACE}]+"
 CUTS = {"leading": re.compile(_LEADING), "bare": re.compile(_BARE)}
 
 #: Pieces a worker remembers; a full memory keeps those met most, which costs time and nothing else.
-MEMORY = 500_000
+MEMORY = 300_000
 
 
 class _Numbers(dict):
@@ -35,24 +36,26 @@ class _Numbers(dict):
 
 
 class PieceEncoder:
-    """Ids of texts as the tokenizer file gives them for the whole text, no special tokens added.
+    """Ids of texts as the tokenizer file gives them for the whole text with ``add_special_tokens=False``.
 
     Texts are cut where the vocabulary never merges (``cut``), and each distinct piece is
-    encoded once.  Strings of special tokens count as ordinary text.
+    encoded once.  The string of an added token, such as ``<|endoftext|>``, is that token's one id, as in
+    the plain call, and parts the text around it.
     """
 
     def __init__(self, path: str, cut: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pieces = CUTS[cut].findall
-        # A second copy that does see special tokens: one of them keeps the pieces of a long joint
-        # text apart, which costs far less than an encoding object for each piece.
-        self.joint = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in self.joint.get_added_tokens_decoder().items() if t.special}
-        self.special = tuple(special)
-        self.between, self.between_id = next(iter(special.items()), (None, None))
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{path}: added tokens that depend on the text around them")
+        self.added = {t.content: i for i, t in added.items()}
+        self.parts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split
+        # One added token keeps the pieces of a long joint text apart, which costs far less than an
+        # encoding object for each piece.
+        self.between, self.between_id = next(iter(self.added.items()), (None, None))
         self._forget()
 
     def _forget(self) -> None:
@@ -96,8 +99,8 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many belong to each piece."""
-        if self.between is not None and not any(s in p for p in pieces if "<" in p for s in self.special):
-            joined = self.joint.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0]
+        if self.between is not None and not any(p in self.added for p in pieces):
+            joined = self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0]
             ids = np.array(joined.ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.between_id)
             if len(cuts) == len(pieces) - 1:
@@ -106,13 +109,18 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
 
+    def _cut(self, text: str) -> list[str]:
+        if not any(t in text for t in self.added):
+            return self.pieces(text)
+        return [p for part in self.parts(text) for p in ([part] if part in self.added else self.pieces(part))]
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
         if self.learned != len(self.known):  # an earlier call was broken off
             self._forget()
         elif self.learned > MEMORY:
             self._keep_frequent()
-        cut = [self.pieces(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         counts = [len(p) for p in cut]
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(counts))
         del cut
