@@ -7,6 +7,7 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide.llm.common import SPACES, words_of
+from flowtide.plans.lookup import join_lookup
 from flowtide.plans.materialise import materialise
 
 WINDOW = 5
@@ -116,9 +117,14 @@ def _cholesky(shape: DataFrame) -> DataFrame:
     return shape
 
 
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the written row of their group; one group may own a third of all rows, so they are not dealt by it."""
+    return join_lookup(rows, groups, ["grp"], X)
+
+
 def _distances(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     """Add ``d2``, the squared Mahalanobis distance to the group's centre ``m<i>`` under its factor."""
-    out = rows.join(shapes, "grp")
+    out = _with_group(rows, shapes)
     for i in range(DIMENSIONS):
         solved = (F.col(X[i]) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}")
         out = out.withColumn(f"z{i}", solved)
@@ -129,7 +135,7 @@ def _start(rows: DataFrame) -> DataFrame:
     """Medians and median deviations of each group, as a centre and a diagonal factor."""
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(X)])
     middle = materialise(middle, "medians")
-    off = rows.join(middle, "grp").groupBy("grp").agg(
+    off = _with_group(rows, middle).groupBy("grp").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, x in enumerate(X)],
     )
@@ -161,7 +167,7 @@ def fitted(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame
             .agg(F.min("step").alias("limit"), F.first("all").alias("n"))
         )
         limits = materialise(limits, "limits")
-        chosen = near.join(limits, "grp").where("step <= limit")
+        chosen = _with_group(near, limits).where("step <= limit")
         moments = chosen.groupBy("grp").agg(
             F.first("n").alias("n"),
             *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in PAIRS]
