@@ -26,7 +26,6 @@ def encode(path, texts, end):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [end] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -141,3 +140,60 @@ def backoff_scores(texts, order=2, backoff=0.4, least=2):
                     break
         out.append((len(d), score))
     return out
+
+
+def all_spans(text, classes, allow, candidate):
+    """Base spans and those of the entropy rule, from the same patterns."""
+    base = base_spans(text)
+    found = list(base)
+    for m in re.finditer(candidate, text):
+        if any(re.search(a, m[0]) for a in allow):
+            continue
+        bits, window = next(((b, w) for _, p, w, b in classes if re.fullmatch(p, m[0])), (None, 0))
+        if bits is None or any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        # The rule sums whole millionths; a window on the line counts.
+        if round(peak_entropy(m[0], window), 5) >= bits:
+            found.append((m.start(), 3, m.end()))
+    return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+_ALL = (1 << 64) - 1
+
+
+def _spread(x):
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    return x ^ x >> 29
+
+
+def lz_fingerprint(text, slots=128):
+    """Phrases by a tree of characters, hashes in Python's whole numbers, slots one by one."""
+    if not text:
+        return "ffff" * slots
+    tree, node, phrases, current = {}, None, set(), ""
+    node = tree
+    for c in text:
+        current += c
+        if c in node:
+            node = node[c]
+        else:
+            node[c] = {}
+            phrases.add(current)
+            node, current = tree, ""
+    if current:
+        phrases.add(current)
+    least = {}
+    for p in phrases:
+        terms = (_spread(((ord(c) + 1) * 0x9E3779B97F4A7C15 + _spread(i + 1)) & _ALL) for i, c in enumerate(p))
+        h = _spread(sum(terms) & _ALL)
+        least[h % slots] = min(least.get(h % slots, _ALL), h)
+    out = []
+    for slot in range(slots):
+        gap = next(g for g in range(slots) if (slot + g) % slots in least)
+        out.append(_spread((least[(slot + gap) % slots] + gap * 0x9E3779B97F4A7C15) & _ALL) >> 48)
+    return "".join(f"{x:04x}" for x in out)
+
+
+def lz_likeness(a, b):
+    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(0, len(a), 4)]
+    return sum(x == y for x, y in pairs) / len(pairs)

@@ -182,3 +182,63 @@ def test_keys_of_every_alphabet_are_found_and_words_are_not(spark):
     recall = {n: sum(found[i] for i, (name, _) in enumerate(keys) if name == n) / 200 for n in ALPHABETS}
     assert all(r >= 0.88 for r in recall.values()), recall
     assert not any(found[len(keys) + i] for i in range(len(WORDS_OF_LETTERS)))
+
+
+#: Names that the helpers of the stages use inside, and longer ones that start with them.
+INSIDE = ("_text", "_source", "_epochs", "_cut", "_words", "_s", "_t", "_doc", "_hash", "_n", "_secret_spans", "_secret_base", "_lang_id_score", "_LANG_ID_rejected")
+
+
+def named(spark, rows):
+    """Documents with a column of each such name, which holds the row's own number."""
+    docs = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in INSIDE])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:4]])
+def test_stages_keep_columns_of_any_name(spark, name):
+    rows = [(i, f"{'one two three four five six seven' if i % 2 else 'eins zwei drei vier sechs sieben acht'} {i} password=abcdef{i}123", "en" if i % 2 else "de", "a") for i in range(1, 9)]
+    out = dict(corpus_pipeline.STAGES)[name](spark, named(spark, rows), "").collect()
+    assert out
+    for r in out:
+        assert [r[n] for n in INSIDE] == [f"{n}:{r.doc_id}" for n in INSIDE]
+        assert r.n_chars == len(r.text)
+
+
+def test_values_of_edge_rows(spark):
+    """Null and empty texts count alike, copies alike, each row once."""
+    docs = table(spark, ROWS)
+    of = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=str)
+    fingerprints = of(simhash.near_duplicates(docs), "doc_id", "fingerprint")
+    want = [(i, f"{brute.simhash(t or ''):016x}") for i, t, _, _ in ROWS]
+    assert fingerprints == sorted(want, key=str)
+    want = [(i, brute.lz_fingerprint(t or "")) for i, t, _, _ in ROWS if i != 4]
+    assert of(lzprint.with_edits(docs).where("doc_id is null or doc_id != 4"), "doc_id", "fingerprint") == sorted(want, key=str)
+    want = [(i, brute.all_spans(t or "", secrets.CLASSES, secrets.ALLOW, secrets.CANDIDATE)) for i, t, _, _ in ROWS]
+    assert of(secrets.secrets(docs), "doc_id", "spans") == sorted(want, key=str)
+    want = [(i, *brute.statistics(t)) for i, t, _, _ in ROWS]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert of(quality.quality(docs), "doc_id", *names) == sorted(want, key=str)
+    want = [(i, len(brute.WORD.findall(t or ""))) for i, t, _, _ in ROWS]
+    assert of(mixing.mix(docs), "doc_id", "size") == sorted(want, key=str)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abc{i:06d}" for i in range(20_000))
+    (row,) = secrets.secrets(table(spark, [(1, text, "en", "a")])).collect()
+    assert row.n_assign == 20_000 and row.base_sha256 == brute.spans_digest(brute.base_spans(text))
+
+
+def test_languages_of_copies_and_of_texts_without_letters(spark):
+    """Copies take one place of the sample; marks stay with their letters; numbers that are no digits are no letters."""
+    draw = random.Random(3)
+    known = {a: ["".join(draw.choices(a, k=6)) for _ in range(80)] for a in ("abcde", "vwxyz")}
+    words = lambda a: " ".join(draw.choices(known[a], k=60))
+    rows = [(i, "the same line of words again", "en", "a") for i in range(1, 400)]
+    rows += [(i, words("abcde"), "en", "a") for i in range(400, 440)] + [(i, words("vwxyz"), "de", "a") for i in range(500, 540)]
+    rows += [(600, "\u00bd \u00b2 \u2167 12", "en", "a"), (601, "\u0301\u0301", "en", "a"), (602, words("abcde"), None, "a")]
+    docs = table(spark, rows)
+    model = langid.learn(docs)
+    assert model.dictionaries["en"].count(b"the same line of words again") == 1 and len(model.dictionaries["en"]) > 5_000
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(docs).collect()}
+    assert found[600] == found[601] == ("und", 0.0) and found[602][0] == "en"
+    assert langid.plain("\u0939\u093f\u0928\u094d\u0926\u0940 2") == "\u0939\u093f\u0928\u094d\u0926\u0940"

@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from flowtide.llm import lzprint, queries, tokens
+from flowtide.llm import queries, secrets, tokens
 from flowtide.llm.langid import held_out  # noqa: F401
 from tests.llm import brute
 
@@ -74,11 +74,11 @@ def test_lz_fingerprints(spark, docs):
         text, after = texts[i], texts[(i + 1) % len(texts)]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        own, changed, following = (lzprint.signature(t) for t in (text, edited, after))
+        own, changed, following = (brute.lz_fingerprint(t) for t in (text, edited, after))
         r = rows[d.doc_id]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (lzprint.written(own), lzprint.written(changed))
-        assert (r["near_edited"], r["near_next"]) == (lzprint.likeness(own, changed), lzprint.likeness(own, following))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own, changed)
+        assert (r["near_edited"], r["near_next"]) == (brute.lz_likeness(own, changed), brute.lz_likeness(own, following))
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.97 * len(rows)
 
 
@@ -88,6 +88,7 @@ def test_secrets(spark, docs):
         spans, r = brute.base_spans(d.text or ""), rows[d.doc_id]
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in spans) for n in range(3)]
         assert r["base_sha256"] == brute.spans_digest(spans)
+        assert r["spans"] == brute.all_spans(d.text or "", secrets.CLASSES, secrets.ALLOW, secrets.CANDIDATE)
 
 
 def test_quality(spark, docs):
@@ -128,7 +129,6 @@ def test_encoder_with_a_small_memory(docs, monkeypatch):
     path = queries.tokenizer_file("byte_bpe_50k.json")
     texts = [d.text or "" for d in docs]
     plain, made = Tokenizer.from_file(path), tokens.PieceEncoder(path, "leading")
-    plain.encode_special_tokens = True
     for some in tokens.portions(pa.array(texts), 20_000):
         found = made.encode(texts[some])
         assert [x.tolist() for x in found] == [e.ids for e in plain.encode_batch_fast(texts[some], add_special_tokens=False)]
