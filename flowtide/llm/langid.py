@@ -89,6 +89,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ranked = (
         rows.select("lang", "hash")
         .distinct()
+        # First within parts of a language, so that few rows of it meet in one task.
+        .withColumn("part", F.pmod("hash", F.lit(32)))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy("hash")))
+        .where(F.col("rank") <= SAMPLE_TEXTS)
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
         .where(F.col("rank") <= SAMPLE_TEXTS)
         .select("lang", "hash")
