@@ -153,25 +153,63 @@ def _component_ids(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
 BANDS, ROWS_PER_BAND = 20, 5
 #: Most members, and most shingles of them together, in a slice of a large block; two slices are compared in one task.
 SLICE_MEMBERS, SLICE_SHINGLES = 1_000, 2_000_000
-SKETCH = "doc_id long, text_hash long, cls binary, bands array<long>"
+#: Shingles to a cell of an outline, on average; fewer than this many cells are never used.
+CELL_SHINGLES, LEAST_CELLS = 2, 16
+SKETCH = "doc_id long, text_hash long, cls binary, bands array<long>, size long, outline binary"
+
+
+def _outline(hashes: np.ndarray) -> np.ndarray:
+    """How many distinct shingles fall into each of a power of two of cells, by the low bits; 255 stands for 255 or more.
+
+    The sum of the smaller counts of two outlines is at least what the sets have in common, so it rules pairs out
+    without loss at a sixteenth of the bytes of a set.
+    """
+    cells = max(LEAST_CELLS, 1 << max(len(hashes) // CELL_SHINGLES - 1, 0).bit_length())
+    found = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.minimum(found, 255).astype(np.uint8)
+
+
+def _folded(outlines: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of outlines in fewer cells."""
+    if outlines.shape[1] == cells:
+        return outlines
+    wide = outlines.reshape(len(outlines), -1, cells)
+    # A full cell stays full: its count is not known.
+    sums = np.where((wide == 255).any(1), 255, wide.sum(1, dtype=np.int64))
+    return np.minimum(sums, 255).astype(np.uint8)
+
+
+def _may_share(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """At least what each row's set has in common with the same row of ``right`` (or its only one), full cells aside."""
+    least = np.minimum(left, right)
+    found = least.sum(1, dtype=np.int64)
+    return np.where((least == 255).any(1), np.iinfo(np.int64).max >> 1, found)
+
+
+def _possible(sizes: np.ndarray, size: int, shared: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes with at most ``shared`` in common can be similar enough."""
+    both = np.minimum(shared, np.minimum(sizes, size))
+    return both >= similarity * (sizes + size - both)
 
 
 def _sketcher(words: int, bands: int, rows: int):
-    """Class (hash of the word sequence) and band keys of minimum hashes over distinct shingles."""
+    """Class (hash of the word sequence), band keys of minimum hashes over distinct shingles, their number and outline."""
     draw = np.random.RandomState(SEED)
     factor = draw.randint(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = draw.randint(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def sketch(text: bytes) -> tuple[bytes, list[int]]:
+    def sketch(text: bytes) -> tuple[bytes, list[int], int, bytes]:
         hashes = np.unique(shingle_hashes(text, words))
         cls = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+        outline = _outline(hashes).tobytes()
         if not len(hashes):
-            return cls, []
+            return cls, [], 0, outline
         least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for at in range(0, len(hashes), 2_000):
                 least = np.minimum(least, (hashes[at : at + 2_000, None] * factor + shift).min(0))
-        return cls, [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(bands, rows))]
+        keys = [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(bands, rows))]
+        return cls, keys, len(hashes), outline
 
     return sketch
 
@@ -189,15 +227,20 @@ def similar_groups(
     At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits and up to sixteen; blocks
     that such pairs surely share would be four bits wide.  So here the blocks are bands of
     minimum hashes (a pair at 0.8 shares one of 20 bands of 5 with probability 0.9996), and each pair is
-    verified on its whole shingle sets.  Texts with the same words in the same order are one
-    node (``cls``).
+    verified on its whole shingle sets, unless the sets' sizes and outlines (``_outline``) already rule it out.
+    Texts with the same words in the same order are one node (``cls``).
 
     A block above ``pairs_up_to`` members emits no pairs: each member is compared with the smallest one first, and
     ``_across`` compares all members that are then still in different components, in slices.
     """
     rows = materialise(_sketches(docs, words, id_col, text_col), "sketches")
     nodes = materialise(
-        rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.first("bands").alias("bands")), "classes"
+        rows.groupBy("cls").agg(
+            F.min("doc_id").alias("first"),
+            F.min(F.struct("doc_id", "text_hash")).alias("own"),
+            *[F.first(c).alias(c) for c in ("bands", "size", "outline")],
+        ),
+        "classes",
     )
     blocks = materialise(nodes.select("cls", F.posexplode("bands").alias("band", "key")), "bands")
     sizes = blocks.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("head"))
@@ -209,7 +252,7 @@ def similar_groups(
     if again:
         heads = blocks.join(large, ["band", "key"]).where("cls != head")
         pairs = pairs.unionByName(heads.select(F.col("head").alias("a"), F.col("cls").alias("b")))
-    pairs = materialise(pairs.distinct(), "pairs")
+    pairs = materialise(_open_pairs(pairs.distinct(), nodes, similarity), "pairs")
     links = materialise(_verified(pairs, _sets(docs, nodes, pairs, words, id_col, text_col), similarity), "links")
     roots = components(links)
     if again:
@@ -228,8 +271,8 @@ def _across(
 
     Every such pair is compared on whole shingle sets unless links found in the same task already join it.  The
     members of a block's largest component (``main``) and the rest are cut into slices by hash, and each two slices
-    of which one is of the rest meet in a task.  Blocks of the same members count once.  None if no block has
-    two components.
+    of which one is of the rest meet in a task.  They meet by their outlines first, and only members that these leave a
+    partner there bring their whole sets.  Blocks of the same members count once.  None if no block has two components.
     """
     counts = materialise(
         members.groupBy("band", "key", "root").agg(
@@ -250,10 +293,9 @@ def _across(
     open_blocks = materialise(once.select("b.band", "b.key", "b.main"), "open_blocks")
     if open_blocks.isEmpty():
         return None
-    inside = materialise(members.join(open_blocks, ["band", "key"]).withColumn("rest", F.col("root") != F.col("main")), "open_members")
-    sets = _sets(docs, nodes, inside.select(F.col("cls").alias("a"), F.col("cls").alias("b")), words, id_col, text_col)
-    inside = inside.join(sets.select("cls", (F.length("set") / 8).cast("bigint").alias("size")), "cls")
-    inside = materialise(inside.select("band", "key", "cls", "root", "rest", "size"), "sized_members")
+    inside = members.join(open_blocks, ["band", "key"]).withColumn("rest", F.col("root") != F.col("main"))
+    inside = inside.join(nodes.select("cls", "size"), "cls")
+    inside = materialise(inside.select("band", "key", "cls", "root", "rest", "size"), "open_members")
     slices = lambda rest: F.greatest(
         F.ceil(F.count(F.when(F.col("rest") == rest, 1)) / SLICE_MEMBERS),
         F.ceil(F.coalesce(F.sum(F.when(F.col("rest") == rest, F.col("size"))), F.lit(0)) / SLICE_SHINGLES),
@@ -269,6 +311,24 @@ def _across(
         "band", "key", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "cls", "root"
     )
 
+    def partnered(table: pa.Table) -> pa.Table:
+        at = table["slice"].to_numpy()
+        keep = _partnered(
+            [np.frombuffer(x.as_buffer(), np.uint8) for x in table["outline"]],
+            table["size"].to_numpy(),
+            np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1],
+            np.flatnonzero(at == table["i"][0].as_py()),
+            np.flatnonzero(at == table["j"][0].as_py()),
+            similarity,
+        )
+        return table.select(["band", "key", "i", "j", "slice", "cls", "root"]).filter(pa.array(keep))
+
+    outlined = dealt.join(nodes.select("cls", "size", "outline"), "cls").groupBy("band", "key", "i", "j")
+    dealt = materialise(
+        outlined.applyInArrow(partnered, "band int, key long, i int, j int, slice int, cls binary, root binary"), "partnered"
+    )
+    sets = _sets(docs, nodes, dealt.select(F.col("cls").alias("a"), F.col("cls").alias("b")), words, id_col, text_col)
+
     def compared(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         names, roots, at = table["cls"].to_pylist(), table["root"].to_pylist(), table["slice"].to_pylist()
@@ -280,6 +340,31 @@ def _across(
     return materialise(whole.applyInArrow(compared, "a binary, b binary"), "links_across")
 
 
+def _partnered(
+    outlines: list[np.ndarray], sizes: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float
+) -> np.ndarray:
+    """For each member, whether another, one of ``left`` and one of ``right``, may be similar and has another root."""
+    keep = np.zeros(len(outlines), bool)
+    cells = np.array([len(o) for o in outlines])
+    # Members of as many cells in one matrix; ``rows`` holds it folded to what its partners have.
+    for wide in np.unique(cells[left]):
+        some = left[cells[left] == wide]
+        rows = {wide: np.stack([outlines[x] for x in some])}
+        near = np.flatnonzero((similarity * sizes[right] <= sizes[some].max()) & (sizes[right] >= similarity * sizes[some].min()))
+        for y in right[near]:
+            narrow = min(wide, cells[y])
+            if narrow not in rows:
+                rows[narrow] = _folded(rows[wide], narrow)
+            other = np.flatnonzero((roots[some] != roots[y]) & (np.minimum(sizes[some], sizes[y]) >= similarity * np.maximum(sizes[some], sizes[y])))
+            if not len(other) or (keep[y] and keep[some[other]].all()):
+                continue
+            shared = _may_share(rows[narrow][other], _folded(outlines[y][None, :], narrow))
+            hit = some[other[_possible(sizes[some[other]], sizes[y], shared, similarity)]]
+            keep[hit] = True
+            keep[y] |= len(hit) > 0
+    return keep
+
+
 def _cross_links(sets: list[np.ndarray], roots: list[bytes], left: list[int], right: list[int], similarity: float) -> list[tuple[int, int]]:
     """Places of similar sets, one of ``left`` and one of ``right``, that join components not joined before."""
     parent = {r: r for r in roots}
@@ -324,8 +409,10 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"),
                 "text_hash": batch.column("text_hash"),
-                "cls": pa.array([c for c, _ in found], pa.binary()),
-                "bands": pa.array([b for _, b in found], pa.list_(pa.int64())),
+                "cls": pa.array([f[0] for f in found], pa.binary()),
+                "bands": pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                "size": pa.array([f[2] for f in found], pa.int64()),
+                "outline": pa.array([f[3] for f in found], pa.binary()),
             })
 
     return text_rows(docs, id_col, text_col, text_hash=F.xxhash64(f"`{text_col}`")).mapInArrow(run, SKETCH)
@@ -348,6 +435,28 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, id_co
     return materialise(sets, "sets")
 
 
+def _open_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of classes that sizes and outlines do not rule out."""
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(batch["m"].to_numpy(), batch["n"].to_numpy(), batch["x"], batch["y"]):
+                x, y = (np.frombuffer(o.as_buffer(), np.uint8)[None, :] for o in (x, y))
+                cells = min(x.shape[1], y.shape[1])
+                shared = _may_share(_folded(x, cells), _folded(y, cells))
+                keep.append(bool(_possible(np.array([m]), n, shared, similarity)[0]))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda cls, size, outline: nodes.select(F.col("cls").alias(cls), F.col("size").alias(size), F.col("outline").alias(outline))
+    # Sizes first: pairs of very different ones carry no outline.
+    sized = pairs.join(nodes.select(F.col("cls").alias("a"), F.col("size").alias("m")), "a")
+    sized = sized.join(nodes.select(F.col("cls").alias("b"), F.col("size").alias("n")), "b")
+    sized = materialise(sized.where(F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")).select("a", "b"), "sized_pairs")
+    both = sized.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    return both.mapInArrow(open_, "a binary, b binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs of classes whose shingle sets are similar enough."""
 
