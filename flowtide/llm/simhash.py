@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtide.llm.common import text_rows, unused
 from flowtide.llm.components import components
-from flowtide.plans.materialise import materialise
+from flowtide.plans.lookup import BROADCAST_BYTES
+from flowtide.plans.materialise import materialise, stored_bytes
 
 SEED = 42
 #: Members of a block that are compared pair by pair; larger blocks are linked another, exact way.
@@ -214,6 +215,11 @@ def _sketcher(words: int, bands: int, rows: int):
     return sketch
 
 
+def _lookup(table: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``table`` marked for a broadcast if it, or the written table it is a part of, is small; joined by a shuffle otherwise."""
+    return F.broadcast(table) if stored_bytes(table if stored is None else stored) <= BROADCAST_BYTES else table
+
+
 def similar_groups(
     docs: DataFrame,
     words: int = 5,
@@ -246,17 +252,18 @@ def similar_groups(
     sizes = blocks.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("head"))
     sizes = materialise(sizes.where("n > 1"), "band_sizes")
     large = sizes.where(F.col("n") > pairs_up_to).select("band", "key", "head")
-    small = blocks.join(sizes.where(F.col("n") <= pairs_up_to).select("band", "key"), ["band", "key"], "left_semi")
+    small = blocks.join(_lookup(sizes.where(F.col("n") <= pairs_up_to).select("band", "key"), sizes), ["band", "key"], "left_semi")
+    small = materialise(small, "small_blocks")
     pairs = small.withColumnRenamed("cls", "a").join(small.withColumnRenamed("cls", "b"), ["band", "key"]).where("a < b").select("a", "b")
     again = not large.isEmpty()
     if again:
-        heads = blocks.join(large, ["band", "key"]).where("cls != head")
+        heads = blocks.join(_lookup(large, sizes), ["band", "key"]).where("cls != head")
         pairs = pairs.unionByName(heads.select(F.col("head").alias("a"), F.col("cls").alias("b")))
     pairs = materialise(_open_pairs(pairs.distinct(), nodes, similarity), "pairs")
     links = materialise(_verified(pairs, _sets(docs, nodes, pairs, words, id_col, text_col), similarity), "links")
     roots = components(links)
     if again:
-        members = blocks.join(large.select("band", "key"), ["band", "key"], "left_semi")
+        members = blocks.join(_lookup(large.select("band", "key"), sizes), ["band", "key"], "left_semi")
         rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         more = _across(docs, nodes, materialise(rooted, "rooted_blocks"), words, similarity, id_col, text_col)
         if more is not None:
@@ -431,7 +438,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, id_co
     rows = text_rows(docs, id_col, text_col, text_hash=F.xxhash64(f"`{text_col}`"))
     same = rows["doc_id"].eqNullSafe(owners["doc_id"]) & (rows["text_hash"] == owners["text_hash"])
     # Repeated rows would give a class its set twice.
-    sets = rows.join(owners, same).select("cls", "text").mapInArrow(hashed, "cls binary, set binary").dropDuplicates(["cls"])
+    sets = rows.join(_lookup(owners), same).select("cls", "text").mapInArrow(hashed, "cls binary, set binary").dropDuplicates(["cls"])
     return materialise(sets, "sets")
 
 
@@ -495,7 +502,7 @@ def one_of_each(
         "kept",
     )
     rows = docs.join(
-        keep, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(f"`{text_col}`") == F.col(text_hash))
+        _lookup(keep), F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(f"`{text_col}`") == F.col(text_hash))
     )
     if not keep.where(F.col(copies) > 1).isEmpty():
         rows = rows.where(F.col(copies) == 1).unionByName(rows.where(F.col(copies) > 1).dropDuplicates([doc, text_hash]))
