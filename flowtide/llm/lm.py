@@ -2,7 +2,8 @@
 
 The join of count tables with exploded n-grams runs on packed columns.  Documents stand in blocks; a
 block's distinct n-grams, sorted by hash, are cut at the borders of hash ranges, and each range
-receives one row per block: the hashes and the counts within the block.  A range sums counts
+receives one row per block that has n-grams in it (never more rows than distinct n-grams): the hashes and the counts
+within the block.  A range sums counts
 over blocks and answers each block with the totals in the order it asked, so neither n-grams
 nor single occurrences travel twice.  A very common n-gram is one entry per block.
 """
@@ -88,9 +89,11 @@ class _Grams:
         return np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
 
 
-def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    borders = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, borders), [len(hashes)]])
+def _cuts(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which ranges of equal width sorted hashes fall into, and where each one's hashes start, the end after the last."""
+    spans = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    spans, starts = np.unique(spans, return_index=True)
+    return spans.astype(np.int64), np.append(starts, len(hashes))
 
 
 def _squeezed(hashes: np.ndarray) -> bytes:
@@ -134,11 +137,11 @@ def scores(
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 hashes, _, counts = _Grams(row["data"], row["sizes"], order).distinct()
-                cuts = _cuts(hashes, ranges)
+                spans, cuts = _cuts(hashes, ranges)
                 counts = counts.astype("<u4")
                 yield pa.record_batch({
-                    "block": pa.array([row["block"]] * ranges, pa.int64()),
-                    "span": pa.array(range(ranges), pa.int32()),
+                    "block": pa.array([row["block"]] * len(spans), pa.int64()),
+                    "span": pa.array(spans),
                     "hashes": pa.array([_squeezed(hashes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 })
@@ -157,10 +160,10 @@ def scores(
         })
 
     answers = (
-        blocks.select("block", "sizes", "data").mapInArrow(ask, "block long, span int, hashes binary, counts binary")
-        .groupBy("span").applyInArrow(answer, "block long, span int, totals binary")
+        blocks.select("block", "sizes", "data").mapInArrow(ask, "block long, span long, hashes binary, counts binary")
+        .groupBy("span").applyInArrow(answer, "block long, span long, totals binary")
     )
-    # A block's answers are as many bytes as its own n-grams; one row per hash range.
+    # A block's answers are as many bytes as its own n-grams; one row per hash range that it has some in.
     known = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("span", "totals"))).alias("answers"))
     steps = [log(backoff) * k for k in range(order)]
 
@@ -171,7 +174,9 @@ def scores(
                 row = batch.slice(i, 1).to_pylist()[0]
                 grams = _Grams(row["data"], row["sizes"], order)
                 _, place, _ = grams.distinct()
-                totals = np.concatenate([np.frombuffer(unpack.decompress(a["totals"]), "<u8") for a in row["answers"]])
+                totals = np.concatenate(
+                    [np.zeros(0, "<u8"), *[np.frombuffer(unpack.decompress(a["totals"]), "<u8") for a in row["answers"] or []]]
+                )
                 counts = np.split(totals[place].astype(np.float64), np.cumsum([len(h) for h in grams.hashes])[:-1])
                 value = np.log(counts[0]) - log(max(words, 1)) + steps[order - 1]
                 context = counts[0]
@@ -191,5 +196,6 @@ def scores(
                     "mean_log_score": pa.array(total / np.maximum(n_words, 1), mask=n_words == 0),
                 })
 
-    joined = blocks.join(known, "block").select("doc_ids", "sizes", "data", "answers")
+    # A block of blank texts alone asks nothing.
+    joined = blocks.join(known, "block", "left").select("doc_ids", "sizes", "data", "answers")
     return joined.mapInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
