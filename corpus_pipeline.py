@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: fingerprints within two bits, or five-word shingles of similarity 0.8 or more."""
     return simhash.one_of_each(docs)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowtide.llm.common import text_rows, unused
+from flowtide.llm.common import small_batches, text_rows, unused
 from flowtide.llm.components import components
 from flowtide.plans.lookup import BROADCAST_BYTES
 from flowtide.plans.materialise import materialise, stored_bytes
@@ -156,7 +156,7 @@ BANDS, ROWS_PER_BAND = 20, 5
 SLICE_MEMBERS, SLICE_SHINGLES = 1_000, 2_000_000
 #: Shingles to a cell of an outline, on average; fewer than this many cells are never used.
 CELL_SHINGLES, LEAST_CELLS = 2, 16
-SKETCH = "doc_id long, text_hash long, cls binary, bands array<long>, size long, outline binary"
+SKETCH = "doc_id long, text_hash long, cls binary, bands array<long>, size long, outline binary, fp long"
 
 
 def _outline(hashes: np.ndarray) -> np.ndarray:
@@ -193,24 +193,24 @@ def _possible(sizes: np.ndarray, size: int, shared: np.ndarray, similarity: floa
     return both >= similarity * (sizes + size - both)
 
 
-def _sketcher(words: int, bands: int, rows: int):
-    """Class (hash of the word sequence), band keys of minimum hashes over distinct shingles, their number and outline."""
+def _sketcher(words: int, bands: int, rows: int, print_words: int | None):
+    """Class (hash of the word sequence), band keys of minimum hashes over distinct shingles, their number and outline, fingerprint."""
     draw = np.random.RandomState(SEED)
     factor = draw.randint(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = draw.randint(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def sketch(text: bytes) -> tuple[bytes, list[int], int, bytes]:
+    def sketch(text: bytes) -> tuple[bytes, list[int], int, bytes, int | None]:
         hashes = np.unique(shingle_hashes(text, words))
         cls = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
-        outline = _outline(hashes).tobytes()
+        outline, fp = _outline(hashes).tobytes(), fingerprint(shingle_hashes(text, print_words)) if print_words else None
         if not len(hashes):
-            return cls, [], 0, outline
+            return cls, [], 0, outline, fp
         least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for at in range(0, len(hashes), 2_000):
                 least = np.minimum(least, (hashes[at : at + 2_000, None] * factor + shift).min(0))
         keys = [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(bands, rows))]
-        return cls, keys, len(hashes), outline
+        return cls, keys, len(hashes), outline, fp
 
     return sketch
 
@@ -227,11 +227,15 @@ def similar_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     pairs_up_to: int = 100,
+    print_words: int = 3,
+    max_bits: int | None = None,
 ) -> DataFrame:
     """Per document: ``doc_id, text_hash, root, component_id`` (smallest doc_id) by Jaccard similarity of word shingles.
 
+    With ``max_bits``, documents are also linked as ``near_duplicates`` links them, by fingerprints of ``print_words`` words.
+
     At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits and up to sixteen; blocks
-    that such pairs surely share would be four bits wide.  So here the blocks are bands of
+    that such pairs surely share would be four bits wide.  So for similarity the blocks are bands of
     minimum hashes (a pair at 0.8 shares one of 20 bands of 5 with probability 0.9996), and each pair is
     verified on its whole shingle sets, unless the sets' sizes and outlines (``_outline``) already rule it out.
     Texts with the same words in the same order are one node (``cls``).
@@ -239,12 +243,12 @@ def similar_groups(
     A block above ``pairs_up_to`` members emits no pairs: each member is compared with the smallest one first, and
     ``_across`` compares all members that are then still in different components, in slices.
     """
-    rows = materialise(_sketches(docs, words, id_col, text_col), "sketches")
+    rows = materialise(_sketches(docs, words, None if max_bits is None else print_words, id_col, text_col), "sketches")
     nodes = materialise(
         rows.groupBy("cls").agg(
             F.min("doc_id").alias("first"),
             F.min(F.struct("doc_id", "text_hash")).alias("own"),
-            *[F.first(c).alias(c) for c in ("bands", "size", "outline")],
+            *[F.first(c).alias(c) for c in ("bands", "size", "outline", "fp")],
         ),
         "classes",
     )
@@ -261,6 +265,8 @@ def similar_groups(
         pairs = pairs.unionByName(heads.select(F.col("head").alias("a"), F.col("cls").alias("b")))
     pairs = materialise(_open_pairs(pairs.distinct(), nodes, similarity), "pairs")
     links = materialise(_verified(pairs, _sets(docs, nodes, pairs, words, id_col, text_col), similarity), "links")
+    if max_bits is not None:
+        links = links.unionByName(_print_links(nodes, max_bits))
     roots = components(links)
     if again:
         members = blocks.join(_lookup(large.select("band", "key"), sizes), ["band", "key"], "left_semi")
@@ -271,6 +277,16 @@ def similar_groups(
     return rows.join(_component_ids(nodes.select("cls", "first"), roots, "cls"), "cls").select("doc_id", "text_hash", "root", "component_id")
 
 
+def _print_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Links ``a, b`` of each class to the least one whose fingerprint is in the same component of ``fingerprint_links``."""
+    fps = materialise(nodes.select("fp").distinct(), "fps")
+    roots = components(fingerprint_links(fps, max_bits)).withColumnRenamed("node", "fp")
+    rooted = nodes.select("cls", "fp").join(roots, "fp", "left").select("cls", F.coalesce("root", "fp").alias("print"))
+    rooted = materialise(rooted, "rooted_prints")
+    least = materialise(rooted.groupBy("print").agg(F.min("cls").alias("b")), "least_prints")
+    return materialise(rooted.join(least, "print").where("cls != b").select(F.col("cls").alias("a"), "b"), "print_links")
+
+
 def _across(
     docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int, similarity: float, id_col: str, text_col: str
 ) -> DataFrame | None:
@@ -407,8 +423,8 @@ def _cross_links(sets: list[np.ndarray], roots: list[bytes], left: list[int], ri
     return links
 
 
-def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    sketch = _sketcher(words, BANDS, ROWS_PER_BAND)
+def _sketches(docs: DataFrame, words: int, print_words: int | None, id_col: str, text_col: str) -> DataFrame:
+    sketch = _sketcher(words, BANDS, ROWS_PER_BAND, print_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,6 +436,7 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
                 "bands": pa.array([f[1] for f in found], pa.list_(pa.int64())),
                 "size": pa.array([f[2] for f in found], pa.int64()),
                 "outline": pa.array([f[3] for f in found], pa.binary()),
+                "fp": pa.array([f[4] for f in found], pa.int64()),
             })
 
     return text_rows(docs, id_col, text_col, text_hash=F.xxhash64(f"`{text_col}`")).mapInArrow(run, SKETCH)
@@ -483,14 +500,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", print_words: int = 3, max_bits: int = 2
 ) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest doc_id stays, all columns kept.
 
+    Groups are those of SimHash fingerprints within ``max_bits`` bits and of similar shingle sets together: two
+    documents of a group are joined by links of either kind.
+
     Null and empty texts are one group; repeated rows are copies of each other; a group of null
     doc_ids keeps one row; texts count whole, whatever their length; an empty table gives no rows; columns may have any name.
     """
-    groups = materialise(similar_groups(docs, words, similarity, id_col, text_col), "groups")
+    with small_batches(docs.sparkSession):
+        groups = materialise(similar_groups(docs, words, similarity, id_col, text_col, print_words=print_words, max_bits=max_bits), "groups")
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("own"))
     chosen = chosen.select(F.col("own.doc_id").alias("_doc"), F.col("own.text_hash").alias("_hash"))
     repeated = groups.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))

@@ -242,3 +242,16 @@ def test_languages_of_copies_and_of_texts_without_letters(spark):
     found = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(docs).collect()}
     assert found[600] == found[601] == ("und", 0.0) and found[602][0] == "en"
     assert langid.plain("\u0939\u093f\u0928\u094d\u0926\u0940 2") == "\u0939\u093f\u0928\u094d\u0926\u0940"
+
+
+def test_near_copies_by_fingerprints(spark):
+    """Texts that a repeated line makes near by fingerprint, though half of their different shingles differ, are one group of the pipeline too."""
+    draw = random.Random(5)
+    line = "all these words stand here once more "
+    texts = [line * 300 + " ".join(f"w{draw.randrange(10**6)}" for _ in range(20)) for _ in range(4)]
+    texts += [" ".join(f"w{draw.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(prints.values())) == 5 and len(set(brute.similar_components(range(8), texts).values())) == 8
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(prints.values()))
