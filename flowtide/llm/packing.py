@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowtide.llm.common import text_rows
+from flowtide.llm.common import small_batches, text_rows
 from flowtide.llm.tokens import encoder, portions
 from flowtide.plans.materialise import materialise
 
@@ -68,7 +68,8 @@ def packed(
     A null or empty text is its end id alone; repeated rows are packed each; a null doc_id
     stays null; an empty table gives no rows; other columns are ignored.
     """
-    rows = materialise(encoded(docs, path, cut, end_id, id_col, text_col), "ids")
+    with small_batches(docs.sparkSession):
+        rows = materialise(encoded(docs, path, cut, end_id, id_col, text_col), "ids")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition, written: its size is known when the join is planned, so ids stay where they are.

@@ -142,7 +142,7 @@ def encoder(path: str, cut: str) -> PieceEncoder:
     return PieceEncoder(path, cut)
 
 
-def portions(texts: pa.Array, chars: int = 2_000_000) -> Iterator[slice]:
+def portions(texts: pa.Array, chars: int = 500_000) -> Iterator[slice]:
     """Slices of about ``chars`` bytes of text, a longer text alone; texts need not be Python strings yet."""
     first = held = 0
     for i, size in enumerate(pc.binary_length(texts).to_pylist()):

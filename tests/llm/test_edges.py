@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowtide.llm import html, langid, lm, lzprint, mixing, packing, quality, queries, secrets, simhash
+from flowtide.llm import common, html, langid, lm, lzprint, mixing, packing, quality, queries, secrets, simhash
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, fp long, part int, band int, rank int, d2 double"
@@ -255,3 +255,13 @@ def test_near_copies_by_fingerprints(spark):
     assert len(set(prints.values())) == 5 and len(set(brute.similar_components(range(8), texts).values())) == 8
     kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
     assert sorted(kept) == sorted(set(prints.values()))
+
+
+def test_packing_sends_small_batches_of_texts(spark, monkeypatch):
+    """A task of packing gets at most ``TEXT_ROWS`` texts at a time; the session's setting is the same afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    plain = packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name: seen.append(spark.conf.get(key)) or plain(df, name))
+    corpus_pipeline.sequences(spark, table(spark, ROWS), "").count()
+    assert int(seen[0]) == common.TEXT_ROWS and spark.conf.get(key) == before
