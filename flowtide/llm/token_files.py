@@ -2,8 +2,8 @@
 
 A shard holds the documents of one range partition, in order, as two files: ``*.tokens.arrow``
 (``ids`` and ``mask``, 1 or 0, fixed-size lists of ``length``, the same number of them in each batch but the last) and ``*.docs.arrow`` (where each document
-lies).  The last sequence of a shard is padded; its mask tells.  Files are uncompressed, so a
-reader maps them and slices.  A task writes under a name of its own attempt and then renames;
+lies).  The last sequence of a shard is padded; its mask tells.  Masks are dictionary-encoded: a shard has two at most,
+that of a full sequence and that of the last.  Files are uncompressed, so a reader maps them and slices.  A task writes under a name of its own attempt and then renames;
 a repeated attempt replaces the file by the same content.
 """
 
@@ -33,7 +33,7 @@ def _store(folder: str):
 
 
 def tokens_schema(length: int, id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
 
 
 class _Shard:
@@ -45,7 +45,9 @@ class _Shard:
         self.attempt = uuid.uuid4().hex
         self.fs.create_dir(self.folder, recursive=True)
         self.out = {k: self.fs.open_output_stream(self._path(k, self.attempt)) for k in ("tokens", "docs")}
-        self.tokens = pa.ipc.new_file(self.out["tokens"], tokens_schema(length, id_type))
+        # The mask of the last sequence is known, and added to the dictionary, at the end only.
+        options = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)
+        self.tokens = pa.ipc.new_file(self.out["tokens"], tokens_schema(length, id_type), options=options)
         self.docs = pa.ipc.new_file(self.out["docs"], DOCS)
         self.held: list[np.ndarray] = []
         self.waiting = 0
@@ -70,13 +72,17 @@ class _Shard:
         used = min(sequences * self.length, len(flat))
         ids = np.zeros(sequences * self.length, dtype=self.type.to_pandas_dtype())
         ids[:used] = flat[:used]
-        mask = (np.arange(len(ids)) < used).astype(np.uint8)
+        padded = used < len(ids)
+        masks = np.ones((1 + padded) * self.length, dtype=np.uint8)
+        if padded:
+            masks[self.length :] = np.arange(self.length) < used % self.length
+        which = np.zeros(sequences, dtype=np.int8)
+        which[-1:] = padded
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x), self.length)
         for at in range(0, sequences, SEQUENCES_PER_BATCH):
-            cut = slice(at * self.length, (at + SEQUENCES_PER_BATCH) * self.length)
-            self.tokens.write(pa.record_batch(
-                [pa.FixedSizeListArray.from_arrays(pa.array(x[cut]), self.length) for x in (ids, mask)],
-                schema=tokens_schema(self.length, self.type),
-            ))
+            end = at + SEQUENCES_PER_BATCH
+            mask = pa.DictionaryArray.from_arrays(pa.array(which[at:end]), lists(masks))
+            self.tokens.write(pa.record_batch([lists(ids[at * self.length : end * self.length]), mask], schema=tokens_schema(self.length, self.type)))
         self.held, self.waiting = [flat[used:]], len(flat) - used
 
     def close(self) -> None:
@@ -152,8 +158,9 @@ class TokenFile:
             raise IndexError(number)
         batch, row = divmod(number, SEQUENCES_PER_BATCH)
         found = self.tokens.get_batch(batch)
-        ids, mask = (found.column(c)[row].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-        return ids, mask
+        ids, masks = found.column("ids")[row], found.column("mask")
+        mask = masks.dictionary[masks.indices[row].as_py()]
+        return ids.values.to_numpy(zero_copy_only=True), mask.values.to_numpy(zero_copy_only=True)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """``doc_id``, start in the shard and ids of each document, in order; batches are read as needed."""

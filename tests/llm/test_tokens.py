@@ -73,3 +73,11 @@ def test_token_files_of_edge_rows(spark):
     assert np.concatenate(flat).tolist() == [i for own in ids for i in own]
     shards, folder = written([])
     assert token_files.read_token_files(shards, folder).count() == 0
+
+
+def test_masks_take_next_to_no_room(spark, tmp_path):
+    """Ids of 16 bits are nearly all of a file; a mask of a byte each made it half as large again."""
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "word, " * 50_000) for i in range(4)], "doc_id long, text string").coalesce(1)
+    (shard,) = token_files.write_token_files(docs, str(tmp_path), path, "leading", 2).coalesce(1).collect()
+    assert (tmp_path / f"{shard['name']}.tokens.arrow").stat().st_size < 2.1 * shard["n_tokens"]
