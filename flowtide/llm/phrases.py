@@ -2,11 +2,12 @@
 
 1. Texts become blocks of word numbers, written once; each block has the 64-bit hashes of its own words.  Words are
    counted on the way.  Hashes are those of language and word, and are checked to be unique.
-2. A sieve of fixed size, hash buckets of word pairs, tells which pairs of frequent words may be frequent.
-3. Candidates are Apriori-safe: pairs the sieve lets through, and triples of which both pairs pass, each with a bound of its
+2. A sieve of fixed size, hash buckets of word pairs, tells which pairs of frequent words may be frequent; a second one
+   tells the same of triples of which both pairs pass.  Bucket counts are sent packed, by ranges of buckets.
+3. Candidates are Apriori-safe: pairs and triples that the sieves let through, each with a bound of its
    count that reaches the least count.  No frequent phrase is left out.
 4. Candidates go, in portions of a fixed size, into double-array tries that are broadcast one after the other.  In each block all
-   positions walk the trie at once, level by level; the states reached are counted, and the counts of all blocks summed.
+   positions walk the trie at once, level by level; the states reached are counted, and the counts of all blocks, packed, summed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowtide.llm.common import text_rows
 from flowtide.llm.tokens import _Numbers, portions
 from flowtide.llm.trie import DoubleArray
-from flowtide.plans.lookup import hot_keys, join_by_key, join_lookup
+from flowtide.plans.lookup import hot_keys, join_lookup
 from flowtide.plans.materialise import materialise
 
 NO_LANGUAGE = "und"
@@ -35,6 +36,8 @@ BLOCK_WORDS = 1 << 19
 WORDS_HELD = 100_000
 WORD_BITS, PAIR_BITS = 24, 27
 PORTION = 1 << 18
+#: Buckets to a range, as bits; buckets a task holds before it sends their counts; phrases to a row of counts.
+RANGE_BITS, BUCKETS_HELD, COUNTS_HELD = 19, 1 << 20, 1 << 13
 #: A part of more phrases than this is split between tasks where phrases meet its count.
 HOT_PART = 500
 MICRO = 1_000_000
@@ -137,13 +140,27 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int
         yield np.frombuffer(row["symbols"], np.int64), np.frombuffer(release(row["codes"], max_output_size=4 * row["n_codes"] + 1), np.uint32).astype(np.int64), row["starts"]
 
 
-def _pair_bucket(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = (a.view(np.uint64) ^ (a.view(np.uint64) >> np.uint64(29))) * _MIX + b.view(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        return (mixed ^ (mixed >> np.uint64(32))) * _MIX
+
+
+def _bucket(mixed: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, lowest bytes first, so that small ones leave long runs of zeros."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=4 * size + 1), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _has(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
@@ -168,47 +185,140 @@ def _frequent_pairs(symbols, codes, starts, frequent, word_bits):
     return place, which, a, b
 
 
-def _sieve(frequent, word_bits: int, pair_bits: int):
+def _passing(symbols, codes, starts, frequent, pairs, word_bits, pair_bits):
+    """``_frequent_pairs`` that pass the sieve of pairs; the distinct pairs are still all."""
+    place, which, a, b = _frequent_pairs(symbols, codes, starts, frequent, word_bits)
+    passes = _has(pairs, _bucket(_mixed(a, b), pair_bits))[which]
+    return place[passes], which[passes], a, b
+
+
+def _triples(place, which, starts, distinct):
+    """Numbers of the first and the second pair of each distinct triple of which both pairs pass, and its count."""
+    first = np.flatnonzero((np.diff(place) == 1) & (place[:-1] < starts)) if len(place) else place
+    keys, n = np.unique(which[first] * distinct + which[first + 1], return_counts=True)
+    return keys // max(1, distinct), keys % max(1, distinct), n
+
+
+def _pair_buckets(frequent, word_bits: int, pair_bits: int):
+    def of(symbols, codes, starts):
+        place, which, a, b = _frequent_pairs(symbols, codes, starts, frequent.value, word_bits)
+        n = np.bincount(which[place < starts], minlength=len(a))
+        return _bucket(_mixed(a, b), pair_bits)[n > 0], n[n > 0]
+
+    return of
+
+
+def _triple_buckets(frequent, pairs, word_bits: int, pair_bits: int):
+    def of(symbols, codes, starts):
+        place, which, a, b = _passing(symbols, codes, starts, frequent.value, pairs.value, word_bits, pair_bits)
+        x, y, n = _triples(place, which, starts, len(a))
+        return _bucket(_mixed(_mixed(a, b)[x], b[y]), pair_bits), n
+
+    return of
+
+
+def _met_buckets(buckets, least: int, bits: int):
+    """Blocks -> how often each bucket is met, packed by ranges of buckets; counts above ``least`` need not be told apart."""
+    width = min(bits, RANGE_BITS)
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, at = np.unique(np.concatenate([b for b, _ in held]), return_inverse=True)
+        n = np.minimum(np.bincount(at, np.concatenate([n for _, n in held]), len(bucket)), least)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket >> width)) + 1), len(bucket)]
+        parts = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+        return pa.record_batch({
+            "range": pa.array([int(bucket[p.start]) >> width for p in parts], pa.int32()),
+            "size": pa.array([p.stop - p.start for p in parts], pa.int32()),
+            "gaps": pa.array([_packed(np.diff(bucket[p] & ((1 << width) - 1), prepend=0)) for p in parts], pa.binary()),
+            "counts": pa.array([_packed(n[p]) for p in parts], pa.binary()),
+        })
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for symbols, codes, starts in _opened(batch):
-                place, which, a, b = _frequent_pairs(symbols, codes, starts, frequent.value, word_bits)
-                n = np.bincount(which[place < starts], minlength=len(a))
-                bucket = _pair_bucket(a, b, pair_bits)[n > 0]
-                yield pa.record_batch({"bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(n[n > 0])})
+            for block in _opened(batch):
+                held.append(buckets(*block))
+                size += len(held[-1][0])
+                if size >= BUCKETS_HELD:
+                    yield rows(held)
+                    held, size = [], 0
+        if size:
+            yield rows(held)
 
     return run
 
 
-def _propose(frequent, pairs, word_bits: int, pair_bits: int):
-    """Pairs that pass the sieve, triples of which both pairs do, with their number in each block."""
+def _reached(least: int, bits: int):
+    """Packed counts of one range of buckets -> a bit for each that is met ``least`` times."""
+    width = min(bits, RANGE_BITS)
+
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << width, dtype=np.int64)
+        for row in table.to_pylist():
+            total[np.cumsum(_unpacked(row["gaps"], row["size"]), dtype=np.int64)] += _unpacked(row["counts"], row["size"])
+        return pa.table({"range": table["range"][:1], "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def _sieve(blocks: DataFrame, buckets, least: int, bits: int) -> np.ndarray:
+    """A bitmap of the buckets met ``least`` times in all blocks: the size doesn't depend on how many there are."""
+    packed = blocks.mapInArrow(_met_buckets(buckets, least, bits), "range int, size int, gaps binary, counts binary")
+    out = np.zeros(max(1 << bits, 8) >> 3, dtype=np.uint8)
+    for r in packed.groupBy("range").applyInArrow(_reached(least, bits), "range int, bits binary").collect():
+        out[r.range * len(r.bits) : (r.range + 1) * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _propose(frequent, pairs, triples, word_bits: int, pair_bits: int):
+    """Pairs that pass the sieve, triples of which both pairs do and that pass theirs, with their number in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for symbols, codes, starts in _opened(batch):
-                place, which, a, b = _frequent_pairs(symbols, codes, starts, frequent.value, word_bits)
-                passes = _has(pairs.value, _pair_bucket(a, b, pair_bits))
-                place, which = place[passes[which]], which[passes[which]]
+                place, which, a, b = _passing(symbols, codes, starts, frequent.value, pairs.value, word_bits, pair_bits)
                 n = np.bincount(which[place < starts], minlength=len(a))
                 some = n > 0
                 yield pa.record_batch({"s1": pa.array(a[some]), "s2": pa.array(b[some]), "s3": pa.nulls(int(some.sum()), pa.int64()), "n": pa.array(n[some])})
-                first = np.flatnonzero((np.diff(place) == 1) & (place[:-1] < starts)) if len(place) else place
-                keys, n = np.unique(which[first] * len(a) + which[first + 1], return_counts=True)
-                x, y = keys // max(1, len(a)), keys % max(1, len(a))
+                x, y, n = _triples(place, which, starts, len(a))
+                some = _has(triples.value, _bucket(_mixed(_mixed(a, b)[x], b[y]), pair_bits))
+                x, y, n = x[some], y[some], n[some]
                 yield pa.record_batch({"s1": pa.array(a[x]), "s2": pa.array(b[x]), "s3": pa.array(b[y]), "n": pa.array(n.astype(np.int64))})
 
     return run
 
 
 def _count(trie):
+    """Blocks -> counts of the trie's phrases in all blocks of a task, packed by ranges of their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: DoubleArray = trie.value
+        found: DoubleArray = trie.value[0]
         total = np.zeros(len(found.base), dtype=np.int64)
         for batch in batches:
             for symbols, codes, starts in _opened(batch):
                 total += found.counts(np.append(0, found.codes(symbols))[codes], starts, LONGEST)
-        seen = np.flatnonzero((total > 0) & (found.accepts >= 0))
-        yield pa.record_batch({"id": pa.array(found.accepts[seen]), "n": pa.array(total[seen])})
+        counts = np.zeros(len(trie.value[1]), dtype=np.int64)
+        ends = found.accepts >= 0
+        counts[found.accepts[ends]] = total[ends]
+        parts = [(first, counts[first : first + COUNTS_HELD]) for first in range(0, len(counts), COUNTS_HELD)]
+        parts = [(first, part) for first, part in parts if part.any()]
+        yield pa.record_batch({
+            "first": pa.array([first for first, _ in parts], pa.int32()),
+            "size": pa.array([len(part) for _, part in parts], pa.int32()),
+            "counts": pa.array([_packed(part) for _, part in parts], pa.binary()),
+        })
+
+    return run
+
+
+def _summed(trie):
+    """Packed counts of one range of phrases -> the sum of each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, total = table["first"][0].as_py(), 0
+        for row in table.to_pylist():
+            total = total + _unpacked(row["counts"], row["size"]).astype(np.int64)
+        return pa.table({"id": pa.array(trie.value[1][first : first + len(total)]), "n": pa.array(total)})
 
     return run
 
@@ -250,9 +360,9 @@ def phrase_counts(
     context = spark.sparkContext
     kept = words.where(F.col("n") >= least)
     frequent = context.broadcast(_fixed_bitmap(kept.select(F.col("symbol").bitwiseAND(F.lit((1 << word_bits) - 1)).alias("bucket")), word_bits))
-    buckets = blocks.mapInArrow(_sieve(frequent, word_bits, pair_bits), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    pairs = context.broadcast(_fixed_bitmap(buckets.where(F.col("n") >= least), pair_bits))
-    proposed = blocks.mapInArrow(_propose(frequent, pairs, word_bits, pair_bits), "s1 bigint, s2 bigint, s3 bigint, n bigint")
+    pairs = context.broadcast(_sieve(blocks, _pair_buckets(frequent, word_bits, pair_bits), least, pair_bits))
+    triples = context.broadcast(_sieve(blocks, _triple_buckets(frequent, pairs, word_bits, pair_bits), least, pair_bits))
+    proposed = blocks.mapInArrow(_propose(frequent, pairs, triples, word_bits, pair_bits), "s1 bigint, s2 bigint, s3 bigint, n bigint")
     candidates = materialise(
         proposed.groupBy("s1", "s2", "s3").agg(F.sum("n").alias("bound")).where(F.col("bound") >= least).drop("bound")
         .withColumn("id", F.monotonically_increasing_id()),
@@ -262,11 +372,12 @@ def phrase_counts(
     counts = None
     for p in range(share):
         mine = candidates.where(F.pmod(F.xxhash64("s1", "s2", "s3"), F.lit(share)) == p).toArrow()
-        trie = context.broadcast(_trie(mine))
-        some = materialise(blocks.mapInArrow(_count(trie), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")), "phrase_counts")
+        trie = context.broadcast((_trie(mine), mine["id"].to_numpy()))
+        packed = blocks.mapInArrow(_count(trie), "first int, size int, counts binary")
+        some = materialise(packed.groupBy("first").applyInArrow(_summed(trie), "id bigint, n bigint"), "phrase_counts")
         trie.destroy()
         counts = some if counts is None else counts.unionByName(some)
-    frequent.unpersist(), pairs.unpersist()
+    frequent.unpersist(), pairs.unpersist(), triples.unpersist()
     exact = counts.where(F.col("n") >= least).join(candidates, "id").select("s1", "s2", "s3", "n")
     return words, materialise(exact, "phrases")
 
@@ -280,7 +391,7 @@ def _trie(candidates: pa.Table) -> DoubleArray:
     third = candidates["s3"]
     phrases = np.stack([candidates["s1"].to_numpy(), candidates["s2"].to_numpy(), third.fill_null(0).to_numpy()], axis=1)
     lengths = np.where(third.is_null().to_numpy(), 2, 3)
-    return DoubleArray.of(phrases.astype(np.int64), lengths, candidates["id"].to_numpy())
+    return DoubleArray.of(phrases.astype(np.int64), lengths, np.arange(len(phrases)))
 
 
 def collocations(
@@ -303,13 +414,15 @@ def collocations(
     pairs = materialise(phrases.where(F.col("s3").isNull()).select("s1", "s2", F.col("n").alias("a")), "frequent_pairs")
     triples = materialise(phrases.where(F.col("s3").isNotNull()).select("s1", "s2", "s3", F.col("n").alias("a")), "frequent_triples")
     around = triples.select(F.inline(F.array(F.struct("s1", "s2", "a"), F.struct(F.col("s2").alias("s1"), F.col("s3").alias("s2"), "a"))))
-    longer = around.groupBy("s1", "s2").agg(F.max("a").alias("longer"))
-    alone = pairs.join(longer, ["s1", "s2"], "left").where(F.coalesce(F.col("longer") * 100 < F.col("a") * inside_percent, F.lit(True))).drop("longer")
+    none = F.lit(None).cast("bigint")
+    beside = pairs.withColumn("longer", none).unionByName(around.select("s1", "s2", none.alias("a"), F.col("a").alias("longer")))
+    alone = beside.groupBy("s1", "s2").agg(F.max("a").alias("a"), F.max("longer").alias("longer"))
+    alone = alone.where(F.coalesce(F.col("longer") * 100 < F.col("a") * inside_percent, F.lit(True))).drop("longer")
     cut = lambda left, right: F.struct(F.col(left).alias("l"), F.col(right).alias("r"))
     twos = join_lookup(join_lookup(alone, of_word(1, "lang", number(1)), ["s1"], ["s2"]), of_word(2, number(2)), ["s2"], ["s1"])
     head = pairs.select("s1", "s2", F.col("a").alias("c12"))
     tail = pairs.select(F.col("s1").alias("s2"), F.col("s2").alias("s3"), F.col("a").alias("c23"))
-    threes = _met(_met(triples, head, ["s1", "s2"]), tail, ["s2", "s3"])
+    threes = _met(materialise(_met(triples, head, ["s1", "s2"]), "headed_triples"), tail, ["s2", "s3"])
     threes = join_lookup(join_lookup(threes, of_word(1, "lang", number(1)), ["s1"], ["s3"]), of_word(3, number(3)), ["s3"], ["s1"])
     both = twos.select("lang", "s1", "s2", F.lit(None).cast("bigint").alias("s3"), "a", F.array(cut("c1", "c2")).alias("cuts")).unionByName(
         threes.select("lang", "s1", "s2", "s3", "a", F.array(cut("c1", "c23"), cut("c12", "c3")).alias("cuts"))
@@ -328,8 +441,13 @@ def collocations(
 
 def _met(phrases: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """Phrases with the count of a part; a part of very many phrases is spread over tasks."""
-    per_part = phrases.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return join_by_key(phrases, counts, keys, ["a", *[c for c in ("s1", "s2", "s3") if c in phrases.columns]], hot_keys(per_part, keys, HOT_PART))
+    hot = hot_keys(phrases.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, HOT_PART)
+    if not hot.count:
+        return phrases.join(counts, keys)
+    spread = ["a", "s1", "s2", "s3"]
+    of_hot = materialise(join_lookup(counts, hot.table, keys, keys), "hot_counts")
+    rest = join_lookup(phrases, hot.table, keys, spread, "left_anti")
+    return join_lookup(phrases, of_hot, keys, spread).unionByName(rest.join(counts, keys))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

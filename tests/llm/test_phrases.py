@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from flowtide.llm import phrases
@@ -82,3 +84,22 @@ def test_tries_count_every_phrase():
     want = Counter(tuple(listed[i : i + k]) for k in (2, 3) for i in range(len(text) - k + 1) if 0 not in listed[i : i + k])
     got = {int(trie.accepts[s]): int(counts[s]) for s in np.flatnonzero(trie.accepts >= 0)}
     assert got == {i: want[tuple((numbers[i, : lengths[i]] + 1).tolist())] for i in range(len(numbers))}
+
+
+def test_packed_counts_of_buckets(monkeypatch):
+    """The sieve sends packed counts, a few bytes a bucket and block, and finds the buckets met often enough in all blocks."""
+    draw, bits, least = np.random.default_rng(3), 21, 10
+    monkeypatch.setattr(phrases, "_opened", lambda batch: batch)
+    blocks = []
+    for _ in range(4):
+        bucket = draw.integers(0, 1 << bits, 60_000)
+        blocks.append((np.append(bucket, [5, 5, (1 << bits) - 1]), np.append(draw.integers(1, 6, 60_000), [2, 1, 40])))
+    rows = pa.concat_tables([pa.Table.from_batches([b]) for b in phrases._met_buckets(lambda *b: b, least, bits)([blocks])])
+    want = sum(np.bincount(b, n, 1 << bits) for b, n in blocks) >= least
+    got = np.zeros(1 << bits, bool)
+    for r in sorted(set(rows["range"].to_pylist())):
+        found = phrases._reached(least, bits)(rows.filter(pa.compute.equal(rows["range"], r)))
+        part = np.unpackbits(np.frombuffer(found["bits"][0].as_py(), np.uint8), bitorder="little")
+        got[r * len(part) : (r + 1) * len(part)] = part
+    assert got[5] and (got == want).all() and want.sum() > 100
+    assert rows.nbytes < 4 * sum(rows["size"].to_pylist())
