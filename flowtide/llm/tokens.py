@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +15,23 @@ import pyarrow.compute as pc
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Without U+0130: its lower case ends in a mark, which joins the marks after it.
 _LETTER = r"A-Za-zÀ-ÖØ-öø-įı-ɏ"
-#: A run of letters before a comma, full stop or white space; such a mark before white space; any
+#: ASCII marks without the apostrophe, which begins units such as ``'s``.
+_MARK = r"!-&(-/:-@\[-`{-~"
+#: A run of letters before a mark or white space; a comma or full stop before white space; any
 #: other run.  A cut between these never lies inside a unit that merges are applied to, because
 #: both vocabularies separate letters from marks and never join what white space parts.
-_LEADING = f" ?[{_LETTER}]+(?=[,. \n]|$)|[,.](?=[ \n]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-_BARE = f"[{_LETTER}]+(?=[,. \n]|$)|[,.](?=[ \n]|$)|[^{_SPACE}]+"
+_LEADING = f" ?[{_LETTER}]+(?=[{_MARK} \n]|$)|[,.](?=[ \n]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+_BARE = f"[{_LETTER}]+(?=[{_MARK} \n]|$)|[,.](?=[ \n]|$)|[^{_SPACE}]+"
 #: ``leading``: white space is kept and one space belongs to the word after it (byte-level BPE);
 #: ``bare``: white space is dropped (BPE with word ends).
 CUTS = {"leading": re.compile(_LEADING), "bare": re.compile(_BARE)}
 
+#: Pieces of letters alone: one unit each, of which only case and bytes matter.
+PLAIN = {"leading": re.compile(f" [{_LETTER}]+"), "bare": re.compile(f"[{_LETTER}]+")}
+#: The character that byte-level vocabularies write for each byte.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = "".join(chr(b) if b in _SHOWN else chr(256 + b - sum(x < b for x in _SHOWN)) for b in range(256))
+
 #: Pieces a worker remembers; a full memory keeps those met most, which costs time and nothing else.
 MEMORY = 300_000
 
@@ -56,8 +65,38 @@ class PieceEncoder:
         # One added token keeps the pieces of a long joint text apart, which costs far less than an
         # encoding object for each piece.
         self.between, self.between_id = next(iter(self.added.items()), (None, None))
+        self.plain, self.units, self.edge = self._units(cut)
         self._forget()
 
+    def _units(self, cut: str):
+        """The test for pieces of letters alone, the same vocabulary for their joint text, and which ids stand at an edge of a unit.
+
+        Such pieces need none of the file's patterns: lower case, if the file has it, and bytes are written here, and only
+        a line feed parts two of them.  If the file does more to letters, no piece counts as plain.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = bool(suffix)
+        letters = "".join(c for c in map(chr, range(0x250)) if PLAIN["bare"].fullmatch(c))
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lower = normal is not None and normal.normalize_str(letters) == letters.lower()
+        probe = f" {letters}" if cut == "leading" else letters
+        found = split.pre_tokenize_str(normal.normalize_str(probe) if normal else probe) if split else []
+        if [x for x, _ in found] != [self._shown([probe])] or (cut == "bare") != self.ends:
+            return lambda piece: None, None, None
+        units = Tokenizer(self.tokenizer.model)
+        units.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_BYTES[ord("\n")])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        edge[[i for x, i in vocabulary.items() if (x.endswith(suffix) if suffix else x.startswith(_BYTES[ord(" ")]))]] = True
+        return PLAIN[cut].fullmatch, units, edge
+
+    def _shown(self, pieces: list[str]) -> str:
+        """A line for each piece, as the vocabulary writes it."""
+        text = "\n".join(pieces)
+        return charmap_decode((text.lower() if self.lower else text).encode(), "strict", _BYTES)[0]
+
     def _forget(self) -> None:
         self.known = _Numbers()
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
@@ -84,18 +123,33 @@ class PieceEncoder:
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def _add(self, found: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, found: np.ndarray, sizes: np.ndarray, order: np.ndarray | slice = slice(None)) -> None:
+        """Pieces of these sizes, ids end to end, get the next numbers in this order."""
         first, last, total = self.learned, self.learned + len(sizes), len(found)
         self.ids = _grown(self.ids, self.used + total)
         self.starts, self.sizes, self.met = (_grown(x, last) for x in (self.starts, self.sizes, self.met))
         self.ids[self.used : self.used + total] = found
-        self.sizes[first:last] = sizes
-        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first:last][order] = sizes
+        self.starts[first:last][order] = self.used + np.cumsum(sizes) - sizes
         self.learned, self.used = last, self.used + total
 
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
-            self._add(*self._ids(pieces[at : at + 20_000]))
+            some = pieces[at : at + 20_000]
+            plain = np.fromiter((self.plain(p) is not None for p in some), dtype=bool, count=len(some))
+            letters, rest = self._plain_ids(list(compress(some, plain))), self._ids(list(compress(some, ~plain)))
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            self._add(*map(np.concatenate, zip(letters, rest)), order)
+
+    def _plain_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_ids`` of pieces of letters alone: a unit's one edge tells where it ends or starts."""
+        if not pieces:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        ids = np.array(self.units.encode_batch_fast([self._shown(pieces)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(pieces):
+            return self._ids(pieces)
+        return ids, np.diff(edges, prepend=-1) if self.ends else np.diff(edges, append=len(ids))
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many belong to each piece."""
@@ -125,7 +179,7 @@ class PieceEncoder:
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(counts))
         del cut
         if len(self.known) > self.learned:
-            self._learn(list(islice(self.known, self.learned, None)))
+            self._learn(list(islice(reversed(self.known), len(self.known) - self.learned))[::-1])
         self.met[: self.learned] += np.bincount(at, minlength=self.learned)
         bounds = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.cumsum([0, *counts])]
         flat = self._gathered(at)

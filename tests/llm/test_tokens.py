@@ -81,3 +81,19 @@ def test_masks_take_next_to_no_room(spark, tmp_path):
     docs = spark.createDataFrame([(i, "word, " * 50_000) for i in range(4)], "doc_id long, text string").coalesce(1)
     (shard,) = token_files.write_token_files(docs, str(tmp_path), path, "leading", 2).coalesce(1).collect()
     assert (tmp_path / f"{shard['name']}.tokens.arrow").stat().st_size < 2.1 * shard["n_tokens"]
+
+
+@pytest.mark.parametrize("name, cut", [("word_bpe_49k.json", "bare"), ("byte_bpe_50k.json", "leading")])
+def test_pieces_of_letters_need_none_of_the_patterns(name, cut):
+    plain, encoder = Tokenizer.from_file(queries.tokenizer_file(name)), tokens.PieceEncoder(queries.tokenizer_file(name), cut)
+    assert encoder.pieces("Reties$$$ of|a-b") == (["Reties", "$$$", "of", "|a-b"] if cut == "bare" else ["Reties", "$$$", " of", "|a-b"])
+    space = " " if cut == "leading" else ""
+    pieces = [space + w for w in ("Hello", "étionanen", "ÑRRIE", "ǅȺɏ", "a", "x" * 300)]
+    ids, sizes = encoder._plain_ids(pieces)
+    each = [plain.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert ids.tolist() == sum(each, []) and sizes.tolist() == [len(x) for x in each]
+    seen = []
+    encoder._ids = lambda some: seen.extend(some) or tokens.PieceEncoder._ids(encoder, some)
+    text = "Hello étionanen, ÑRRIE$$$ don't 42"
+    assert encoder.encode([f" {text}"])[0].tolist() == plain.encode(f" {text}", add_special_tokens=False).ids
+    assert not [p for p in seen if p.strip().isalpha()]
