@@ -5,7 +5,7 @@
 2. A sieve of fixed size, hash buckets of word pairs, tells which pairs of frequent words may be frequent; a second one
    tells the same of triples of which both pairs pass.  Bucket counts are sent packed, by ranges of buckets.
 3. Candidates are Apriori-safe: pairs and triples that the sieves let through, each with a bound of its
-   count that reaches the least count.  No frequent phrase is left out.
+   count that reaches the least count.  No frequent phrase is left out.  They are sent packed, by ranges of hashes.
 4. Candidates go, in portions of a fixed size, into double-array tries that are broadcast one after the other.  In each block all
    positions walk the trie at once, level by level; the states reached are counted, and the counts of all blocks, packed, summed.
 """
@@ -38,6 +38,8 @@ WORD_BITS, PAIR_BITS = 24, 27
 PORTION = 1 << 18
 #: Buckets to a range, as bits; buckets a task holds before it sends their counts; phrases to a row of counts.
 RANGE_BITS, BUCKETS_HELD, COUNTS_HELD = 19, 1 << 20, 1 << 13
+#: Ranges of candidates, as bits, and candidates a task holds before it sends them.
+CANDIDATE_BITS, CANDIDATES_HELD = 6, 1 << 19
 #: A part of more phrases than this is split between tasks where phrases meet its count.
 HOT_PART = 500
 MICRO = 1_000_000
@@ -270,20 +272,84 @@ def _sieve(blocks: DataFrame, buckets, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def _propose(frequent, pairs, triples, word_bits: int, pair_bits: int):
-    """Pairs that pass the sieve, triples of which both pairs do and that pass theirs, with their number in each block."""
+def _propose(frequent, pairs, triples, word_bits: int, pair_bits: int, range_bits: int = CANDIDATE_BITS, most_held: int = CANDIDATES_HELD):
+    """Pairs that pass the sieve, triples of which both pairs do and that pass theirs, with their number, packed by ranges."""
+
+    def found(symbols, codes, starts) -> Iterator[tuple[np.ndarray, ...]]:
+        place, which, a, b = _passing(symbols, codes, starts, frequent.value, pairs.value, word_bits, pair_bits)
+        n = np.bincount(which[place < starts], minlength=len(a))
+        some = n > 0
+        yield a[some], b[some], a[some], np.zeros(int(some.sum()), bool), n[some]
+        x, y, n = _triples(place, which, starts, len(a))
+        some = _has(triples.value, _bucket(_mixed(_mixed(a, b)[x], b[y]), pair_bits))
+        x, y, n = x[some], y[some], n[some]
+        yield a[x], b[x], b[y], np.ones(len(x), bool), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for symbols, codes, starts in _opened(batch):
-                place, which, a, b = _passing(symbols, codes, starts, frequent.value, pairs.value, word_bits, pair_bits)
-                n = np.bincount(which[place < starts], minlength=len(a))
-                some = n > 0
-                yield pa.record_batch({"s1": pa.array(a[some]), "s2": pa.array(b[some]), "s3": pa.nulls(int(some.sum()), pa.int64()), "n": pa.array(n[some])})
-                x, y, n = _triples(place, which, starts, len(a))
-                some = _has(triples.value, _bucket(_mixed(_mixed(a, b)[x], b[y]), pair_bits))
-                x, y, n = x[some], y[some], n[some]
-                yield pa.record_batch({"s1": pa.array(a[x]), "s2": pa.array(b[x]), "s3": pa.array(b[y]), "n": pa.array(n.astype(np.int64))})
+            for block in _opened(batch):
+                for some in found(*block):
+                    held.append(some)
+                    size += len(some[0])
+                if size >= most_held:
+                    yield _packed_phrases(_added(held), range_bits)
+                    held, size = [], 0
+        if size:
+            yield _packed_phrases(_added(held), range_bits)
+
+    return run
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Phrases as three words, whether the third counts, and how often: each phrase once, in the order of its words."""
+    first, second, third, long, n = map(np.concatenate, zip(*parts))
+    third = np.where(long, third, 0)
+    order = np.lexsort((long, third, second, first))
+    words = [x[order] for x in (first, second, third, long)]
+    new = np.append(True, np.any([x[1:] != x[:-1] for x in words], axis=0))[: len(order)]
+    return *(x[new] for x in words), np.add.reduceat(n[order], np.flatnonzero(new)) if len(order) else n
+
+
+def _packed_phrases(phrases: tuple[np.ndarray, ...], range_bits: int) -> pa.RecordBatch:
+    """Phrases by ranges of the hash of their first two words: the words of a range once each, and their places there."""
+    at = _bucket(_mixed(phrases[0], phrases[1]), range_bits)
+    order = np.argsort(at, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(at[order])) + 1), len(order)]
+    rows = []
+    for part in (order[a:b] for a, b in zip(cuts, cuts[1:])):
+        first, second, third, long, n = (x[part] for x in phrases)
+        words, place = np.unique(np.concatenate([first, second, third[long]]), return_inverse=True)
+        thirds = np.zeros(len(part), np.int64)
+        thirds[long] = place[2 * len(part) :] + 1
+        # First words ascend: their steps are small.
+        rows.append((int(at[part[0]]), len(part), words.tobytes(), *map(_packed, (np.diff(place[: len(part)], prepend=0), place[len(part) : 2 * len(part)], thirds, n))))
+    columns = list(zip(*rows)) if rows else [[]] * 7
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["range", "size", "words", "first", "second", "third", "n"])
+
+
+def _proposed(least: int, most_held: int = 1 << 21):
+    """Packed phrases of one range -> those that occur ``least`` times, each once."""
+
+    def phrases(row: dict) -> tuple[np.ndarray, ...]:
+        words = np.frombuffer(row["words"], np.int64)
+        first, second, third, n = (_unpacked(row[c], row["size"]).astype(np.int64) for c in ("first", "second", "third", "n"))
+        return words[np.cumsum(first)], words[second], words[third - 1], third > 0, n
+
+    def run(table: pa.Table) -> pa.Table:
+        held, size, limit = [], 0, most_held
+        for batch in table.to_batches(max_chunksize=64):
+            for row in batch.to_pylist():
+                held.append(phrases(row))
+                size += row["size"]
+                if size >= limit:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    limit = max(most_held, 2 * size)
+        first, second, third, long, n = _added(held)
+        keep = n >= least
+        return pa.table({"s1": pa.array(first[keep]), "s2": pa.array(second[keep]), "s3": pa.array(third[keep], mask=~long[keep])})
 
     return run
 
@@ -330,7 +396,7 @@ def _symbol(salt: str) -> Column:
 def _encoded(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     """Blocks, and all words with their counts, under hashes that tell all of them apart."""
     for salt in map(str, range(100)):
-        table = materialise(docs.select("text", "lang").mapInArrow(_encode(salt, block_words, WORDS_HELD), BLOCK), "phrase_blocks")
+        table = materialise(docs.select("text", "lang").mapInArrow(_encode(salt, block_words, WORDS_HELD), BLOCK), "phrase_blocks", compression="zstd")
         words = materialise(
             table.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("symbol", _symbol(salt)), "phrase_words"
         )
@@ -362,12 +428,11 @@ def phrase_counts(
     frequent = context.broadcast(_fixed_bitmap(kept.select(F.col("symbol").bitwiseAND(F.lit((1 << word_bits) - 1)).alias("bucket")), word_bits))
     pairs = context.broadcast(_sieve(blocks, _pair_buckets(frequent, word_bits, pair_bits), least, pair_bits))
     triples = context.broadcast(_sieve(blocks, _triple_buckets(frequent, pairs, word_bits, pair_bits), least, pair_bits))
-    proposed = blocks.mapInArrow(_propose(frequent, pairs, triples, word_bits, pair_bits), "s1 bigint, s2 bigint, s3 bigint, n bigint")
-    candidates = materialise(
-        proposed.groupBy("s1", "s2", "s3").agg(F.sum("n").alias("bound")).where(F.col("bound") >= least).drop("bound")
-        .withColumn("id", F.monotonically_increasing_id()),
-        "phrase_candidates",
+    packed = blocks.mapInArrow(
+        _propose(frequent, pairs, triples, word_bits, pair_bits), "range int, size int, words binary, first binary, second binary, third binary, n binary"
     )
+    proposed = packed.groupBy("range").applyInArrow(_proposed(least), "s1 bigint, s2 bigint, s3 bigint")
+    candidates = materialise(proposed.withColumn("id", F.monotonically_increasing_id()), "phrase_candidates")
     share = max(1, -(-candidates.count() // portion))
     counts = None
     for p in range(share):

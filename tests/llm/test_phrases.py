@@ -103,3 +103,23 @@ def test_packed_counts_of_buckets(monkeypatch):
         got[r * len(part) : (r + 1) * len(part)] = part
     assert got[5] and (got == want).all() and want.sum() > 100
     assert rows.nbytes < 4 * sum(rows["size"].to_pylist())
+
+
+def test_candidates_are_sent_packed():
+    draw = np.random.default_rng(2)
+    words = draw.integers(-(1 << 63), (1 << 63) - 1, 60)
+    parts, plain = [], Counter()
+    for _ in range(30):
+        first, second, third = (draw.choice(words, 2_000) for _ in range(3))
+        long, n = draw.random(2_000) < 0.5, draw.integers(1, 5, 2_000)
+        parts.append((first, second, third, long, n))
+        for a, b, c, is_long, k in zip(first.tolist(), second.tolist(), third.tolist(), long.tolist(), n.tolist()):
+            plain[a, b, c if is_long else None] += k
+    sent = [phrases._packed_phrases(phrases._added(parts[i : i + 10]), 2) for i in range(0, 30, 10)]
+    rows, ranges = sum(b.column("size").to_pylist()[i] for b in sent for i in range(b.num_rows)), pa.Table.from_batches(sent)
+    assert ranges.nbytes < 10 * rows  # as rows: 32 bytes each
+    found = Counter()
+    for r in set(ranges["range"].to_pylist()):
+        got = phrases._proposed(least=12, most_held=5_000)(ranges.filter(pa.compute.equal(ranges["range"], r)))
+        found.update(zip(*(got[c].to_pylist() for c in ("s1", "s2", "s3"))))
+    assert found == Counter({p: 1 for p, n in plain.items() if n >= 12})
