@@ -152,6 +152,8 @@ def _component_ids(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
 
 
 BANDS, ROWS_PER_BAND = 20, 5
+#: Members of a band's block that are compared pair by pair: at most half as many pairs to each, whatever a group's size.
+BAND_PAIRS_UP_TO = 10
 #: Most members, and most shingles of them together, in a slice of a large block; two slices are compared in one task.
 SLICE_MEMBERS, SLICE_SHINGLES = 1_000, 2_000_000
 #: Shingles to a cell of an outline, on average; fewer than this many cells are never used.
@@ -226,7 +228,7 @@ def similar_groups(
     similarity: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
-    pairs_up_to: int = 100,
+    pairs_up_to: int = BAND_PAIRS_UP_TO,
     print_words: int = 3,
     max_bits: int | None = None,
 ) -> DataFrame:

@@ -265,3 +265,13 @@ def test_packing_sends_small_batches_of_texts(spark, monkeypatch):
     monkeypatch.setattr(packing, "materialise", lambda df, name: seen.append(spark.conf.get(key)) or plain(df, name))
     corpus_pipeline.sequences(spark, table(spark, ROWS), "").count()
     assert int(seen[0]) == common.TEXT_ROWS and spark.conf.get(key) == before
+
+
+def test_pairs_of_near_copies_do_not_grow_with_the_square(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, real = [], simhash._open_pairs
+    monkeypatch.setattr(simhash, "_open_pairs", lambda pairs, *more: made.append(pairs.count()) or real(pairs, *more))
+    assert {r.component_id for r in simhash.similar_groups(docs).collect()} == {0}
+    assert made[0] <= 60 * 5
