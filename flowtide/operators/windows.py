@@ -69,22 +69,49 @@ def window_stats(pairs: DataFrame) -> DataFrame:
     with a third of all flows costs only its distinct pairs here, and the distinct counts
     run on that smaller table.
     """
+    sums = pairs.groupBy(*WINDOW_KEY).agg(
+        F.min("origin_us").alias("origin_us"),
+        F.sum("flow_count").alias("flow_count"),
+        F.sum("total_bytes").alias("total_bytes"),
+        F.sum("total_pkts").alias("total_pkts"),
+        F.sum("syn_count").alias("syn"),
+        F.sum("rst_count").alias("rst"),
+        F.sum("duration_sum").alias("duration_sum"),
+        F.sum("duration_n").alias("duration_n"),
+        F.min("severity").alias("severity"),
+        F.count_distinct("src_ip").alias("n_unique_src"),
+        F.count_distinct("dst_ip").alias("n_unique_dst"),
+    )
+    return _with_ratios(sums)
+
+
+def flow_window_stats(indexed: DataFrame) -> DataFrame:
+    """``window_stats`` straight from flows, for those who need no pairs.
+
+    Ports and pairs, which are nearly as many as flows where hosts talk once, are neither
+    grouped nor sorted: tasks combine flows to one row per window, per host that sends and
+    per host that receives, and only those rows are shuffled.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    sums = indexed.groupBy(*WINDOW_KEY).agg(
+        F.min("origin_us").alias("origin_us"),
+        F.count(F.lit(1)).alias("flow_count"),
+        (total("fwd_bytes") + total("bwd_bytes")).alias("total_bytes"),
+        (total("fwd_pkts") + total("bwd_pkts")).alias("total_pkts"),
+        total("syn_count").alias("syn"),
+        total("rst_count").alias("rst"),
+        total("flow_duration").alias("duration_sum"),
+        F.count("flow_duration").alias("duration_n"),
+        F.min(severity_rank(label_category(F.col("label")))).alias("severity"),
+        F.count_distinct("src_ip").alias("n_unique_src"),
+        F.count_distinct("dst_ip").alias("n_unique_dst"),
+    )
+    return _with_ratios(sums)
+
+
+def _with_ratios(sums: DataFrame) -> DataFrame:
     return (
-        pairs.groupBy(*WINDOW_KEY)
-        .agg(
-            F.min("origin_us").alias("origin_us"),
-            F.sum("flow_count").alias("flow_count"),
-            F.sum("total_bytes").alias("total_bytes"),
-            F.sum("total_pkts").alias("total_pkts"),
-            F.sum("syn_count").alias("syn"),
-            F.sum("rst_count").alias("rst"),
-            F.sum("duration_sum").alias("duration_sum"),
-            F.sum("duration_n").alias("duration_n"),
-            F.min("severity").alias("severity"),
-            F.count_distinct("src_ip").alias("n_unique_src"),
-            F.count_distinct("dst_ip").alias("n_unique_dst"),
-        )
-        .withColumn("syn_ratio", _ratio("syn", "total_pkts"))
+        sums.withColumn("syn_ratio", _ratio("syn", "total_pkts"))
         .withColumn("rst_ratio", _ratio("rst", "total_pkts"))
         .withColumn("mean_duration", _ratio("duration_sum", "duration_n"))
         .drop("syn", "rst", "duration_sum", "duration_n")
@@ -93,7 +120,16 @@ def window_stats(pairs: DataFrame) -> DataFrame:
 
 def build_windows(pairs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Window table: key, bounds, the eight statistics, target class."""
-    return _with_target(window_stats(pairs)).select(
+    return _window_rows(window_stats(pairs), seconds)
+
+
+def build_flow_windows(indexed: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """The same table from flows with their ``window_index``."""
+    return _window_rows(flow_window_stats(indexed), seconds)
+
+
+def _window_rows(stats: DataFrame, seconds: int) -> DataFrame:
+    return _with_target(stats).select(
         *WINDOW_KEY,
         window_start(seconds).alias("start_time"),
         window_end(seconds).alias("end_time"),

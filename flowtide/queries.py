@@ -105,7 +105,7 @@ class Tables:
 
     @property
     def windows(self) -> DataFrame:
-        return self._once("windows", lambda: materialise(windows.build_windows(self.pairs, W), "windows"))
+        return self._once("windows", lambda: materialise(windows.build_flow_windows(self.indexed, W), "windows"))
 
     @property
     def series(self) -> DataFrame:
@@ -562,8 +562,7 @@ def fit_medians(t: Tables) -> DataFrame:
 
 @query
 def window_stats(t: Tables) -> DataFrame:
-    pairs = graphs.pair_totals(windows.window_index(t.flows, W))
-    return rounded(windows.build_windows(pairs, W).select(*WINDOW_KEY, *WINDOW_FEATURES))
+    return rounded(windows.build_flow_windows(windows.window_index(t.flows, W), W).select(*WINDOW_KEY, *WINDOW_FEATURES))
 
 
 @query

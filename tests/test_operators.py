@@ -57,6 +57,38 @@ def test_window_edges_of_time(spark):
     assert second.syn_ratio == 0.5 and second.n_unique_src == 1 and second.mean_duration == 0.0
 
 
+def test_windows_from_flows_are_those_from_pairs(spark, flows):
+    """Missing hosts, numbers and labels, repeated ports and loops: every window as its pair totals give it."""
+    at = lambda s: datetime(2017, 7, 3, 9, 0, s)
+    odd = [
+        dict(timestamp=at(0), src_ip=None, flow_duration=None, fwd_bytes=None, label="DDoS"),
+        dict(timestamp=at(1), src_ip=None, dst_ip=None, fwd_bytes=2.0, bwd_bytes=3.0, flow_duration=7.0, label=None),
+        dict(timestamp=at(31), dst_port=1, fwd_pkts=4.0, syn_count=1.0, rst_count=3.0, label="Bot"),
+        dict(timestamp=at(32), dst_port=1, src_ip="b", bwd_pkts=None, rst_count=None, flow_duration=5.0),
+        dict(timestamp=at(33), dst_port=2, dst_ip="a"),
+        dict(timestamp=None, label="Infiltration"),
+    ]
+    for found, seconds in ((make_flows(spark, odd), 30), (flows, 7200)):
+        indexed = windows.window_index(found, seconds)
+        rows = lambda df: sorted(tuple(r) for r in df.collect())
+        want = windows.build_windows(materialise(graphs.pair_totals(indexed)), seconds)
+        got = windows.build_flow_windows(indexed, seconds)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want) != []
+
+
+def test_windows_and_baseline_need_no_pair_table(spark, monkeypatch):
+    """Flows are neither grouped by pair and port nor sorted by pair for what only windows are needed for."""
+    from flowtide.queries import QUERIES, Tables
+    from tests.conftest import SF
+
+    def refuse(indexed):
+        raise AssertionError("pair totals are made")
+
+    monkeypatch.setattr(Tables, "_all", {})
+    monkeypatch.setattr(graphs, "pair_totals", refuse)
+    assert QUERIES["baseline_predict_fitted"](spark, SF).count() == QUERIES["window_stats"](spark, SF).count() > 0
+
+
 def test_graph_features_by_hand(spark):
     rows = [
         dict(dst_port=1, fwd_bytes=10.0, bwd_bytes=5.0, fwd_pkts=1.0, syn_count=1.0, rst_count=1.0, flow_duration=4.0),
