@@ -4,10 +4,11 @@
    counted on the way.  Hashes are those of language and word, and are checked to be unique.
 2. A sieve of fixed size, hash buckets of word pairs, tells which pairs of frequent words may be frequent; a second one
    tells the same of triples of which both pairs pass.  Bucket counts are sent packed, by ranges of buckets.
-3. Candidates are Apriori-safe: pairs and triples that the sieves let through, each with a bound of its
-   count that reaches the least count.  No frequent phrase is left out.  They are sent packed, by ranges of hashes.
-4. Candidates go, in portions of a fixed size, into double-array tries that are broadcast one after the other.  In each block all
-   positions walk the trie at once, level by level; the states reached are counted, and the counts of all blocks, packed, summed.
+3. Pairs and triples that the sieves let through are sent packed, with how often a task met them, by ranges of hashes.  Candidates
+   are Apriori-safe: those of them whose sum reaches the least count.  No frequent phrase is left out.
+4. Candidates of a range go, in portions of a fixed size, into double-array tries.  All that was sent to the range walks its trie at
+   once, level by level; the states reached are counted.  So each phrase meets one trie, however many candidates there are, and
+   the blocks are read a fixed number of times.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from flowtide.llm.common import text_rows
 from flowtide.llm.tokens import _Numbers, portions
 from flowtide.llm.trie import DoubleArray
 from flowtide.plans.lookup import hot_keys, join_lookup
-from flowtide.plans.materialise import materialise
+from flowtide.plans.materialise import materialise, materialise_with
 
 NO_LANGUAGE = "und"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -34,12 +35,13 @@ _PLAIN = bytes.maketrans(BREAKS + b"\t", b"." * len(BREAKS) + b" ")
 LONGEST = 3
 BLOCK_WORDS = 1 << 19
 WORDS_HELD = 100_000
-WORD_BITS, PAIR_BITS = 24, 27
+#: Buckets of words and of pairs and triples, as bits; a sieve has a bucket for every two words of the corpus, within these bounds.
+WORD_BITS, PAIR_BITS, MOST_PAIR_BITS = 24, 27, 28
 PORTION = 1 << 18
-#: Buckets to a range, as bits; buckets a task holds before it sends their counts; phrases to a row of counts.
-RANGE_BITS, BUCKETS_HELD, COUNTS_HELD = 19, 1 << 20, 1 << 13
-#: Ranges of candidates, as bits, and candidates a task holds before it sends them.
-CANDIDATE_BITS, CANDIDATES_HELD = 6, 1 << 19
+#: Buckets to a range, as bits; buckets a task holds before it sends their counts.
+RANGE_BITS, BUCKETS_HELD = 19, 1 << 20
+#: Ranges of candidates, as bits, at least; candidates a task holds before it sends them; words of the corpus to a range, as bits.
+CANDIDATE_BITS, CANDIDATES_HELD, RANGE_WORD_BITS = 6, 1 << 19, 22
 #: A part of more phrases than this is split between tasks where phrases meet its count.
 HOT_PART = 500
 MICRO = 1_000_000
@@ -177,21 +179,23 @@ def _fixed_bitmap(buckets: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _frequent_pairs(symbols, codes, starts, frequent, word_bits):
-    """Places whose word and next word may both be frequent, and the distinct such pairs with counts."""
-    alive = np.append(False, _has(frequent, symbols & ((1 << word_bits) - 1)))
-    known = alive[codes]
-    place = np.flatnonzero(known[:-1] & known[1:])
-    keys, which, n = np.unique(codes[place] * (len(symbols) + 1) + codes[place + 1], return_inverse=True, return_counts=True)
-    a, b = symbols[keys // (len(symbols) + 1) - 1], symbols[keys % (len(symbols) + 1) - 1]
-    return place, which, a, b
+def _frequent_places(symbols, codes, frequent, word_bits):
+    """Places whose word and next word may both be frequent."""
+    known = np.append(False, _has(frequent, symbols & ((1 << word_bits) - 1)))[codes]
+    return np.flatnonzero(known[:-1] & known[1:])
 
 
-def _passing(symbols, codes, starts, frequent, pairs, word_bits, pair_bits):
-    """``_frequent_pairs`` that pass the sieve of pairs; the distinct pairs are still all."""
-    place, which, a, b = _frequent_pairs(symbols, codes, starts, frequent, word_bits)
-    passes = _has(pairs, _bucket(_mixed(a, b), pair_bits))[which]
-    return place[passes], which[passes], a, b
+def _pairs_at(symbols, codes, place):
+    """Which of the distinct pairs each place has, and the words of those."""
+    keys, which = np.unique(codes[place] * (len(symbols) + 1) + codes[place + 1], return_inverse=True)
+    return which, symbols[keys // (len(symbols) + 1) - 1], symbols[keys % (len(symbols) + 1) - 1]
+
+
+def _passing(symbols, codes, frequent, pairs, word_bits, pair_bits):
+    """Places of pairs of words that may be frequent and that pass the sieve of pairs, with ``_pairs_at``."""
+    place = _frequent_places(symbols, codes, frequent, word_bits)
+    place = place[_has(pairs, _bucket(_mixed(symbols[codes[place] - 1], symbols[codes[place + 1] - 1]), pair_bits))]
+    return place, *_pairs_at(symbols, codes, place)
 
 
 def _triples(place, which, starts, distinct):
@@ -203,7 +207,8 @@ def _triples(place, which, starts, distinct):
 
 def _pair_buckets(frequent, word_bits: int, pair_bits: int):
     def of(symbols, codes, starts):
-        place, which, a, b = _frequent_pairs(symbols, codes, starts, frequent.value, word_bits)
+        place = _frequent_places(symbols, codes, frequent.value, word_bits)
+        which, a, b = _pairs_at(symbols, codes, place)
         n = np.bincount(which[place < starts], minlength=len(a))
         return _bucket(_mixed(a, b), pair_bits)[n > 0], n[n > 0]
 
@@ -212,7 +217,7 @@ def _pair_buckets(frequent, word_bits: int, pair_bits: int):
 
 def _triple_buckets(frequent, pairs, word_bits: int, pair_bits: int):
     def of(symbols, codes, starts):
-        place, which, a, b = _passing(symbols, codes, starts, frequent.value, pairs.value, word_bits, pair_bits)
+        place, which, a, b = _passing(symbols, codes, frequent.value, pairs.value, word_bits, pair_bits)
         x, y, n = _triples(place, which, starts, len(a))
         return _bucket(_mixed(_mixed(a, b)[x], b[y]), pair_bits), n
 
@@ -276,7 +281,7 @@ def _propose(frequent, pairs, triples, word_bits: int, pair_bits: int, range_bit
     """Pairs that pass the sieve, triples of which both pairs do and that pass theirs, with their number, packed by ranges."""
 
     def found(symbols, codes, starts) -> Iterator[tuple[np.ndarray, ...]]:
-        place, which, a, b = _passing(symbols, codes, starts, frequent.value, pairs.value, word_bits, pair_bits)
+        place, which, a, b = _passing(symbols, codes, frequent.value, pairs.value, word_bits, pair_bits)
         n = np.bincount(which[place < starts], minlength=len(a))
         some = n > 0
         yield a[some], b[some], a[some], np.zeros(int(some.sum()), bool), n[some]
@@ -329,13 +334,18 @@ def _packed_phrases(phrases: tuple[np.ndarray, ...], range_bits: int) -> pa.Reco
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["range", "size", "words", "first", "second", "third", "n"])
 
 
+def _sent(row: dict) -> tuple[np.ndarray, ...]:
+    """Words of packed phrases, the places there of the first, the second and, plus one, the third word of each (0: none), and how often."""
+    first, second, third, n = (_unpacked(row[c], row["size"]).astype(np.int64) for c in ("first", "second", "third", "n"))
+    return np.frombuffer(row["words"], np.int64), np.cumsum(first), second, third, n
+
+
 def _proposed(least: int, most_held: int = 1 << 21):
     """Packed phrases of one range -> those that occur ``least`` times, each once."""
 
     def phrases(row: dict) -> tuple[np.ndarray, ...]:
-        words = np.frombuffer(row["words"], np.int64)
-        first, second, third, n = (_unpacked(row[c], row["size"]).astype(np.int64) for c in ("first", "second", "third", "n"))
-        return words[np.cumsum(first)], words[second], words[third - 1], third > 0, n
+        words, first, second, third, n = _sent(row)
+        return words[first], words[second], words[third - 1], third > 0, n
 
     def run(table: pa.Table) -> pa.Table:
         held, size, limit = [], 0, most_held
@@ -354,37 +364,29 @@ def _proposed(least: int, most_held: int = 1 << 21):
     return run
 
 
-def _count(trie):
-    """Blocks -> counts of the trie's phrases in all blocks of a task, packed by ranges of their numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: DoubleArray = trie.value[0]
-        total = np.zeros(len(found.base), dtype=np.int64)
-        for batch in batches:
-            for symbols, codes, starts in _opened(batch):
-                total += found.counts(np.append(0, found.codes(symbols))[codes], starts, LONGEST)
-        counts = np.zeros(len(trie.value[1]), dtype=np.int64)
-        ends = found.accepts >= 0
-        counts[found.accepts[ends]] = total[ends]
-        parts = [(first, counts[first : first + COUNTS_HELD]) for first in range(0, len(counts), COUNTS_HELD)]
-        parts = [(first, part) for first, part in parts if part.any()]
-        yield pa.record_batch({
-            "first": pa.array([first for first, _ in parts], pa.int32()),
-            "size": pa.array([len(part) for _, part in parts], pa.int32()),
-            "counts": pa.array([_packed(part) for _, part in parts], pa.binary()),
-        })
-
-    return run
-
-
-def _summed(trie):
-    """Packed counts of one range of phrases -> the sum of each."""
+def _counted(least: int, portion: int):
+    """Packed phrases of one range -> its candidates that occur ``least`` times, counted by tries of at most ``portion`` candidates."""
+    proposed = _proposed(least)
 
     def run(table: pa.Table) -> pa.Table:
-        first, total = table["first"][0].as_py(), 0
-        for row in table.to_pylist():
-            total = total + _unpacked(row["counts"], row["size"]).astype(np.int64)
-        return pa.table({"id": pa.array(trie.value[1][first : first + len(total)]), "n": pa.array(total)})
+        candidates = proposed(table)
+        counts = [np.zeros(0, np.int64)]
+        for start in range(0, candidates.num_rows, portion):
+            some = candidates.slice(start, portion)
+            trie, total, least_word, last_word = _trie(some), np.zeros(some.num_rows, np.int64), some["s1"][0].as_py(), some["s1"][-1].as_py()
+            for batch in table.to_batches(max_chunksize=64):
+                for row in batch.to_pylist():
+                    words, first, second, third, n = _sent(row)
+                    # Candidates and the phrases of a row ascend by their first words: what other portions hold is passed by.
+                    here = slice(np.searchsorted(words[first], least_word), np.searchsorted(words[first], last_word, "right"))
+                    codes = np.append(0, trie.codes(words))
+                    texts = np.stack([codes[first[here] + 1], codes[second[here] + 1], codes[third[here]]], axis=1)
+                    end = trie.reached(texts, 2 + (third[here] > 0))
+                    ids = np.where(end >= 0, trie.accepts[end], -1)
+                    total += np.bincount(ids[ids >= 0], n[here][ids >= 0], len(total)).astype(np.int64)
+            counts.append(total)
+        found = candidates.append_column("n", pa.array(np.concatenate(counts)))
+        return found.filter(pa.array(found["n"].to_numpy() >= least))
 
     return run
 
@@ -393,18 +395,22 @@ def _symbol(salt: str) -> Column:
     return F.xxhash64(F.concat(F.lit(salt), "lang", F.lit("\0"), "word"))
 
 
-def _encoded(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks, and all words with their counts, under hashes that tell all of them apart."""
+def _encoded(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks, all words with their counts, under hashes that tell all of them apart, and the sum of the counts."""
     for salt in map(str, range(100)):
         table = materialise(docs.select("text", "lang").mapInArrow(_encode(salt, block_words, WORDS_HELD), BLOCK), "phrase_blocks", compression="zstd")
-        words = materialise(
-            table.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("symbol", _symbol(salt)), "phrase_words"
-        )
+        counted = table.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words, facts = materialise_with(counted.withColumn("symbol", _symbol(salt)), "phrase_words", n=F.sum("n"))
         if words.groupBy("symbol").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
-            return table.where(F.col("word").isNull()).select("symbols", "codes", "n_codes", "starts"), words
+            return table.where(F.col("word").isNull()).select("symbols", "codes", "n_codes", "starts"), words, facts["n"] or 0
     raise RuntimeError("no hash tells all words apart")
 
 
+def _bits(number: int) -> int:
+    """Bits of the least power of two that is at least ``number``."""
+    return max(0, number - 1).bit_length()
+
+
 def phrase_counts(
     docs: DataFrame,
     least: int = 10,
@@ -412,39 +418,33 @@ def phrase_counts(
     text_col: str = "text",
     block_words: int = BLOCK_WORDS,
     word_bits: int = WORD_BITS,
-    pair_bits: int = PAIR_BITS,
+    pair_bits: int | None = None,
     portion: int = PORTION,
 ) -> tuple[DataFrame, DataFrame]:
     """All words (``lang, word, n, symbol``) and all phrases of two or three words that occur ``least`` times (``s1, s2, s3, n``).
 
-    ``s3`` is null for pairs.  What is broadcast is bounded by ``word_bits``, ``pair_bits`` and ``portion``, whatever the corpus:
-    a small sieve proposes more candidates, and many candidates take more portions, each a pass over the blocks.
+    ``s3`` is null for pairs.  What is broadcast is bounded by ``word_bits`` and ``pair_bits`` (by default those of the corpus, at most
+    ``MOST_PAIR_BITS``), a trie by ``portion``, whatever the corpus: a small sieve proposes more candidates, which takes no more passes.
     """
     spark = docs.sparkSession
     language = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE))
-    blocks, words = _encoded(_texts(docs, language, text_col), block_words)
+    blocks, words, total = _encoded(_texts(docs, language, text_col), block_words)
+    if pair_bits is None:
+        pair_bits = min(max(PAIR_BITS, _bits(total) - 1), MOST_PAIR_BITS)
+    range_bits = max(CANDIDATE_BITS, _bits(total) - RANGE_WORD_BITS)
     context = spark.sparkContext
     kept = words.where(F.col("n") >= least)
     frequent = context.broadcast(_fixed_bitmap(kept.select(F.col("symbol").bitwiseAND(F.lit((1 << word_bits) - 1)).alias("bucket")), word_bits))
     pairs = context.broadcast(_sieve(blocks, _pair_buckets(frequent, word_bits, pair_bits), least, pair_bits))
     triples = context.broadcast(_sieve(blocks, _triple_buckets(frequent, pairs, word_bits, pair_bits), least, pair_bits))
     packed = blocks.mapInArrow(
-        _propose(frequent, pairs, triples, word_bits, pair_bits), "range int, size int, words binary, first binary, second binary, third binary, n binary"
+        _propose(frequent, pairs, triples, word_bits, pair_bits, range_bits),
+        "range int, size int, words binary, first binary, second binary, third binary, n binary",
     )
-    proposed = packed.groupBy("range").applyInArrow(_proposed(least), "s1 bigint, s2 bigint, s3 bigint")
-    candidates = materialise(proposed.withColumn("id", F.monotonically_increasing_id()), "phrase_candidates")
-    share = max(1, -(-candidates.count() // portion))
-    counts = None
-    for p in range(share):
-        mine = candidates.where(F.pmod(F.xxhash64("s1", "s2", "s3"), F.lit(share)) == p).toArrow()
-        trie = context.broadcast((_trie(mine), mine["id"].to_numpy()))
-        packed = blocks.mapInArrow(_count(trie), "first int, size int, counts binary")
-        some = materialise(packed.groupBy("first").applyInArrow(_summed(trie), "id bigint, n bigint"), "phrase_counts")
-        trie.destroy()
-        counts = some if counts is None else counts.unionByName(some)
+    counted = packed.groupBy("range").applyInArrow(_counted(least, portion), "s1 bigint, s2 bigint, s3 bigint, n bigint")
+    phrases = materialise(counted, "phrases")
     frequent.unpersist(), pairs.unpersist(), triples.unpersist()
-    exact = counts.where(F.col("n") >= least).join(candidates, "id").select("s1", "s2", "s3", "n")
-    return words, materialise(exact, "phrases")
+    return words, phrases
 
 
 def _texts(docs: DataFrame, language: Column, text_col: str) -> DataFrame:

@@ -62,17 +62,31 @@ class DoubleArray:
         state = np.zeros(len(place), dtype=np.int32)
         for k in range(most):
             inside = place + k < len(codes)
-            place, state = place[inside], state[inside]
-            code = codes[place + k]
-            for shift in (DIGIT_BITS, 0):
-                slot = self.base[state] + (code >> shift & (DIGITS - 1))
-                alive = (self.check[slot] == state) & (code > 0)
-                place, state, code = place[alive], slot[alive].astype(np.int32), code[alive]
+            place, state = self._onward(place[inside], state[inside], codes[place[inside] + k])
             if not len(place):
                 break
             total += np.bincount(state, minlength=len(total))
         return total
 
+    def reached(self, phrases: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The slot in which each row of codes ends, of which ``lengths`` count; -1 where the trie has no such way."""
+        end = np.full(len(phrases), -1, dtype=np.int64)
+        row, state = np.arange(len(phrases)), np.zeros(len(phrases), dtype=np.int32)
+        for k in range(phrases.shape[1]):
+            row, state = self._onward(row, state, phrases[row, k])
+            over = lengths[row] == k + 1
+            end[row[over]] = state[over]
+            row, state = row[~over], state[~over]
+        return end
+
+    def _onward(self, who: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those that get on from their states by a word, and where they are then."""
+        for shift in (DIGIT_BITS, 0):
+            slot = self.base[state] + (code >> shift & (DIGITS - 1))
+            alive = (self.check[slot] == state) & (code > 0)
+            who, state, code = who[alive], slot[alive].astype(np.int32), code[alive]
+        return who, state
+
 
 def _placed(parents: np.ndarray, digits: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all nodes, and both arrays; children of a node lie at their digits from a common base.

@@ -123,3 +123,28 @@ def test_candidates_are_sent_packed():
         got = phrases._proposed(least=12, most_held=5_000)(ranges.filter(pa.compute.equal(ranges["range"], r)))
         found.update(zip(*(got[c].to_pylist() for c in ("s1", "s2", "s3"))))
     assert found == Counter({p: 1 for p, n in plain.items() if n >= 12})
+
+
+def test_tables_do_not_grow_with_candidates(spark, monkeypatch):
+    """Many tries take no more passes: each table is written once, whatever the size of a trie."""
+    rows, names, real = made(7), [], phrases.materialise
+    monkeypatch.setattr(phrases, "materialise", lambda df, name, **more: names.append(name) or real(df, name, **more))
+    assert collocations(spark, rows, portion=5) == plain(rows, 10, 2000)
+    assert len(names) == len(set(names))
+
+
+def test_candidates_of_a_range_are_counted_by_tries():
+    """Whatever the size of a trie, also where all candidates of a trie begin with one word."""
+    draw = np.random.default_rng(4)
+    words = draw.integers(-(1 << 63), (1 << 63) - 1, 40)
+    sent, plain = [], Counter()
+    for _ in range(6):
+        first, second, third = (words[draw.zipf(1.4, 3_000) % 40] for _ in range(3))
+        long, n = draw.random(3_000) < 0.5, draw.integers(1, 5, 3_000)
+        sent.append(phrases._packed_phrases(phrases._added([(first, second, third, long, n)]), 0))
+        for a, b, c, is_long, k in zip(first.tolist(), second.tolist(), third.tolist(), long.tolist(), n.tolist()):
+            plain[a, b, c if is_long else None] += k
+    for portion in (7, 1 << 18):
+        found = phrases._counted(12, portion)(pa.Table.from_batches(sent))
+        got = list(zip(*(found[c].to_pylist() for c in ("s1", "s2", "s3", "n"))))
+        assert len(got) > 500 and sorted(got, key=str) == sorted(((*p, n) for p, n in plain.items() if n >= 12), key=str)
