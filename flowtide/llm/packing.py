@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowtide.llm.common import small_batches, text_rows
 from flowtide.llm.tokens import encoder, portions
-from flowtide.plans.materialise import materialise
+from flowtide.plans.materialise import codec, materialise
 
 ENCODED = "part int, local_start long, doc_id long, n_tokens long, ids binary"
 
@@ -68,9 +68,9 @@ def packed(
     A null or empty text is its end id alone; repeated rows are packed each; a null doc_id
     stays null; an empty table gives no rows; other columns are ignored.
     """
-    with small_batches(docs.sparkSession):
-        # Half of the bytes of ids are zero or nearly so, which the default codec hardly uses.
-        rows = materialise(encoded(docs, path, cut, end_id, id_col, text_col), "ids", compression="zstd")
+    # Half of the bytes of ids are zero or nearly so, which the default codec hardly uses.
+    with small_batches(docs.sparkSession), codec(docs.sparkSession, "zstd"):
+        rows = materialise(encoded(docs, path, cut, end_id, id_col, text_col), "ids")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition, written: its size is known when the join is planned, so ids stay where they are.

@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtide.llm.common import text_rows
+from flowtide.llm.common import small_batches, text_rows
 from flowtide.llm.tokens import _Numbers, portions
 from flowtide.llm.trie import DoubleArray
 from flowtide.plans.lookup import hot_keys, join_lookup
@@ -30,11 +29,13 @@ from flowtide.plans.materialise import materialise, materialise_with
 
 NO_LANGUAGE = "und"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-#: Breaks become full stops, tabs spaces; what is left between spaces are words and breaks.
-_PLAIN = bytes.maketrans(BREAKS + b"\t", b"." * len(BREAKS) + b" ")
+_CAPITALS = bytes(range(65, 91))
+#: Breaks become full stops, tabs spaces, capitals small; what is left between spaces are words and breaks.
+_PLAIN = bytes.maketrans(BREAKS + b"\t" + _CAPITALS, b"." * len(BREAKS) + b" " + _CAPITALS.lower())
 LONGEST = 3
 BLOCK_WORDS = 1 << 19
-WORDS_HELD = 100_000
+#: Counts of words a task holds before it adds and sends them, and to a batch; blocks, or rows of phrases, to an Arrow batch.
+WORDS_HELD, WORDS_SENT, BLOCK_ROWS = 300_000, 50_000, 16
 #: Buckets of words and of pairs and triples, as bits; a sieve has a bucket for every two words of the corpus, within these bounds.
 WORD_BITS, PAIR_BITS, MOST_PAIR_BITS = 24, 27, 28
 PORTION = 1 << 18
@@ -52,7 +53,7 @@ BLOCK = "symbols binary, codes binary, n_codes int, starts int, lang string, wor
 
 
 def _tokens(text: bytes) -> list[bytes]:
-    return text.lower().translate(_PLAIN).replace(b".", b" . ").split()
+    return text.translate(_PLAIN).replace(b".", b" . ").split()
 
 
 class _Block:
@@ -73,18 +74,24 @@ class _Block:
         self.parts.append((lang, np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))))
         self.n += len(tokens) + 1
 
-    def closed(self) -> tuple[np.ndarray, np.ndarray, list[tuple[str, bytes, int]]]:
+    def closed(self) -> tuple[np.ndarray, np.ndarray, pa.Table]:
         """Hashes of the distinct words, the numbers of all words (place there plus one), and counts of words."""
-        first, words = {}, []
+        first, symbols, langs, words = {}, [], [], []
         for lang, known in self.number.items():
             first[lang] = len(words)
-            words += [(lang, w) for w in known if w != b"."]
-        ends = [np.append(np.where(part > 0, part + first[lang], 0), 0) for lang, part in self.parts]
-        codes = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        seeds = {lang: f"{self.salt}{lang}\0".encode() for lang in self.number}
-        symbols = np.fromiter((xxhash.xxh64_intdigest(seeds[g] + w, 42) for g, w in words), dtype=np.uint64, count=len(words)).view(np.int64)
-        counts = np.bincount(codes, minlength=len(words) + 1)[1:].tolist()
-        return symbols, codes, [(g, w, n) for (g, w), n in zip(words, counts)]
+            del known[b"."]
+            seed = f"{self.salt}{lang}\0".encode()
+            symbols += [xxhash.xxh64_intdigest(seed + w, 42) for w in known]
+            langs += [lang] * len(known)
+            words += known
+        codes = np.zeros(self.n, np.int64)
+        at = 0
+        for lang, part in self.parts:
+            codes[at : at + len(part)] = np.where(part > 0, part + first[lang], 0)
+            at += len(part) + 1
+        counts = np.bincount(codes, minlength=len(words) + 1)[1:]
+        table = pa.table({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary()).cast(pa.string()), "n": counts})
+        return np.array(symbols, np.uint64).view(np.int64), codes, table
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -98,28 +105,27 @@ def _encode(salt: str, block_words: int, words_held: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        held: defaultdict[tuple[str, bytes], int] = defaultdict(int)
+        held: list[pa.Table] = []
 
-        def words() -> pa.RecordBatch:
-            keys = list(held)
-            out = _rows(lang=[k[0] for k in keys], word=[k[1].decode() for k in keys], n=list(held.values()))
+        def words() -> Iterator[pa.RecordBatch]:
+            counts = pa.concat_tables(held).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
             held.clear()
-            return out
+            for part in counts.to_batches(max_chunksize=WORDS_SENT):
+                yield _rows(lang=part["lang"], word=part["word"], n=part["n_sum"])
 
         def blocks(block: _Block) -> Iterator[pa.RecordBatch]:
             symbols, codes, counts = block.closed()
-            for lang, word, n in counts:
-                held[lang, word] += n
+            held.append(counts)
             for first in range(0, len(codes), block_words):
                 # The words after a block's last start belong to the next block; phrases look ahead into them.
                 part = codes[first : first + block_words + LONGEST - 1]
                 starts = min(block_words, len(codes) - first)
-                here, numbers = np.unique(part, return_inverse=True)
-                here = here[here > 0]
-                numbers = numbers.astype(np.uint32) + np.uint32(not (part == 0).any())
+                met = np.bincount(part, minlength=len(symbols) + 1) > 0
+                met[0] = False
+                here, numbers = np.flatnonzero(met), np.cumsum(met, dtype=np.uint32)[part]
                 yield _rows(symbols=[symbols[here - 1].tobytes()], codes=[squeeze(numbers.tobytes())], n_codes=[len(part)], starts=[starts])
-            if len(held) > words_held:
-                yield words()
+            if sum(map(len, held)) > words_held:
+                yield from words()
 
         block = _Block(salt)
         for batch in batches:
@@ -132,11 +138,17 @@ def _encode(salt: str, block_words: int, words_held: int):
                         block = _Block(salt)
         yield from blocks(block)
         if held:
-            yield words()
+            yield from words()
+        _released()
 
     return run
 
 
+def _released() -> None:
+    """Workers are reused by later stages: what Arrow holds for nothing goes back."""
+    pa.default_memory_pool().release_unused()
+
+
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Hashes, numbers and starts of each block."""
     release = zstandard.ZstdDecompressor().decompress
@@ -251,6 +263,7 @@ def _met_buckets(buckets, least: int, bits: int):
                     held, size = [], 0
         if size:
             yield rows(held)
+        _released()
 
     return run
 
@@ -302,6 +315,7 @@ def _propose(frequent, pairs, triples, word_bits: int, pair_bits: int, range_bit
                     held, size = [], 0
         if size:
             yield _packed_phrases(_added(held), range_bits)
+        _released()
 
     return run
 
@@ -398,7 +412,8 @@ def _symbol(salt: str) -> Column:
 def _encoded(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame, int]:
     """Blocks, all words with their counts, under hashes that tell all of them apart, and the sum of the counts."""
     for salt in map(str, range(100)):
-        table = materialise(docs.select("text", "lang").mapInArrow(_encode(salt, block_words, WORDS_HELD), BLOCK), "phrase_blocks", compression="zstd")
+        with small_batches(docs.sparkSession):
+            table = materialise(docs.select("text", "lang").mapInArrow(_encode(salt, block_words, WORDS_HELD), BLOCK), "phrase_blocks", compression="zstd")
         counted = table.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n"))
         words, facts = materialise_with(counted.withColumn("symbol", _symbol(salt)), "phrase_words", n=F.sum("n"))
         if words.groupBy("symbol").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
@@ -435,14 +450,15 @@ def phrase_counts(
     context = spark.sparkContext
     kept = words.where(F.col("n") >= least)
     frequent = context.broadcast(_fixed_bitmap(kept.select(F.col("symbol").bitwiseAND(F.lit((1 << word_bits) - 1)).alias("bucket")), word_bits))
-    pairs = context.broadcast(_sieve(blocks, _pair_buckets(frequent, word_bits, pair_bits), least, pair_bits))
-    triples = context.broadcast(_sieve(blocks, _triple_buckets(frequent, pairs, word_bits, pair_bits), least, pair_bits))
-    packed = blocks.mapInArrow(
-        _propose(frequent, pairs, triples, word_bits, pair_bits, range_bits),
-        "range int, size int, words binary, first binary, second binary, third binary, n binary",
-    )
-    counted = packed.groupBy("range").applyInArrow(_counted(least, portion), "s1 bigint, s2 bigint, s3 bigint, n bigint")
-    phrases = materialise(counted, "phrases")
+    with small_batches(spark, BLOCK_ROWS):
+        pairs = context.broadcast(_sieve(blocks, _pair_buckets(frequent, word_bits, pair_bits), least, pair_bits))
+        triples = context.broadcast(_sieve(blocks, _triple_buckets(frequent, pairs, word_bits, pair_bits), least, pair_bits))
+        packed = blocks.mapInArrow(
+            _propose(frequent, pairs, triples, word_bits, pair_bits, range_bits),
+            "range int, size int, words binary, first binary, second binary, third binary, n binary",
+        )
+        counted = packed.groupBy("range").applyInArrow(_counted(least, portion), "s1 bigint, s2 bigint, s3 bigint, n bigint")
+        phrases = materialise(counted, "phrases")
     frequent.unpersist(), pairs.unpersist(), triples.unpersist()
     return words, phrases
 

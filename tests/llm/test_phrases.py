@@ -148,3 +148,20 @@ def test_candidates_of_a_range_are_counted_by_tries():
         found = phrases._counted(12, portion)(pa.Table.from_batches(sent))
         got = list(zip(*(found[c].to_pylist() for c in ("s1", "s2", "s3", "n"))))
         assert len(got) > 500 and sorted(got, key=str) == sorted(((*p, n) for p, n in plain.items() if n >= 12), key=str)
+
+
+@pytest.mark.parametrize("held", [0, 50, 10**6])
+def test_words_are_counted_once_per_block_or_more(held):
+    """Whatever a task holds before it sends its counts of words, also where nothing is left at its end."""
+    rows = [(lang or "und", text or "") for lang, text in made(8)]
+    batch = pa.record_batch({"text": pa.array([t for _, t in rows], pa.string()), "lang": pa.array([g for g, _ in rows], pa.string())})
+    want, got, sent = Counter(), Counter(), 0
+    for lang, text in rows:
+        want.update((lang, w) for piece in pieces(text) for w in piece)
+    for out in phrases._encode("0", 100, held)(iter([batch])):
+        for row in out.to_pylist():
+            if row["word"] is not None:
+                got[row["lang"], row["word"]] += row["n"]
+                sent += 1
+    assert got == want and sent >= len(want)
+    assert held < 10**6 or sent == len(want)
